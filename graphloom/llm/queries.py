@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .chat_tools import link_tool_calls
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .mixing import mix_sources
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
+from .sentencepiece_lattice import DEFAULT_MODEL, Vocabulary, encode
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filters import host_of, path_of, url_filter
 from .warc import archive_pages
@@ -123,6 +125,13 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 """
 
 
+# --- 3: SentencePiece ---------------------------------------------------------------------------
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = DEFAULT_MODEL) -> DataFrame:
+    coded = encode(_table(spark, sf_dir, "documents"), Vocabulary(model_file))
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", "round_trip")
+
+
 # --- 4: quality rules ---------------------------------------------------------------------------
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +179,12 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+# --- 6: n-gram Jaccard join ---------------------------------------------------------------------
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 # --- 7: WARC ------------------------------------------------------------------------------------
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +269,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_mixing": op2_mixing,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_rules": op4_quality_rules,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_warc": op7_warc,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
