@@ -1,11 +1,932 @@
-"""All registered queries outside the training-data subpackage."""
+"""Registered queries of the spatial-graph operators, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.columns import AXES, corners, volume
+from ..functions.storage import new_path
+from ..operators import compose as comp
+from ..operators import detection as det
+from ..operators import geometry as geo
+from ..operators import inference as inf
+from ..operators import losses as loss
+from ..operators import summary as summ
+from ..operators import topology as topo
+from ..operators import transport
+from ..operators import voxels as vox
+from ..sources import files
+from ..streaming import runs
+from . import canonical as c
+from .evaluate import METRICS, evaluate_graphs, graph_counts
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(name: str, *ctes: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            recursive = "RECURSIVE " if any("_walk AS" in x for x in ctes) else ""
+            _sql[name] = (f"WITH {recursive}{', '.join(ctes)} " if ctes else "") + sql.strip()
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def s6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+# --- geometry -----------------------------------------------------------------------------------
+
+
+@_query("g01_axis_max", c.NODES, sql="SELECT sample_id, node_id, vd = 50 AS top_d, vh = 10 AS top_h, vw = 8 AS top_w FROM nodes")
+def g01(s, d):
+    top = geo.axis_max(c.SHAPE)
+    return c.nodes(s, d).select("sample_id", "node_id", *[(F.col(a) == top[a]).alias("top_" + a) for a in AXES])
+
+
+@_query("g02_normalize", c.NODES, sql=f"SELECT sample_id, node_id, {s6('d', 'h', 'w')} FROM nodes")
+def g02(s, d):
+    n = c.nodes(s, d).select("sample_id", "node_id", *[F.col("v" + a).cast("double").alias(a) for a in AXES])
+    return geo.normalize(n, c.SHAPE).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g03_denormalize", c.NODES, sql="SELECT sample_id, node_id, CAST(vd AS DOUBLE) AS d, CAST(vh AS DOUBLE) AS h, CAST(vw AS DOUBLE) AS w FROM nodes")
+def g03(s, d):
+    return geo.denormalize(c.nodes(s, d).select("sample_id", "node_id", *AXES), c.SHAPE).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g04_to_voxel_index", c.NODES, sql="SELECT sample_id, node_id, vd, vh, vw FROM nodes")
+def g04(s, d):
+    return geo.to_voxel_index(c.nodes(s, d).select("sample_id", "node_id", *AXES), c.SHAPE).select("sample_id", "node_id", "vd", "vh", "vw")
+
+
+@_query("g05_valid_coordinates", c.NODES, sql="""SELECT sample_id, count(*) AS n_invalid, round(max(d + 0.1::DOUBLE), 6) AS max_d, round(min(h), 6) AS min_h
+  FROM nodes WHERE d + 0.1::DOUBLE > 50::DOUBLE / 51 + 1e-6 GROUP BY sample_id""")
+def g05(s, d):
+    n = c.nodes(s, d).withColumn("d", F.col("d") + 0.1)
+    return geo.violations(n, c.SHAPE).select("sample_id", "n_invalid", *r6("max_d", "min_h"))
+
+
+@_query("g06_degrees_to_turns", c.NODES, sql="SELECT sample_id, node_id, CAST(((node_id - 3) % 4 + 4) % 4 AS INTEGER) AS turns FROM nodes")
+def g06(s, d):
+    return c.nodes(s, d).select("sample_id", "node_id", geo.degrees_to_turns((F.col("node_id") - 3) * 90.0).alias("turns"))
+
+
+def _turned_sql(source: str, keep: str, d: str = "vd", h: str = "vh", w: str = "vw", shape=c.SHAPE) -> str:
+    """CTEs r0..r3: quarter turns k1, k2, k3 in the planes (d, h), (d, w), (h, w)."""
+    out = [f"r0 AS (SELECT {keep}, {d} AS d, {h} AS h, {w} AS w, {shape[0]} AS sd, {shape[1]} AS sh, {shape[2]} AS sw, sample_id % 4 AS k1, (sample_id // 4) % 4 AS k2, (sample_id // 16) % 4 AS k3 FROM {source})"]
+    for i, (a, b, o) in enumerate((("d", "h", "w"), ("d", "w", "h"), ("h", "w", "d")), 1):
+        k = f"k{i}"
+        out.append(
+            f"r{i} AS (SELECT {keep}, CASE {k} WHEN 1 THEN s{b} - 1 - {b} WHEN 2 THEN s{a} - 1 - {a} WHEN 3 THEN {b} ELSE {a} END AS {a}, "
+            f"CASE {k} WHEN 1 THEN {a} WHEN 2 THEN s{b} - 1 - {b} WHEN 3 THEN s{a} - 1 - {a} ELSE {b} END AS {b}, {o}, "
+            f"CASE WHEN {k} % 2 = 1 THEN s{b} ELSE s{a} END AS s{a}, CASE WHEN {k} % 2 = 1 THEN s{a} ELSE s{b} END AS s{b}, s{o}, k1, k2, k3 FROM r{i - 1})"
+        )
+    return ", ".join(out)
+
+
+def _turns_of_sample():
+    key = F.col("sample_id")
+    return F.struct((key % 4).cast("int").alias("dh"), (F.floor(key / 4) % 4).cast("int").alias("dw"), (F.floor(key / 16) % 4).cast("int").alias("hw")).alias("turns")
+
+
+@_query("g07_rotate_nodes", c.NODES, _turned_sql("nodes", "sample_id, node_id"), sql="""SELECT sample_id, node_id, round(CAST(d AS DOUBLE) / sd, 6) AS d, round(CAST(h AS DOUBLE) / sh, 6) AS h,
+  round(CAST(w AS DOUBLE) / sw, 6) AS w, sd, sh, sw FROM r3""")
+def g07(s, d):
+    n = geo.rotate_nodes(c.nodes(s, d).select("sample_id", "node_id", *AXES, _turns_of_sample()), "turns", c.SHAPE)
+    return n.select("sample_id", "node_id", *r6(*AXES), *[F.col("new_shape")[a].alias("s" + a) for a in AXES])
+
+
+@_query("g08_flip_nodes", c.NODES, sql="""SELECT sample_id, node_id, round(CASE WHEN sample_id % 2 = 1 THEN (50 - vd)::DOUBLE / 51 ELSE d END, 6) AS d,
+  round(CASE WHEN sample_id % 3 = 1 THEN (10 - vh)::DOUBLE / 11 ELSE h END, 6) AS h, round(CASE WHEN sample_id % 5 = 1 THEN (8 - vw)::DOUBLE / 9 ELSE w END, 6) AS w FROM nodes""")
+def g08(s, d):
+    flags = F.struct(*[(F.col("sample_id") % k == 1).alias(a) for a, k in zip(AXES, (2, 3, 5))]).alias("flip")
+    return geo.flip_nodes(c.nodes(s, d).select("sample_id", "node_id", *AXES, flags), "flip", c.SHAPE).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g09_zoom_nodes", c.NODES, sql="""SELECT sample_id, node_id, round(((vd - 25.0) * f + 25) / 51, 6) AS d, round(((vh - 5.0) * f + 5) / 11, 6) AS h, round(((vw - 4.0) * f + 4) / 9, 6) AS w
+  FROM (SELECT *, 0.6::DOUBLE + 0.1::DOUBLE * (sample_id % 5) AS f FROM nodes)""")
+def g09(s, d):
+    n = c.nodes(s, d).withColumn("zoom", F.lit(0.6) + F.lit(0.1) * (F.col("sample_id") % 5))
+    return geo.zoom_nodes(n, "zoom", c.SHAPE).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g10_embed_2d", c.NODES, sql="SELECT sample_id, node_id, round(h, 6) AS d, round(d, 6) AS h, 0.5::DOUBLE AS w FROM nodes")
+def g10(s, d):
+    n = c.nodes(s, d).select("sample_id", "node_id", F.col("d").alias("x"), F.col("h").alias("y"))
+    return geo.embed_2d(n, 0.5).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g11_pad_nodes", c.NODES, sql="SELECT sample_id, node_id, round((vd + 6)::DOUBLE / 64, 6) AS d, round((vh + 2)::DOUBLE / 16, 6) AS h, round((vw + 3)::DOUBLE / 16, 6) AS w FROM nodes")
+def g11(s, d):
+    return geo.pad_nodes(c.nodes(s, d), c.SHAPE, (64, 16, 16)).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g12_pad_inner_nodes", c.NODES, sql="SELECT sample_id, node_id, round((d * 54 + 5) / 64, 6) AS d, round((h * 54 + 5) / 64, 6) AS h, round((w * 54 + 5) / 64, 6) AS w FROM nodes")
+def g12(s, d):
+    return geo.pad_inner_nodes(c.nodes(s, d), 64, 5).select("sample_id", "node_id", *r6(*AXES))
+
+
+@_query("g13_to_plot_xyz", c.NODES, sql="SELECT sample_id, node_id, CAST(vw AS DOUBLE) AS x, CAST(vh AS DOUBLE) AS y, CAST(vd AS DOUBLE) AS z FROM nodes")
+def g13(s, d):
+    return geo.to_plot_xyz(c.nodes(s, d), c.SHAPE).select("sample_id", "node_id", *r6("x", "y", "z"))
+
+
+# --- voxels -------------------------------------------------------------------------------------
+
+CUBE = (c.SIDE,) * 3
+VOX_OUT = ["sample_id", "d", "h", "w"]
+
+
+def _cubes(s, d) -> DataFrame:
+    return vox.explode_volume(c.volumes(s, d))
+
+
+def _vox(df: DataFrame) -> DataFrame:
+    return df.select(*VOX_OUT, F.round("value", 6).alias("value"))
+
+
+INTS = "CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w"
+
+
+@_query("v01_explode_volume", c.VOXELS, sql=f"SELECT sample_id, {INTS}, round(value, 6) AS value FROM vox")
+def v01(s, d):
+    # Packing and exploding again changes nothing.
+    return _vox(vox.explode_volume(vox.pack_volume(_cubes(s, d), CUBE)))
+
+
+@_query("v02_rotate_voxels", c.VOXELS, _turned_sql("vox", "sample_id, value", "d", "h", "w", CUBE), sql=f"SELECT sample_id, {INTS}, round(value, 6) AS value FROM r3")
+def v02(s, d):
+    return _vox(vox.rotate_voxels(_cubes(s, d).withColumn("turns", _turns_of_sample()), "turns", CUBE))
+
+
+@_query("v03_flip_voxels", c.VOXELS, sql="SELECT sample_id, CAST(3 - d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(3 - w AS INTEGER) AS w, round(value, 6) AS value FROM vox")
+def v03(s, d):
+    return _vox(vox.flip_voxels(_cubes(s, d), (True, False, True), CUBE))
+
+
+def _resample_sql(size: int, position: str, linear: bool) -> str:
+    """Resample 4^3 volumes to size^3 with source position `position` of output index o."""
+    clamp = "greatest(0, least({}, 3))"
+    if not linear:
+        axis = f"ax AS (SELECT o, CAST({clamp.format(position)} AS INTEGER) AS i FROM range({size}) AS r(o))"
+        return f"""{axis} SELECT v.sample_id, CAST(x.o AS INTEGER) AS d, CAST(y.o AS INTEGER) AS h, CAST(z.o AS INTEGER) AS w, round(value, 6) AS value
+          FROM vox v JOIN ax x ON x.i = v.d JOIN ax y ON y.i = v.h JOIN ax z ON z.i = v.w"""
+    axis = f"""p0 AS (SELECT o, {clamp.format(position)} AS p FROM range({size}) AS r(o)),
+      ax AS (SELECT o, CAST(floor(p) AS INTEGER) AS i, 1 - (p - floor(p)) AS q FROM p0 UNION ALL SELECT o, CAST(least(floor(p) + 1, 3) AS INTEGER), p - floor(p) FROM p0)"""
+    return f"""{axis} SELECT v.sample_id, CAST(x.o AS INTEGER) AS d, CAST(y.o AS INTEGER) AS h, CAST(z.o AS INTEGER) AS w, round(sum(x.q * y.q * z.q * value), 6) AS value
+      FROM vox v JOIN ax x ON x.i = v.d JOIN ax y ON y.i = v.h JOIN ax z ON z.i = v.w GROUP BY ALL"""
+
+
+def _resample_query(name: str, size: int, position: str, linear: bool, f: Query) -> None:
+    _queries[name] = f
+    _sql[name] = f"WITH {c.VOXELS}, " + _resample_sql(size, position, linear)
+
+
+_resample_query("v04_zoom_trilinear", 4, "(o - 1.5::DOUBLE) / 0.75::DOUBLE + 1.5::DOUBLE", True, lambda s, d: _vox(vox.zoom_voxels(_cubes(s, d), 0.75, CUBE, "trilinear")))
+_resample_query("v04_zoom_nearest", 4, "round_even((o - 1.5::DOUBLE) / 0.6::DOUBLE + 1.5::DOUBLE, 0)", False, lambda s, d: _vox(vox.zoom_voxels(_cubes(s, d), 0.6, CUBE, "nearest")))
+_resample_query("v05_resize_trilinear", 6, "(o + 0.5::DOUBLE) * 4 / 6 - 0.5::DOUBLE", True, lambda s, d: _vox(vox.resize_voxels(_cubes(s, d), CUBE, (6, 6, 6), "trilinear")))
+_resample_query("v05_resize_nearest", 3, "floor(o * 4 / 3)", False, lambda s, d: _vox(vox.resize_voxels(_cubes(s, d), CUBE, (3, 3, 3))))
+
+CELLS = "cells AS (SELECT o, i FROM range(3) AS r(o), range(4) AS q(i) WHERE floor(o * 4 / 3) <= i AND i < ceil((o + 1) * 4 / 3))"
+CELL_JOIN = "FROM vox v JOIN cells x ON x.i = v.d JOIN cells y ON y.i = v.h JOIN cells z ON z.i = v.w GROUP BY v.sample_id, x.o, y.o, z.o"
+CELL_OUT = "v.sample_id, CAST(x.o AS INTEGER) AS d, CAST(y.o AS INTEGER) AS h, CAST(z.o AS INTEGER) AS w"
+
+
+@_query("v06_occupancy_downsample", c.VOXELS, CELLS, sql=f"SELECT {CELL_OUT}, round(max(value), 6) AS value {CELL_JOIN}")
+def v06(s, d):
+    return _vox(vox.occupancy_downsample(_cubes(s, d), CUBE, (3, 3, 3)))
+
+
+@_query("v07_area_resize", c.VOXELS, CELLS, sql=f"SELECT {CELL_OUT}, round(avg(value), 6) AS value {CELL_JOIN}")
+def v07(s, d):
+    return _vox(vox.area_resize(_cubes(s, d), CUBE, (3, 3, 3)))
+
+
+@_query("v08_project_2d_to_3d", c.VOXELS, sql="""SELECT sample_id, CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(x AS INTEGER) AS w, round(CASE WHEN x BETWEEN 3 AND 5 THEN value ELSE 0 END - 0.5::DOUBLE, 6) AS value
+  FROM (SELECT * FROM vox WHERE w = 0), range(8) AS r(x)""")
+def v08(s, d):
+    plane = _cubes(s, d).where("w = 0").drop("w")
+    return _vox(vox.project_2d_to_3d(plane, 0.5, 3, 8, dense_shape=(c.SIDE, c.SIDE)))
+
+
+@_query("v09_pad_voxels", c.VOXELS, sql="""SELECT k.sample_id, CAST(x AS INTEGER) AS d, CAST(y AS INTEGER) AS h, CAST(z AS INTEGER) AS w, round(coalesce(value, -0.5), 6) AS value
+  FROM (SELECT DISTINCT sample_id FROM vox) k, range(6) AS a(x), range(6) AS b(y), range(6) AS e(z) LEFT JOIN vox v ON v.sample_id = k.sample_id AND v.d = x - 1 AND v.h = y - 1 AND v.w = z - 1""")
+def v09(s, d):
+    return _vox(vox.pad_voxels(_cubes(s, d), CUBE, (6, 6, 6)))
+
+
+@_query("v10_scale_intensity", c.VOXELS, sql=f"""SELECT sample_id, {INTS}, round(CASE WHEN hi > lo THEN -0.5::DOUBLE + (value - lo) / (hi - lo) ELSE -0.5 END, 6) AS value
+  FROM (SELECT *, min(value) OVER (PARTITION BY sample_id) AS lo, max(value) OVER (PARTITION BY sample_id) AS hi FROM vox)""")
+def v10(s, d):
+    return _vox(vox.scale_intensity(_cubes(s, d), -0.5, 0.5))
+
+
+@_query("v11_shift", c.VOXELS, sql=f"SELECT sample_id, {INTS}, round(value - 0.5::DOUBLE, 6) AS value FROM vox")
+def v11(s, d):
+    return _vox(vox.shift(_cubes(s, d), -0.5))
+
+
+@_query("v12_binarize", c.VOXELS, sql=f"SELECT sample_id, {INTS}, CASE WHEN value / 0.5::DOUBLE >= 0.3 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS value FROM vox")
+def v12(s, d):
+    return _vox(vox.binarize(_cubes(s, d), 0.3, 0.5))
+
+
+def _uniform_sql(seed: int, field: str, *keys: str) -> str:
+    text = " || ':' || ".join([f"'{seed}:{field}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(CAST('0x' || md5({text})[1:12] AS BIGINT)::DOUBLE / 281474976710656)"
+
+
+_NK = ("sample_id", "'image'", "d", "h", "w")
+
+
+@_query("v13_add_noise", c.VOXELS, sql=f"""SELECT sample_id, {INTS}, round(greatest(-0.5::DOUBLE, least(0.5::DOUBLE, value + sqrt(-2 * ln(greatest({_uniform_sql(3, "noise.u", *_NK)}, pow(2::DOUBLE, -48)))) * cos(2 * pi() * {_uniform_sql(3, "noise.v", *_NK)}) * 0.015::DOUBLE)), 6) AS value FROM vox""")
+def v13(s, d):
+    return _vox(vox.add_noise(_cubes(s, d), 0.015, seed=3, clamp=(-0.5, 0.5)))
+
+
+@_query("v14_foreground_points", c.VOXELS, sql=f"""SELECT sample_id, {INTS}, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, h, w) - 1 AS pos, count(*) OVER (PARTITION BY sample_id) AS n FROM vox WHERE value > 0)
+  WHERE n <= 20 OR pos IN (SELECT floor(i * (n - 1)::DOUBLE / 19) FROM range(20) AS r(i))""")
+def v14(s, d):
+    return _vox(vox.foreground_points(_cubes(s, d), 20))
+
+
+# --- composition --------------------------------------------------------------------------------
+
+
+@_query("a01_policy_for", c.ROLES, sql="SELECT sample_id, CASE WHEN split IN ('val', 'test') THEN 'identity' ELSE dataset END AS policy FROM roles")
+def a01(s, d):
+    return comp.policy_for(c.roles(s, d)).select("sample_id", "policy")
+
+
+def _u(field: str) -> str:
+    return _uniform_sql(11, field, "sample_id")
+
+
+PARAMS = f"""params AS (SELECT sample_id, {", ".join(f"CAST(CASE WHEN live THEN floor({_u('turn.' + n)} * 4) ELSE 0 END AS INTEGER) AS {n}" for n in ("dh", "dw", "hw"))},
+  {", ".join(f"live AND {_u('flip.' + a)} < 0.5 AS flip_{a}" for a in AXES)}, CASE WHEN live THEN 0.6::DOUBLE + {_u("zoom")} * (1.0::DOUBLE - 0.6::DOUBLE) ELSE 1.0 END AS zoom,
+  live AND dataset = 'mri' AND {_u("noise")} < 0.35::DOUBLE AS add_noise, CASE WHEN live AND dataset = 'mri' AND {_u("noise")} < 0.35::DOUBLE THEN {_u("noise_std")} * 0.015::DOUBLE ELSE 0.0 END AS noise_std
+  FROM (SELECT *, split = 'train' AS live FROM roles))"""
+
+
+@_query("a02_sample_params", c.ROLES, PARAMS, sql=f"SELECT sample_id, dh, dw, hw, flip_d, flip_h, flip_w, {s6('zoom', 'noise_std')}, add_noise FROM params")
+def a02(s, d):
+    p = comp.sample_params(c.roles(s, d), 11)
+    return p.select("sample_id", "turns.dh", "turns.dw", "turns.hw", *[F.col("flip")[a].alias("flip_" + a) for a in AXES], *r6("zoom", "noise_std"), "add_noise")
+
+
+@_query("a03_augment_nodes")
+def a03(s, d):
+    p = comp.sample_params(c.roles(s, d), 11)
+    return comp.augment_nodes(c.nodes(s, d).select("sample_id", "node_id", *AXES), p, c.SHAPE).select("sample_id", "node_id", *r6(*AXES), "valid")
+
+
+@_query("a03_augment_voxels")
+def a03v(s, d):
+    p = comp.sample_params(c.table(s, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.lit("mri").alias("dataset"), F.lit("train").alias("split")), 11)
+    return _vox(comp.augment_voxels(_cubes(s, d), p, CUBE, "trilinear", 11))
+
+
+@_query("a04_alignment_report", c.NODES, sql="""SELECT sample_id, round(avg(hit), 6) AS hit_rate FROM (
+  SELECT n.sample_id, n.node_id, CASE WHEN EXISTS (SELECT 1 FROM nodes f WHERE f.sample_id = n.sample_id AND (f.vd + f.vh) % 2 = 0 AND abs(f.vd - n.vd) <= 1 AND abs(f.vh - n.vh) <= 1 AND abs(f.vw - n.vw) <= 1) THEN 1.0 ELSE 0.0 END AS hit FROM nodes n)
+  GROUP BY sample_id""")
+def a04(s, d):
+    n = c.nodes(s, d)
+    return comp.alignment_report(n, c.foreground(n).where("(d + h) % 2 = 0"), c.SHAPE, 1).select("sample_id", *r6("hit_rate"))
+
+
+@_query("a05_compose", c.ROLES, sql="SELECT sample_id, dataset, split, domain FROM roles")
+def a05(s, d):
+    r = c.roles(s, d)
+    return comp.compose(r.where("domain = 0").drop("domain"), r.where("domain = 1").drop("domain"))
+
+
+@_query("a06_balanced_sample", c.ROLES, sql=f"""
+  , placed AS (SELECT sample_id, domain, row_number() OVER (PARTITION BY domain ORDER BY sample_id) - 1 AS position, count(*) OVER (PARTITION BY domain) AS n FROM roles),
+  k AS (SELECT (SELECT count(*) FROM roles WHERE domain = 0) AS n0, (SELECT count(*) FROM roles WHERE domain = 1) AS n1),
+  draws AS (SELECT draw, CASE WHEN {_uniform_sql(5, "domain", "draw")} < 0.5 THEN 0 ELSE 1 END AS domain FROM (SELECT unnest(range(2 * n0)) AS draw FROM k))
+  SELECT draw, domain, sample_id FROM draws JOIN placed USING (domain) WHERE position = CAST(floor({_uniform_sql(5, "index", "draw")} * n) AS BIGINT)""")
+def a06(s, d):
+    return comp.balanced_sample(c.roles(s, d), 5)
+
+
+@_query("a07_make_batches", sql="""SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 48 AS INTEGER) AS batch_id, o_orderkey AS sample_id FROM orders""")
+def a07(s, d):
+    b = comp.make_batches(c.samples(s, d), 48, ["priority"])
+    return b.select("batch_id", F.explode("items").alias("i")).select("batch_id", "i.sample_id")
+
+
+@_query("a08_filter_supervised", c.ROLES, sql="SELECT sample_id, domain FROM roles WHERE domain = 0")
+def a08(s, d):
+    return comp.filter_supervised(c.roles(s, d).select("sample_id", "domain"), False)
+
+
+@_query("a09_collate", c.NODES, sql="SELECT sample_id, count(*) AS n, string_agg(flag, '' ORDER BY node_id) AS flags FROM nodes GROUP BY sample_id")
+def a09(s, d):
+    items = comp.collate(c.nodes(s, d), "node_id", ["flag"])
+    return items.select("sample_id", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["flag"]), "").alias("flags"))
+
+
+# --- queries to graphs --------------------------------------------------------------------------
+
+
+@_query("q01_softmax2", c.QUERIES, sql=f"SELECT sample_id, query_id, {s6('p')} FROM q")
+def q01(s, d):
+    return c.queries(s, d).select("sample_id", "query_id", F.round(inf.object_probability(), 6).alias("p"))
+
+
+KEPT = "kept AS (SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY query_id) - 1 AS INTEGER) AS node_id, query_id, p AS score, l0, l1 FROM q WHERE l1 > l0)"
+
+
+@_query("q02_retain_nodes", c.QUERIES, KEPT, sql=f"SELECT sample_id, node_id, query_id, {s6('score')} FROM kept")
+def q02(s, d):
+    return inf.retain_nodes(c.queries(s, d)).select("sample_id", "node_id", "query_id", *r6("score"))
+
+
+@_query("q03_candidate_pairs", c.QUERIES, KEPT, sql="SELECT a.sample_id, a.node_id AS src, b.node_id AS dst FROM kept a JOIN kept b ON a.sample_id = b.sample_id AND a.node_id < b.node_id")
+def q03(s, d):
+    return inf.candidate_pairs(inf.retain_nodes(c.queries(s, d))).select("sample_id", "src", "dst")
+
+
+def _head(width: int = 56, hidden: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+    r = np.random.default_rng(1)
+    sizes = (2 * width, hidden, hidden, 2)
+    return [(r.normal(0, i**-0.5, (i, o)), np.zeros(o)) for i, o in zip(sizes, sizes[1:])]
+
+
+@_query("q04_score_relations")
+def q04(s, d):
+    return inf.score_relations(inf.candidate_pairs(inf.retain_nodes(c.queries(s, d)), "token"), _head()).select("sample_id", "src", "dst", *r6("score"))
+
+
+ORDERED = """rel AS (SELECT a.sample_id, a.node_id AS src, b.node_id AS dst, (a.l0 - b.l1 + b.l0 - a.l1) / 2 AS l0, (a.l1 - b.l0 + b.l1 - a.l0) / 2 AS l1
+  FROM kept a JOIN kept b ON a.sample_id = b.sample_id AND a.node_id < b.node_id)"""
+
+
+@_query("q05_retain_edges", c.QUERIES, KEPT, ORDERED, sql="SELECT sample_id, src, dst, round(1 / (1 + exp(l0 - l1)), 6) AS score FROM rel WHERE 1 / (1 + exp(l0 - l1)) > 0.6")
+def q05(s, d):
+    n = inf.retain_nodes(c.queries(s, d)).join(c.queries(s, d).select("sample_id", "query_id", "logits"), ["sample_id", "query_id"])
+    side = lambda p: n.select("sample_id", F.col("node_id").alias(p), F.col("logits").alias("g" + p))
+    ordered = side("left").join(side("right"), "sample_id").where("left <> right")
+    logits = ordered.select("sample_id", "left", "right", (F.col("gleft")[0] - F.col("gright")[1]).alias("l0"), (F.col("gleft")[1] - F.col("gright")[0]).alias("l1"))
+    return inf.retain_edges(inf.symmetric_logits(logits), 0.6).select("sample_id", "src", "dst", *r6("score"))
+
+
+@_query("q06_infer_graphs")
+def q06(s, d):
+    nodes, edges = inf.infer_graphs(c.queries(s, d), _head())
+    count = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))
+    return count(nodes, "n_nodes").join(count(edges, "n_edges"), "sample_id", "left").na.fill(0)
+
+
+# --- detection ----------------------------------------------------------------------------------
+
+BASE = (c.NODES, c.EDGES)
+CORNERS = ("d0", "h0", "d1", "h1", "w0", "w1")
+
+
+@_query("d01_corners", c.NODES, c.DETECTIONS, sql=f"SELECT sample_id, pred_id, {s6(*CORNERS)} FROM pbox")
+def d01(s, d):
+    p, _ = c.detections(c.nodes(s, d))
+    return p.select("sample_id", "pred_id", "corners.*").select("sample_id", "pred_id", *r6(*CORNERS))
+
+
+def _edge_corner(a: str, i: int) -> str:
+    f, sign = ("least", "-") if i == 0 else ("greatest", "+")
+    return f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {f}(a.{a}, b.{a}) {sign} 0.1::DOUBLE)), 6) AS {a}{i}"
+
+
+@_query("d02_edge_boxes", *BASE, sql=f"""SELECT e.sample_id, e.src, e.dst, {", ".join(_edge_corner(a, i) for a in AXES for i in (0, 1))}
+  FROM edges e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst""")
+def d02(s, d):
+    n = c.nodes(s, d)
+    return det.edge_boxes(n, c.target_edges(n)).select("sample_id", "src", "dst", "corners.*").select("sample_id", "src", "dst", *r6(*CORNERS))
+
+
+@_query("d03_target_boxes", c.NODES, c.DETECTIONS, sql=f"SELECT sample_id, target_id, {s6(*CORNERS)} FROM tbox")
+def d03(s, d):
+    b = det.node_boxes(c.nodes(s, d)).select("sample_id", F.col("node_id").alias("target_id"), "corners.*")
+    return b.select("sample_id", "target_id", *r6(*CORNERS))
+
+
+@_query("d04_box_volume", c.QUERIES, sql="""SELECT sample_id, query_id, round(sd * sh * sw, 6) AS open,
+  round((least(d + sd / 2, 1) - greatest(d - sd / 2, 0)) * (least(h + sh / 2, 1) - greatest(h - sh / 2, 0)) * (least(w + sw / 2, 1) - greatest(w - sw / 2, 0)), 6) AS clipped FROM q""")
+def d04(s, d):
+    b = c.queries(s, d).select("sample_id", "query_id", corners(F.col("box"), clip=False).alias("o"), corners(F.col("box")).alias("k"))
+    return b.select("sample_id", "query_id", F.round(volume(F.col("o"), clamp=False), 6).alias("open"), F.round(volume(F.col("k")), 6).alias("clipped"))
+
+
+@_query("d05_pair_iou", c.NODES, c.DETECTIONS, sql="SELECT sample_id, pred_id, target_id, round(iou, 6) AS iou FROM iou")
+def d05(s, d):
+    return det.pair_iou(*c.detections(c.nodes(s, d))).select("sample_id", "pred_id", "target_id", *r6("iou"))
+
+
+def _giou_sql(p: str, t: str, size: str = "0.2::DOUBLE") -> str:
+    inter = " * ".join(f"greatest(least({p}.{a} + {p}.s{a} / 2, {t}.{a} + {size} / 2) - greatest({p}.{a} - {p}.s{a} / 2, {t}.{a} - {size} / 2), 0)" for a in AXES)
+    hull = " * ".join(f"(greatest({p}.{a} + {p}.s{a} / 2, {t}.{a} + {size} / 2) - least({p}.{a} - {p}.s{a} / 2, {t}.{a} - {size} / 2))" for a in AXES)
+    union = f"({p}.sd * {p}.sh * {p}.sw + {size} * {size} * {size} - {inter})"
+    return f"(({inter}) / {union} - (({hull}) - {union}) / ({hull}))"
+
+
+@_query("d06_pair_giou", c.QUERIES, c.TARGETS, sql=f"SELECT q.sample_id, q.query_id AS pred_id, tgt.target_id, round({_giou_sql('q', 'tgt')}, 6) AS giou FROM q JOIN tgt USING (sample_id)")
+def d06(s, d):
+    q = c.queries(s, d)
+    t, _ = c.query_targets(q)
+    b = F.struct(*AXES, *[F.lit(0.2).alias("s" + a) for a in AXES]).alias("box")
+    return det.pair_giou(q.select("sample_id", F.col("query_id").alias("pred_id"), "box"), t.select("sample_id", "target_id", b)).select("sample_id", "pred_id", "target_id", *r6("giou"))
+
+
+@_query("d07_top_detections", c.NODES, c.DETECTIONS, sql="SELECT sample_id, pred_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pred_id) AS rank FROM pred) WHERE rank <= 3")
+def d07(s, d):
+    return det.top_detections(c.detections(c.nodes(s, d))[0], 3).select("sample_id", "pred_id", "rank")
+
+
+@_query("d08_greedy_match")
+def d08(s, d):
+    return det.greedy_match(*c.detections(c.nodes(s, d))).select("sample_id", "iou_t", "rank", *r6("score"), "hit")
+
+
+def _pooled_sql(by: str, source: str) -> str:
+    return f"""g AS (SELECT *, {by} AS grp FROM {source}), tot AS (SELECT grp, sum(target_count) AS targets FROM (SELECT *, {by} AS grp FROM counts{", folds" if "fold" in by else ""}{" WHERE counts.sample_id = folds.sample_id" if "fold" in by else ""}) GROUP BY grp),
+  k AS (SELECT grp, step, sum(hit::INT) OVER o AS tp, row_number() OVER o AS seen, hit FROM g WINDOW o AS (PARTITION BY grp, step ORDER BY score DESC, g.sample_id, rank ROWS UNBOUNDED PRECEDING)),
+  pr AS (SELECT grp, step, tp::DOUBLE / targets AS recall, tp::DOUBLE / seen AS prec FROM k JOIN tot USING (grp) WHERE hit),
+  pt AS (SELECT grp, step, i, max(prec) AS m FROM pr, range(101) AS r(i) WHERE recall >= CASE WHEN i < 100 THEN i * 0.01::DOUBLE ELSE 1.0 END GROUP BY ALL),
+  ap AS (SELECT grp, sum(m) / 1010 AS ap FROM pt GROUP BY grp), rc AS (SELECT grp, sum(x) / 10 AS ar FROM (SELECT grp, step, max(recall) AS x FROM pr GROUP BY ALL) GROUP BY grp),
+  pooled AS (SELECT grp, coalesce(ap, 0) AS ap, coalesce(ar, 0) AS ar FROM tot LEFT JOIN ap USING (grp) LEFT JOIN rc USING (grp))"""
+
+
+@_query("d09_pooled_ap_ar", c.NODES, c.HITS, _pooled_sql("sample_id % 100", "hits"), sql=f"SELECT grp, {s6('ap', 'ar')} FROM pooled")
+def d09(s, d):
+    hits, counts = c.known_hits(c.nodes(s, d))
+    grp = (F.col("sample_id") % 100).alias("grp")
+    return det.pooled_ap_ar(hits.select("*", grp), counts.select("*", grp), "grp").select("grp", *r6("ap", "ar"))
+
+
+@_query("d10_sample_ap_ar")
+def d10(s, d):
+    p, t = c.detections(c.nodes(s, d))
+    return det.sample_ap_ar(p, t, c.samples(s, d)).select("sample_id", *r6("ap", "ar"))
+
+
+# --- topology -----------------------------------------------------------------------------------
+
+
+def _components(name: str, edges: str) -> str:
+    """CTE <name>(sample_id, node_id, component) by reachability over an edge relation."""
+    return f"""{name}_walk AS (
+    SELECT sample_id, node_id, node_id AS seen FROM nodes UNION
+    SELECT w.sample_id, w.node_id, b.node_id FROM {name}_walk w JOIN (SELECT sample_id, src AS a, dst AS node_id FROM {edges} UNION ALL SELECT sample_id, dst, src FROM {edges}) b ON b.sample_id = w.sample_id AND b.a = w.seen),
+  {name} AS (SELECT sample_id, node_id, min(seen) AS component FROM {name}_walk GROUP BY ALL)"""
+
+
+def _betti(name: str, edges: str) -> str:
+    """CTE <name>(sample_id, n_nodes, n_edges, beta0, beta1) per sample with nodes."""
+    return f"""{_components(name + "_cc", edges)},
+  {name} AS (SELECT sample_id, n_nodes, coalesce(n_edges, 0) AS n_edges, beta0, coalesce(n_edges, 0) - n_nodes + beta0 AS beta1
+    FROM (SELECT sample_id, count(*) AS n_nodes, count(DISTINCT component) AS beta0 FROM {name}_cc GROUP BY 1) LEFT JOIN (SELECT sample_id, count(*) AS n_edges FROM {edges} GROUP BY 1) USING (sample_id))"""
+
+
+@_query("t01_canonical_edges", *BASE, sql="SELECT sample_id, src, dst FROM edges")
+def t01(s, d):
+    n = c.nodes(s, d)
+    e = c.target_edges(n)
+    noise = e.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(n.select("sample_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
+    return topo.canonical_edges(n, e.unionByName(noise).unionByName(n.select("sample_id", F.lit(0).alias("src"), (F.col("node_id") + 100).alias("dst"))))
+
+
+@_query("t02_connected_components", *BASE, _components("cc", "pred_edges"), sql="SELECT sample_id, node_id, component FROM cc")
+def t02(s, d):
+    n = c.nodes(s, d)
+    return topo.connected_components(n, c.predicted_edges(n))
+
+
+@_query("t03_betti_numbers", *BASE, _betti("b", "pred_edges"), sql="""SELECT o_orderkey AS sample_id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(beta0, 0) AS beta0, coalesce(beta1, 0) AS beta1
+  FROM orders LEFT JOIN b ON sample_id = o_orderkey""")
+def t03(s, d):
+    n = c.nodes(s, d)
+    return topo.betti_numbers(c.samples(s, d), n, c.predicted_edges(n))
+
+
+@_query("t04_graph_filtration", c.NODES, c.CANDIDATES, sql="""SELECT n.sample_id, n.node_id, round(1 - coalesce(max(p), 0), 6) AS f FROM nodes n
+  LEFT JOIN cand c ON c.sample_id = n.sample_id AND (c.src = n.node_id OR c.dst = n.node_id) GROUP BY ALL""")
+def t04(s, d):
+    n = c.nodes(s, d)
+    return topo.graph_filtration(n, c.candidates(n)).select("sample_id", "node_id", *r6("f"))
+
+
+LIVE = "live AS (SELECT * FROM cand WHERE p > 1e-12), live_true AS (SELECT * FROM live WHERE is_true), truth AS (SELECT * FROM cand WHERE is_true), live_or_true AS (SELECT * FROM cand WHERE is_true OR p > 1e-12)"
+
+
+@_query("t05_minimum_spanning_forest", c.NODES, c.CANDIDATES, LIVE, _betti("b", "live"), sql="SELECT sample_id, n_nodes - beta0 AS forest_edges, beta1 AS cycle_edges FROM b WHERE n_edges > 0")
+def t05(s, d):
+    e = c.candidates(c.nodes(s, d)).where("p > 1e-12").withColumn("f", 1 - F.col("p"))
+    kept = F.col("in_forest").cast("int")
+    return topo.minimum_spanning_forest(e).groupBy("sample_id").agg(F.sum(kept).alias("forest_edges"), F.sum(1 - kept).alias("cycle_edges"))
+
+
+def _vertices(n: DataFrame) -> DataFrame:
+    return n.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n_vertices"))
+
+
+@_query("t06_h0_pairs")
+def t06(s, d):
+    n = c.nodes(s, d)
+    return topo.h0_pairs(_vertices(n), c.candidates(n)).select("sample_id", "birth_vertex", *r6("birth", "death"), "death_src", "death_dst")
+
+
+@_query("t07_h0_matching")
+def t07(s, d):
+    n = c.nodes(s, d)
+    return topo.h0_matching(_vertices(n), c.candidates(n)).select("sample_id", "side", "birth_vertex", *r6("birth", "death"), "matched")
+
+
+@_query("t08_h0_loss")
+def t08(s, d):
+    n = c.nodes(s, d)
+    return topo.h0_loss(topo.h0_matching(_vertices(n), c.candidates(n))).select("sample_id", "matched", "false", "missed", *r6("loss"))
+
+
+@_query("t09_h1_classes", c.NODES, c.CANDIDATES, LIVE, _betti("b", "live"), sql="SELECT sample_id, beta1 AS classes FROM b WHERE beta1 > 0")
+def t09(s, d):
+    return topo.h1_classes(c.candidates(c.nodes(s, d))).groupBy("sample_id").agg(F.count(F.lit(1)).alias("classes"))
+
+
+@_query("t10_h1_matching", c.NODES, c.CANDIDATES, LIVE, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), _betti("u", "live_or_true"), sql="""
+  SELECT p.sample_id, sh.beta1 AS shared, p.beta1 - sh.beta1 AS false, t.beta1 - sh.beta1 AS missed, u.beta1 - p.beta1 - t.beta1 + sh.beta1 AS union_only
+  FROM p JOIN sh USING (sample_id) JOIN t USING (sample_id) JOIN u USING (sample_id) WHERE p.n_nodes > 1""")
+def t10(s, d):
+    return topo.h1_matching(c.candidates(c.nodes(s, d)))[0]
+
+
+@_query("t11_h1_loss")
+def t11(s, d):
+    return topo.h1_loss(*topo.h1_matching(c.candidates(c.nodes(s, d)))).select("sample_id", *r6("loss"))
+
+
+@_query("t12_topology_report")
+def t12(s, d):
+    n = c.nodes(s, d)
+    cand, v = c.candidates(n), _vertices(n)
+    report = topo.topology_report(v, topo.h0_loss(topo.h0_matching(v, cand)), topo.h1_loss(*topo.h1_matching(cand)))
+    return report.select(*r6("h0_loss", "h1_loss"), "h0_samples", "h1_samples")
+
+
+# --- transport ----------------------------------------------------------------------------------
+
+
+@_query("p01_graph_point_cloud", *BASE, sql="""
+  , l AS (SELECT e.sample_id, e.src, e.dst, a.d AS ad, a.h AS ah, a.w AS aw, b.d AS bd, b.h AS bh, b.w AS bw, sqrt(pow(b.d - a.d, 2) + pow(b.h - a.h, 2) + pow(b.w - a.w, 2)) AS len
+    FROM edges e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst),
+  k AS (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS n, count(*) OVER (PARTITION BY sample_id) AS m FROM l WHERE len > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY src, dst ROWS UNBOUNDED PRECEDING)),
+  j AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY sample_id ORDER BY src, dst), 0) AS prev, max(cum) OVER (PARTITION BY sample_id) AS total FROM k)
+  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM (
+    SELECT j.*, i, (total * i / 9 - prev) / len AS f FROM j, range(10) AS r(i)
+    WHERE i >= CASE WHEN n = 1 THEN 0 ELSE floor(prev * 9 / total) + 1 END AND i <= CASE WHEN n = m THEN 9 ELSE floor(cum * 9 / total) END)""")
+def p01(s, d):
+    n = c.nodes(s, d)
+    return transport.graph_point_cloud(n, c.target_edges(n), 10).select("sample_id", "i", *r6(*AXES))
+
+
+@_query("p02_sinkhorn_distance")
+def p02(s, d):
+    n = c.nodes(s, d)
+    left, right = transport.graph_point_cloud(n, c.target_edges(n), 20), transport.graph_point_cloud(n, c.predicted_edges(n), 20)
+    return transport.sinkhorn_distance(left, right).select("sample_id", *r6("distance"))
+
+
+@_query("p03_street_mover_distance")
+def p03(s, d):
+    n = c.nodes(s, d)
+    return transport.street_mover_distance(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n), 20).select("sample_id", *r6("smd"))
+
+
+# --- losses -------------------------------------------------------------------------------------
+
+LQ = (c.QUERIES, c.TARGETS)
+LAB = "lab AS (SELECT q.*, CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END AS label FROM q)"
+
+
+def _l(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q = c.queries(s, d)
+    return (q, *c.query_targets(q))
+
+
+def _rows(q: DataFrame, a: DataFrame) -> DataFrame:
+    return loss.node_labels(q, a).select("sample_id", "query_id", F.col("logits")[0].alias("l0"), F.col("logits")[1].alias("l1"), "label")
+
+
+@_query("l01_match_cost", *LQ, sql="""SELECT q.sample_id, q.query_id, tgt.target_id, round(5 * (abs(q.d - tgt.d) + abs(q.h - tgt.h) + abs(q.w - tgt.w)) - 2 * q.p, 6) AS cost FROM q JOIN tgt USING (sample_id)""")
+def l01(s, d):
+    q, t, _ = _l(s, d)
+    return loss.match_cost(q, t).select("sample_id", "query_id", "target_id", *r6("cost"))
+
+
+@_query("l02_assign")
+def l02(s, d):
+    q, t, _ = _l(s, d)
+    return loss.assign(loss.match_cost(q, t)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@_query("l03_node_labels", c.QUERIES, LAB, sql="SELECT sample_id, query_id, label FROM lab")
+def l03(s, d):
+    q, _, a = _l(s, d)
+    return _rows(q, a).select("sample_id", "query_id", "label")
+
+
+LOGP = "(-ln(1 + exp(CASE WHEN label = 1 THEN l0 - l1 ELSE l1 - l0 END)))"
+ALPHA = "CASE WHEN label = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END"
+
+
+@_query("l04_weighted_ce", c.QUERIES, LAB, sql=f"SELECT sample_id, round(sum(-{LOGP} * {ALPHA}) / sum({ALPHA}), 6) AS ce FROM lab GROUP BY sample_id")
+def l04(s, d):
+    q, _, a = _l(s, d)
+    return loss.weighted_ce(_rows(q, a), (0.25, 0.75), ["sample_id"]).select("sample_id", *r6("ce"))
+
+
+@_query("l05_focal", c.QUERIES, LAB, sql=f"SELECT sample_id, round(sum(-pow(greatest(1 - exp({LOGP}), pow(2::DOUBLE, -23)), 2) * {LOGP} * {ALPHA}) / sum({ALPHA}), 6) AS focal FROM lab GROUP BY sample_id")
+def l05(s, d):
+    q, _, a = _l(s, d)
+    return loss.focal(_rows(q, a), (0.25, 0.75), 2.0, ["sample_id"]).select("sample_id", *r6("focal"))
+
+
+@_query("l06_cardinality_error", c.QUERIES, LAB, sql="SELECT round(sum(abs(pr - m))::DOUBLE / sum(n), 6) AS cardinality_error FROM (SELECT sample_id, sum((l1 > l0)::INT) AS pr, sum(label) AS m, count(*) AS n FROM lab GROUP BY sample_id)")
+def l06(s, d):
+    q, _, a = _l(s, d)
+    return loss.cardinality_error(q, a).select(*r6("cardinality_error"))
+
+
+@_query("l07_node_l1", *LQ, sql="SELECT round(sum(abs(q.d - tgt.d) + abs(q.h - tgt.h) + abs(q.w - tgt.w)) / count(*), 6) AS node_l1 FROM q JOIN tgt USING (sample_id, query_id)")
+def l07(s, d):
+    return loss.node_l1(*_l(s, d)).select(*r6("node_l1"))
+
+
+@_query("l08_box_giou_loss", *LQ, sql=f"SELECT round(sum(1 - {_giou_sql('q', 'tgt')}) / count(*), 6) AS giou_loss FROM q JOIN tgt USING (sample_id, query_id)")
+def l08(s, d):
+    return loss.box_giou_loss(*_l(s, d)).select(*r6("giou_loss"))
+
+
+def _target_pairs(t: DataFrame) -> DataFrame:
+    """Target edges between neighbours and next neighbours in target order."""
+    side = lambda p: t.select("sample_id", F.col("target_id").alias(p))
+    return side("src").join(side("dst"), "sample_id").where("dst - src between 0 and 2")
+
+
+TRUE_LOCAL = "tl AS (SELECT a.sample_id, CAST(a.target_id AS INTEGER) AS src, CAST(b.target_id AS INTEGER) AS dst FROM tgt a JOIN tgt b ON a.sample_id = b.sample_id AND b.target_id - a.target_id IN (1, 2))"
+
+
+@_query("l09_local_true_edges", *LQ, TRUE_LOCAL, sql="SELECT sample_id, src, dst FROM tl")
+def l09(s, d):
+    _, t, a = _l(s, d)
+    return loss.local_true_edges(_target_pairs(t), a)
+
+
+POOL = f"""pos AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY src, dst) AS n FROM tl),
+  used AS (SELECT sample_id, least(count(*), 6) AS used FROM pos GROUP BY 1),
+  allp AS (SELECT a.sample_id, CAST(a.target_id AS INTEGER) AS src, CAST(b.target_id AS INTEGER) AS dst FROM tgt a JOIN tgt b ON a.sample_id = b.sample_id AND a.target_id < b.target_id),
+  neg AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {_uniform_sql(2, "pool", "sample_id", "src", "dst")}, src, dst) AS n FROM (SELECT * FROM allp EXCEPT SELECT sample_id, src, dst FROM tl)),
+  pool AS (SELECT sample_id, src, dst, 1 AS label FROM pos WHERE n <= 6 UNION ALL SELECT sample_id, src, dst, 0 FROM neg LEFT JOIN used USING (sample_id) WHERE n <= 10 - coalesce(used, 0))"""
+
+
+def _pool(s, d) -> DataFrame:
+    _, t, a = _l(s, d)
+    return loss.edge_pool(a, loss.local_true_edges(_target_pairs(t), a), 10, 6, 2)
+
+
+@_query("l10_edge_pool", *LQ, TRUE_LOCAL, POOL, sql="SELECT sample_id, src, dst, label FROM pool")
+def l10(s, d):
+    return _pool(s, d)
+
+
+UP = """lab2 AS (SELECT sample_id % 5 AS batch, sample_id * 100 + query_id AS row_id, CASE WHEN query_id % 10 = 0 OR (sample_id % 5 = 0 AND query_id % 2 = 0) THEN 1 ELSE 0 END AS label FROM q),
+  cnt AS (SELECT batch, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM lab2 GROUP BY 1),
+  ex AS (SELECT batch, pos, neg, CASE WHEN pos > 0 AND neg > 0 AND pos::DOUBLE / neg < 0.15::DOUBLE - 0.02::DOUBLE THEN greatest(floor(neg * 0.15::DOUBLE - pos), 0) ELSE 0 END::BIGINT AS xp,
+    CASE WHEN pos > 0 AND neg > 0 AND pos::DOUBLE / neg > 0.15::DOUBLE + 0.02::DOUBLE THEN greatest(floor(pos / 0.15::DOUBLE - neg), 0) ELSE 0 END::BIGINT AS xn FROM cnt),
+  num AS (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY row_id) AS n FROM lab2),
+  rep AS (SELECT num.batch, row_id, label, CASE WHEN label = 1 THEN xp // pos + (n <= xp % pos)::INT ELSE xn // neg + (n <= xn % neg)::INT END AS more FROM num JOIN ex USING (batch))"""
+
+
+@_query("l11_ratio_upsample", c.QUERIES, UP, sql="SELECT batch, row_id, label, CAST(unnest(range(more + 1)) AS INTEGER) AS copy FROM rep")
+def l11(s, d):
+    q = c.queries(s, d)
+    label = F.when((F.col("query_id") % 10 == 0) | ((F.col("sample_id") % 5 == 0) & (F.col("query_id") % 2 == 0)), 1).otherwise(0)
+    return loss.ratio_upsample(q.select((F.col("sample_id") % 5).alias("batch"), (F.col("sample_id") * 100 + F.col("query_id")).alias("row_id"), label.alias("label")))
+
+
+ACTIVE = "act AS (SELECT sample_id, query_id, p AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, query_id) AS n FROM lab WHERE label = 0 AND p >= 0.5) WHERE n <= 5)"
+
+
+def _active(s, d) -> tuple[DataFrame, DataFrame]:
+    q, _, a = _l(s, d)
+    return loss.active_unmatched(q, a, 0.5, 5), a
+
+
+@_query("l12_active_unmatched", c.QUERIES, LAB, ACTIVE, sql=f"SELECT sample_id, query_id, {s6('score')} FROM act")
+def l12(s, d):
+    return _active(s, d)[0].select("sample_id", "query_id", *r6("score"))
+
+
+UPAIRS = """up AS (SELECT a.sample_id, a.query_id AS "left", m.query_id AS "right" FROM act a JOIN lab m ON m.sample_id = a.sample_id AND m.label = 1
+  UNION ALL SELECT a.sample_id, a.query_id, b.query_id FROM act a JOIN act b ON a.sample_id = b.sample_id AND a.query_id < b.query_id)"""
+
+
+@_query("l13_unmatched_pairs", c.QUERIES, LAB, ACTIVE, UPAIRS, sql='SELECT sample_id, "left", "right" FROM up')
+def l13(s, d):
+    return loss.unmatched_pairs(*_active(s, d))
+
+
+HARD = """sc AS (SELECT up.*, a.l0 - b.l1 AS l0, a.l1 - b.l0 AS l1 FROM up JOIN q a ON a.sample_id = up.sample_id AND a.query_id = up."left" JOIN q b ON b.sample_id = up.sample_id AND b.query_id = up."right"),
+  hard AS (SELECT * FROM (SELECT *, 1 / (1 + exp(l0 - l1)) AS score, row_number() OVER (PARTITION BY sample_id ORDER BY round(1 / (1 + exp(l0 - l1)), 12) DESC, "left", "right") AS n FROM sc) WHERE n <= 4)"""
+
+
+def _hard(s, d) -> DataFrame:
+    q = c.queries(s, d)
+    side = lambda p: q.select("sample_id", F.col("query_id").alias(p), F.col("logits").alias("g" + p))
+    pairs = loss.unmatched_pairs(*_active(s, d)).join(side("left"), ["sample_id", "left"]).join(side("right"), ["sample_id", "right"])
+    pairs = pairs.select("sample_id", "left", "right", (F.col("gleft")[0] - F.col("gright")[1]).alias("l0"), (F.col("gleft")[1] - F.col("gright")[0]).alias("l1"))
+    return loss.hard_negatives(pairs, 4)
+
+
+@_query("l14_hard_negatives", c.QUERIES, LAB, ACTIVE, UPAIRS, HARD, sql='SELECT sample_id, "left", "right", round(score, 6) AS score FROM hard')
+def l14(s, d):
+    return _hard(s, d).select("sample_id", "left", "right", *r6("score"))
+
+
+@_query("l15_edge_loss", c.QUERIES, LAB, ACTIVE, UPAIRS, HARD, sql=f"""SELECT round((lm + 0.5::DOUBLE * lh) / greatest(nm + 0.5::DOUBLE * nh, 1), 6) AS edge_loss
+  FROM (SELECT sum(-{LOGP}) AS lm, count(*) AS nm FROM lab), (SELECT sum(ln(1 + exp(l1 - l0))) AS lh, count(*) AS nh FROM hard)""")
+def l15(s, d):
+    q, _, a = _l(s, d)
+    matched = loss.focal(_rows(q, a), None, 0.0, reduction="none").withColumnRenamed("focal", "loss")
+    hard = loss.focal(_hard(s, d).withColumn("label", F.lit(0)), None, 0.0, reduction="none").withColumnRenamed("focal", "loss")
+    return loss.edge_loss(matched, hard, 0.5).select(*r6("edge_loss"))
+
+
+@_query("l16_candidate_weight", c.RUN_LOG, sql="SELECT run_id, epoch, name, round(CASE WHEN e <= 10 THEN 0 ELSE 0.1::DOUBLE * least(1, (e - 10)::DOUBLE / 20) END, 6) AS weight, count(*) AS n FROM (SELECT *, epoch % 50 AS e FROM run_log) GROUP BY ALL")
+def l16(s, d):
+    w = loss.candidate_weight(F.col("epoch") % 50, 0.1, 10, 20)
+    return c.run_log(s, d).select("run_id", "epoch", "name", F.round(w, 6).alias("weight")).groupBy("run_id", "epoch", "name", "weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("l17_linear_progress", c.RUN_LOG, sql="SELECT run_id, epoch, name, round(20 + (2 - 20) * least(1, greatest(0, (e - 10)::DOUBLE / 20)), 6) AS target, count(*) AS n FROM (SELECT *, epoch % 50 AS e FROM run_log) GROUP BY ALL")
+def l17(s, d):
+    w = loss.linear_progress(F.col("epoch") % 50, 20, 2, 10, 30)
+    return c.run_log(s, d).select("run_id", "epoch", "name", F.round(w, 6).alias("target")).groupBy("run_id", "epoch", "name", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("l18_total_loss", c.RUN_LOG, sql="SELECT run_id, epoch, round(sum(CASE name WHEN 'click' THEN 2.0::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0 END * value), 4) AS total FROM run_log GROUP BY ALL")
+def l18(s, d):
+    return loss.total_loss(c.run_log(s, d), {"click": 2.0, "view": 0.5}, ["run_id", "epoch"]).select("run_id", "epoch", F.round("total", 4).alias("total"))
+
+
+# --- summaries ----------------------------------------------------------------------------------
+
+
+@_query("m01_evaluate_graphs")
+def m01(s, d):
+    n = c.nodes(s, d)
+    m = evaluate_graphs(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n), 20)
+    return m.select("sample_id", *r6(*METRICS))
+
+
+FOLDS = """folds AS (SELECT sample_id, CAST(CASE WHEN i < m * (z + 1) THEN i // (z + 1) ELSE m + (i - m * (z + 1)) // z END AS INTEGER) AS fold FROM (
+  SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) OVER () // 5 AS z, count(*) OVER () % 5 AS m FROM (SELECT o_orderkey AS sample_id FROM orders)))"""
+
+
+@_query("m02_fold_id", FOLDS, sql="SELECT sample_id, fold FROM folds")
+def m02(s, d):
+    return summ.fold_id(c.samples(s, d).select("sample_id"))
+
+
+COUNTS = ("node_count_error", "edge_count_error", "beta0_absolute_error", "beta1_absolute_error", "target_beta0", "predicted_beta0")
+
+
+def _counts(s, d) -> DataFrame:
+    n = c.nodes(s, d)
+    return graph_counts(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n))
+
+
+COUNT_SQL = f"""{_betti("t", "edges")}, {_betti("p", "pred_edges")},
+  cm AS (SELECT o_orderkey AS sample_id, 0 AS node_count_error, abs(coalesce(t.n_edges, 0) - coalesce(p.n_edges, 0)) AS edge_count_error, abs(coalesce(t.beta0, 0) - coalesce(p.beta0, 0)) AS beta0_absolute_error,
+    abs(coalesce(t.beta1, 0) - coalesce(p.beta1, 0)) AS beta1_absolute_error, coalesce(t.beta0, 0) AS target_beta0, coalesce(p.beta0, 0) AS predicted_beta0 FROM orders LEFT JOIN t ON t.sample_id = o_orderkey LEFT JOIN p ON p.sample_id = o_orderkey),
+  lg AS (UNPIVOT cm ON {", ".join(COUNTS)} INTO NAME name VALUE value)"""
+
+
+@_query("m03_summarize", *BASE, FOLDS, COUNT_SQL, sql="""SELECT name, CAST(sum(n) AS BIGINT) AS samples, round(sum(total) / sum(n), 6) AS mean, round(coalesce(stddev_samp(total / n), 0), 6) AS std
+  FROM (SELECT name, fold, count(*) AS n, sum(value)::DOUBLE AS total FROM lg JOIN folds USING (sample_id) GROUP BY ALL) GROUP BY name""")
+def m03(s, d):
+    return flagship(s, d)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betti and count errors of predicted graphs, summarised over five folds."""
+    return summ.summarize(_counts(spark, sf_dir), list(COUNTS)).select("name", "samples", *r6("mean", "std"))
+
+
+@_query("m04_summarize_detection", c.NODES, c.HITS, FOLDS, _pooled_sql("folds.fold", "hits JOIN folds USING (sample_id)"), sql="""
+  SELECT round(avg(ap), 6) AS ap, round(stddev_samp(ap), 6) AS ap_std, round(avg(ar), 6) AS ar, round(stddev_samp(ar), 6) AS ar_std FROM pooled""")
+def m04(s, d):
+    hits, counts = c.known_hits(c.nodes(s, d))
+    full = c.samples(s, d).select("sample_id").join(counts, "sample_id", "left").na.fill(0)
+    return summ.summarize_detection(hits, full).select(*r6("ap", "ap_std", "ar", "ar_std"))
+
+
+MEANS = "em AS (SELECT run_id, epoch, name, avg(value) AS value FROM run_log GROUP BY ALL)"
+
+
+@_query("m05_epoch_means", c.RUN_LOG, MEANS, sql=f"SELECT run_id, epoch, name, {s6('value')} FROM em")
+def m05(s, d):
+    return summ.epoch_means(c.run_log(s, d)).select("run_id", "epoch", "name", *r6("value"))
+
+
+BEST = """bs AS (SELECT *, max(value) OVER (PARTITION BY run_id, name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  max(value) OVER (PARTITION BY run_id, name ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best, max(epoch) OVER (PARTITION BY run_id, name) AS last_epoch FROM em)"""
+
+
+@_query("m06_best_so_far", c.RUN_LOG, MEANS, BEST, sql="SELECT run_id, name, epoch, round(best, 6) AS best, before IS NULL OR value > before AS improved FROM bs")
+def m06(s, d):
+    return summ.best_so_far(summ.epoch_means(c.run_log(s, d))).select("run_id", "name", "epoch", *r6("best"), "improved")
+
+
+@_query("m07_select_checkpoint", c.RUN_LOG, MEANS, BEST, sql="SELECT run_id, name, epoch, before IS NULL OR value > before AS improved FROM bs WHERE before IS NULL OR value > before OR epoch % 7 = 0 OR epoch = last_epoch")
+def m07(s, d):
+    return summ.select_checkpoint(summ.epoch_means(c.run_log(s, d)), "interval_and_best", 7).select("run_id", "name", "epoch", "improved")
+
+
+@_query("m08_run_summaries", c.RUN_LOG, sql="SELECT run_id, CASE name WHEN 'click' THEN 'node_mAP' ELSE name END AS name, round(CASE WHEN name = 'click' THEN max(value) ELSE min(value) END, 6) AS best FROM run_log GROUP BY run_id, run_log.name")
+def m08(s, d):
+    log = c.run_log(s, d).withColumn("name", F.when(F.col("name") == "click", "node_mAP").otherwise(F.col("name")))
+    return summ.run_summaries(log).select("run_id", "name", *r6("best"))
+
+
+@_query("m09_compare_outputs", c.NODES, sql="""SELECT name, count(*) AS rows, sum((sample_id % 7 = 0)::INT)::BIGINT AS left_only, 0::BIGINT AS right_only, round(max(CASE WHEN sample_id % 7 <> 0 THEN gap END), 6) AS max_abs, false AS all_close
+  FROM (SELECT sample_id, 'd' AS name, 0.001::DOUBLE AS gap FROM nodes UNION ALL SELECT sample_id, 'h', 0.0 FROM nodes) GROUP BY name""")
+def m09(s, d):
+    n = c.nodes(s, d).select("sample_id", "node_id", "d", "h")
+    other = n.where("sample_id % 7 <> 0").withColumn("d", F.col("d") + 0.001)
+    return summ.compare_outputs(n, other, ["sample_id", "node_id"], ["d", "h"]).select("name", "rows", "left_only", "right_only", *r6("max_abs"), "all_close")
+
+
+# --- streams and sources ------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a stream over the events files to its end and return what it wrote."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
+    frame = build(c.run_log_of(events))
+    sink = lambda batch, _: batch.write.mode("append").parquet(out)
+    frame.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+@_query("r01_stream_best", c.RUN_LOG, sql="SELECT run_id, name, round(max(value), 6) AS best FROM run_log GROUP BY ALL")
+def r01(s, d):
+    rows = _streamed(s, d, runs.stream_best, "append")
+    return rows.groupBy("run_id", "name").agg(F.round(F.max("value"), 6).alias("best"))
+
+
+@_query("r02_stream_epoch_means", c.RUN_LOG, MEANS, sql=f"SELECT run_id, epoch, name, {s6('value')} FROM em")
+def r02(s, d):
+    rows = _streamed(s, d, runs.stream_epoch_means, "update")
+    last = rows.groupBy("run_id", "epoch", "name").agg(F.max_by("value", "n").alias("value"))
+    return last.select("run_id", "epoch", "name", *r6("value"))
+
+
+@_query("s05_decode_line_cells", c.NODES, sql="SELECT sample_id, vd AS src, vh AS dst FROM nodes")
+def s05(s, d):
+    cell = F.array(F.lit(2), F.col("vd"), F.col("vh"))
+    flat = c.nodes(s, d).groupBy("sample_id").agg(F.flatten(F.collect_list(cell)).alias("cells"))
+    return files.decode_line_cells(flat)
+
+
+@_query("s11_select_evenly_spaced", sql="""SELECT sample_id FROM (SELECT o_orderkey AS sample_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders)
+  WHERE p IN (SELECT round_even(i * (n - 1)::DOUBLE / 99, 0) FROM range(100) AS r(i))""")
+def s11(s, d):
+    return files.select_evenly_spaced(c.samples(s, d).select("sample_id"), "sample_id", 100)
+
+
+@_query("s12_cap_samples", sql="SELECT o_orderkey AS sample_id FROM orders ORDER BY 1 LIMIT 480")
+def s12(s, d):
+    return files.cap_samples(c.samples(s, d).select("sample_id"), 480)
