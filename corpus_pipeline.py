@@ -54,8 +54,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and drop documents so that sources meet their target weights."""
-    mix = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("_repeats"))
+    """Repeat and drop documents so that sources meet their target weights.
+
+    Documents stay whole: a fractional repetition of half a document or more counts as a whole one."""
+    repeats = F.col("repeats") + (F.col("part") * 2 >= F.greatest("size", F.lit(1))).cast("int")
+    mix = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max(repeats).alias("_repeats"))
     mix = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_repeats").where("_repeats > 0")
     sized = docs.withColumn("_words", word_count(F.col("text")))
     same = sized["doc_id"].eqNullSafe(mix["_id"]) & sized["source"].eqNullSafe(mix["_source"]) & (sized["_words"] == mix["_size"])

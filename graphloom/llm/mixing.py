@@ -6,10 +6,10 @@ source k belongs to it exactly when its cap is at most its share of what the pre
 cap_k * (W - W_before) <= w_k * (T - C_before).  One running sum over the table of sources (a row per
 source) finds all caps; the rest share what remains by weight.
 
-Repetitions.  A target of e epochs repeats every document floor(e) times; the fraction is filled with
-whole documents in seeded hash order.  The running sums behind that order are taken in buckets of the
-hash, (source, bucket) -> sums -> offsets, so a hot source is spread over `buckets` tasks.  A second
-round fills the gap that a long document at the cut leaves, with documents that fit into it.
+Repetitions.  A target of e epochs repeats every document floor(e) times.  The fraction is filled with
+further repetitions in seeded hash order; the document at the cut gets a fractional one, so that each
+source takes its target to the word.  The running sums behind that order are taken in buckets of the
+hash, (source, bucket) -> sums -> offsets, so a hot source is spread over the buckets.
 """
 
 from __future__ import annotations
@@ -58,24 +58,14 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _sum_before(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """Add `before`: the sum of size over rows of the same source with a smaller (ticket, doc_id, size); joins `extra` by source."""
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset")).join(extra, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("ticket", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(offsets, ["skey", "bucket"])
-    return joined.withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-
-
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, repeats, taken.
+    """One row per input row: doc_id, source, size, source_size, target, repeats, part, taken.
 
-    A null text has size 0; a null source is a source of its own; a null id orders as the empty text,
-    after others on a tie.  Repeated rows count each; rows equal in id, source and size are
-    interchangeable.  A document of size 0 takes 0 words.  No document is repeated more than max_epochs
-    times, and taken = repeats * size.  An empty table gives an empty result; columns other than the
-    three named are ignored.
+    repeats: whole repetitions; part: words of a fractional one, which at most one document of a source
+    has; taken = repeats * size + part, never above max_epochs * size.  A null text has size 0 and takes
+    0 words; a null source is a source of its own; a null id hashes as the empty text and comes last on
+    a tie.  Repeated rows count each; rows equal in id, source and size are interchangeable.  An empty
+    table gives an empty result; columns other than the three named are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -84,18 +74,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     targets = source_targets(base.select("source", "size"), weights, max_epochs, share)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.least(F.floor(epochs), F.lit(max_epochs)).cast("int"))
-    targets = targets.withColumn("fraction", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = written(targets.withColumn("skey", _source_key(F.col("source"))).drop("source"), "mix-targets")
+    targets = targets.withColumn("fraction", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    targets = targets.withColumn("skey", _source_key(F.col("source"))).drop("source")
 
-    first = _sum_before(base, targets).withColumn("chosen", (F.col("before") + F.col("size")) <= F.col("fraction"))
-    first = written(first.drop("offset", "before"), "mix-first")
-    gap = first.groupBy("skey").agg((F.first("fraction") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
-    gap = written(gap, "mix-gap")
-    spread = first.select("skey", "bucket").distinct().join(gap, "skey")
-    first = first.join(spread, ["skey", "bucket"])
-    fits = ~F.col("chosen") & (F.col("size") <= F.col("gap"))
-    second = _sum_before(first.where(fits), gap.select("skey")).withColumn("chosen", (F.col("before") + F.col("size")) <= F.col("gap"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "chosen"]
-    both = first.where(~fits).select(columns).unionByName(second.select(columns))
-    both = both.withColumn("repeats", F.col("whole") + F.col("chosen").cast("int"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
+    sums = base.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset")).join(targets, "skey")
+    inside = Window.partitionBy("skey", "bucket").orderBy("ticket", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    d = base.join(offsets, ["skey", "bucket"]).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("fraction") - before)))
+    full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
+    d = d.withColumns({"repeats": F.col("whole") + full.cast("int"), "part": F.when(full, F.lit(0)).otherwise(F.col("extra")).cast("long")})
+    return d.select("doc_id", "source", "size", "source_size", "target", "repeats", "part", (F.col("repeats") * F.col("size") + F.col("part")).cast("long").alias("taken"))

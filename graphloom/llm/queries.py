@@ -113,15 +113,10 @@ h AS (
 t AS (
   SELECT *, least(CASE WHEN source_size > 0 THEN floor(target / CAST(source_size AS DOUBLE)) ELSE 0 END, 3)::INTEGER AS whole FROM h),
 a AS (
-  SELECT d.*, t.source_size, t.target, t.whole, t.target - t.whole * CAST(t.source_size AS DOUBLE) AS fraction,
+  SELECT d.*, t.source_size, t.target, t.whole, CAST(floor(t.target - t.whole * CAST(t.source_size AS DOUBLE)) AS BIGINT) AS fraction,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ticket, doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT *, before + size <= fraction AS chosen FROM a),
-k AS (SELECT *, fraction - coalesce(sum(size) FILTER (chosen) OVER (PARTITION BY source), 0) AS gap FROM b),
-l AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, NOT chosen AND size <= gap ORDER BY ticket, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before2 FROM k)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-  CAST((whole + CASE WHEN chosen OR (size <= gap AND before2 + size <= gap) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM l
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(whole * size + greatest(0, least(size, fraction - before)) AS BIGINT) AS taken FROM a
 """
 
 
