@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at a time; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -8,14 +8,19 @@ p_k = 1 - exp(-p_(k-1)), p_0 = 1; runs are repeated until the target recall.
 
 In tables:
 
-1. texts -> (document, 128-bit signature of its set, |set|, first-level paths of all runs), one pass;
+1. texts -> (document, 128-bit signature of its set, |set|, first-level paths of all runs, embedding of
+   64 MinHash values), one pass;
 2. equal sets form a class; only one row per class goes on, however many copies it has;
 3. paths with one class are dropped.  Paths with up to `leaf_size` classes are leaves.  Larger ones are
-   split on further chosen tokens, down to `max_depth`; what is still large there is a leaf as well;
-4. leaves with the same members are kept once.  A leaf is compared by brute force, as the product of
-   its set-by-token matrix, large ones in pairs of blocks.  A pair that meets in several leaves counts
-   in the smallest of them only, so links are counted without ever emitting the pairs;
-5. blocks return, for each class, its number of links and a spanning forest of them; connected
+   split on further sampled tokens, which the embedding holds (coordinate i is the set's smallest token
+   under hash i, so two sets share it with a probability of their similarity), down to `max_depth`;
+   what is still large there is a leaf as well;
+4. inside leaves the embeddings of all pairs are compared, and only classes with a likely partner stay.
+   A pair at the threshold is lost here with a probability of about 1e-6;
+5. leaves with the same members are kept once and compared by brute force on the token sets, as the
+   product of the set-by-token matrix, large ones in pairs of blocks.  A pair that meets in several
+   leaves counts in the smallest of them only, so links are counted without ever emitting the pairs;
+6. blocks return, for each class, its number of links and a spanning forest of them; connected
    components over the forests give the groups.
 """
 
@@ -45,6 +50,8 @@ class Settings:
     leaf_size: int = 200
     max_depth: int = 3
     block: int = 1000
+    coordinates: int = 64
+    likely: int = 36  # equal coordinates of a likely pair: 4.7 standard deviations below 0.8 * 64
 
     @property
     def runs(self) -> int:
@@ -73,7 +80,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     token = np.zeros(n, np.uint64)
     for k in range(words):
         nxt = np.zeros(n, np.uint64)
-        nxt[: n - k] = h[k:] if k else h
+        nxt[: max(n - k, 0)] = h[k:]
         token = np.where(left > k, mix(token * _K1 + nxt + np.uint64(k + 1)), token)
     whole = (left >= words) | ((left == count[row]) & (count[row] < words))
     token, row = token[whole], row[whole]
@@ -91,8 +98,20 @@ def _chosen(token: np.ndarray, size: np.ndarray, path: np.ndarray, threshold: fl
     return take, mix(h[take] * _K1 + token[take])
 
 
+def embedding(token: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
+    """MinHash values [rows, coordinates] of 16 bits of consecutive sets that begin at `bounds`."""
+    out = np.empty((len(bounds), coordinates), np.uint16)
+    seeds = mix(np.arange(1, coordinates + 1, dtype=np.uint64) * _K1)
+    for i, seed in enumerate(seeds):
+        h = (token ^ seed) * (seed | np.uint64(1))
+        h ^= h >> np.uint64(32)
+        h *= _K2
+        out[:, i] = (mix(np.minimum.reduceat(h, bounds)) >> np.uint64(48)).astype(np.uint16)
+    return out
+
+
 def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_paths: bool, with_tokens: bool) -> DataFrame:
-    """(doc_id, key, n [, paths] [, tokens]): one row per document with words."""
+    """(doc_id, key, n [, paths, sketch] [, tokens]): one row per document with words."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
@@ -119,32 +138,101 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_pa
                     order = np.argsort(owner, kind="stable")
                     ends = np.searchsorted(owner[order], have, "right")
                     columns["paths"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(child[order].view(np.int64)))
+                    columns["sketch"] = pa.array([x.tobytes() for x in embedding(token, bounds[have], s.coordinates)], pa.binary())
                 if with_tokens:
                     columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>" * with_paths + ", tokens array<bigint>" * with_tokens)
+    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>, sketch binary" * with_paths + ", tokens array<bigint>" * with_tokens)
 
 
 def _split(rows: DataFrame, s: Settings) -> DataFrame:
-    """(key, path) of the children of (key, paths, tokens)."""
+    """(key, path) of the children of (key, path, sketch): coordinates sampled alike for all rows of a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = mix(np.arange(1, s.coordinates + 1, dtype=np.uint64) * _K2)
+        limit = np.uint64(TOP / (s.threshold * s.coordinates))
         for b in batches:
-            keys, out_key, out_path = b.column("key"), [], []
-            tokens, paths = b.column("tokens"), b.column("paths")
-            t_at, p_at = tokens.offsets.to_numpy(), paths.offsets.to_numpy()
-            t_all, p_all = tokens.values.to_numpy().view(np.uint64), paths.values.to_numpy().view(np.uint64)
-            for i in range(len(b)):
-                token = t_all[t_at[i] : t_at[i + 1]]
-                for path in p_all[p_at[i] : p_at[i + 1]]:
-                    child = _chosen(token, np.full(1, float(len(token))), np.full(1, path, np.uint64), s.threshold)[1]
-                    out_key.append(np.full(len(child), i))
-                    out_path.append(child)
-            if out_key and len(picked := np.concatenate(out_key)):
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(picked)), pa.array(np.concatenate(out_path).view(np.int64))], ["key", "path"])
+            if not len(b):
+                continue
+            path = b.column("path").to_numpy().view(np.uint64)
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
+            row, i = np.nonzero(mix(mix(path + _K1)[:, None] ^ place) < limit)
+            child = mix(mix(path[row] * _K1 + place[i]) + sketch[row, i].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(child.view(np.int64))], ["key", "path"])
+
+    return rows.select("key", "path", "sketch").mapInArrow(run, "key binary, path bigint")
+
+
+def _placed(leaf: DataFrame, s: Settings) -> DataFrame:
+    """(leaf, left, right, part, key) for every pair of blocks of a leaf, from (path, members, key)."""
+    parts = F.ceil(F.col("members") / s.block).cast("int")
+    placed = leaf.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("key"), parts).cast("int")})
+    placed = placed.select("path", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "key")
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("leaf", "left", "right").sortWithinPartitions("leaf", "left", "right")
+
+
+def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
+    """(path, key) of the rows that have a likely partner in their block, by size and embedding.
+
+    blocks: leaf, left, right, part, key, n, sketch; rows of a block lie together."""
+    top, bottom = s.ratio
 
-    return rows.select("key", "paths", "tokens").mapInArrow(run, "key binary, path bigint")
+    def likely(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, one: bool) -> np.ndarray:
+        if one:
+            a = b = np.arange(len(n))
+        else:
+            a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
+            if not len(a) or not len(b):
+                return np.zeros(0, np.int64)
+        small, large = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
+        equal = np.zeros((len(a), len(b)), np.uint8)
+        for i in range(sketch.shape[1]):
+            equal += sketch[a, i][:, None] == sketch[b, i]
+        pair = (equal >= s.likely) & (small * bottom >= large * top)
+        if one:
+            np.fill_diagonal(pair, False)
+            return np.flatnonzero(pair.any(1))
+        return np.concatenate((a[pair.any(1)], b[pair.any(0)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # parts of the block that the last batch ended in
+
+        def solve(pieces: list[tuple]) -> tuple[list, int]:
+            head, rest = pieces[0][0], [x[1:] for x in pieces]
+            part, n, sketch = (np.concatenate([x[i] for x in rest]) for i in range(3))
+            keys = [k for x in rest for k in x[3]]
+            if len(keys) == 2 and head[1] == head[2]:
+                good = (sketch[0] == sketch[1]).sum() >= s.likely and min(n) * bottom >= max(n) * top
+                return (keys if good else []), head[0]
+            return [keys[i] for i in likely(part, n, sketch, head[1] == head[2])], head[0]
+
+        for b in batches:
+            if not len(b):
+                continue
+            leaf, left, right, part = (b.column(x).to_numpy(zero_copy_only=False) for x in ("leaf", "left", "right", "part"))
+            n, keys = b.column("n").to_numpy().astype(np.int64), b.column("key").to_pylist()
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
+            new = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
+            out_key, out_leaf = [], []
+            for i, j in zip(new, [*new[1:], len(b)]):
+                head = (int(leaf[i]), int(left[i]), int(right[i]))
+                if held and held[0][0] != head:
+                    found, at = solve(held)
+                    out_key += found
+                    out_leaf += [at] * len(found)
+                    held = []
+                held.append((head, part[i:j].copy(), n[i:j].copy(), sketch[i:j].copy(), keys[i:j]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_leaf, pa.int64()), pa.array(out_key, pa.binary())], ["path", "key"])
+        if held:
+            found, at = solve(held)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array(found, pa.binary())], ["path", "key"])
+
+    return blocks.select("leaf", "left", "right", "part", "key", "n", "sketch").mapInArrow(run, "path bigint, key binary")
 
 
 def _compare(sizes: np.ndarray, sets: list[np.ndarray], marks: list[np.ndarray], left: int, here: int, s: Settings) -> np.ndarray:
@@ -288,55 +376,55 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     s = settings or Settings()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     member = written(signatures(source, s, "doc_id", "text", True, False), "jaccard-members")
-    classes = written(member.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths")), "jaccard-classes")
-
-    at = classes.select("key", F.explode("paths").alias("path"))
-    counted = written(at.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-paths")
-    level = written(at.join(counted, "path"), "jaccard-level")
-    live = level.select("key").distinct()
-    ids = classes.join(live, "key", "left_semi").select(F.col("class_id").alias("doc_id"))
-    again = keep_matching(source, ids, ["doc_id"])
-    sets = signatures(again, s, "doc_id", "text", False, True).select("key", "n", "tokens")
-    # A class may come more than once where an id repeats.
-    sets = written(sets.join(live, "key", "left_semi").dropDuplicates(["key"]), "jaccard-sets")
-
-    leaves = [level.where(F.col("members") <= s.leaf_size).select("path", "key")]
-    large = level.where(F.col("members") > s.leaf_size).select("path", "key")
-    for depth in range(2, s.max_depth + 1):
-        if not large.limit(1).count():
-            break
-        nodes = large.groupBy("key").agg(F.collect_list("path").alias("paths")).join(sets.select("key", "tokens"), "key")
-        children = written(_split(nodes, s), "jaccard-children")
-        counted = children.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        level = written(children.join(counted, "path"), "jaccard-level")
+    per_id = member.groupBy("key", "doc_id").agg(F.count("*").alias("rows"), *[F.first(x).alias(x) for x in ("n", "paths", "sketch")])
+    classes = per_id.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("copies"), F.max("rows").alias("most_rows"), *[F.first(x).alias(x) for x in ("n", "paths", "sketch")])
+    classes = written(classes, "jaccard-classes")
+    about = classes.select("key", "n", "sketch")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """(path, key, members) of paths with two classes or more."""
+        counted = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+        return written(rows.join(counted, "path"), "jaccard-level")
+
+    level, leaves = grouped(classes.select("key", F.explode("paths").alias("path"))), []
+    for depth in range(1, s.max_depth + 1):
         end = F.lit(depth == s.max_depth) | (F.col("members") <= s.leaf_size)
-        leaves.append(level.where(end).select("path", "key"))
+        leaves.append(level.where(end).select("path", "members", "key"))
         large = level.where(~end).select("path", "key")
+        if not large.limit(1).count():
+            break
+        level = grouped(_split(large.join(about, "key"), s))
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
-    leaf = leaf.distinct()
+    likely = written(_with_likely_partner(_together(_placed(leaf, s).join(about, "key")), s).distinct(), "jaccard-likely")
+
     # Leaves with the same members are compared once.
     member_sum = lambda seed: F.sum(F.xxhash64("key", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}")
-    marks = leaf.groupBy("path").agg(F.count("*").alias("members"), member_sum(1), member_sum(2))
+    marks = likely.groupBy("path").agg(F.count("*").alias("members"), member_sum(1), member_sum(2)).where("members > 1")
     kept = written(marks.groupBy("members", "sum1", "sum2").agg(F.min("path").alias("path")).select("path", "members"), "jaccard-kept")
-    leaf = written(leaf.join(kept, "path"), "jaccard-leaves")
+    leaf = written(likely.join(kept, "path"), "jaccard-leaves")
     mine = leaf.groupBy("key").agg(F.collect_list("path").alias("leaves"))
-    info = mine.join(sets, "key").join(classes.select("key", "copies"), "key")
-    parts = F.ceil(F.col("members") / s.block).cast("int")
-    part = F.pmod(F.xxhash64("key"), parts).cast("int")
-    placed = leaf.withColumns({"parts": parts, "part": part})
-    # Block pairs: inside a block, and with every other block.
-    placed = placed.select("path", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "key")
-    blocks = placed.join(info, "key").repartition("leaf", "left", "right").sortWithinPartitions("leaf", "left", "right")
+    live = classes.select("key", "class_id", "copies", "most_rows").join(mine, "key")
+    live = written(live, "jaccard-live")
+    again = keep_matching(source, live.select(F.col("class_id").alias("doc_id")), ["doc_id"])
+    if live.where("class_id is null").limit(1).count():
+        again = again.unionByName(source.where("doc_id is null"))
+    sets = signatures(again, s, "doc_id", "text", False, True)
+    # One row of each class: that of its smallest id, of which there can be several.
+    info = sets.join(live.select("key", "class_id", "copies", "leaves"), "key").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    info = info.select("key", "n", "tokens", "copies", "leaves")
+    if live.where("most_rows > 1").limit(1).count():
+        info = info.dropDuplicates(["key"])
+    info = written(info, "jaccard-sets")
+    blocks = _together(_placed(leaf, s).join(info, "key"))
     found = written(_brute_force(blocks, s), "jaccard-found")
     links = found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_link_docs").alias("n_link_docs"))
     roots = connected(found.where("parent is not null"))
     named = roots.join(classes.select("key", "class_id"), "key").withColumn("order", F.struct(F.col("class_id").isNull(), "class_id"))
     groups = named.groupBy("root").agg(F.min("order").alias("low"))
     linked = roots.join(groups, "root").join(links, "key").select("key", F.col("low.class_id").alias("group_id"), "n_links", "n_link_docs")
-    described = classes.drop("paths").join(linked, "key", "left")
+    described = classes.select("key", "class_id", "copies", "n").join(linked, "key", "left")
     described = described.select("key", "class_id", F.when(F.col("n_links").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.col("n").alias("n_shingles"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_docs", F.lit(0)).alias("n_link_docs"))
     whole = member.select("doc_id", "key").join(described, "key").drop("key")
     blank = source.where(F.coalesce(F.regexp_instr("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
