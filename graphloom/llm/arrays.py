@@ -62,15 +62,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class RunHasher:
+    """64-bit hashes of values[start:end] for any runs, from one prefix sum."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        power = np.full(n + 1, _P, np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.total[1:])
+        power[:] = _P_INVERSE
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.inverse = power
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every run, from one prefix sum."""
-    n = len(values)
-    power = np.full(n + 1, _P, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    power[:] = _P_INVERSE
-    power[0] = 1
-    np.cumprod(power, out=power)
-    return mix((total[ends] - total[starts]) * power[starts] + (ends - starts).astype(np.uint64))
+    return RunHasher(values)(starts, ends)

@@ -1,10 +1,12 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or.
 
-p(sentence) = sigmoid(b + sum of the weights of its words), p(document) = 1 - prod(1 - p(sentence)).
+p(sentence) = sigmoid(b + sum of the weights of its features), p(document) = 1 - prod(1 - p(sentence)).
+Features are the words, their beginnings of four to seven bytes, and whether a beginning occurs at least
+twice or three times in the document, each once in a sentence.
 Only document labels are used; the gradient of the document likelihood reaches the sentences through
-the noisy-or.  Words of the bounded sample that at least `min_docs` documents hold compete for a
-vocabulary of `max_words` by their association with the label; words are known by a 64-bit hash of
-their lower-case letters.  The model is a short array of hashes and weights inside the plan.
+the noisy-or.  Features of the bounded sample that at least `min_docs` documents hold compete for a
+vocabulary of `max_words` by their gain in likelihood; they are known by a 64-bit hash of
+lower-case letters.  The model is a short array of hashes and weights inside the plan.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import run_hashes, runs, text_slices
+from .arrays import RunHasher, mix, runs, text_slices
 from .common import held_out
 from .quality_classifier import bounded_labels
 
 THRESHOLD = 0.5
+PREFIXES = (4, 5, 6, 7)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,9 +34,9 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, its row, its sentence within the row, number of sentences per row).
+    """(feature hash, its row, its sentence within the row, number of sentences per row), by row.
 
-    Sentences end at . ! ? or a line end; those without a letter do not count."""
+    Features are words, their beginnings and how often those recur.  Sentences end at . ! ? or a line end; those without a letter do not count."""
     rows = len(offsets) - 1
     starts, ends, row = runs(_LETTER[data], offsets)
     if not len(starts):
@@ -46,7 +49,22 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     base[row[begin]] = sentence[begin]
     count = np.zeros(rows, np.int64)
     count[row[begin]] = np.diff(np.concatenate((sentence[begin], [sentence[-1] + 1])))
-    return run_hashes(_LOWER[data], starts, ends), row, sentence - base[row], count
+    hasher, sentence = RunHasher(_LOWER[data]), sentence - base[row]
+    at, features = [np.arange(len(starts))], [hasher(starts, ends)]
+    for k in PREFIXES:
+        longer = np.flatnonzero(ends - starts > k)
+        stem = mix(hasher(starts[longer], starts[longer] + k) + np.uint64(k))
+        # How often the beginning stands in the row: once, twice, more.
+        _, again, count_of = np.unique(mix(stem ^ mix(row[longer].astype(np.uint64))), return_inverse=True, return_counts=True)
+        often = count_of[again]
+        for least in (1, 2, 3):
+            enough = often >= least
+            at.append(longer[enough])
+            features.append(mix(stem[enough] + np.uint64(least)))
+    at, features = np.concatenate(at), np.concatenate(features)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    return features[order], row[at], sentence[at], count
 
 
 class Model:
@@ -66,16 +84,23 @@ def _softplus(t: np.ndarray) -> np.ndarray:
     return np.maximum(t, 0) + np.log1p(np.exp(-np.abs(t)))
 
 
-def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, sentences: np.ndarray, y: np.ndarray, min_docs: int = 3, max_words: int = 3000, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """word, doc, sentence: one entry per word; sentences: sentences per document; y: labels."""
+def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, sentences: np.ndarray, y: np.ndarray, min_docs: int = 3, max_words: int = 3000, steps: int = 1000, rate: float = 0.1, decay: float = 1e-6, share_kept: float = 0.8, seed: int = 3) -> Model:
+    """word, doc, sentence: one entry per feature; sentences: sentences per document; y: labels.
+
+    Every step leaves out a random part of the features (1 - share_kept), so that each marker learns to
+    count without those that often stand beside it."""
     known, code = np.unique(word, return_inverse=True)
     pair = np.unique(code.astype(np.int64) * len(y) + doc)
     df = np.bincount(pair // len(y), minlength=len(known))
     hits = np.bincount(pair // len(y), y[pair % len(y)], len(known))
     rate_all = np.clip(y.mean(), 1e-6, 1 - 1e-6) if len(y) else 0.5
-    z = (hits - df * rate_all) / np.sqrt(np.maximum(df * rate_all * (1 - rate_all), 1e-9))
-    z[df < min_docs] = 0
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[: min(max_words, int((z != 0).sum()))])
+    # Gain of log-likelihood from a rate of its own; only what chance among so many features cannot give.
+    share, tried = hits / np.maximum(df, 1), df >= min_docs
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = hits * np.log(share / rate_all) + np.where(df > hits, (df - hits) * np.log((1 - share) / (1 - rate_all)), 0.0)
+    gain[~tried | (share <= rate_all)] = 0
+    gain[gain < np.log(max(int(tried.sum()), 2))] = 0
+    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(max_words, int((gain > 0).sum()))])
     column = np.full(len(known), -1)
     column[chosen] = np.arange(len(chosen))
     keep = column[code] >= 0
@@ -86,13 +111,15 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, sentences: np
     plain = sentences - np.bincount(owner, minlength=len(y))
     w, b = np.zeros(len(chosen)), -5.0
     m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    r = np.random.default_rng(seed)
     for i in range(1, steps + 1):
-        t = b + np.bincount(s, w[col], len(key))
+        mask = r.random(len(w)) < share_kept
+        t = b + np.bincount(s, (w * mask)[col], len(key))
         total = np.bincount(owner, _softplus(t), len(y)) + plain * _softplus(np.float64(b))
         total = np.maximum(total, 1e-9)
         pull = np.where(y > 0.5, -1 / np.expm1(np.minimum(total, 500)), 1.0) / max(len(y), 1)
         dt = pull[owner] / (1 + np.exp(-t))
-        grad = np.append(np.bincount(col, dt[s], len(chosen)) + decay * w, dt.sum() + (pull * plain).sum() / (1 + np.exp(-b)))
+        grad = np.append(np.bincount(col, dt[s], len(chosen)) * mask + decay * w, dt.sum() + (pull * plain).sum() / (1 + np.exp(-b)))
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.999**i)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -100,7 +127,7 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, sentences: np
     return Model(known[chosen][strong], w[strong], float(b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on at most max_labelled labelled documents; None without any of them."""
     sample = F.broadcast(bounded_labels(labels, label_col, max_labelled))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("label", "text")
@@ -118,10 +145,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, l
     if not len(got):
         return None
     got = got.sort_values(["label", "sentences", "word"], ignore_index=True)  # the fit must not depend on the order of partitions
+    y, sentences = got["label"].to_numpy(), got["sentences"].to_numpy()
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) // 8 for x in got["word"]])
     word = np.frombuffer(b"".join(got["word"]), np.uint64)
-    sentence = np.frombuffer(b"".join(got["sentence"]), np.int32).astype(np.int64)
-    doc = np.repeat(np.arange(len(got)), [len(x) // 8 for x in got["word"]])
-    return train(word, doc, sentence, got["sentences"].to_numpy(), got["label"].to_numpy())
+    sentence = np.frombuffer(b"".join(got["sentence"]), np.int32)
+    del got
+    return train(word, doc, sentence, sentences, y)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +184,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
                     own = 1 / (1 + np.exp(-t))
                     bad = np.flatnonzero(own >= threshold)
                     if len(bad):
-                        starts, ends, _ = runs(_LETTER[data], offsets)
-                        which = base[row] + sentence
+                        starts, ends, own_row = runs(_LETTER[data], offsets)
+                        stops = np.cumsum(_STOP[data])[starts]
+                        which = np.cumsum(np.concatenate(([0], (stops[1:] != stops[:-1]) | (own_row[1:] != own_row[:-1]))))
                         lo, hi = np.searchsorted(which, bad), np.searchsorted(which, bad, "right") - 1
                         for k, i, j in zip(bad, lo, hi):
                             found[owner[k]].append({"sentence": int(k - base[owner[k]]), "score": float(own[k]), "text": data[starts[i] : ends[j]].tobytes().decode("utf-8", "replace")})
