@@ -30,7 +30,7 @@ from .arrays import run_hashes
 
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -206,15 +206,14 @@ def merge_nbest(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int
     return out
 
 
-def _slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    first = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
-            yield first, i
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+def _slices(lengths: np.ndarray, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `limit` characters; a longer text is taken alone."""
+    total, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        done = total[first] - lengths[first]
+        end = max(first + 1, int(np.searchsorted(total, done + limit, "right")))
+        yield first, end
+        first = end
 
 
 class Encoded:
@@ -289,7 +288,10 @@ class Encoded:
         for place in near:
             text = self.joined[self.starts[a + place] : self.ends[a + place]]
             if text not in memo:
-                memo[text] = nbest_chunk(text, n, self.v)
+                # The Viterbi segmentation comes first, whatever others share its score.
+                own = self.ids[self.chunk_ends[a + place] : self.chunk_ends[a + place + 1]].tolist()
+                found = nbest_chunk(text, n, self.v)
+                memo[text] = [(found[0][0], []), *[x for x in found if self.v.chunk_ids(x[1]) != own][: n - 1]]
             options.append(memo[text])
         out = []
         for _, choice in merge_nbest([[s for s, _ in o] for o in options], n):
@@ -321,9 +323,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, alternative
         v, memo = vocabulary, {}
         for b in batches:
             column = pc.fill_null(b.column("text"), "")
-            texts = column.to_pylist()
-            for first, end in _slices(texts):
-                part = texts[first:end]
+            for first, end in _slices(pc.utf8_length(column).to_numpy(zero_copy_only=False)):
+                part = column.slice(first, end - first).to_pylist()
                 e = Encoded(part, v)
                 if len(memo) > 200_000:
                     memo.clear()
