@@ -600,10 +600,11 @@ def t12(s, d):
   , l AS (SELECT e.sample_id, e.src, e.dst, a.d AS ad, a.h AS ah, a.w AS aw, b.d AS bd, b.h AS bh, b.w AS bw, sqrt(pow(b.d - a.d, 2) + pow(b.h - a.h, 2) + pow(b.w - a.w, 2)) AS len
     FROM edges e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst),
   k AS (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS n, count(*) OVER (PARTITION BY sample_id) AS m FROM l WHERE len > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY src, dst ROWS UNBOUNDED PRECEDING)),
-  j AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY sample_id ORDER BY src, dst), 0) AS prev, max(cum) OVER (PARTITION BY sample_id) AS total FROM k)
-  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM (
-    SELECT j.*, i, (total * i / 9 - prev) / len AS f FROM j, range(10) AS r(i)
-    WHERE i >= CASE WHEN n = 1 THEN 0 ELSE floor(prev * 9 / total) + 1 END AND i <= CASE WHEN n = m THEN 9 ELSE floor(cum * 9 / total) END)""")
+  j AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY sample_id ORDER BY src, dst), 0) AS prev, max(cum) OVER (PARTITION BY sample_id) AS total FROM k),
+  b AS (SELECT *, CAST(CASE WHEN n = 1 THEN 0 ELSE floor(prev * 9 / total) + 1 END AS BIGINT) AS lo, CAST(CASE WHEN n = m THEN 9 ELSE floor(cum * 9 / total) END AS BIGINT) AS hi FROM j),
+  x AS (SELECT *, unnest(range(lo, hi + 1)) AS i FROM b WHERE lo <= hi),
+  y AS (SELECT *, (total * i / 9 - prev) / len AS f FROM x)
+  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM y""")
 def p01(s, d):
     n = c.nodes(s, d)
     return transport.graph_point_cloud(n, c.target_edges(n), 10).select("sample_id", "i", *r6(*AXES))
