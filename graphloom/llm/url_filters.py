@@ -59,7 +59,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     A capture is blocked when an entry with its host, a parent domain or a prefix of its host and path
     is active at its fetch time (from <= time < to).  A capture with a null URL, a URL without host or a
     null time matches nothing.  Captures that repeat are decided alike; the decision is made once per
-    distinct (url, time).  Further columns pass through; the input must not have the three new names.
+    distinct (url, time).  Further columns pass through; columns of the three new names are replaced.
     """
     c = captures.select(F.col(url_col).alias("_url"), F.col(time_col).cast("timestamp").alias("_at")).na.drop("any").distinct()
     c = c.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
@@ -72,6 +72,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     lists = lists.withColumn("month", F.explode(months))
     active = keys.join(lists, ["kind", "pattern", "month"]).where((F.col("valid_from") <= F.col("_at")) & (F.col("_at") < F.col("valid_to")))
     label = F.concat_ws(" ", "category", "kind", "pattern")
-    found = active.groupBy("_url", "_at").agg(F.count("*").alias("n_active"), F.min(label).alias("first_match"))
-    out = captures.join(found, (captures[url_col] == found["_url"]) & (captures[time_col].cast("timestamp") == found["_at"]), "left").drop("_url", "_at")
-    return out.withColumns({"blocked": F.col("n_active").isNotNull(), "n_active": F.coalesce(F.col("n_active"), F.lit(0))})
+    found = active.groupBy("_url", "_at").agg(F.count("*").alias("_found"), F.min(label).alias("_label"))
+    out = captures.join(found, (captures[url_col] == found["_url"]) & (captures[time_col].cast("timestamp") == found["_at"]), "left")
+    new = {"blocked": F.col("_found").isNotNull(), "n_active": F.coalesce(F.col("_found"), F.lit(0)), "first_match": F.col("_label")}
+    return out.withColumns(new).drop("_url", "_at", "_found", "_label")

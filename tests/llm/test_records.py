@@ -40,7 +40,7 @@ def test_every_capture_sees_the_list_of_its_time(spark):
         ("http://b.com/x/y?z=/x/", 15), ("http://b.com/xy", 15), ("http://b.com/?/x/", 15), ("http://user@sub.c.org", 5), ("http://c.org/", 5),
         (None, 5), ("no url", 5), ("http://a.com/q", None), ("http://a.com/q", 10),
     ])]
-    df = spark.createDataFrame(captures, "page_id long, url string, fetch_time timestamp, kind string, host int")
+    df = spark.createDataFrame(captures, "page_id long, url string, fetch_time timestamp, kind string, n_active int")
     got = {r["page_id"]: (r["blocked"], r["n_active"], r["first_match"]) for r in url_filter(df, spark.createDataFrame(entries, ENTRIES)).collect()}
     hit = {1: "spam domain a.com", 2: "spam domain a.com", 5: "adult prefix b.com/x/", 8: "malware domain sub.c.org", 13: "spam domain a.com"}
     assert got == {k: (k in hit, int(k in hit), hit.get(k)) for k in range(len(captures))}
