@@ -17,7 +17,7 @@ In tables:
    what is still large there is a leaf as well;
 4. inside leaves the embeddings of all pairs are compared, and only classes with a likely partner stay.
    A pair at the threshold is lost here with a probability of about 1e-6;
-5. leaves with the same members are kept once and compared by brute force on the token sets, as the
+5. leaves that lie inside another are dropped, the others compared by brute force on the token sets, as the
    product of the set-by-token matrix, large ones in pairs of blocks.  A pair that meets in several
    leaves counts in the smallest of them only, so links are counted without ever emitting the pairs;
 6. blocks return, for each class, its number of links and a spanning forest of them; connected
@@ -404,6 +404,10 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     marks = likely.groupBy("path").agg(F.count("*").alias("members"), member_sum(1), member_sum(2)).where("members > 1")
     kept = written(marks.groupBy("members", "sum1", "sum2").agg(F.min("path").alias("path")).select("path", "members"), "jaccard-kept")
     leaf = written(likely.join(kept, "path"), "jaccard-leaves")
+    # A leaf whose members all have one and the same other leaf as their largest lies inside that leaf.
+    largest = leaf.groupBy("key").agg(F.max(F.struct("members", "path")).alias("big")).select("key", F.col("big.path").alias("big"))
+    inner = leaf.join(largest, "key").groupBy("path").agg(F.min("big").alias("low"), F.max("big").alias("high")).where("low = high and low <> path")
+    leaf = written(leaf.join(inner, "path", "left_anti"), "jaccard-outer-leaves")
     mine = leaf.groupBy("key").agg(F.collect_list("path").alias("leaves"))
     live = classes.select("key", "class_id", "copies", "most_rows").join(mine, "key")
     live = written(live, "jaccard-live")
