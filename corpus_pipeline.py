@@ -1,8 +1,8 @@
 """Corpus pipeline: five stages over `documents`, each written as Parquet and read again.
 
 Every stage works on all rows that its predecessor kept; all but the last return the columns of
-`documents`.  Rows that share an id count as one document: they are kept or dropped together, except
-that exact dedup keeps one row of an id whose texts agree.
+`documents`.  Verdicts are applied row by row: a row is known by its id, which may be null or repeated,
+and the SHA-256 of its text, so neither rows without id nor other texts of an id escape one.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import keep_matching, new_path, without_white, word_count
+from graphloom.llm.common import keep_matching, new_path, word_count, written
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.jaccard_join import jaccard_join
 from graphloom.llm.mixing import mix_sources
@@ -21,36 +21,44 @@ from graphloom.llm.sentencepiece_lattice import DEFAULT_MODEL, Vocabulary, encod
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose id is not among the dropped ones; rows without id stay."""
-    return keep_matching(docs, dropped.select("doc_id").na.drop(), ["doc_id"], "left_anti")
+def _with_row(docs: DataFrame) -> DataFrame:
+    """docs plus `_row`: id and hash of the text, ordered by id (null last); all of its fields may be null."""
+    return docs.withColumn("_row", F.struct(F.when(F.col("doc_id").isNull(), 1).alias("no_id"), "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("hash")))
+
+
+def _apply(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs without those whose verdict (_row, once) is in the table; of a row with `once` one copy stays."""
+    verdicts = written(verdicts, "pipeline-verdicts")
+    rest = keep_matching(docs, verdicts.select("_row"), ["_row"], "left_anti")
+    once = verdicts.where("once").select("_row")
+    if once.limit(1).count():
+        first = keep_matching(docs, once, ["_row"]).groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("first"))
+        rest = rest.unionByName(first.select("first.*"))
+    return rest.drop("_row")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the rows that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = score_quality(docs, fit_quality(docs, labels))
-    kept = scores.groupBy("doc_id").agg(F.max("predicted").alias("kept"))
-    return _without(docs, kept.where("kept = 0"))
+    rows = _with_row(docs)
+    scores = score_quality(rows, fit_quality(docs, labels), id_col="_row")
+    found = scores.groupBy(F.col("doc_id").alias("_row")).agg(F.max("predicted").alias("kept"))
+    return _apply(rows, found.where("kept = 0").select("_row", F.lit(False).alias("once")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    found = exact_dedup(docs)
-    per_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"))
-    rest = _without(docs, per_id.where("kept = 0"))
-    repeated = per_id.where("rows > 1 and kept > 0").select("doc_id").na.drop()
-    if not repeated.limit(1).count():
-        return rest
-    once = keep_matching(rest, repeated, ["doc_id"]).withColumn("_same", F.md5(without_white(F.col("text")).cast("binary"))).dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return _without(rest, repeated).unionByName(once)
+    """Keep one row of each group of equal texts, the longest as it stands, among those the smallest id."""
+    rows = _with_row(docs)
+    found = exact_dedup(rows, "_row").groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    return _apply(rows, found.where("kept < rows").select("_row", (F.col("kept") > 0).alias("once")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked by similar word shingles."""
-    found = jaccard_join(docs)
-    stays = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("group_id")).cast("int")).alias("stays"))
-    return _without(docs, stays.where("stays = 0"))
+    """Keep the row with the smallest id of each group linked by similar word shingles; blank texts are in none."""
+    rows = _with_row(docs)
+    found = jaccard_join(rows, id_col="_row").where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("_row"), (F.col("doc_id") == F.col("group_id")).alias("once")).agg(F.count("*").alias("rows"))
+    return _apply(rows, found.where("not once or rows > 1").select("_row", "once"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,3 +190,36 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 4
     assert Counter(kept[4]) == Counter(kept[3]) and now.where("not round_trip").count() == 0
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()) == Counter(kept[4])
+
+
+def stage_texts(spark, stage, rows, sf_dir=""):
+    """(id, text) of what a pipeline stage keeps of rows (id, text)."""
+    docs = spark.createDataFrame([(i, t, "xx", f"s{k % 3}", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    out = stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_pipeline_rejects_rows_of_null_and_repeated_ids(spark, corpus, tmp_path):
+    docs, labels = corpus
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    scores = {r["doc_id"]: r["predicted"] for r in score_quality(docs, fit_quality(docs, labels)).collect()}
+    good, junk = (next(t for i, t in reversed(rows) if scores[i] == p) for p in (1, 0))
+    more = [(None, junk), (None, good), (5001, good), (5001, junk), (5001, junk)]
+    got = stage_texts(spark, corpus_pipeline.quality_classifier, rows + more, str(tmp_path))
+    assert [x for x in got if x[0] is None or x[0] > 5000] == sorted([(None, good), (5001, good)], key=str)
+
+
+def test_pipeline_drops_exact_copies_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (1, "a b"), (2, "a b"), (2, "other"), (3, "other"), (3, "c d"), (3, "c  d"), (4, "c d"), (None, "alone"), (None, "alone"), (None, "x"), (5, ""), (6, None), (5, "")]
+    got = stage_texts(spark, corpus_pipeline.exact_copies, rows)
+    assert got == sorted([(1, "a b"), (2, "other"), (3, "c  d"), (None, "alone"), (None, "x"), (5, "")], key=str)
+
+
+def test_pipeline_drops_near_copies_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    near = lambda t, w="zz": t.rsplit(" ", 1)[0] + " " + w
+    rows = [(1, one), (None, near(one)), (2, two), (1, near(two)), (3, three), (3, "quite another text of an id"), (4, near(three)), (None, "no id and no copy"), (None, None), (None, None), (9, "x y"), (9, "x y")]
+    got = stage_texts(spark, corpus_pipeline.near_copies, rows)
+    assert got == sorted([(1, one), (1, near(two)), (3, three), (3, "quite another text of an id"), (None, "no id and no copy"), (None, None), (None, None), (9, "x y")], key=str)
