@@ -613,14 +613,14 @@ def p01(s, d):
 @_query("p02_sinkhorn_distance")
 def p02(s, d):
     n = c.nodes(s, d)
-    left, right = transport.graph_point_cloud(n, c.target_edges(n), 20), transport.graph_point_cloud(n, c.predicted_edges(n), 20)
+    left, right = transport.graph_point_cloud(n, c.target_edges(n)), transport.graph_point_cloud(n, c.predicted_edges(n))
     return transport.sinkhorn_distance(left, right).select("sample_id", *r6("distance"))
 
 
 @_query("p03_street_mover_distance")
 def p03(s, d):
     n = c.nodes(s, d)
-    return transport.street_mover_distance(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n), 20).select("sample_id", *r6("smd"))
+    return transport.street_mover_distance(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n)).select("sample_id", *r6("smd"))
 
 
 # --- losses -------------------------------------------------------------------------------------
@@ -806,7 +806,7 @@ def l18(s, d):
 @_query("m01_evaluate_graphs")
 def m01(s, d):
     n = c.nodes(s, d)
-    m = evaluate_graphs(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n), 20)
+    m = evaluate_graphs(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n))
     return m.select("sample_id", *r6(*METRICS))
 
 

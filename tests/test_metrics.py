@@ -1,8 +1,10 @@
 """Detection, topology, transport and summaries on hand-made graphs and by brute force."""
 
+import inspect
 import itertools
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,9 +16,11 @@ from graphloom.operators import summary as summ
 from graphloom.operators import topology as topo
 from graphloom.operators import transport
 from graphloom.operators.ordering import with_position
+from graphloom.plans import registry
 from graphloom.plans.evaluate import METRICS, evaluate_graphs
 
 AXES = "dhw"
+SF = "/root/testdata/sf0.001"
 
 
 def det_tables(spark, targets, predictions):
@@ -292,3 +296,19 @@ def test_positions_do_not_depend_on_the_way(spark, small):
     for g in range(3):
         mine = sorted((r["k"], r["position"], r["total"]) for r in got if r["g"] == g)
         assert [p for _, p, _ in mine] == list(range(len(mine))) and all(t == len(mine) for _, _, t in mine)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["p02_sinkhorn_distance", "p03_street_mover_distance", "m01_evaluate_graphs"])
+def test_registered_distances_use_the_points_of_the_protocol(spark, monkeypatch, name):
+    points, made = [], transport.graph_point_cloud
+
+    def cloud(*args, **more):
+        call = inspect.signature(made).bind(*args, **more)
+        call.apply_defaults()
+        points.append(call.arguments["k"])
+        return made(*args, **more)
+
+    monkeypatch.setattr(transport, "graph_point_cloud", cloud)
+    registry.queries()[name](spark, SF)
+    assert points == [100, 100]
