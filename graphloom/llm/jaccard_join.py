@@ -16,7 +16,8 @@ In tables:
    under hash i, so two sets share it with a probability of their similarity), down to `max_depth`;
    what is still large there is a leaf as well;
 4. inside leaves the embeddings of all pairs are compared, and only classes with a likely partner stay.
-   A pair at the threshold is lost here with a probability of about 1e-6;
+   A pair at the threshold is lost here with a probability of at most a hundredth of what
+   `target_recall` leaves, whatever the threshold and the number of coordinates;
 5. leaves that lie inside another are dropped, the others compared by brute force on the token sets, as the
    product of the set-by-token matrix, large ones in pairs of blocks.  A pair that meets in several
    leaves counts in the smallest of them only, so links are counted without ever emitting the pairs;
@@ -51,14 +52,28 @@ class Settings:
     max_depth: int = 3
     block: int = 1000
     coordinates: int = 64
-    likely: int = 36  # equal coordinates of a likely pair: 4.7 standard deviations below 0.8 * 64
+
+    @property
+    def sketch_loss(self) -> float:
+        """Bound on the share of pairs at the threshold that the comparison of embeddings loses."""
+        return (1 - self.target_recall) / 100
+
+    @property
+    def likely(self) -> int:
+        """Equal coordinates of a likely pair: a lower quantile of the binomial (36 of 64 at 0.8)."""
+        n, p, below = self.coordinates, self.threshold, 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below > self.sketch_loss:
+                return k
+        return n
 
     @property
     def runs(self) -> int:
         found = 1.0
         for _ in range(self.max_depth):
             found = 1 - math.exp(-found)
-        return math.ceil(math.log(1 - self.target_recall) / math.log(1 - found))
+        return math.ceil(math.log(1 - self.target_recall - self.sketch_loss) / math.log(1 - found))
 
     @property
     def ratio(self) -> tuple[int, int]:
@@ -180,7 +195,8 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
     """(path, key) of the rows that have a likely partner in their block, by size and embedding.
 
     blocks: leaf, left, right, part, key, n, sketch; rows of a block lie together."""
-    top, bottom = s.ratio
+    (top, bottom), least = s.ratio, s.likely
+    count = np.uint8 if s.coordinates < 256 else np.uint16
 
     def likely(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, one: bool) -> np.ndarray:
         if one:
@@ -190,10 +206,10 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
             if not len(a) or not len(b):
                 return np.zeros(0, np.int64)
         small, large = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
-        equal = np.zeros((len(a), len(b)), np.uint8)
+        equal = np.zeros((len(a), len(b)), count)
         for i in range(sketch.shape[1]):
             equal += sketch[a, i][:, None] == sketch[b, i]
-        pair = (equal >= s.likely) & (small * bottom >= large * top)
+        pair = (equal >= least) & (small * bottom >= large * top)
         if one:
             np.fill_diagonal(pair, False)
             return np.flatnonzero(pair.any(1))
@@ -207,7 +223,7 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
             part, n, sketch = (np.concatenate([x[i] for x in rest]) for i in range(3))
             keys = [k for x in rest for k in x[3]]
             if len(keys) == 2 and head[1] == head[2]:
-                good = (sketch[0] == sketch[1]).sum() >= s.likely and min(n) * bottom >= max(n) * top
+                good = (sketch[0] == sketch[1]).sum() >= least and min(n) * bottom >= max(n) * top
                 return (keys if good else []), head[0]
             return [keys[i] for i in likely(part, n, sketch, head[1] == head[2])], head[0]
 

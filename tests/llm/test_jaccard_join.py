@@ -1,5 +1,6 @@
 """The chosen-path join against all pairs."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -104,3 +105,24 @@ def test_empty_table_and_a_very_long_text(spark):
 
 def test_runs_follow_the_recall():
     assert Settings(target_recall=0.9).runs < Settings(target_recall=0.999).runs
+
+
+def test_links_at_a_lower_threshold(spark):
+    r, rows = random.Random(4), []
+    for k in range(60):
+        base = [f"{k}w{i}" for i in range(60)]
+        changed = r.choice([16, 17, 18, 19])  # similarity 40/72, 39/73, 38/74 and, below the threshold, 37/75
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([f"{k}x{i}" for i in range(changed)] + base[changed:]))]
+    got = {r["doc_id"]: (r["class_id"], r["group_id"], r["n_links"]) for r in jaccard_join(table(spark, rows), Settings(threshold=0.5)).collect()}
+    want = by_hand(rows, 0.5)
+    assert 60 < sum(x[2] for x in want.values()) < 120
+    assert got == want
+
+
+def test_likely_pairs_follow_threshold_and_coordinates():
+    assert (Settings().likely, Settings().runs) == (36, 15)
+    for threshold in (0.3, 0.5, 0.6, 0.7, 0.9):
+        for n in (8, 32, 64, 128):
+            s = Settings(threshold=threshold, coordinates=n)
+            lost = sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(s.likely))
+            assert lost <= s.sketch_loss < 1 - s.target_recall
