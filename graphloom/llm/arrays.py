@@ -19,18 +19,27 @@ IS_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """(first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; null counts as empty.
+
+    The bytes are views of the column's own buffer."""
     n = len(column)
     if not n:
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    hidden = np.zeros(n, bool)
+    if column.null_count:
+        # A null may own bytes; such a batch is made plain.
+        hidden = column.is_null().to_numpy(zero_copy_only=False) & (np.diff(at) > 0)
+    if hidden.any():
+        yield from text_slices(pc.fill_null(column, ""), limit)
+        return
     first = 0
     while first < n:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         end = min(end, n)
-        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
 
 

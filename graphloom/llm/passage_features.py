@@ -1,4 +1,7 @@
-"""Passages of a text and their surface features, vectorised over a slice of rows."""
+"""Passages of a text and their features, vectorised over a slice of rows.
+
+A passage is described by its bytes (shares of classes), its lengths and repetitions, and its words (shares
+of hash buckets)."""
 
 from __future__ import annotations
 
@@ -16,7 +19,13 @@ CLASS_OF[0x80:0xC0] = N_CLASSES - 1
 CLASS_OF[0xC0:] = N_CLASSES - 2
 for _k, _chars in enumerate(_CLASSES, 1):
     CLASS_OF[[ord(c) for c in _chars]] = _k
-N_FEATURES = N_CLASSES + 5
+WORD_BUCKETS = 64
+N_SURFACE = N_CLASSES + 5
+N_FEATURES = N_SURFACE + WORD_BUCKETS
+
+
+def word_bucket(word: bytes) -> int:
+    return int(run_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0] >> np.uint64(40)) % WORD_BUCKETS
 
 
 def _share_first_seen(keys: np.ndarray, groups: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
@@ -62,4 +71,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     pair = mix(h + nearby * np.uint64(0xD1342543DE82EF95))
     out[:, N_CLASSES + 3] = _share_first_seen(pair, row, passage, n)
     out[:, N_CLASSES + 4] = np.log1p(count)[owner] / 8
+    buckets = (h >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+    held = np.bincount(passage * WORD_BUCKETS + buckets, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS)
+    out[:, N_SURFACE:] = np.sqrt(held / np.maximum(words, 1)[:, None])
     return out, owner

@@ -22,22 +22,12 @@ from pyspark.sql import functions as F
 
 from .arrays import text_slices
 from .common import held_out
-from .passage_features import N_FEATURES, passages
+from .labelled import MAX_CHARS, bounded_sample
+from .passage_features import N_FEATURES, N_SURFACE, passages
 
 THRESHOLD = 0.3
 
 
-def bounded_labels(labels: DataFrame, label_col: str, max_labelled: int, train_only: bool = True) -> DataFrame:
-    """At most max_labelled rows (doc_id, label): the smallest md5 of the id among usable labels.
-
-    Null ids and labels are left out; of several labels of one id the largest counts."""
-    rows = labels.select("doc_id", F.col(label_col).cast("double").alias("label")).na.drop("any")
-    if train_only:
-        rows = rows.where(~held_out(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
-
-
 class Model:
     """Weights of the classifier and its forward pass."""
 
@@ -64,6 +54,7 @@ class Model:
 
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.scale[N_SURFACE:] = max(3 * self.scale[N_SURFACE:].mean(), 1e-3) if x.shape[1] > N_SURFACE else 1.0  # many weak inputs: none is to outweigh the surface
         bounds = np.searchsorted(owner, np.arange(len(y) + 1))
         r, m1, m2, step = np.random.default_rng(seed), {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, 0
         for epoch in range(epochs):
@@ -96,10 +87,9 @@ class Model:
         return {"W": xs.T @ dpre, "b": dpre.sum(0), "V": h.T @ dg, "U": h.T @ ds, "w": (g * s).T @ de, "c": f["z"].T @ dt, "d": np.array([dt.sum()])}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fit on at most max_labelled labelled documents; None without any of them."""
-    sample = F.broadcast(bounded_labels(labels, label_col, max_labelled))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("label", "text")
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_CHARS) -> Model | None:
+    """Fit on at most max_labelled labelled documents of at most max_chars code points together; None without any of them."""
+    rows = bounded_sample(docs, labels, label_col, max_labelled, max_chars, id_col, text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,12 +97,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, la
             for first, end, data, offsets in text_slices(b.column("text")):
                 x, owner = passages(data, offsets)
                 bounds = np.searchsorted(owner, np.arange(end - first + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(label[first:end]), pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())], ["label", "x"])
+                packed = pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("ticket").slice(first, end - first), pa.array(label[first:end]), packed], ["ticket", "label", "x"])
 
-    got = rows.mapInArrow(encode, "label double, x binary").toPandas()
+    got = rows.mapInArrow(encode, "ticket string, label double, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["label", "x"], ignore_index=True)  # the fit must not depend on the order of partitions
+    got = got.sort_values("ticket", ignore_index=True)  # the fit must not depend on the order of partitions
     xs = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in got["x"]]
     model = Model()
     model.fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), got["label"].to_numpy())
