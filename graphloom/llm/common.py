@@ -19,6 +19,14 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: list[str], how: str = "lef
     return df.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, how)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_white(text: Column) -> Column:
     """Text without the six white-space characters (null: empty)."""
     return without_characters(F.coalesce(text, F.lit("")), WHITE)

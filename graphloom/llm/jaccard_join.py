@@ -1,10 +1,10 @@
 """N-gram Jaccard join by the chosen-path method.
 
 Sets are the distinct five-word shingles of whole texts.  A path of tokens is chosen at random but alike
-for all sets: at every node a set x follows token t when a hash of (path, t) falls below 1 / (lambda |x|).
-Two sets with Jaccard similarity of at least lambda share a child of a shared node with an expected
-count of at least 1, so a run that goes k levels deep finds the pair with a probability of at least
-p_k = 1 - exp(-p_(k-1)), p_0 = 1; runs are repeated until the target recall.
+for all sets: at every node a set x follows token t when a hash of (path, t) falls below c / (lambda |x|).
+Two sets with Jaccard similarity of at least lambda share an expected c children of a shared node, so the
+paths that both follow are a branching process.  With c > 1 it survives any number of levels with a
+probability of at least p = 1 - exp(-c p); runs are repeated until the target recall.
 
 In tables:
 
@@ -13,16 +13,19 @@ In tables:
 2. equal sets form a class; only one row per class goes on, however many copies it has;
 3. paths with one class are dropped.  Paths with up to `leaf_size` classes are leaves.  Larger ones are
    split on further sampled tokens, which the embedding holds (coordinate i is the set's smallest token
-   under hash i, so two sets share it with a probability of their similarity), down to `max_depth`;
-   what is still large there is a leaf as well;
+   under hash i, so two sets share it with a probability of their similarity).  A child that keeps most
+   of its parent's classes does not fall apart: its members are similar, and it is a leaf of any size;
 4. inside leaves the embeddings of all pairs are compared, and only classes with a likely partner stay.
    A pair at the threshold is lost here with a probability of at most a hundredth of what
    `target_recall` leaves, whatever the threshold and the number of coordinates;
 5. leaves that lie inside another are dropped, the others compared by brute force on the token sets, as the
-   product of the set-by-token matrix, large ones in pairs of blocks.  A pair that meets in several
-   leaves counts in the smallest of them only, so links are counted without ever emitting the pairs;
+   product of the set-by-token matrix, large ones in pairs of blocks of bounded rows and tokens.  A pair
+   that meets in several leaves counts in the smallest of them only, so links are counted without ever
+   emitting the pairs;
 6. blocks return, for each class, its number of links and a spanning forest of them; connected
    components over the forests give the groups.
+
+Joins on paths, groups and classes have plain tables on both sides, so that Spark can split a hot one.
 """
 
 from __future__ import annotations
@@ -49,9 +52,13 @@ class Settings:
     threshold: float = 0.8
     target_recall: float = 0.999
     leaf_size: int = 200
-    max_depth: int = 3
+    max_depth: int = 10
     block: int = 1000
+    block_tokens: int = 400_000
     coordinates: int = 64
+    children: float = 1.75
+    #: A child with more than this share of its parent's classes is not split on.
+    tight: float = 0.7
 
     @property
     def sketch_loss(self) -> float:
@@ -61,19 +68,33 @@ class Settings:
     @property
     def likely(self) -> int:
         """Equal coordinates of a likely pair: a lower quantile of the binomial (36 of 64 at 0.8)."""
-        n, p, below = self.coordinates, self.threshold, 0.0
-        for k in range(n + 1):
-            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        below = 0.0
+        for k in range(self.coordinates + 1):
+            below += self._equal(k)
             if below > self.sketch_loss:
                 return k
-        return n
+        return self.coordinates
+
+    def _equal(self, k: int) -> float:
+        """Probability that a pair at the threshold agrees in k coordinates."""
+        n, p = self.coordinates, self.threshold
+        return math.comb(n, k) * p**k * (1 - p) ** (n - k)
 
     @property
     def runs(self) -> int:
-        found = 1.0
-        for _ in range(self.max_depth):
-            found = 1 - math.exp(-found)
-        return math.ceil(math.log(1 - self.target_recall - self.sketch_loss) / math.log(1 - found))
+        """Runs that miss a pair at the threshold with a probability of at most 1 - target_recall.
+
+        All runs split on the same coordinates, so the number of those that agree is averaged over."""
+        chances = []
+        for k in range(self.coordinates + 1):
+            below = 1.0
+            for _ in range(self.max_depth - 1):
+                below = 1 - math.exp(-self.children * k / (self.coordinates * self.threshold) * below)
+            chances.append((self._equal(k), math.exp(-self.children * below)))
+        for n in range(1, 10_000):
+            if sum(p * missed**n for p, missed in chances) <= 1 - self.target_recall - self.sketch_loss:
+                return n
+        raise ValueError("no number of runs reaches target_recall")
 
     @property
     def ratio(self) -> tuple[int, int]:
@@ -105,11 +126,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return token[new], row[new]
 
 
-def _chosen(token: np.ndarray, size: np.ndarray, path: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each chosen token, child path); size: the set size at each token."""
+def _chosen(token: np.ndarray, size: np.ndarray, path: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each chosen token, child path): about `share` tokens of a set; size: the set size at each token."""
     h = mix(token ^ mix(path + _K2))
-    limit = np.minimum(TOP / (threshold * size), TOP * (1 - 2.0**-53))
-    take = np.flatnonzero((h.astype(np.float64) < limit) | (threshold * size <= 1))
+    limit = np.minimum(TOP * share / size, TOP * (1 - 2.0**-53))
+    take = np.flatnonzero((h.astype(np.float64) < limit) | (size <= share))
     return take, mix(h[take] * _K1 + token[take])
 
 
@@ -146,7 +167,7 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_pa
                 if with_paths:
                     per, owner, child = np.diff(bounds)[row].astype(np.float64), [], []
                     for r in range(s.runs):
-                        take, path = _chosen(token, per, np.full(1, r, np.uint64), s.threshold)
+                        take, path = _chosen(token, per, np.full(1, r, np.uint64), s.children / s.threshold)
                         owner.append(row[take])
                         child.append(path)
                     owner, child = np.concatenate(owner), np.concatenate(child)
@@ -162,11 +183,13 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_pa
 
 
 def _split(rows: DataFrame, s: Settings) -> DataFrame:
-    """(key, path) of the children of (key, path, sketch): coordinates sampled alike for all rows of a path."""
+    """(key, path, outer) of the children of (key, path, members, sketch): coordinates sampled alike for all rows of a path.
+
+    outer: members of the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, s.coordinates + 1, dtype=np.uint64) * _K2)
-        limit = np.uint64(TOP / (s.threshold * s.coordinates))
+        limit = np.uint64(min(TOP * s.children / (s.threshold * s.coordinates), TOP * (1 - 2.0**-53)))
         for b in batches:
             if not len(b):
                 continue
@@ -174,14 +197,19 @@ def _split(rows: DataFrame, s: Settings) -> DataFrame:
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
             row, i = np.nonzero(mix(mix(path + _K1)[:, None] ^ place) < limit)
             child = mix(mix(path[row] * _K1 + place[i]) + sketch[row, i].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(child.view(np.int64))], ["key", "path"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(row), pa.array(child.view(np.int64)), b.column("members").take(row)], ["key", "path", "outer"])
 
-    return rows.select("key", "path", "sketch").mapInArrow(run, "key binary, path bigint")
+    return rows.select("key", "path", "members", "sketch").mapInArrow(run, "key binary, path bigint, outer bigint")
 
 
-def _placed(leaf: DataFrame, s: Settings) -> DataFrame:
-    """(leaf, left, right, part, key) for every pair of blocks of a leaf, from (path, members, key)."""
+def _placed(leaf: DataFrame, s: Settings, tokens: str | None = None) -> DataFrame:
+    """(leaf, left, right, part, key) for every pair of blocks of a leaf, from (path, members, key).
+
+    Blocks have about s.block rows and, where a column tells the tokens of the leaf, at most about s.block_tokens tokens."""
     parts = F.ceil(F.col("members") / s.block).cast("int")
+    if tokens:
+        parts = F.least(F.col("members"), F.greatest(parts, F.ceil(F.col(tokens) / s.block_tokens))).cast("int")
     placed = leaf.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("key"), parts).cast("int")})
     placed = placed.select("path", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "key")
@@ -192,7 +220,7 @@ def _together(blocks: DataFrame) -> DataFrame:
 
 
 def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
-    """(path, key) of the rows that have a likely partner in their block, by size and embedding.
+    """(path, key, n) of the rows that have a likely partner in their block, by size and embedding.
 
     blocks: leaf, left, right, part, key, n, sketch; rows of a block lie together."""
     (top, bottom), least = s.ratio, s.likely
@@ -218,14 +246,18 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # parts of the block that the last batch ended in
 
-        def solve(pieces: list[tuple]) -> tuple[list, int]:
+        def solve(pieces: list[tuple]) -> list[tuple]:
             head, rest = pieces[0][0], [x[1:] for x in pieces]
             part, n, sketch = (np.concatenate([x[i] for x in rest]) for i in range(3))
             keys = [k for x in rest for k in x[3]]
             if len(keys) == 2 and head[1] == head[2]:
                 good = (sketch[0] == sketch[1]).sum() >= least and min(n) * bottom >= max(n) * top
-                return (keys if good else []), head[0]
-            return [keys[i] for i in likely(part, n, sketch, head[1] == head[2])], head[0]
+                return [(head[0], k, m) for k, m in zip(keys, n.tolist())] if good else []
+            return [(head[0], keys[i], int(n[i])) for i in likely(part, n, sketch, head[1] == head[2])]
+
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            at, key, n = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64())], ["path", "key", "n"])
 
         for b in batches:
             if not len(b):
@@ -234,21 +266,18 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
             n, keys = b.column("n").to_numpy().astype(np.int64), b.column("key").to_pylist()
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
             new = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
-            out_key, out_leaf = [], []
+            out: list[tuple] = []
             for i, j in zip(new, [*new[1:], len(b)]):
                 head = (int(leaf[i]), int(left[i]), int(right[i]))
                 if held and held[0][0] != head:
-                    found, at = solve(held)
-                    out_key += found
-                    out_leaf += [at] * len(found)
+                    out += solve(held)
                     held = []
                 held.append((head, part[i:j].copy(), n[i:j].copy(), sketch[i:j].copy(), keys[i:j]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_leaf, pa.int64()), pa.array(out_key, pa.binary())], ["path", "key"])
+            yield emit(out)
         if held:
-            found, at = solve(held)
-            yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array(found, pa.binary())], ["path", "key"])
+            yield emit(solve(held))
 
-    return blocks.select("leaf", "left", "right", "part", "key", "n", "sketch").mapInArrow(run, "path bigint, key binary")
+    return blocks.select("leaf", "left", "right", "part", "key", "n", "sketch").mapInArrow(run, "path bigint, key binary, n bigint")
 
 
 def _compare(sizes: np.ndarray, sets: list[np.ndarray], marks: list[np.ndarray], left: int, here: int, s: Settings) -> np.ndarray:
@@ -266,7 +295,7 @@ def _compare(sizes: np.ndarray, sets: list[np.ndarray], marks: list[np.ndarray],
         owner = owner[shared]
         _, code = np.unique(code[shared], return_inverse=True)
         out = np.zeros((len(a), len(b)), np.float32)
-        width, order = 4096, np.argsort(code, kind="stable")
+        width, order = 1024, np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
         for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
             i, j = np.searchsorted(code, [first, first + width])
@@ -398,18 +427,19 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     about = classes.select("key", "n", "sketch")
 
     def grouped(rows: DataFrame) -> DataFrame:
-        """(path, key, members) of paths with two classes or more."""
-        counted = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+        """rows (path, key, ...) and `members` of paths with two classes or more."""
+        counted = written(rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-counted")
         return written(rows.join(counted, "path"), "jaccard-level")
 
-    level, leaves = grouped(classes.select("key", F.explode("paths").alias("path"))), []
+    rows = classes.select("key", F.explode("paths").alias("path"), F.lit(None).cast("long").alias("outer"))
+    level, leaves = grouped(rows), []
     for depth in range(1, s.max_depth + 1):
-        end = F.lit(depth == s.max_depth) | (F.col("members") <= s.leaf_size)
+        end = F.lit(depth == s.max_depth) | (F.col("members") <= s.leaf_size) | F.coalesce(F.col("members") > F.col("outer") * s.tight, F.lit(False))
         leaves.append(level.where(end).select("path", "members", "key"))
-        large = level.where(~end).select("path", "key")
+        large = level.where(~end).select("path", "members", "key")
         if not large.limit(1).count():
             break
-        level = grouped(_split(large.join(about, "key"), s))
+        level = grouped(written(_split(large.join(about, "key"), s), "jaccard-split"))
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
@@ -417,13 +447,13 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
 
     # Leaves with the same members are compared once.
     member_sum = lambda seed: F.sum(F.xxhash64("key", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}")
-    marks = likely.groupBy("path").agg(F.count("*").alias("members"), member_sum(1), member_sum(2)).where("members > 1")
-    kept = written(marks.groupBy("members", "sum1", "sum2").agg(F.min("path").alias("path")).select("path", "members"), "jaccard-kept")
-    leaf = written(likely.join(kept, "path"), "jaccard-leaves")
+    marks = likely.groupBy("path").agg(F.count("*").alias("members"), F.sum("n").alias("leaf_tokens"), member_sum(1), member_sum(2)).where("members > 1")
+    kept = written(marks.groupBy("members", "sum1", "sum2").agg(F.min(F.struct("path", "leaf_tokens")).alias("one")).select("one.path", "members", "one.leaf_tokens"), "jaccard-kept")
+    leaf = written(likely.drop("n").join(kept, "path"), "jaccard-leaves")
     # A leaf whose members all have one and the same other leaf as their largest lies inside that leaf.
     largest = leaf.groupBy("key").agg(F.max(F.struct("members", "path")).alias("big")).select("key", F.col("big.path").alias("big"))
     inner = leaf.join(largest, "key").groupBy("path").agg(F.min("big").alias("low"), F.max("big").alias("high")).where("low = high and low <> path")
-    leaf = written(leaf.join(inner, "path", "left_anti"), "jaccard-outer-leaves")
+    leaf = written(leaf.join(written(inner.select("path"), "jaccard-inner"), "path", "left_anti"), "jaccard-outer-leaves")
     mine = leaf.groupBy("key").agg(F.collect_list("path").alias("leaves"))
     live = classes.select("key", "class_id", "copies", "most_rows").join(mine, "key")
     live = written(live, "jaccard-live")
@@ -437,16 +467,16 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     if live.where("most_rows > 1").limit(1).count():
         info = info.dropDuplicates(["key"])
     info = written(info, "jaccard-sets")
-    blocks = _together(_placed(leaf, s).join(info, "key"))
+    blocks = _together(_placed(leaf, s, "leaf_tokens").join(info, "key"))
     found = written(_brute_force(blocks, s), "jaccard-found")
     links = found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_link_docs").alias("n_link_docs"))
     roots = connected(found.where("parent is not null"))
     named = roots.join(classes.select("key", "class_id"), "key").withColumn("order", F.struct(F.col("class_id").isNull(), "class_id"))
-    groups = named.groupBy("root").agg(F.min("order").alias("low"))
+    groups = written(named.groupBy("root").agg(F.min("order").alias("low")), "jaccard-groups")
     linked = roots.join(groups, "root").join(links, "key").select("key", F.col("low.class_id").alias("group_id"), "n_links", "n_link_docs")
     described = classes.select("key", "class_id", "copies", "n").join(linked, "key", "left")
     described = described.select("key", "class_id", F.when(F.col("n_links").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.col("n").alias("n_shingles"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_docs", F.lit(0)).alias("n_link_docs"))
-    whole = member.select("doc_id", "key").join(described, "key").drop("key")
+    whole = member.select("doc_id", "key").join(written(described, "jaccard-described"), "key").drop("key")
     blank = source.where(F.coalesce(F.regexp_instr("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
     none = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), zero("n_shingles", "int"), F.lit(1).cast("long").alias("n_copies"), zero("n_links", "long"), zero("n_link_docs", "long"))

@@ -13,6 +13,10 @@ by its distinct chunks:
 * a lazy merge of the chunks' lists yields the N best of the whole text.
 
 A character that is no piece becomes its UTF-8 byte pieces, at a score below that of all pieces.
+
+A merge model stores merge ranks, whose sums are no likelihood.  Its pieces are scored by the law of Zipf
+and Mandelbrot instead: the log-probability of rank r is -log(r + 2.7) less the log of the total.  The
+library applies such a model's merges in turn, so its segmentations differ from the most likely ones here.
 """
 
 from __future__ import annotations
@@ -30,14 +34,25 @@ from .arrays import run_hashes
 
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
+#: Segmentations of chunks that a task keeps at most.
+MEMO_EDGES = 400_000
+ZIPF_OFFSET = 2.7
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
+def zipf(n: int) -> np.ndarray:
+    """Log-probabilities of the ranks 1 to n."""
+    share = 1 / (np.arange(1, n + 1) + ZIPF_OFFSET)
+    return np.log(share / share.sum())
+
+
 class Vocabulary:
-    """Pieces, scores and lookup tables of a model file; loaded on the driver; travels inside the plan."""
+    """Pieces, scores and lookup tables of a model file; loaded on the driver; travels inside the plan.
+
+    by_rank: score pieces by the rank of their stored score (merge models); else as stored (unigram models)."""
 
-    def __init__(self, model_file: str = DEFAULT_MODEL):
+    def __init__(self, model_file: str = DEFAULT_MODEL, by_rank: bool = True):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -45,7 +60,11 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         special = np.array([sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)])
         byte = np.array([sp.is_byte(i) for i in range(n)])
-        self._fill(pieces, np.array([sp.get_score(i) for i in range(n)]), special, byte, sp.unk_id())
+        scores = np.array([sp.get_score(i) for i in range(n)])
+        if by_rank:
+            ordinary = np.flatnonzero(~special & ~byte)
+            scores[ordinary[np.argsort(-scores[ordinary], kind="stable")]] = zipf(len(ordinary))
+        self._fill(pieces, scores, special, byte, sp.unk_id())
 
     @classmethod
     def of(cls, pieces: dict[str, float]) -> Vocabulary:
@@ -216,6 +235,20 @@ def _slices(lengths: np.ndarray, limit: int = SLICE_CHARS) -> Iterator[tuple[int
         first = end
 
 
+class Memo:
+    """N-best lists of chunks; emptied when they hold MEMO_EDGES edges and characters together."""
+
+    def __init__(self) -> None:
+        self.lists: dict[str, list[tuple[float, list[int]]]] = {}
+        self.held = 0
+
+    def add(self, text: str, found: list[tuple[float, list[int]]]) -> None:
+        if self.held > MEMO_EDGES:
+            self.lists, self.held = {}, 0
+        self.lists[text] = found
+        self.held += len(text) + sum(8 + len(x) for _, x in found)
+
+
 class Encoded:
     """Segmentation of a list of texts."""
 
@@ -276,7 +309,7 @@ class Encoded:
             out[ends[i] - reps[i] : ends[i]] = p
         return out, np.repeat(of, reps)
 
-    def nbest(self, row: int, n: int, memo: dict) -> list[tuple[float, list[tuple[int, list[int]]]]]:
+    def nbest(self, row: int, n: int, memo: Memo) -> list[tuple[float, list[tuple[int, list[int]]]]]:
         """Up to n best segmentations of a row: (score, [(chunk place, its edges)] where they differ from the best)."""
         a, b = self.bounds[row], self.bounds[row + 1]
         if a == b or n == 1:
@@ -287,12 +320,12 @@ class Encoded:
         options = []
         for place in near:
             text = self.joined[self.starts[a + place] : self.ends[a + place]]
-            if text not in memo:
+            if text not in memo.lists:
                 # The Viterbi segmentation comes first, whatever others share its score.
                 own = self.ids[self.chunk_ends[a + place] : self.chunk_ends[a + place + 1]].tolist()
                 found = nbest_chunk(text, n, self.v)
-                memo[text] = [(found[0][0], []), *[x for x in found if self.v.chunk_ids(x[1]) != own][: n - 1]]
-            options.append(memo[text])
+                memo.add(text, [(found[0][0], []), *[x for x in found if self.v.chunk_ids(x[1]) != own][: n - 1]])
+            options.append(memo.lists[text])
         out = []
         for _, choice in merge_nbest([[s for s, _ in o] for o in options], n):
             loss = sum(o[0][0] - o[c][0] for o, c in zip(options, choice))
@@ -320,14 +353,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, alternative
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, score double, nbest_scores array<double>, round_trip boolean" + ", nbest_ids array<array<int>>" * alternatives
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memo = vocabulary, {}
+        v, memo = vocabulary, Memo()
         for b in batches:
-            column = pc.fill_null(b.column("text"), "")
-            for first, end in _slices(pc.utf8_length(column).to_numpy(zero_copy_only=False)):
-                part = column.slice(first, end - first).to_pylist()
+            column = b.column("text")
+            for first, end in _slices(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)):
+                part = [t or "" for t in column.slice(first, end - first).to_pylist()]
                 e = Encoded(part, v)
-                if len(memo) > 200_000:
-                    memo.clear()
                 best = [e.nbest(i, n_best, memo) for i in range(len(part))]
                 data, at = v.decode(e.ids, np.diff(e.id_bounds))
                 raw = data.tobytes()

@@ -120,7 +120,7 @@ def test_links_at_a_lower_threshold(spark):
 
 
 def test_likely_pairs_follow_threshold_and_coordinates():
-    assert (Settings().likely, Settings().runs) == (36, 15)
+    assert (Settings().likely, Settings().runs) == (36, 6)
     for threshold in (0.3, 0.5, 0.6, 0.7, 0.9):
         for n in (8, 32, 64, 128):
             s = Settings(threshold=threshold, coordinates=n)

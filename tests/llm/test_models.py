@@ -1,6 +1,9 @@
 """Classifiers on held-out rows, segmentation by enumeration, and the pipeline's decisions."""
 
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from graphloom.llm.arrays import mix, run_hashes
 from graphloom.llm.common import held_out
-from graphloom.llm.passage_features import N_FEATURES, passages
+from graphloom.llm.labelled import bounded_sample
+from graphloom.llm.passage_features import CLASS_OF, N_CLASSES, N_FEATURES, passages, word_bucket
 from graphloom.llm.quality_classifier import Model, fit_quality, score_quality
-from graphloom.llm.sentencepiece_lattice import BLANK, DEFAULT_MODEL, Encoded, Vocabulary, decode, encode, merge_nbest
+from graphloom.llm.sentencepiece_lattice import BLANK, DEFAULT_MODEL, Encoded, Memo, Vocabulary, decode, encode, merge_nbest
 from graphloom.llm.toxicity import fit_toxicity, score_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,6 +90,103 @@ def test_labels_of_held_out_rows_change_nothing(spark, corpus):
     assert score(labels) == pytest.approx(score(other), abs=1e-9)
 
 
+def slow_toxicity(text, model):
+    """(score, offending) of one text: sentences by hand, noisy-or over them and the document's own instance."""
+    raw = text.encode()
+    letters = lambda x: re.findall(rb"[A-Za-z\x80-\xff]+", x)
+    lower = lambda w: bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+    whole = lambda w: int(run_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    twist = lambda h: int(mix(np.array([h & (2**64 - 1)], np.uint64))[0])
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    seen, logits, sentences = Counter(), [], [x for x in re.split(rb"[.!?\n]", raw) if letters(x)]
+    for sentence in sentences:
+        features = set()
+        for w in map(lower, letters(sentence)):
+            features.add(whole(w))
+            for k in (4, 5, 6, 7):
+                if len(w) > k:
+                    stem = twist(whole(w[:k]) + k)
+                    seen[stem] += 1
+                    features.add(twist(stem + 1))
+        logits.append(model.bias + sum(weight.get(f, 0) for f in features))
+    if not sentences:
+        return 0.0, []
+    again = {twist(stem + least) for stem, n in seen.items() for least in (2, 3) if n >= least}
+    own = [1 / (1 + math.exp(-t)) for t in logits]
+    doc = 1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0) for f in again))))
+    bare = lambda x: re.search(rb"[A-Za-z\x80-\xff](?:.*[A-Za-z\x80-\xff])?", x, re.S)[0].decode()
+    return 1 - (1 - doc) * math.prod(1 - p for p in own), [(i, p, bare(x)) for i, (p, x) in enumerate(zip(own, sentences)) if p >= 0.5]
+
+
+def test_toxicity_by_hand(spark, corpus):
+    docs, labels = corpus
+    model = fit_toxicity(docs, labels, 300)
+    model.bias, model.weights = -4.0, model.weights * 1.5
+    more = [(9001, "Idiot! scum\nétrash trash?? x"), (9002, "..."), (9003, "trashes trashed trashing. idiotic idiots IDIOTS"), (9004, ""), (9005, "trash" * 9)]
+    rows = docs.limit(150).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    for r in score_toxicity(rows, model).join(rows, "doc_id").collect():
+        score, offending = slow_toxicity(r["text"], model)
+        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert [(x["sentence"], x["text"]) for x in r["offending"]] == [(i, t) for i, _, t in offending]
+        assert [x["score"] for x in r["offending"]] == pytest.approx([p for _, p, _ in offending])
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(3, "y"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    took = lambda *bound: {r["ticket"]: r["text"] for r in bounded_sample(docs, labels, "quality", *bound).collect()}
+    everything = took(100)
+    assert len(everything) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(50))
+    assert list(sorted(took(7))) == list(sorted(everything))[:7]
+    assert 1 <= len(took(100, 520)) <= 6 and set(took(100, 520).values()) <= {"", "x" * 100}
+    assert took(100, 0) == {} or set(took(100, 0).values()) == {""}
+
+
+def slow_quality(text, m):
+    """(score, attention) of one text: passages of 64 words one by one, gate and weights by hand."""
+    words = [w for w in re.split("[ \t\n\v\f\r]+", text) if w]
+    parts = [passage_by_hand(words, text, i) for i in range(0, max(len(words), 1), 64)]
+    h = [np.tanh((x - m.mean) / m.scale @ m.w["W"] + m.w["b"]) for x in parts]
+    e = [float(np.tanh(v @ m.w["V"]) / (1 + np.exp(-(v @ m.w["U"]))) @ m.w["w"]) for v in h]
+    a = np.exp(e) / np.exp(e).sum()
+    return 1 / (1 + math.exp(-(sum(x * v for x, v in zip(a, h)) @ m.w["c"] + m.w["d"][0]))), a
+
+
+def passage_by_hand(words, text, i):
+    """Features of words[i:i + 64]: byte classes between its first and last byte, its words, shares of new words and pairs."""
+    part, out = words[i : i + 64], np.zeros(N_FEATURES)
+    if not part:
+        return out
+    spans = [x.span() for x in re.finditer(rb"[^ \t\n\v\f\r]+", text.encode())]
+    raw = text.encode()[spans[i][0] : spans[i + len(part) - 1][1]]
+    for b in raw:
+        out[CLASS_OF[b]] += 1 / len(raw)
+    out[:N_CLASSES] = np.sqrt(out[:N_CLASSES])
+    pairs, earlier = list(zip(words, words[1:] + [None])), set()
+    for p in pairs[:i]:
+        earlier.add(p)
+    fresh = 0
+    for p in pairs[i : i + len(part)]:
+        fresh += p not in earlier
+        earlier.add(p)
+    out[N_CLASSES : N_CLASSES + 5] = [sum(len(w.encode()) for w in part) / len(part) / 10, math.log1p(len(part)) / 4, len(set(part)) / len(part), fresh / len(part), math.log1p(len(words)) / 8]
+    for w in part:
+        out[N_CLASSES + 5 + word_bucket(w.encode())] += 1
+    out[N_CLASSES + 5 :] = np.sqrt(out[N_CLASSES + 5 :] / len(part))
+    return out
+
+
+def test_quality_by_hand(spark, corpus):
+    docs, labels = corpus
+    model = fit_quality(docs, labels, 300)
+    more = [(9001, ""), (9002, " one\n"), (9003, "été " * 200), (9004, "a b " * 70 + "$$$ c\td")]
+    rows = docs.limit(60).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    for r in score_quality(rows, model).join(rows, "doc_id").collect():
+        score, attention = slow_quality(r["text"], model)
+        assert r["score"] == pytest.approx(score, abs=1e-5)
+        assert r["n_passages"] == len(attention) and r["top_weight"] == pytest.approx(max(attention), abs=1e-5)
+
+
 def test_gradient_of_the_attention_model():
     r = np.random.default_rng(0)
     x, owner, y = r.normal(size=(7, 5)), np.array([0, 0, 0, 1, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
@@ -135,7 +237,7 @@ def test_nbest_against_all_segmentations():
         texts = ["".join(r.choice("ab c") for _ in range(r.randint(1, 8))) for _ in range(3)]
         e = Encoded(texts, v)
         for row, text in enumerate(texts):
-            got = e.nbest(row, 5, {})
+            got = e.nbest(row, 5, Memo())
             want = enumerate_scores(text, v)
             assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:5]])
             ids = [tuple(e.ids_of(row, c)) for _, c in got]
@@ -223,3 +325,14 @@ def test_pipeline_drops_near_copies_of_null_and_repeated_ids(spark):
     rows = [(1, one), (None, near(one)), (2, two), (1, near(two)), (3, three), (3, "quite another text of an id"), (4, near(three)), (None, "no id and no copy"), (None, None), (None, None), (9, "x y"), (9, "x y")]
     got = stage_texts(spark, corpus_pipeline.near_copies, rows)
     assert got == sorted([(1, one), (1, near(two)), (3, three), (3, "quite another text of an id"), (None, "no id and no copy"), (None, None), (None, None), (9, "x y")], key=str)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.source_mix])
+def test_pipeline_stages_take_clashing_columns_empty_tables_and_long_texts(spark, stage):
+    schema = SCHEMA + ", row int, _size int, once int, of int, first string"
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, "a b c", "xx", "s", 1), (2, "a b c", None, None, None), (None, None, None, "s", 0), (3, long, "xx", None, 3), (4, long + " tail", "xx", None, 3)]
+    docs = spark.createDataFrame([(*r, 7, 8, 9, 10, "x") for r in rows], schema)
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {(7, 8, 9, 10, "x")}
+    assert stage(spark, docs.limit(0), "").count() == 0
