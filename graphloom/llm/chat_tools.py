@@ -2,15 +2,13 @@
 
 Calls and results meet in a hash join on (conversation, call id).  Calls are ordered topologically by
 level: a call lies one level above the deepest call whose result it uses.  Levels come from rounds of
-joins over the edges that are still open; each round is written to the shared folder.  Arguments are
+joins over the edges that are still open; each round is written to the shared folder once.  Arguments are
 parsed once to a variant, checked against the tool's schema by SQL expressions and written back with
 sorted keys and no blanks.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,28 +46,39 @@ def valid_arguments(tool: Column, text: Column, schemas: Schemas) -> Column:
 def topological_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): level 0 uses no call's result; null marks a call on or behind a cycle.
 
-    edges: (conv_id, call_id, needs).  Edges to unknown calls do not count.  There are as many rounds as
-    levels; the last one places nothing.
+    edges: (conv_id, call_id, needs).  Edges to unknown calls do not count.  Round d keeps the edges to
+    calls that still had edges in round d - 1, so a call's level is the number of rounds it has edges in.
+    There are as many rounds as levels; each writes its edges once.
     """
     nodes = calls.select("conv_id", "call_id").distinct()
     edges = edges.join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id", "needs").distinct()
-    open_edges = written(edges, "chat-edges")
-    blocked = open_edges.select("conv_id", "call_id").distinct()
-    done = written(nodes.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    waiting = written(blocked, "chat-waiting")
-    for depth in count(1):
-        if not waiting.limit(1).count():
-            break
-        # Calls that still wait for an open call stay; the others are placed one level above the last round.
-        stuck = open_edges.join(waiting.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = waiting.join(stuck, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(depth))
-        ready = written(ready, "chat-ready")
-        if not ready.limit(1).count():
+    left, rounds = written(edges, "chat-edges"), []
+    n = left.count()
+    while n:
+        waiting = left.select("conv_id", F.col("call_id").alias("needs")).distinct()
+        nxt = written(left.join(waiting, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id", "needs"), "chat-edges")
+        before, n = n, nxt.count()
+        if n == before:
+            rounds.append(left.select("conv_id", "call_id", F.lit(True).alias("stuck")))
             break
-        done = done.unionByName(ready)
-        waiting = written(waiting.join(ready, ["conv_id", "call_id"], "left_anti"), "chat-waiting")
-        open_edges = written(open_edges.join(waiting, ["conv_id", "call_id"], "left_semi"), "chat-edges")
-    return done.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
+        rounds.append(left.select("conv_id", "call_id", F.lit(False).alias("stuck")))
+        left = nxt
+    if not rounds:
+        return nodes.withColumn("level", F.lit(0))
+    seen = rounds[0].distinct().withColumn("round", F.lit(1))
+    for depth, r in enumerate(rounds[1:], 2):
+        seen = seen.unionByName(r.distinct().withColumn("round", F.lit(depth)))
+    above = seen.groupBy("conv_id", "call_id").agg(F.max("round").alias("rounds"), F.max("stuck").alias("stuck"))
+    return nodes.join(above, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(~F.coalesce("stuck", F.lit(False)), F.coalesce("rounds", F.lit(0))).alias("level"))
+
+
+def format_messages(messages: DataFrame) -> DataFrame:
+    """Ordinary messages (conv_id, turn, role, content) in the columns of link_tool_calls: one row each, status 'message'.
+
+    Null fields stand as null in the JSON; repeated rows are kept."""
+    body = F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"})
+    none = lambda kind: F.lit(None).cast(kind)
+    return messages.select("conv_id", none("string").alias("call_id"), none("int").alias("level"), "turn", none("string").alias("tool"), F.lit("message").alias("status"), F.lit(False).alias("valid"), none("string").alias("arguments"), "content", body.alias("json"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_tools import link_tool_calls
+from .chat_tools import format_messages, link_tool_calls
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .mixing import mix_sources
@@ -215,31 +215,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOOLS = {"search": {"query": ("string", True), "limit": ("integer", True)}, "measure": {"query": ("string", True), "limit": ("number", False)}}
 
 
-def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool traffic derived from every conversation: each assistant turn is a call whose arguments come
-    from its text (some of them broken or invalid), each later user turn is the result of the turn before."""
-    n, word = F.length("text"), F.regexp_extract("text", "[A-Za-z]+", 0)
+def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tool traffic and other messages of every conversation: each assistant turn is a call whose arguments
+    hold its whole text (some of them broken or invalid), each later user turn is the result of the turn
+    before with its whole text as content; all other turns are ordinary messages."""
+    turns = turns.withColumn("text", F.coalesce("text", F.lit("")))
+    n, quoted = F.length("text"), F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{\"text\":(.*)\}$", 1)
     name = lambda t: F.concat(F.lit("c"), t.cast("string"))
     limit = F.when(n % 5 == 0, F.lit('"many"')).otherwise((n % 20).cast("string"))
-    arguments = F.when(n % 11 == 0, F.concat(F.lit('{"query": "'), word)).when(n % 7 == 0, F.concat(F.lit('{ "query": "'), word, F.lit('" }'))).otherwise(F.concat(F.lit('{ "query": "'), word, F.lit('", "limit": '), limit, F.lit("}")))
+    arguments = F.when(n % 11 == 0, F.concat(F.lit('{"query": '), quoted)).when(n % 7 == 0, F.concat(F.lit('{ "query": '), quoted, F.lit(" }"))).otherwise(F.concat(F.lit('{ "query": '), quoted, F.lit(', "limit": '), limit, F.lit("}")))
     needs = F.when(n % 6 == 0, F.array(name(F.col("turn") + 2))).when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(name(F.col("turn") - 2)))
     tool = F.when(n % 4 < 2, "search").when(n % 4 == 2, "measure").otherwise("unknown")
-    calls = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), needs.alias("needs"))
-    results = turns.where("role = 'user' and turn > 0").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", word.alias("content"))
-    return calls, results
+    is_call = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    is_result = F.coalesce((F.col("role") == "user") & (F.col("turn") > 0), F.lit(False))
+    calls = turns.where(is_call).select("conv_id", name(F.col("turn")).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), needs.alias("needs"))
+    results = turns.where(is_result).select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results, turns.where(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = derived_calls(_table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, TOOLS).select("conv_id", "call_id", "level", "turn", "status", "valid", "json")
+    calls, results, messages = derived_calls(_table(spark, sf_dir, "conversations"))
+    linked = link_tool_calls(calls, results, TOOLS).unionByName(format_messages(messages))
+    return linked.select("conv_id", "call_id", "level", "turn", "status", "valid", "json")
 
 
 OP9_SQL = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS n, regexp_extract(text, '[A-Za-z]+') AS word FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
 c AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN n % 4 < 2 THEN 'search' WHEN n % 4 = 2 THEN 'measure' ELSE 'unknown' END AS tool,
-    CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN '{"query":"' || word || '"}'
-      ELSE '{"limit":' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE CAST(n % 20 AS VARCHAR) END || ',"query":"' || word || '"}' END AS arguments,
+    CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN '{"query":' || to_json(text)::VARCHAR || '}'
+      ELSE '{"limit":' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE CAST(n % 20 AS VARCHAR) END || ',"query":' || to_json(text)::VARCHAR || '}' END AS arguments,
     n % 4 < 3 AND n % 11 <> 0 AND CASE WHEN n % 7 = 0 THEN n % 4 = 2 ELSE n % 5 <> 0 END AS valid,
     CASE WHEN n % 6 = 0 THEN 'c' || (turn + 2) WHEN n % 3 = 0 THEN NULL ELSE 'c' || (turn - 2) END AS need
   FROM t WHERE role = 'assistant'),
@@ -249,14 +254,17 @@ walk AS (
   UNION ALL
   SELECT w.conv_id, w.call_id, e.need, w.depth + 1 FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.call_id = w.step WHERE w.depth < 100),
 lv AS (SELECT conv_id, call_id, max(depth) AS level FROM walk WHERE step IS NULL GROUP BY ALL),
-r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, word FROM t WHERE role = 'user' AND turn > 0),
+r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM t WHERE role = 'user' AND turn > 0),
 j AS (
   SELECT conv_id, call_id, lv.level, coalesce(c.turn, r.turn) AS turn,
-    CASE WHEN c.tool IS NULL THEN 'orphan' WHEN lv.level IS NULL THEN 'cycle' WHEN r.word IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
-    coalesce(c.valid, false) AS valid, c.tool, c.arguments, r.word FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id))
+    CASE WHEN c.tool IS NULL THEN 'orphan' WHEN lv.level IS NULL THEN 'cycle' WHEN r.text IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+    coalesce(c.valid, false) AS valid, c.tool, c.arguments, r.text FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id))
 SELECT conv_id, call_id, level, turn, status, valid,
-  '{"arguments":"' || replace(coalesce(arguments, 'null'), '"', '\"') || '","call_id":"' || call_id || '","result":' || coalesce('"' || word || '"', 'null')
+  '{"arguments":' || to_json(coalesce(arguments, 'null'))::VARCHAR || ',"call_id":"' || call_id || '","result":' || coalesce(to_json(text)::VARCHAR, 'null')
   || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || ',"valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json FROM j
+UNION ALL
+SELECT conv_id, NULL, NULL, turn, 'message', false, '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM t WHERE coalesce(role <> 'assistant' AND NOT (role = 'user' AND turn > 0), true)
 """
 
 
