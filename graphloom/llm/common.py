@@ -19,6 +19,30 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: list[str], how: str = "lef
     return df.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, how)
 
 
+def join_counted(df: DataFrame, keys: DataFrame, on: str, size: str, how: str = "inner", bound: int = 200_000, share: int = 1000) -> DataFrame:
+    """Inner or left join with a written table of one row per key; `size` tells how many rows of df a key has.
+
+    Few keys are broadcast.  Of many, those that hold at least 1/share of the counted rows - so at most
+    `share` keys - are broadcast, and only the rows of the others are dealt out by key."""
+    n, total = keys.agg(F.count("*"), F.sum(size)).first()
+    if n <= bound:
+        return df.join(F.broadcast(keys), on, how)
+    large = F.col(size) * share >= F.lit(total)
+    hot = keys.where(large)
+    if not hot.limit(1).count():
+        return df.join(keys, on, how)
+    rest = df.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.where(~large), on, how)
+    return df.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def repeated(df: DataFrame, copies: str, step: int = 10_000) -> DataFrame:
+    """Each row `copies` times, with the number of the copy (from 0) in place of the count; no long array is built."""
+    first, inner = fresh(df.columns, "first"), fresh(df.columns, "inner")
+    spread = df.withColumn(first, F.explode(F.sequence(F.lit(0), F.col(copies) - 1, F.lit(step))))
+    spread = spread.withColumn(inner, F.explode(F.sequence(F.lit(0), F.least(F.lit(step), F.col(copies) - F.col(first)) - 1)))
+    return spread.withColumn(copies, F.col(first) + F.col(inner)).drop(first, inner)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like `name` that none of the columns has, whatever the case."""
     taken = {c.lower() for c in columns}

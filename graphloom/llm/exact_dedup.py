@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_matching, without_white, written
+from .common import join_counted, keep_matching, repeated, without_white, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash=F.md5) -> DataFrame:
@@ -30,8 +30,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = texts.withColumns({"md5": content_hash(F.col("norm").cast("binary")), "text_sha256": F.sha2(F.col("norm").cast("binary"), 256)})
     # Equal rows (one id read twice) become one row with a count; all four columns deal hot texts out evenly.
     rows = written(hashed.groupBy("doc_id", "md5", "text_sha256", "n_chars").agg(F.count("*").alias("copies")), "dedup-rows")
-    repeated = rows.groupBy("md5").agg(F.sum("copies").alias("n")).where("n > 1").select("md5")
-    twins = keep_matching(texts.select(content_hash(F.col("norm").cast("binary")).alias("md5"), "norm"), repeated, ["md5"])
+    twice = rows.groupBy("md5").agg(F.sum("copies").alias("n")).where("n > 1").select("md5")
+    twins = keep_matching(texts.select(content_hash(F.col("norm").cast("binary")).alias("md5"), "norm"), twice, ["md5"])
     collided = twins.groupBy("md5", "norm").agg(F.count("*").alias("n")).groupBy("md5").agg(F.count("*").alias("n")).where("n > 1").select("md5")
     collided = written(collided, "dedup-collisions")
     if collided.limit(1).count():
@@ -41,9 +41,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("part", F.lit(None).cast("string"))
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
     groups = rows.groupBy("md5", "part").agg(F.sum("copies").alias("group_size"), best.alias("best"))
-    groups = groups.select(F.col("md5").alias("g_md5"), F.col("part").alias("g_part"), "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"))
-    joined = rows.join(groups, (F.col("md5") == F.col("g_md5")) & F.col("part").eqNullSafe(F.col("g_part")))
+    groups = groups.select("md5", "part", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"))
+    key = F.when(F.col("part").isNull(), F.col("md5")).otherwise(F.concat("md5", F.lit(":"), "part"))
+    groups = written(groups.withColumn("key", key).drop("md5", "part"), "dedup-groups")
+    joined = join_counted(rows.withColumn("key", key), groups, "key", "group_size")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    out = joined.select("doc_id", "keep_id", "group_size", stays.alias("stays"), "text_sha256", "n_chars", copy)
-    return out.withColumn("kept", F.col("stays") & (F.col("copy") == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars")
+    out = repeated(joined.select("doc_id", "keep_id", "group_size", stays.alias("stays"), "text_sha256", "n_chars", "copies"), "copies")
+    return out.withColumn("kept", F.col("stays") & (F.col("copies") == 0)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chars")
