@@ -1,13 +1,14 @@
 """WARC archives that store every payload once, by verified SHA-256 digest.
 
-Writing: a digest that occurs once or more on large payloads gets one response record (smallest id);
-the other captures become revisit records without payload.  Spark's text writer puts the records into
-files in the shared folder (value = header + block, line separator = the blank lines between records),
-so any store that Spark reaches will do.
-
-Reading: files come through the binaryFile source and are parsed by Content-Length in mapInPandas, one
-record at a time.  Payload digests are recomputed and compared.  Exact header blocks stay in a table of
-their own; `reconstruct` joins them to the payloads and returns the original records.
+Writing: of equal large payloads one record, a response (smallest id), holds the bytes; the other captures
+become revisit records without payload.  Captures that agree in id, URL and payload are one record with a
+count.  Spark's text writer puts the records into files in the shared folder (value = header + block, line
+separator = the blank lines between records), so any store that Spark reaches will do.
+
+Reading: files come through the binaryFile source and are parsed once, by Content-Length, in mapInPandas,
+one record at a time.  The parsed columns are a table; `split_records` makes of it the table of exact header
+blocks, which holds no payload, and the content-addressed table of payloads by digest.  `reconstruct` joins
+the two and returns the original records; payload digests are recomputed and compared.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_matching, new_path, written
+from .common import join_counted, keep_matching, new_path, repeated, written
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-RECORD_SCHEMA = "page_id long, record_type string, headers string, http_headers string, payload binary, payload_digest string, refers_to long, has_null_id boolean"
+RECORD_SCHEMA = "page_id string, record_type string, headers string, http_headers string, payload binary, payload_digest string, refers_to string, copies long"
 
 
 def _record_id(page_id: Column) -> Column:
@@ -34,20 +35,29 @@ def _record_id(page_id: Column) -> Column:
 
 
 def build_records(pages: DataFrame, min_payload: int = 100, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, record): one WARC record per input row as text, without the closing blank lines.
+    """(page_id, record): WARC records as text, without the closing blank lines.
 
     A null payload is empty; a null or blank URL leaves its header out; control characters in a URL are
     percent-encoded.  Of equal payloads of at least min_payload bytes the smallest page_id (null last)
-    is the response.  Rows that repeat a page_id with the same payload are the same capture: each of
-    them is written as the response.
+    is the response.  Rows that repeat that page_id are captures of one page: equal ones are one record
+    that counts its copies, those of other URLs are stored without payload; all read back as responses.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     p = p.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    large = F.col("bytes") >= min_payload
-    known = written(p.where(large).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).where("n > 1"), "warc-known")
-    p = p.join(known.select("digest", "first_id"), "digest", "left")
-    revisit = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    p = p.withColumn("revisit", revisit)
+    # Counted in two steps, both with partial sums: (digest, id) -> digest.
+    per_id = p.where(F.col("bytes") >= min_payload).groupBy("digest", "page_id").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("url").isNull(), "url")).alias("url"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("id"), "rows", "url")).alias("first")
+    known = per_id.groupBy("digest").agg(F.sum("rows").alias("n"), first).where("n > 1")
+    known = known.select("digest", "n", F.lit(True).alias("known"), F.col("first.id").alias("first_id"), F.col("first.rows").alias("first_rows"), F.col("first.url.url").alias("first_url"))
+    p = join_counted(p, written(known, "warc-known"), "digest", "n", "left")
+    own = F.col("known").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    many = own & (F.col("first_rows") > 1)
+    # The captures of a repeated page: one row per URL, made where the rows lie.
+    columns = ["page_id", "url", "bytes", "digest", "known", "first_id", "first_url"]
+    counted = p.where(many).groupBy(*columns).agg(F.count("*").alias("copies"), F.first("payload").alias("payload"))
+    p = p.where(~many).select(*columns, F.lit(1).cast("long").alias("copies"), "payload").unionByName(counted)
+    same_url = F.col("url").eqNullSafe(F.col("first_url"))
+    p = p.withColumn("revisit", F.col("known").isNotNull() & ~(own & same_url))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -59,8 +69,9 @@ def build_records(pages: DataFrame, min_payload: int = 100, date: str = "2024-01
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", F.nullif(url, F.lit(""))), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"))), line("X-Refers-To-Page", F.col("first_id").cast("string")))).otherwise(""),
+        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"))), F.coalesce(line("X-Refers-To-Page", F.col("first_id").cast("string")), F.lit("")))).otherwise(""),
         F.coalesce(line("X-Page", F.col("page_id").cast("string")), F.lit("")),
+        F.when(F.col("copies") > 1, line("X-Copies", F.col("copies").cast("string"))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")),
     )
@@ -71,7 +82,7 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = 32 << 20) ->
     """Write records to gzip-compressed archives of about file_bytes each (before compression)."""
     total = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
     files = max(1, -(-int(total) // file_bytes))
-    records.repartition(files, F.xxhash64("page_id", F.length("record"))).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
+    records.repartition(files, F.xxhash64("record")).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
 
@@ -93,7 +104,7 @@ def _parse(stream: io.BufferedIOBase) -> Iterator[tuple[bytes, bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
-    """Records of all archives below a path, in the columns of RECORD_SCHEMA; digests as stored."""
+    """Records of all archives below a path, in the columns of RECORD_SCHEMA, ids as numbers; digests as stored."""
 
     def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
@@ -105,8 +116,8 @@ def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
                     fields = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = fields["warc-type"]
-                    page, refers = fields.get("x-page"), fields.get("x-refers-to-page")
-                    rows.append((int(page) if page else 0, kind, head.decode(), (http + b"\r\n\r\n").decode(), payload if kind == "response" else None, fields["warc-payload-digest"].removeprefix("sha256:"), int(refers) if refers else 0, page is None))
+                    page, refers, copies = fields.get("x-page"), fields.get("x-refers-to-page"), int(fields.get("x-copies", 1))
+                    rows.append((page, kind, head.decode(), (http + b"\r\n\r\n").decode(), payload if kind == "response" else None, fields["warc-payload-digest"].removeprefix("sha256:"), refers, copies))
                     held += len(block)
                     if held > batch_bytes or len(rows) >= 5000:
                         yield pd.DataFrame(rows, columns=names)
@@ -115,25 +126,34 @@ def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
             yield pd.DataFrame(rows, columns=names)
 
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD_SCHEMA)
-    return raw.withColumns({"page_id": F.when(~F.col("has_null_id"), F.col("page_id")), "refers_to": F.when(F.col("record_type") == "revisit", F.col("refers_to"))}).drop("has_null_id")
+    return written(raw.withColumns({x: F.col(x).cast("long") for x in ("page_id", "refers_to")}), "warc-parsed")
+
+
+def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers without payloads, payloads by digest) of parsed records; small payloads can stand several times."""
+    return records.drop("payload"), records.where("record_type = 'response'").select("payload_digest", "payload")
 
 
 def reconstruct(records: DataFrame) -> DataFrame:
     """Original records: every header block joined to the payload its digest names.
 
-    Returns page_id, record_type, refers_to, headers, http_headers, payload, payload_digest; the digest
-    is recomputed from the payload and must equal the stored one.  Payloads that no revisit names take
-    no part in the join.
+    Returns page_id, record_type, refers_to, headers, http_headers, payload, payload_digest, one row per
+    capture; the digest is recomputed from the payload and must equal the stored one.  A record that
+    refers to its own page is a response whose payload stands in an earlier one.  Only the payloads that
+    revisits name take part in a join; its other side holds headers only, so a hot digest moves no bytes.
     """
-    responses = records.where("record_type = 'response'")
-    revisits = records.where("record_type = 'revisit'")
-    named = revisits.select("payload_digest").distinct()
-    stored = keep_matching(responses.select("payload_digest", "payload"), named, ["payload_digest"]).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
-    columns = ["page_id", "record_type", "refers_to", "headers", "http_headers", "payload", "payload_digest"]
-    whole = responses.select(columns).unionByName(revisits.drop("payload").join(stored, "payload_digest", "left").select(columns))
+    headers, payloads = split_records(records)
+    visits = headers.where("record_type = 'revisit'")
+    named = written(visits.groupBy("payload_digest").agg(F.count("*").alias("n")), "warc-named")
+    stored = keep_matching(payloads, named.select("payload_digest"), ["payload_digest"]).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    columns = ["page_id", "record_type", "refers_to", "headers", "http_headers", "payload", "payload_digest", "copies"]
+    again = visits.join(written(stored, "warc-stored"), "payload_digest", "left")
+    whole = records.where("record_type = 'response'").select(columns).unionByName(again.select(columns))
     digest = F.sha2("payload", 256)
     broken = F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("payload_digest")))
-    return whole.withColumn("payload_digest", F.when(digest == F.col("payload_digest"), digest).otherwise(broken))
+    own = F.col("refers_to").eqNullSafe(F.col("page_id"))
+    whole = whole.withColumns({"payload_digest": F.when(digest == F.col("payload_digest"), digest).otherwise(broken), "record_type": F.when(own, "response").otherwise(F.col("record_type")), "refers_to": F.when(~own, F.col("refers_to"))})
+    return repeated(whole, "copies").drop("copies")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, **names) -> DataFrame:
