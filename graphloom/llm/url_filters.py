@@ -3,8 +3,8 @@
 Dated list entries (add or remove a pattern at a time) become validity intervals; an as-of join then
 evaluates every capture against the entries that were active when it was fetched.  The join is an
 equality join on (pattern, month of the interval or capture) plus the comparison of times, so a host
-with very many captures or a list with a long history is spread over months, and AQE splits what is
-still too large.
+with very many captures or a list with a long history is spread over months.  Only keys that a list
+names take part; the two sides of the join are plain tables, so AQE splits what is still too large.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, keep_matching, written
+
 #: An interval without an end lasts until here.
 FOREVER = "9999-01-01 00:00:00"
 
@@ -33,9 +35,12 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, valid_from, valid_to) from (kind, pattern, category, action, effective_at).
 
     action is 'add' or 'remove'; of several entries of one moment a removal counts last.  Entries with a
-    null in any of the five columns are void.  An 'add' after an 'add' continues the entry.
+    null in any of the five columns are void.  An 'add' after an 'add' continues the entry.  Hosts are
+    compared in lower case without a leading www.
     """
-    e = entries.select("kind", "pattern", "category", "action", F.col("effective_at").cast("timestamp").alias("valid_from")).na.drop("any")
+    host = F.regexp_replace(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)), r"^www\.", "")
+    pattern = F.concat(host, F.regexp_extract("pattern", r"/.*$", 0)).alias("pattern")
+    e = entries.select("kind", pattern, "category", "action", F.col("effective_at").cast("timestamp").alias("valid_from")).na.drop("any")
     e = e.groupBy("kind", "pattern", "category", "valid_from").agg(F.max("action").alias("action"))
     history = Window.partitionBy("kind", "pattern", "category").orderBy("valid_from")
     e = e.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(history), F.lit(FOREVER).cast("timestamp")))
@@ -43,13 +48,15 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 
 def capture_keys(captures: DataFrame) -> DataFrame:
-    """Every (kind, pattern) under which a list could hold a capture: the host and its parent domains,
-    and host + path up to each of its slashes."""
+    """Every (kind, pattern) under which a list could hold a capture: the host and its parent domains, and
+    host + path up to the end of each segment, with and without the slash that follows it."""
     labels = F.split("host", r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -i, i), ".").alias("pattern")))
     segments = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(segments) - 1), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(F.col("host"), F.array_join(F.slice(segments, 1, i), "/"), F.lit("/")).alias("pattern")))
+    upto = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.col("host"), F.array_join(F.slice(segments, 1, i), "/")))
+    slashed = F.transform(F.slice(upto, 1, F.size(segments) - 1), lambda x: F.concat(x, F.lit("/")))
+    prefixes = F.transform(F.array_distinct(F.concat(upto, slashed)), lambda x: F.struct(F.lit("prefix").alias("kind"), x.alias("pattern")))
     return captures.where(F.col("host").isNotNull()).select("*", F.inline(F.concat(domains, prefixes)))
 
 
@@ -57,22 +64,30 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     """captures plus `blocked`, `n_active` and `first_match` ('category kind pattern', smallest).
 
     A capture is blocked when an entry with its host, a parent domain or a prefix of its host and path
-    is active at its fetch time (from <= time < to).  A capture with a null URL, a URL without host or a
+    is active at its fetch time (from <= time < to).  A prefix ends where a path segment does: b.com/x
+    holds b.com/x and b.com/x/y, not b.com/xy, and b.com/x/ only what lies below it.  A capture with a null URL, a URL without host or a
     null time matches nothing.  Captures that repeat are decided alike; the decision is made once per
     distinct (url, time).  Further columns pass through; columns of the three new names are replaced.
     """
     c = captures.select(F.col(url_col).alias("_url"), F.col(time_col).cast("timestamp").alias("_at")).na.drop("any").distinct()
     c = c.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
-    keys = capture_keys(c).withColumn("month", F.trunc("_at", "month"))
     lists = validity_intervals(entries)
     # An interval stands in each month that it touches, up to the last capture's.
     last = F.lit(c.agg(F.max("_at")).first()[0]).cast("timestamp")
     lists = lists.where(F.col("valid_from") <= last)
     months = F.sequence(F.trunc("valid_from", "month"), F.trunc(F.least(F.col("valid_to"), last), "month"), F.expr("interval 1 month"))
-    lists = lists.withColumn("month", F.explode(months))
+    lists = written(lists.withColumn("month", F.explode(months)), "url-intervals")
+    # Keys that no list names, such as a bare top domain, which every host below it has, meet nothing.
+    keys = capture_keys(c).withColumn("month", F.trunc("_at", "month"))
+    keys = keep_matching(keys, lists.select("kind", "pattern", "month").distinct(), ["kind", "pattern", "month"])
     active = keys.join(lists, ["kind", "pattern", "month"]).where((F.col("valid_from") <= F.col("_at")) & (F.col("_at") < F.col("valid_to")))
     label = F.concat_ws(" ", "category", "kind", "pattern")
-    found = active.groupBy("_url", "_at").agg(F.count("*").alias("_found"), F.min(label).alias("_label"))
-    out = captures.join(found, (captures[url_col] == found["_url"]) & (captures[time_col].cast("timestamp") == found["_at"]), "left")
-    new = {"blocked": F.col("_found").isNotNull(), "n_active": F.coalesce(F.col("_found"), F.lit(0)), "first_match": F.col("_label")}
-    return out.withColumns(new).drop("_url", "_at", "_found", "_label")
+    found = active.groupBy("_url", "_at").agg(F.count("*").alias("found"), F.min(label).alias("label"))
+    names = {x: fresh(captures.columns, "match_" + x) for x in ("_url", "_at", "found", "label")}
+    for old, new in names.items():
+        found = found.withColumnRenamed(old, new)
+    out = captures.join(found, (captures[url_col] == found[names["_url"]]) & (captures[time_col].cast("timestamp") == found[names["_at"]]), "left")
+    count = F.col(names["found"])
+    new = {"blocked": count.isNotNull(), "n_active": F.coalesce(count, F.lit(0)), "first_match": F.col(names["label"])}
+    kept = [captures[x] for x in captures.columns if x.lower() not in new]
+    return out.select(*kept, *[v.alias(k) for k, v in new.items()])
