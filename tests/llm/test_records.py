@@ -8,7 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm.chat_tools import canonical_json, link_tool_calls, topological_levels, valid_arguments
+from graphloom.llm.chat_tools import canonical_json, format_messages, link_tool_calls, topological_levels, valid_arguments
+from graphloom.llm.common import join_counted, repeated
+from graphloom.llm.queries import derived_calls
 from graphloom.llm.url_filters import host_of, url_filter, validity_intervals
 from graphloom.llm.warc import archive_pages, build_records, read_archives, write_archives
 
@@ -48,6 +50,17 @@ def test_every_capture_sees_the_list_of_its_time(spark):
     assert url_filter(df, spark.createDataFrame([], ENTRIES)).where("blocked").count() == 0
 
 
+def test_entries_are_normalised_and_end_at_segments(spark):
+    entries = [entry("domain", "WWW.A.com", "spam", "add", 0), entry("prefix", "B.com/x", "adult", "add", 0), entry("prefix", "b.com/X/page.html", "adult", "add", 0), entry("prefix", "c.com", "spam", "add", 0)]
+    urls = ["http://a.com/", "http://b.com/x", "http://b.com/x/", "http://b.com/x/y", "http://b.com/xy", "http://b.com/X/page.html?q", "http://c.com", "http://c.com/q/", "http://c.com.org/"]
+    df = spark.createDataFrame([(k, u, DAY, "h", "u", 1, 2) for k, u in enumerate(urls)], "page_id long, url string, fetch_time timestamp, host string, _url string, _found int, match_found int")
+    out = url_filter(df, spark.createDataFrame(entries, ENTRIES))
+    assert out.columns == [*df.columns, "blocked", "n_active", "first_match"]
+    rows = out.collect()
+    assert {r["page_id"]: r["n_active"] for r in rows} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1, 8: 0}
+    assert all(tuple(r)[3:7] == ("h", "u", 1, 2) for r in rows)
+
+
 def test_host_of(spark):
     urls = ["HTTP://WWW.Ex.Com:8080/a", "ftp://u:p@h/x", "//h/x", None, "http://", "https://e.org?q"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u"))).collect()]
@@ -92,6 +105,19 @@ def test_calls_meet_their_results(spark):
     assert link_tool_calls(spark.createDataFrame(calls[:0], "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>"), spark.createDataFrame(results[:0], "conv_id long, call_id string, turn long, content string"), TOOLS).count() == 0
 
 
+def test_whole_long_texts_and_ordinary_messages(spark):
+    long = 'é "quoted" \\ \n\t\u0001 end. ' * 20_000
+    schema = "conv_id long, turn int, role string, text string, json string, level int"
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "a" * 12 + long), (1, 2, "user", long), (1, 3, "system", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 4, "tool", ""), (3, 0, "system", "s")]
+    calls, results, messages = derived_calls(spark.createDataFrame([(*r, "j", 3) for r in rows], schema))
+    got = link_tool_calls(calls, results, TOOLS).unionByName(format_messages(messages)).collect()
+    assert Counter(r["status"] for r in got) == {"answered": 1, "message": 6}
+    answered = next(json.loads(r["json"]) for r in got if r["status"] == "answered")
+    assert answered["result"] == long and (answered["arguments"] == "null" or json.loads(answered["arguments"])["query"] == "a" * 12 + long)
+    said = Counter((r["conv_id"], r["turn"], json.loads(r["json"])["role"], json.loads(r["json"])["content"]) for r in got if r["status"] == "message")
+    assert said == Counter((c, t, role, text or "") for c, t, role, text in rows if (c, t) not in ((1, 1), (1, 2)))
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "d", 1) for i, u, h in rows], "page_id long, url string, html string, digest string, bytes long")
 
@@ -122,10 +148,32 @@ def test_payloads_are_stored_once_and_headers_are_exact(spark, tmp_path):
         assert r["headers"].encode() + block == written[r["page_id"]].encode()
 
 
+def test_repeated_pages_share_one_payload(spark, tmp_path):
+    big = "<p>" + "y" * 300
+    rows = [(3, "u", big)] * 4 + [(3, None, big), (3, "v", big), (5, "u", big), (5, "u", big), (None, "u", big), (1, "u", "tiny"), (1, "u", "tiny")] + [(None, "w", "z" * 150)] * 3
+    got = archive_pages(pages(spark, rows), str(tmp_path / "warc")).collect()
+    assert Counter((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"]) for r in got) == Counter(
+        (i, h, *(("revisit", 3) if h == big and i != 3 else ("response", None))) for i, _, h in rows
+    )
+    parsed = read_archives(spark, str(tmp_path / "warc")).collect()
+    assert Counter(bytes(r["payload"]).decode() for r in parsed if r["payload"] is not None) == {big: 1, "tiny": 2, "z" * 150: 1}
+
+
+def test_hot_keys_are_broadcast_and_the_rest_is_dealt_out(spark):
+    df = spark.createDataFrame([("hot", k) for k in range(5000)] + [(f"k{k % 40}", k) for k in range(200)] + [(None, 1)], "key string, v int")
+    keys = df.where("key < 'k30'").groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, df.join(keys, "key", how).collect()))
+        assert Counter(map(tuple, join_counted(df, keys, "key", "n", how, bound=5, share=10).collect())) == want
+        assert Counter(map(tuple, join_counted(df, keys, "key", "n", how).collect())) == want
+    counts = spark.createDataFrame([(k, k) for k in (1, 2, 3, 9, 10, 11, 25)], "x int, copies long")
+    assert Counter((r[0], r[1]) for r in repeated(counts, "copies", 3).collect()) == Counter((k, i) for k in (1, 2, 3, 9, 10, 11, 25) for i in range(k))
+
+
 def test_damage_is_noticed_and_empty_tables_pass(spark):
     from graphloom.llm.warc import reconstruct
 
-    records = spark.createDataFrame([(1, "response", "h", "x", bytearray(b"payload"), "00", None)], "page_id long, record_type string, headers string, http_headers string, payload binary, payload_digest string, refers_to long")
+    records = spark.createDataFrame([(1, "response", "h", "x", bytearray(b"payload"), "00", None, 1)], "page_id long, record_type string, headers string, http_headers string, payload binary, payload_digest string, refers_to long, copies long")
     with pytest.raises(Exception, match="does not match its digest"):
         reconstruct(records).collect()
     assert archive_pages(pages(spark, [])).count() == 0
