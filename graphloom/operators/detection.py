@@ -5,15 +5,20 @@ det tables: targets (sample_id, target_id, corners), predictions (sample_id, pre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, box, corner_struct, corners, giou, iou
+from .kernels import numbers, per_sample
+from .ordering import with_running
 
 # The evaluation protocol's IoU thresholds.
 IOU_THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 RECALL_POINTS = 101
 MAX_DETECTIONS = 40
+CORNERS = ("d0", "h0", "d1", "h1", "w0", "w1")
 
 
 def node_boxes(nodes: DataFrame, size: float = 0.2) -> DataFrame:
@@ -53,30 +58,64 @@ def top_detections(predictions: DataFrame, k: int = MAX_DETECTIONS) -> DataFrame
     return predictions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def greedy_hits(predictions: DataFrame, targets: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, k: int = MAX_DETECTIONS) -> DataFrame:
+    """(sample_id, rank, score, hits): in order of score each of the k best predictions takes the free target of
+    highest IoU of at least the threshold (ties: smallest target id); hits: whether it found one, per threshold.
+
+    Boxes of all samples go through one shuffle; a kernel walks the ranks of a batch of samples at once."""
+    ids = {x: df.schema[x].dataType.simpleString() for df, x in ((predictions, "pred_id"), (targets, "target_id"))}
+    none = lambda x: F.lit(None).cast(ids[x]).alias(x)
+    sides = [F.col("corners")[x].cast("double").alias(x) for x in CORNERS]
+    p = predictions.select("sample_id", F.lit(0).alias("kind"), F.col("score").cast("double").alias("score"), "pred_id", none("target_id"), *sides)
+    t = targets.select("sample_id", F.lit(1).alias("kind"), F.lit(0.0).alias("score"), none("pred_id"), "target_id", *sides)
+    limits = np.array(thresholds)
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        kind, score = numbers(table, "kind", "score")
+        corner = dict(zip(CORNERS, numbers(table, *CORNERS)))
+        n = int(code[-1]) + 1
+        is_p = kind == 0
+        rank = np.arange(len(code)) - np.searchsorted(code, np.arange(n))[code]
+        pred, target = np.flatnonzero(is_p & (rank < k)), np.flatnonzero(~is_p)
+        start = np.searchsorted(code[target], np.arange(n + 1))
+        count = np.diff(start)[code[pred]]
+        left = np.repeat(np.arange(len(pred)), count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[code[pred]], count)
+        one, two = ({x: v[at] for x, v in corner.items()} for at in (pred[left], target[right]))
+        volume = lambda c: np.maximum(c["d1"] - c["d0"], 0) * np.maximum(c["h1"] - c["h0"], 0) * np.maximum(c["w1"] - c["w0"], 0)
+        side = lambda x: np.maximum(np.minimum(one[x + "1"], two[x + "1"]) - np.maximum(one[x + "0"], two[x + "0"]), 0)
+        inter = side("d") * side("h") * side("w")
+        union = volume(one) + volume(two) - inter
+        iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+        near = np.flatnonzero((iou >= limits.min()) & (iou > 0))
+        left, right, iou = left[near], right[near], iou[near]
+        order = np.lexsort((right, -iou, left, rank[pred[left]]))
+        left, right, iou = left[order], right[order], iou[order]
+        turn = np.searchsorted(rank[pred[left]], np.arange(k + 1))
+        used, hits = np.zeros((len(limits), len(target)), bool), np.zeros((len(pred), len(limits)), bool)
+        for i, j in zip(turn[:-1], turn[1:]):
+            if i == j:
+                continue
+            of, at = left[i:j], right[i:j]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            free = (iou[i:j] >= limits[:, None]) & ~used[:, at]
+            best = np.minimum.reduceat(np.where(free, np.arange(j - i), j - i), first, axis=1)
+            which, segment = np.nonzero(best < j - i)
+            used[which, at[best[which, segment]]] = True
+            hits[of[first[segment]], which] = True
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pred) + 1) * len(limits), pa.int32()), pa.array(hits.ravel()))
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(pred)), "rank": (rank[pred] + 1).astype(np.int32), "score": score[pred], "hits": lists})
+
+    rows = p.unionByName(t)
+    schema = f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, rank int, score double, hits array<boolean>"
+    return per_sample(rows, kernel, schema, ["kind", F.desc("score"), "pred_id", "target_id"], limit=1 << 15)
+
+
 def greedy_match(predictions: DataFrame, targets: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, k: int = MAX_DETECTIONS) -> DataFrame:
-    """(sample_id, iou_t, rank, score, hit): in order of score each prediction takes the free target of
-    highest IoU of at least the threshold (ties: smallest target id).
-
-    At most k predictions a sample enter; they are folded in one SQL expression per sample and threshold."""
-    top = top_detections(predictions, k)
-    pairs = pair_iou(top, targets, min(thresholds))
-    options = pairs.groupBy("sample_id", "pred_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), "target_id"))).alias("options"))
-    empty = F.array().cast(options.schema["options"].dataType)
-    rows = top.join(options, ["sample_id", "pred_id"], "left").select("sample_id", F.struct("rank", "score", F.coalesce("options", empty).alias("options")).alias("p"))
-    packed = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list("p")).alias("preds"))
-    each = packed.withColumn("iou_t", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    id_type = targets.schema["target_id"].dataType.simpleString()
-
-    def step(state, p):
-        free = F.filter(p["options"], lambda o: (-o["less"] >= F.col("iou_t")) & ~F.array_contains(state["used"], o["target_id"]))
-        first = F.get(free, F.lit(0))
-        used = F.when(F.size(free) > 0, F.concat(state["used"], F.array(first["target_id"]))).otherwise(state["used"])
-        return F.struct(used.alias("used"), F.concat(state["hits"], F.array(F.size(free) > 0)).alias("hits"))
-
-    start = F.struct(F.array().cast(f"array<{id_type}>").alias("used"), F.array().cast("array<boolean>").alias("hits"))
-    folded = each.withColumn("hits", F.aggregate("preds", start, step, lambda s: s["hits"]))
-    flat = folded.select("sample_id", "iou_t", F.posexplode(F.arrays_zip("preds", "hits")).alias("i", "z"))
-    return flat.select("sample_id", "iou_t", F.col("z.preds.rank").alias("rank"), F.col("z.preds.score").alias("score"), F.col("z.hits").alias("hit"))
+    """(sample_id, iou_t, rank, score, hit): greedy_hits with a row per threshold."""
+    wide = greedy_hits(predictions, targets, thresholds, k)
+    flat = wide.select("sample_id", "rank", "score", F.posexplode("hits").alias("i", "hit"))
+    return flat.select("sample_id", F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("i")).alias("iou_t"), "rank", "score", "hit")
 
 
 def target_counts(samples: DataFrame, targets: DataFrame) -> DataFrame:
@@ -85,22 +124,47 @@ def target_counts(samples: DataFrame, targets: DataFrame) -> DataFrame:
     return samples.select("sample_id").join(counts, "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("target_count"))
 
 
+def _reach(recall: Column) -> Column:
+    """Number of recall points 0, 0.01, .. 0.99, 1 that a recall reaches."""
+    k = F.floor(recall * 100) + 1
+    last = F.when(recall >= k * 0.01, k).when(recall >= (k - 1) * 0.01, k - 1).otherwise(k - 2)
+    return F.when(recall >= 1, RECALL_POINTS).otherwise(F.least(last, F.lit(RECALL_POINTS - 2)) + 1).cast("int")
+
+
 def pooled_ap_ar(hits: DataFrame, counts: DataFrame, by: str = "sample_id", thresholds: tuple[float, ...] = IOU_THRESHOLDS) -> DataFrame:
     """(by, ap, ar): hits pooled per group, ordered by score (ties: sample, rank).
 
-    hits: by, sample_id, iou_t, rank, score, hit; counts: by, target_count.  The precision at a recall
-    point is the largest precision of any rank with at least that recall, so no reverse scan is needed;
-    only hits can be that rank.  A group without targets has null metrics, one without predictions 0.
+    hits: by, sample_id, rank, score and either `hits` per threshold or iou_t and `hit`; counts: by,
+    target_count.  Running sums of all thresholds come from one order.  The precision at a recall point
+    is the largest precision of any rank with at least that recall, so no reverse scan is needed; only
+    hits can be that rank.  A group without targets has null metrics, one without predictions 0.
     """
     total = counts.groupBy(by).agg(F.sum("target_count").alias("targets"))
-    order = Window.partitionBy(by, "iou_t").orderBy(F.col("score").desc(), "sample_id", "rank")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hits.select(by, "sample_id", "iou_t", "score", "rank", F.col("hit").cast("int").alias("tp")).withColumns({"tps": F.sum("tp").over(run), "seen": F.row_number().over(order)})
-    ranked = ranked.where("tp = 1").join(total, by)
+    wide = "hits" in hits.columns
+    groups = [by] if wide else [by, "iou_t"]
+    tp = [f"tp{i}" for i in range(len(thresholds) if wide else 1)]
+    flags = [F.coalesce(F.col("hits")[i] if wide else F.col("hit"), F.lit(False)).cast("int").alias(x) for i, x in enumerate(tp)]
+    rows = hits.select(*dict.fromkeys([*groups, "sample_id"]), "score", "rank", *flags)
+    order = [F.col("score").desc(), F.col("sample_id").asc(), F.col("rank").asc()]
+    if by == "sample_id":
+        # A sample's detections are few.
+        run = Window.partitionBy(*groups).orderBy(*order)
+        ranked = rows.withColumns({"position": F.row_number().over(run) - 1, **{f"{x}_sum": F.sum(x).over(run.rowsBetween(Window.unboundedPreceding, 0)) for x in tp}})
+    else:
+        ranked = with_running(rows, groups, order, tp)
+    at = lambda i: F.lit(float(thresholds[i])) if wide else F.col("iou_t")
+    found = [F.when(F.col(x) == 1, F.struct(at(i).alias("iou_t"), F.col(f"{x}_sum").alias("tps"))) for i, x in enumerate(tp)]
+    ranked = ranked.select(by, (F.col("position") + 1).alias("seen"), F.inline(F.array_compact(F.array(*found)))).join(total, by)
     ranked = ranked.select(by, "iou_t", (F.col("tps") / F.col("targets")).alias("recall"), (F.col("tps") / F.col("seen")).alias("precision"))
-    points = [F.coalesce(F.max(F.when(F.col("recall") >= (i * 0.01 if i < 100 else 1.0), F.col("precision"))), F.lit(0.0)) for i in range(RECALL_POINTS)]
-    per = ranked.groupBy(by, "iou_t").agg(F.array(*points).alias("points"), F.max("recall").alias("recall"))
-    mean = F.aggregate("points", F.lit(0.0), lambda a, x: a + x) / RECALL_POINTS
+    ranked = ranked.withColumn("reach", _reach(F.col("recall")))
+    if by != "sample_id":
+        ranked = ranked.groupBy(by, "iou_t", "reach").agg(F.max("precision").alias("precision"), F.max("recall").alias("recall"))
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("reach")).alias("less"), "precision")))
+    per = ranked.groupBy(by, "iou_t").agg(steps.alias("steps"), F.max("recall").alias("recall"))
+    # From the largest reach down, the best precision so far holds for the points that the next step leaves out.
+    start = F.struct(F.lit(0).alias("reach"), F.lit(0.0).alias("top"), F.lit(0.0).alias("total"))
+    step = lambda s, x: F.struct((-x["less"]).alias("reach"), F.greatest(s["top"], x["precision"]).alias("top"), (s["total"] + s["top"] * (s["reach"] + x["less"])).alias("total"))
+    mean = F.aggregate("steps", start, step, lambda s: (s["total"] + s["top"] * s["reach"]) / RECALL_POINTS)
     both = per.groupBy(by).agg((F.sum(mean) / len(thresholds)).alias("ap"), (F.sum("recall") / len(thresholds)).alias("ar"))
     zero = lambda c: F.when(F.col("targets") > 0, F.coalesce(c, F.lit(0.0)))
     return total.join(both, by, "left").select(by, zero("ap").alias("ap"), zero("ar").alias("ar"))
@@ -108,4 +172,4 @@ def pooled_ap_ar(hits: DataFrame, counts: DataFrame, by: str = "sample_id", thre
 
 def sample_ap_ar(predictions: DataFrame, targets: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_id, ap, ar) with every sample as its own group."""
-    return pooled_ap_ar(greedy_match(predictions, targets), target_counts(samples, targets))
+    return pooled_ap_ar(greedy_hits(predictions, targets), target_counts(samples, targets))

@@ -75,6 +75,14 @@ def symmetric_logits(ordered: DataFrame) -> DataFrame:
     return mean.withColumn("score", softmax2(F.col("l0"), F.col("l1")))
 
 
+def symmetric_probability(ordered: DataFrame) -> DataFrame:
+    """(sample_id, src, dst, p): mean over both orders of the softmaxed probability, from logits of ordered pairs.
+
+    The topology losses average probabilities, scores average logits."""
+    keyed = ordered.select("sample_id", F.least("left", "right").alias("src"), F.greatest("left", "right").alias("dst"), softmax2(F.col("l0"), F.col("l1")).alias("p"))
+    return keyed.groupBy("sample_id", "src", "dst").agg(F.avg("p").alias("p"))
+
+
 def retain_edges(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     """(sample_id, src, dst, score) where class 1 wins strictly or its probability exceeds the threshold."""
     kept = F.col("l1") > F.col("l0") if threshold is None else F.col("score") > threshold

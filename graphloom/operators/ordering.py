@@ -1,34 +1,45 @@
-"""Positions in a total order, without one task for all rows of a large table."""
+"""Positions and running sums in a total order, without one task for all rows of a large table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this many rows one window over the narrow key rows is cheaper than bucketing.
-SMALL = 500_000
+from ..functions.storage import written
 
+#: Rows of a range; beyond MOST_RANGES ranges grow instead of their number.
+RANGE_ROWS = 250_000
+MOST_RANGES = 4096
 
-def with_position(df: DataFrame, key: str, by: list[str] | None = None, buckets: int = 256, small: int = SMALL) -> DataFrame:
-    """Add `position` (0-based, ascending in `key`, which must be unique) and `total`; `by`: per group.
 
-    Beyond `small` rows the keys are cut into ranges at the quantiles of a hash sample of a bounded
-    size; counts per range give each range's offset and row numbers run inside ranges only.
-    """
-    by = by or []
-    n = df.limit(small + 1).count()
+def with_running(df: DataFrame, by: list[str], order: list[Column], sums: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add `position` (0-based) and `total` per group `by` in `order`, which must be total, and <name>_sum up to each row.
+
+    The rows are cut into ranges of (by, order), as many as their count asks for, and written; sums per
+    range give each range's offsets, and windows run inside ranges only.  df should hold narrow rows."""
+    sums = sums or []
+    ranges = min(MOST_RANGES, -(-df.count() // range_rows))
+    if ranges > 1:
+        cut = df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id())
+        ranged = written(cut, "ranges")
+    else:
+        ranged = df.withColumn("_range", F.lit(0))
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_{x}") for x in sums])
     everyone = Window.partitionBy(*by)
-    if n <= small:
-        return df.withColumns({"position": F.row_number().over(everyone.orderBy(key)) - 1, "total": F.count(F.lit(1)).over(everyone)})
-    rows = df.count()
-    share = int(min(1.0, 20.0 * buckets / rows) * 1_000_000)
-    sample = sorted(r[0] for r in df.select(key).where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).collect())
-    bounds = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
-    cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array()
-    ranged = df.withColumn("_range", F.size(F.filter(cut, lambda b: b <= F.col(key))))
-    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "total": F.sum("_n").over(everyone)}).drop("_n")
-    inside = Window.partitionBy(*by, "_range").orderBy(key)
+    earlier = everyone.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
+    offsets = counts.select(*by, "_range", before("_n").alias("_n"), F.sum("_n").over(everyone).alias("total"), *[before(f"_{x}").alias(f"_{x}") for x in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.join(offsets, [*by, "_range"])
-    return placed.withColumn("position", F.row_number().over(inside) - 1 + F.col("_before")).drop("_range", "_before")
+    placed = placed.withColumns({"position": F.row_number().over(inside) - 1 + F.col("_n"), **{f"{x}_sum": F.sum(x).over(run) + F.col(f"_{x}") for x in sums}})
+    return placed.drop("_range", "_n", *[f"_{x}" for x in sums])
+
+
+def with_position(df: DataFrame, key: str, by: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add `position` (0-based, ascending in `key`, which must be unique and not null) and `total`; `by`: per group.
+
+    Only the keys are ordered; other columns join them afterwards."""
+    by = by or []
+    placed = with_running(df.select(*by, key), by, [F.col(key)], range_rows=range_rows)
+    return placed if set(df.columns) == {*by, key} else df.join(placed, [*by, key])

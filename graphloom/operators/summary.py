@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .detection import pooled_ap_ar
 from .ordering import with_position
 
@@ -19,26 +20,35 @@ def fold_id(samples: DataFrame, folds: int = 5) -> DataFrame:
     size, longer = F.floor(F.col("total") / k), F.col("total") % k
     cut = longer * (size + 1)
     fold = F.when(F.col("position") < cut, F.floor(F.col("position") / (size + 1))).otherwise(longer + F.floor((F.col("position") - cut) / size))
-    return samples.join(placed.select("sample_id", fold.cast("int").alias("fold")), "sample_id")
+    folded = placed.select("sample_id", fold.cast("int").alias("fold"))
+    return folded if samples.columns == ["sample_id"] else samples.join(folded, "sample_id")
 
 
-def to_long(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """(sample_id, name, value); NaN and infinite values become null."""
+def to_long(metrics: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """(sample_id, more, name, value); NaN and infinite values become null."""
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
-    long = metrics.select("sample_id", F.inline(rows))
+    long = metrics.select("sample_id", *more, F.inline(rows))
     finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
     return long.withColumn("value", F.when(finite, F.col("value")))
 
 
 def summarize(metrics: DataFrame, names: list[str], folds: int = 5) -> DataFrame:
-    """(name, samples, mean, std): mean over defined values, std of the fold means (0 with under 2 folds)."""
-    long = to_long(metrics, names).join(fold_id(metrics.select("sample_id"), folds), "sample_id")
+    """(name, samples, mean, std): mean over defined values, std of the fold means (0 with under 2 folds).
+
+    The metrics are written once, for the folds and the means.  No sample at all raises."""
+    metrics = written(metrics.select("sample_id", *names), "metrics")
+    if not metrics.limit(1).count():
+        raise ValueError("an evaluation needs at least one sample")
+    long = to_long(metrics.join(fold_id(metrics.select("sample_id"), folds), "sample_id"), names, "fold")
     per_fold = long.groupBy("name", "fold").agg(F.avg("value").alias("fold_mean"), F.sum("value").alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("rows"))
     return per_fold.groupBy("name").agg(F.sum("rows").alias("samples"), (F.sum("s") / F.sum("n")).alias("mean"), F.coalesce(F.stddev_samp("fold_mean"), F.lit(0.0)).alias("std"))
 
 
 def summarize_detection(hits: DataFrame, counts: DataFrame, folds: int = 5) -> DataFrame:
-    """One row (ap, ap_std, ar, ar_std): hits pooled per fold, then mean and std over defined folds."""
+    """One row (ap, ap_std, ar, ar_std): hits pooled per fold, then mean and std over defined folds.
+
+    hits as in pooled_ap_ar; with `hits` per threshold the folds join before the thresholds multiply rows."""
+    counts = written(counts.select("sample_id", "target_count"), "target-counts")
     f = fold_id(counts.select("sample_id"), folds)
     per = pooled_ap_ar(hits.join(f, "sample_id"), counts.join(f, "sample_id"), "fold")
     std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))

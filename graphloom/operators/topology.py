@@ -1,17 +1,19 @@
 """Topology of sample graphs: components, Betti numbers, filtrations, forests, H0 and H1 matching.
 
-A sample's graph has at most a few hundred nodes, so components and forests are folds over its sorted
-edges inside one row; all samples go through one shuffle on sample_id.
+Rows of all samples go through one shuffle on sample_id; forests of whole batches of samples come from one
+array kernel, and what walks a forest step by step sees its few edges only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+from .kernels import dense, forest, grouped_list, numbers, per_sample
+
 TOLERANCE = 1e-12
 
 
@@ -23,42 +25,56 @@ def canonical_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(known.withColumnRenamed("node_id", "dst"), ["sample_id", "dst"], "left_semi").select("sample_id", "src", "dst")
 
 
-def _packed(nodes: DataFrame, edges: DataFrame, order: Column) -> DataFrame:
-    """(sample_id, ids, links): sorted node ids and edges in order, ends as positions in ids."""
-    ids = nodes.groupBy("sample_id").agg(F.array_sort(F.collect_set("node_id")).alias("ids"))
-    lists = edges.groupBy("sample_id").agg(F.array_sort(F.collect_list(order)).alias("links"))
-    return ids.join(lists, "sample_id", "left")
-
+def _rows(nodes: DataFrame, edges: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Samples, nodes and edges as rows (sample_id, kind, src, dst): kind 0, 1 and 2."""
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = nodes.select("sample_id", kind(1), F.col("node_id").alias("src"), F.col("node_id").alias("dst")).unionByName(edges.select("sample_id", kind(2), "src", "dst"))
+    if samples is None:
+        return rows
+    zero = F.lit(0).cast(nodes.schema["node_id"].dataType)
+    return rows.unionByName(samples.select("sample_id", kind(0), zero.alias("src"), zero.alias("dst")))
 
-def _merge(labels: Column, a: Column, b: Column) -> Column:
-    la, lb = F.element_at(labels, a), F.element_at(labels, b)
-    return F.when(la == lb, labels).otherwise(F.transform(labels, lambda x: F.when(x == F.greatest(la, lb), F.least(la, lb)).otherwise(x)))
 
-
-def _labels(ids: str, links: str) -> Column:
-    """Component label of each node: the smallest position in its component."""
-    start = F.transform(F.col(ids), lambda _, i: i + 1)
-    at = lambda v: F.array_position(F.col(ids), v).cast("int")
-    return F.aggregate(F.coalesce(F.col(links), F.array().cast("array<struct<src:int,dst:int>>")), start, lambda s, e: _merge(s, at(e["src"]), at(e["dst"])))
+def _graphs(table: pa.Table, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sample, node, component number) per known node, (sample of each canonical edge), known-node places, of _rows."""
+    kind, src, dst = numbers(table, "kind", "src", "dst")
+    (a, b), sample, node = dense(code, src, dst)
+    known = np.zeros(len(node), bool)
+    known[a[kind == 1]] = True
+    edge = (kind == 2) & (a != b)
+    edge[edge] = known[a[edge]] & known[b[edge]]
+    pairs = np.unique(np.stack((np.minimum(a[edge], b[edge]), np.maximum(a[edge], b[edge])), 1), axis=0)
+    _, label = forest(pairs[:, 0], pairs[:, 1], len(node))
+    return sample, node, label, sample[pairs[:, 0]], known
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, node_id, component): the component is named by its smallest node id."""
-    e = canonical_edges(nodes, edges)
-    packed = _packed(nodes, e, F.struct("src", "dst")).withColumn("labels", _labels("ids", "links"))
-    flat = packed.select("sample_id", "ids", F.posexplode("labels").alias("i", "label"))
-    return flat.select("sample_id", F.get("ids", F.col("i")).alias("node_id"), F.get("ids", F.col("label") - 1).alias("component"))
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        sample, node, label, _, known = _graphs(table, code)
+        first = np.searchsorted(code, sample[known])
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(first)), "node_id": node[known], "component": node[label[known]]})
+
+    types = {x: nodes.schema[x].dataType.simpleString() for x in ("sample_id", "node_id")}
+    return per_sample(_rows(nodes, edges), kernel, f"sample_id {types['sample_id']}, node_id {types['node_id']}, component {types['node_id']}")
 
 
 def betti_numbers(samples: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, n_nodes, n_edges, beta0, beta1) for every sample; an empty graph has zeros."""
-    e = canonical_edges(nodes, edges)
-    packed = _packed(nodes, e, F.struct("src", "dst"))
-    n, m = F.size("ids"), F.coalesce(F.size("links"), F.lit(0))
-    beta0 = F.size(F.array_distinct(_labels("ids", "links")))
-    found = packed.select("sample_id", n.alias("n_nodes"), F.when(F.col("links").isNull(), 0).otherwise(m).alias("n_edges"), beta0.alias("beta0"))
-    out = samples.select("sample_id").join(found, "sample_id", "left").na.fill(0, ["n_nodes", "n_edges", "beta0"])
-    return out.withColumn("beta1", F.col("n_edges") - F.col("n_nodes") + F.col("beta0"))
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        sample, _, label, edge_sample, known = _graphs(table, code)
+        n = int(code[-1]) + 1
+        count = lambda of: np.bincount(of, minlength=n).astype(np.int32)
+        asked = np.unique(code[table["kind"].to_numpy() == 0])
+        n_nodes, n_edges = count(sample[known]), count(edge_sample)
+        beta0 = count(sample[known & (label == np.arange(len(label)))])
+        found = {"n_nodes": n_nodes, "n_edges": n_edges, "beta0": beta0, "beta1": n_edges - n_nodes + beta0}
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, asked))), **{k: v[asked] for k, v in found.items()}})
+
+    schema = f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, n_nodes int, n_edges int, beta0 int, beta1 int"
+    return per_sample(_rows(nodes, edges, samples), kernel, schema)
 
 
 def graph_filtration(nodes: DataFrame, candidates: DataFrame, terminal: float = 1.0) -> DataFrame:
@@ -70,102 +86,104 @@ def graph_filtration(nodes: DataFrame, candidates: DataFrame, terminal: float =
 
 
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """edges (sample_id, src, dst, f) with `in_forest`; edges enter by (f, src, dst).
+    """edges (sample_id, src, dst, f) with `in_forest`; edges enter by (f, src, dst), and one that closes a cycle stays outside."""
 
-    Kruskal's rule as a fold; an edge that closes a cycle stays outside."""
-    ends = edges.select("sample_id", F.explode(F.array("src", "dst")).alias("node_id"))
-    packed = _packed(ends, edges, F.struct("f", "src", "dst"))
-    at = lambda v: F.array_position(F.col("ids"), v).cast("int")
-    start = F.struct(F.transform("ids", lambda _, i: i + 1).alias("labels"), F.array().cast("array<boolean>").alias("kept"))
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        src, dst = numbers(table, "src", "dst")
+        (a, b), sample, _ = dense(code, src, dst)
+        return table.append_column("in_forest", pa.array(forest(a, b, len(sample))[0]))
 
-    def step(s, e):
-        a, b = at(e["src"]), at(e["dst"])
-        new = F.element_at(s["labels"], a) != F.element_at(s["labels"], b)
-        return F.struct(_merge(s["labels"], a, b).alias("labels"), F.concat(s["kept"], F.array(new)).alias("kept"))
-
-    folded = packed.withColumn("kept", F.aggregate("links", start, step, lambda s: s["kept"]))
-    flat = folded.select("sample_id", F.inline(F.arrays_zip("links", "kept")))
-    return flat.select("sample_id", "links.src", "links.dst", "links.f", F.col("kept").alias("in_forest"))
+    rows = edges.select("sample_id", "src", "dst", "f")
+    return per_sample(rows, kernel, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema) + ", in_forest boolean", ["f", "src", "dst"])
 
 
 # --- H0 -----------------------------------------------------------------------------------------
 
 
-class _Merging:
-    """Components of one filtered graph under the elder rule: of two that meet, the one with the larger
-    (birth, vertex) ends."""
+class _Elders:
+    """Components of one filtered graph: of two that meet, the one whose eldest vertex is younger ends."""
+
+    def __init__(self, births: np.ndarray):
+        self.births, self.root = births.tolist(), list(range(len(births)))
 
-    def __init__(self, births: dict[int, float]):
-        self.of = {v: v for v in births}
-        self.members = {v: [v] for v in births}
-        self.elder = {v: (b, v) for v, b in births.items()}
+    def eldest(self, v: int) -> int:
+        root = self.root
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
 
     def meet(self, u: int, v: int) -> int | None:
         """Vertex whose component ends, or None inside one component."""
-        a, b = self.of[u], self.of[v]
-        if a == b:
+        u, v = self.eldest(u), self.eldest(v)
+        if u == v:
             return None
-        if self.elder[a] > self.elder[b]:
-            a, b = b, a
-        ended = self.elder.pop(b)[1]
-        for x in self.members[b]:
-            self.of[x] = a
-        self.members[a] += self.members.pop(b)
-        return ended
-
-
-def _graph(pairs: list[tuple[int, int]], p: list[float], n: int, terminal: float) -> tuple[dict[int, float], dict[tuple[int, int], float]]:
-    best = dict.fromkeys(range(n), 0.0)
-    for (u, v), x in zip(pairs, p):
-        best[u], best[v] = max(best[u], x), max(best[v], x)
-    births = {v: terminal * (1 - x) for v, x in best.items()}
-    return births, {e: max(terminal * (1 - x), births[e[0]], births[e[1]]) for e, x in zip(pairs, p)}
-
-
-def _h0_of(pairs: list[tuple[int, int]], p: list[float], truth: list[bool], n: int, terminal: float) -> list[tuple]:
-    """(side, birth_vertex, birth, death, death_src, death_dst, partner) rows of one sample."""
-    sides = {"prediction": _graph(pairs, p, n, terminal), "target": _graph(pairs, [float(t) for t in truth], n, terminal)}
-    rows: dict[str, dict[int, tuple]] = {}
-    for side, (births, values) in sides.items():
-        merging, rows[side] = _Merging(births), {}
-        for e in sorted(pairs, key=lambda e: (values[e], e)):
-            ended = merging.meet(*e)
-            if ended is not None and values[e] - births[ended] > TOLERANCE:
-                rows[side][ended] = (births[ended], values[e], *e)
-    lower = ({v: min(sides["prediction"][0][v], sides["target"][0][v]) for v in range(n)}, {e: min(sides["prediction"][1][e], sides["target"][1][e]) for e in pairs})
-    joint = {"prediction": _Merging(sides["prediction"][0]), "target": _Merging(sides["target"][0])}
-    both, partner = _Merging(lower[0]), {"prediction": {}, "target": {}}
-    for e in sorted(pairs, key=lambda e: (lower[1][e], e)):
-        ended = both.meet(*e)
-        if ended is None:
-            continue
-        a, b = joint["prediction"].meet(*e), joint["target"].meet(*e)
-        if lower[1][e] - lower[0][ended] > TOLERANCE and a in rows["prediction"] and b in rows["target"]:
-            partner["prediction"][a], partner["target"][b] = b, a
-    return [(side, v, *row, partner[side].get(v)) for side in rows for v, row in sorted(rows[side].items())]
+        if (self.births[u], u) > (self.births[v], v):
+            u, v = v, u
+        self.root[v] = u
+        return v
+
+
+def _filtration(a: np.ndarray, b: np.ndarray, p: np.ndarray, n: int, terminal: float) -> tuple[np.ndarray, np.ndarray]:
+    """(births of vertices, values of edges) of edge probabilities."""
+    best = np.zeros(n)
+    np.maximum.at(best, a, p)
+    np.maximum.at(best, b, p)
+    births = terminal * (1 - best)
+    return births, np.maximum(terminal * (1 - p), np.maximum(births[a], births[b]))
 
 
 def h0_matching(samples: DataFrame, candidates: DataFrame, terminal: float = 1.0) -> DataFrame:
     """H0 pairs of both sides: (sample_id, side, birth_vertex, birth, death, death_src, death_dst, matched, partner).
 
-    samples: (sample_id, n_vertices); candidates: (sample_id, src, dst, p, is_true), vertices 0..n-1.
-    Sequential by nature, so it runs per sample on packed rows."""
-    lists = candidates.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "p", "is_true"))).alias("c"))
-    packed = samples.select("sample_id", "n_vertices").join(lists, "sample_id")
+    samples: (sample_id, n_vertices); candidates: (sample_id, src, dst, p, is_true), each pair once.
+    Components only meet at forest edges, so the sequential walks see at most one edge a vertex."""
+    marks = samples.select("sample_id", F.lit(True).alias("known"))
     id_type = samples.schema["sample_id"].dataType.simpleString()
-    names = ["sample_id", "side", "birth_vertex", "birth", "death", "death_src", "death_dst", "partner"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for sample, n, c in zip(frame["sample_id"], frame["n_vertices"], frame["c"]):
-                pairs = [(int(x["src"]), int(x["dst"])) for x in c]
-                if len(set(pairs)) != len(pairs):
-                    raise ValueError(f"duplicate candidate edge in sample {sample}")
-                rows += [(sample, *r) for r in _h0_of(pairs, [float(x["p"]) for x in c], [bool(x["is_true"]) for x in c], int(n), terminal)]
-            yield pd.DataFrame(rows, columns=names).astype({"partner": "Int32"})
-
-    out = packed.mapInPandas(run, f"sample_id {id_type}, side string, birth_vertex int, birth double, death double, death_src int, death_dst int, partner int")
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        src, dst, p = numbers(table, "src", "dst", "p")
+        truth = table["is_true"].to_numpy().astype(float)
+        again = np.flatnonzero((src[1:] == src[:-1]) & (dst[1:] == dst[:-1]) & (code[1:] == code[:-1]))
+        if len(again):
+            raise ValueError(f"duplicate candidate edge in sample {table['sample_id'][int(again[0])]}")
+        (a, b), sample, node = dense(code, src, dst)
+        n = len(node)
+        sides = {"prediction": _filtration(a, b, p, n, terminal), "target": _filtration(a, b, truth, n, terminal)}
+        lower = tuple(np.minimum(x, y) for x, y in zip(*sides.values()))
+
+        def walk(values: np.ndarray) -> list[tuple[int, int, int]]:
+            """Forest edges in order of entry: (edge, ends)."""
+            order = np.lexsort((b, a, values))
+            order = order[forest(a[order], b[order], n)[0]]
+            return list(zip(order.tolist(), a[order].tolist(), b[order].tolist()))
+
+        ended: dict[str, dict[int, int]] = {}
+        for side, (births, values) in sides.items():
+            elders, ended[side] = _Elders(births), {}
+            for e, u, v in walk(values):
+                victim = elders.meet(u, v)
+                if values[e] - births[victim] > TOLERANCE:
+                    ended[side][victim] = e
+        both, joint, partner = _Elders(lower[0]), {side: _Elders(sides[side][0]) for side in sides}, {side: {} for side in sides}
+        for e, u, v in walk(lower[1]):
+            victim = both.meet(u, v)
+            x, y = joint["prediction"].meet(u, v), joint["target"].meet(u, v)
+            if lower[1][e] - lower[0][victim] > TOLERANCE and x in ended["prediction"] and y in ended["target"]:
+                partner["prediction"][x], partner["target"][y] = y, x
+        rows = [(side, v, e, partner[side].get(v, -1)) for side in sides for v, e in ended[side].items()]
+        names = [r[0] for r in rows]
+        vertex, edge, mate = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+        predicted = np.array([x == "prediction" for x in names], bool)
+        pick = lambda i, at: np.where(predicted, sides["prediction"][i][at], sides["target"][i][at])
+        return pa.table({
+            "sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, sample[vertex]))), "side": pa.array(names, pa.string()), "birth_vertex": node[vertex].astype(np.int32),
+            "birth": pick(0, vertex), "death": pick(1, edge), "death_src": src[edge].astype(np.int32), "death_dst": dst[edge].astype(np.int32),
+            "partner": pa.array(node[mate].astype(np.int32), mask=mate < 0),
+        })
+
+    known = candidates.join(marks, "sample_id", "left_semi").select("sample_id", "src", "dst", F.col("p").cast("double").alias("p"), "is_true")
+    out = per_sample(known, kernel, f"sample_id {id_type}, side string, birth_vertex int, birth double, death double, death_src int, death_dst int, partner int", ["src", "dst"])
     return out.withColumn("matched", F.col("partner").isNotNull())
 
 
@@ -199,26 +217,42 @@ def h1_classes(candidates: DataFrame) -> DataFrame:
 
 
 def h1_matching(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ranks, classes) of the H1 matching in closed form.
+    """(ranks, classes) of the H1 matching in closed form; a candidate that stands twice raises.
 
     ranks: sample_id, shared, false, missed, union_only; classes: h1_classes with `matched`.
     Prediction classes are the edges outside the forest of the live edges; shared ones those outside the
-    forest of the live true edges; the rest follows from Betti numbers of edge sets."""
-    c = candidates.withColumn("f", 1 - F.col("p")).withColumn("live", F.col("p") > TOLERANCE)
-
-    def outside(where: str) -> DataFrame:
-        return minimum_spanning_forest(c.where(where)).where("not in_forest")
-
-    classes, shared = outside("live"), outside("live and is_true")
-    rank = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))
-    ranks = c.select("sample_id").distinct()
-    for df, name in ((classes, "predicted"), (shared, "shared"), (outside("is_true"), "target"), (outside("live or is_true"), "union")):
-        ranks = ranks.join(rank(df, name), "sample_id", "left")
-    ranks = ranks.na.fill(0)
-    ranks = ranks.select("sample_id", "shared", (F.col("predicted") - F.col("shared")).alias("false"), (F.col("target") - F.col("shared")).alias("missed"), (F.col("union") - F.col("predicted") - F.col("target") + F.col("shared")).alias("union_only"))
-    hit = shared.select("sample_id", "src", "dst", F.lit(True).alias("hit"))
-    marked = classes.join(hit, ["sample_id", "src", "dst"], "left")
-    return ranks, marked.select("sample_id", "src", "dst", F.col("f").alias("birth"), F.coalesce("hit", F.lit(False)).alias("matched"))
+    forest of the live true edges; the rest follows from Betti numbers of edge sets.  One pass finds the
+    four forests of a sample; its result, a row per sample, is written once for both tables."""
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        src, dst, p, f = numbers(table, "src", "dst", "p", "f")
+        true, live = table["is_true"].to_numpy(), p > TOLERANCE
+        (a, b), node_sample, _ = dense(code, src, dst)
+        pair = a.astype(np.int64) * len(node_sample) + b
+        _, first = np.unique(pair, return_index=True)
+        if len(first) < len(pair):
+            twice = np.setdiff1d(np.arange(len(pair)), first)[0]
+            raise ValueError(f"duplicate candidate edge in sample {table['sample_id'][int(twice)]}")
+        n = int(code[-1]) + 1
+
+        def outside(members: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(members)
+            return at[~forest(a[at], b[at], len(node_sample))[0]]
+
+        classes, shared = outside(live), outside(live & true)
+        hit = np.zeros(len(a), bool)
+        hit[shared] = True
+        count = lambda at: np.bincount(code[at], minlength=n).astype(np.int64)
+        flat = pa.StructArray.from_arrays([pa.array(src[classes]), pa.array(dst[classes]), pa.array(f[classes]), pa.array(hit[classes])], ["src", "dst", "birth", "matched"])
+        ranks = {"predicted": count(classes), "shared": count(shared), "target": count(outside(true)), "union": count(outside(live | true))}
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, np.arange(n)))), **ranks, "classes": grouped_list(flat, code[classes], n)})
+
+    c = candidates.select("sample_id", "src", "dst", F.col("p").cast("double").alias("p"), (1 - F.col("p").cast("double")).alias("f"), "is_true")
+    types = {x.name: x.dataType.simpleString() for x in c.schema}
+    schema = f"sample_id {types['sample_id']}, predicted long, shared long, target long, union long, classes array<struct<src:{types['src']},dst:{types['dst']},birth:double,matched:boolean>>"
+    found = written(per_sample(c, kernel, schema, ["f", "src", "dst"]), "h1-matching")
+    ranks = found.select("sample_id", "shared", (F.col("predicted") - F.col("shared")).alias("false"), (F.col("target") - F.col("shared")).alias("missed"), (F.col("union") - F.col("predicted") - F.col("target") + F.col("shared")).alias("union_only"))
+    return ranks, found.select("sample_id", F.inline("classes"))
 
 
 def h1_loss(ranks: DataFrame, classes: DataFrame, false_weight: float = 1.0, missed_weight: float = 1.0, diagonal: float = 0.5) -> DataFrame:
@@ -230,10 +264,34 @@ def h1_loss(ranks: DataFrame, classes: DataFrame, false_weight: float = 1.0, mis
     return ranks.join(sums, "sample_id", "left").select("sample_id", (total / count).alias("loss"))
 
 
+def matched_candidates(pairs: DataFrame, matched: DataFrame, target_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, candidates) of the topology losses: all pairs of matched queries of a sample.
+
+    pairs: (sample_id, src, dst, p) of query ids, src < dst, with the mean of both orders' softmaxed
+    probabilities (inference.symmetric_probability); matched: (sample_id, query_id, target_id);
+    target_edges: (sample_id, src, dst) of target ids.  A vertex is a query's position in the order of ids.
+    """
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("query_id")) - 1
+    m = matched.select("sample_id", "query_id", "target_id", place.alias("vertex"))
+    samples = m.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n_vertices"))
+    end = lambda side: m.select("sample_id", F.col("query_id").alias(side), F.col("vertex").alias(f"{side}_vertex"), F.col("target_id").alias(f"{side}_target"))
+    both = pairs.join(end("src"), ["sample_id", "src"]).join(end("dst"), ["sample_id", "dst"])
+    ends = both.select("sample_id", F.col("src_vertex").alias("src"), F.col("dst_vertex").alias("dst"), "p", F.least("src_target", "dst_target").alias("t_src"), F.greatest("src_target", "dst_target").alias("t_dst"))
+    true = target_edges.select("sample_id", F.least("src", "dst").alias("t_src"), F.greatest("src", "dst").alias("t_dst"), F.lit(True).alias("true")).distinct()
+    marked = ends.join(true, ["sample_id", "t_src", "t_dst"], "left")
+    return samples, marked.select("sample_id", "src", "dst", "p", F.coalesce("true", F.lit(False)).alias("is_true"))
+
+
 def topology_report(samples: DataFrame, h0: DataFrame, h1: DataFrame) -> DataFrame:
     """One row: mean H0 loss over samples with 2 matched nodes or more, mean H1 loss with 3 or more.
 
-    samples: (sample_id, n_vertices); a sample without candidate pairs of either kind has loss 0."""
+    samples: (sample_id, n_vertices); a sample without candidate pairs of either kind has loss 0.  Losses
+    that are not finite take no part, and their samples are not counted."""
     s = samples.select("sample_id", "n_vertices").join(h0.select("sample_id", F.col("loss").alias("l0")), "sample_id", "left").join(h1.select("sample_id", F.col("loss").alias("l1")), "sample_id", "left")
-    mean = lambda c, least: F.avg(F.when(F.col("n_vertices") >= least, F.coalesce(c, F.lit(0.0))))
-    return s.agg(mean("l0", 2).alias("h0_loss"), mean("l1", 3).alias("h1_loss"), F.sum((F.col("n_vertices") >= 2).cast("int")).alias("h0_samples"), F.sum((F.col("n_vertices") >= 3).cast("int")).alias("h1_samples"))
+
+    def usable(c: str, least: int) -> Column:
+        value = F.coalesce(c, F.lit(0.0))
+        return F.when((F.col("n_vertices") >= least) & ~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+    l0, l1 = usable("l0", 2), usable("l1", 3)
+    return s.agg(F.avg(l0).alias("h0_loss"), F.avg(l1).alias("h1_loss"), F.count(l0).alias("h0_samples"), F.count(l1).alias("h1_samples"))

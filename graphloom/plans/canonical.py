@@ -106,11 +106,10 @@ iou AS (
 
 
 def known_hits(n: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, counts) with hits given by a rule, for metrics that start from hits."""
+    """(hits per threshold, counts) with hits given by a rule, for metrics that start from hits."""
     p = predicted_nodes(n)
-    t = F.explode(F.array(*[F.lit(i) for i in range(10)]))
-    h = p.select("sample_id", F.col("node_id").alias("rank"), "score", t.alias("step"))
-    hits = h.select("sample_id", (0.5 + F.col("step") * 0.05).alias("iou_t"), "rank", "score", (F.pmod(F.col("sample_id") + F.col("rank") * 3, F.lit(11)) >= F.col("step")).alias("hit"))
+    flags = F.array(*[F.pmod(F.col("sample_id") + F.col("node_id") * 3, F.lit(11)) >= i for i in range(10)])
+    hits = p.select("sample_id", F.col("node_id").alias("rank"), "score", flags.alias("hits"))
     return hits, n.groupBy("sample_id").agg(F.count(F.lit(1)).alias("target_count"))
 
 
