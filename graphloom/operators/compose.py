@@ -49,13 +49,14 @@ def sample_params(samples: DataFrame, seed: int) -> DataFrame:
 
 
 def augment_nodes(nodes: DataFrame, params: DataFrame, shape) -> DataFrame:
-    """Rotate, zoom and flip nodes by the parameters of their sample; adds `valid`."""
+    """Rotate, zoom and flip nodes by the parameters of their sample; adds `valid`: within the volume before and after."""
     size = g.axis_sizes(shape)
-    n = nodes.join(params.select("sample_id", "turns", "flip", "zoom"), "sample_id")
+    n = g.valid_coordinates(nodes, shape).withColumnRenamed("valid", "_before").join(params.select("sample_id", "turns", "flip", "zoom"), "sample_id")
     n = n.withColumn("new_shape", F.struct(*[size[a].alias(a) for a in AXES]))
     n = g.rotate_nodes(n, "turns", "new_shape")
     n = g.flip_nodes(g.zoom_nodes(n, "zoom", "new_shape"), "flip", "new_shape")
-    return g.valid_coordinates(n, "new_shape").drop("turns", "flip", "zoom")
+    n = g.valid_coordinates(n, "new_shape")
+    return n.withColumn("valid", F.col("valid") & F.col("_before")).drop("turns", "flip", "zoom", "_before")
 
 
 def augment_voxels(voxels: DataFrame, params: DataFrame, shape, mode: str = "nearest", seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import topology as topo
 from ..operators import transport
 
 METRICS = (
-    "smd", "node_ap", "node_ar", "edge_ap", "edge_ar", "beta0_absolute_error", "beta1_absolute_error", "node_count_error", "edge_count_error",
+    "smd", "node_mAP", "node_mAR", "edge_mAP", "edge_mAR", "beta0_absolute_error", "beta1_absolute_error", "node_count_absolute_error", "edge_count_absolute_error",
     "target_beta0", "target_beta1", "predicted_beta0", "predicted_beta1", "target_nodes", "target_edges", "predicted_nodes", "predicted_edges",
 )
 
@@ -24,7 +24,7 @@ def graph_counts(samples: DataFrame, target_nodes: DataFrame, target_edges: Data
 
     both = side("target", target_nodes, target_edges).join(side("predicted", pred_nodes, pred_edges), "sample_id")
     gap = lambda x: F.abs(F.col(f"target_{x}") - F.col(f"predicted_{x}"))
-    return both.withColumns({"beta0_absolute_error": gap("beta0"), "beta1_absolute_error": gap("beta1"), "node_count_error": gap("nodes"), "edge_count_error": gap("edges")})
+    return both.withColumns({"beta0_absolute_error": gap("beta0"), "beta1_absolute_error": gap("beta1"), "node_count_absolute_error": gap("nodes"), "edge_count_absolute_error": gap("edges")})
 
 
 def detection_tables(target_nodes: DataFrame, target_edges: DataFrame, pred_nodes: DataFrame, pred_edges: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
@@ -43,6 +43,6 @@ def evaluate_graphs(samples: DataFrame, target_nodes: DataFrame, target_edges: D
     out = graph_counts(samples, target_nodes, target_edges, pred_nodes, pred_edges)
     for kind, (p, t) in detection_tables(target_nodes, target_edges, pred_nodes, pred_edges).items():
         m = det.sample_ap_ar(p, t, samples)
-        out = out.join(m.select("sample_id", F.col("ap").alias(f"{kind}_ap"), F.col("ar").alias(f"{kind}_ar")), "sample_id")
+        out = out.join(m.select("sample_id", F.col("ap").alias(f"{kind}_mAP"), F.col("ar").alias(f"{kind}_mAR")), "sample_id")
     smd = transport.street_mover_distance(samples, target_nodes, target_edges, pred_nodes, pred_edges, points)
     return out.join(smd, "sample_id").select("sample_id", *METRICS)

@@ -397,8 +397,8 @@ def q05(s, d):
 @_query("q06_infer_graphs")
 def q06(s, d):
     nodes, edges = inf.infer_graphs(c.queries(s, d), _head())
-    count = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))
-    return count(nodes, "n_nodes").join(count(edges, "n_edges"), "sample_id", "left").na.fill(0)
+    vertices = nodes.select("sample_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(None).cast("double").alias("score"))
+    return vertices.unionByName(edges.select("sample_id", "src", "dst", *r6("score")))
 
 
 # --- detection ----------------------------------------------------------------------------------
@@ -463,9 +463,19 @@ def d07(s, d):
     return det.top_detections(c.detections(c.nodes(s, d))[0], 3).select("sample_id", "pred_id", "rank")
 
 
-@_query("d08_greedy_match")
+GREEDY = """opt AS (SELECT sample_id, pred_id, list({'t': target_id, 'iou': iou} ORDER BY iou DESC, target_id) AS o FROM iou WHERE iou >= 0.5 GROUP BY ALL),
+  turn AS (SELECT p.sample_id, p.score, row_number() OVER (PARTITION BY p.sample_id ORDER BY p.score DESC, p.pred_id) AS r, o FROM pred p LEFT JOIN opt USING (sample_id, pred_id)),
+  greedy_walk AS (
+    SELECT DISTINCT sample_id, step, (0.5 + step * 0.05)::DOUBLE AS t, 0::BIGINT AS r, 0::DOUBLE AS score, []::INTEGER[] AS used, false AS hit FROM turn, range(10) AS s(step)
+    UNION ALL
+    SELECT w.sample_id, w.step, w.t, k.r, k.score, CASE WHEN len(x) > 0 THEN list_append(w.used, x[1].t::INTEGER) ELSE w.used END, coalesce(len(x) > 0, false)
+    FROM greedy_walk w JOIN turn k ON k.sample_id = w.sample_id AND k.r = w.r + 1, LATERAL (SELECT list_filter(k.o, lambda z: z.iou >= w.t AND NOT list_contains(w.used, z.t)) AS x)),
+  gm AS (SELECT sample_id, step, t AS iou_t, r AS rank, score, hit FROM greedy_walk WHERE r > 0)"""
+
+
+@_query("d08_greedy_match", c.NODES, c.DETECTIONS, GREEDY, sql="SELECT sample_id, round(iou_t, 6) AS iou_t, rank, round(score, 6) AS score, hit FROM gm")
 def d08(s, d):
-    return det.greedy_match(*c.detections(c.nodes(s, d))).select("sample_id", "iou_t", "rank", *r6("score"), "hit")
+    return det.greedy_match(*c.detections(c.nodes(s, d))).select("sample_id", *r6("iou_t"), "rank", *r6("score"), "hit")
 
 
 def _pooled_sql(by: str, source: str) -> str:
@@ -484,7 +494,11 @@ def d09(s, d):
     return det.pooled_ap_ar(hits.select("*", grp), counts.select("*", grp), "grp").select("grp", *r6("ap", "ar"))
 
 
-@_query("d10_sample_ap_ar")
+COUNTED = "hits AS (SELECT * FROM gm), counts AS (SELECT o_orderkey AS sample_id, (SELECT count(*) FROM nodes WHERE nodes.sample_id = o_orderkey) AS target_count FROM orders)"
+
+
+@_query("d10_sample_ap_ar", c.NODES, c.DETECTIONS, GREEDY, COUNTED, _pooled_sql("sample_id", "hits"), sql="""SELECT sample_id, CASE WHEN target_count > 0 THEN round(ap, 6) END AS ap, CASE WHEN target_count > 0 THEN round(ar, 6) END AS ar
+  FROM counts JOIN pooled ON grp = sample_id""")
 def d10(s, d):
     p, t = c.detections(c.nodes(s, d))
     return det.sample_ap_ar(p, t, c.samples(s, d)).select("sample_id", *r6("ap", "ar"))
@@ -539,38 +553,96 @@ def t04(s, d):
 LIVE = "live AS (SELECT * FROM cand WHERE p > 1e-12), live_true AS (SELECT * FROM live WHERE is_true), truth AS (SELECT * FROM cand WHERE is_true), live_or_true AS (SELECT * FROM cand WHERE is_true OR p > 1e-12)"
 
 
-@_query("t05_minimum_spanning_forest", c.NODES, c.CANDIDATES, LIVE, _betti("b", "live"), sql="SELECT sample_id, n_nodes - beta0 AS forest_edges, beta1 AS cycle_edges FROM b WHERE n_edges > 0")
+def _forest_sql(name: str, edges: str) -> str:
+    """CTE <name>(sample_id, src, dst, p, in_forest): edges enter one after the other by (1 - p, src, dst)."""
+    return f"""{name}_in AS (SELECT sample_id, src, dst, p, row_number() OVER (PARTITION BY sample_id ORDER BY 1 - p, src, dst) AS i FROM {edges}),
+  {name}_walk AS (
+    SELECT sample_id, 0::BIGINT AS i, 0 AS src, 0 AS dst, 0::DOUBLE AS p, range(max(dst) + 1) AS labels, false AS in_forest FROM {name}_in GROUP BY sample_id
+    UNION ALL
+    SELECT w.sample_id, e.i, e.src, e.dst, e.p, list_transform(w.labels, lambda x: CASE WHEN x = greatest(w.labels[e.src + 1], w.labels[e.dst + 1]) THEN least(w.labels[e.src + 1], w.labels[e.dst + 1]) ELSE x END), w.labels[e.src + 1] <> w.labels[e.dst + 1]
+    FROM {name}_walk w JOIN {name}_in e ON e.sample_id = w.sample_id AND e.i = w.i + 1),
+  {name} AS (SELECT sample_id, src, dst, p, in_forest FROM {name}_walk WHERE i > 0)"""
+
+
+@_query("t05_minimum_spanning_forest", c.NODES, c.CANDIDATES, LIVE, _forest_sql("fo", "live"), sql="SELECT sample_id, src, dst, round(1 - p, 6) AS f, in_forest FROM fo")
 def t05(s, d):
     e = c.candidates(c.nodes(s, d)).where("p > 1e-12").withColumn("f", 1 - F.col("p"))
-    kept = F.col("in_forest").cast("int")
-    return topo.minimum_spanning_forest(e).groupBy("sample_id").agg(F.sum(kept).alias("forest_edges"), F.sum(1 - kept).alias("cycle_edges"))
+    return topo.minimum_spanning_forest(e).select("sample_id", "src", "dst", *r6("f"), "in_forest")
+
+
+def _eldest(births: str, u: str, v: str) -> tuple[str, str]:
+    """(root that stays, root that ends) of two roots under the elder rule; births: list by vertex."""
+    order = f"({births}[{u} + 1], {u}) <= ({births}[{v} + 1], {v})"
+    return f"CASE WHEN {order} THEN {u} ELSE {v} END", f"CASE WHEN {order} THEN {v} ELSE {u} END"
+
+
+def _elders_sql(name: str, edges: str, sides: tuple[str, ...]) -> str:
+    """CTE <name>: sequential merges of the edges (sample_id, i, src, dst, value) that join two components of the
+    first side; ended_<side>: vertex that ends on each side, null inside one component.  births: lists b_<side>."""
+    columns, steps, ends = [], [], []
+    for side in sides:
+        u, v = (f"w.l_{side}[e.{x} + 1]" for x in ("src", "dst"))
+        stays, ended = _eldest(f"w.b_{side}", u, v)
+        first = f"w.l_{sides[0]}[e.src + 1] <> w.l_{sides[0]}[e.dst + 1]"
+        columns.append(f"range(n) AS l_{side}, b_{side}, NULL::BIGINT AS ended_{side}")
+        steps.append(f"CASE WHEN {first} THEN list_transform(w.l_{side}, lambda x: CASE WHEN x = {u} OR x = {v} THEN {stays} ELSE x END) ELSE w.l_{side} END, w.b_{side}, CASE WHEN {first} AND {u} <> {v} THEN {ended} END")
+        ends.append(f"ended_{side}, b_{side}")
+    return f"""{name}_walk AS (
+    SELECT sample_id, 0::BIGINT AS i, 0 AS src, 0 AS dst, 0::DOUBLE AS value, {", ".join(columns)} FROM births
+    UNION ALL
+    SELECT w.sample_id, e.i, e.src, e.dst, e.value, {", ".join(steps)} FROM {name}_walk w JOIN {edges} e ON e.sample_id = w.sample_id AND e.i = w.i + 1),
+  {name} AS (SELECT sample_id, i, src, dst, value, {", ".join(ends)} FROM {name}_walk WHERE ended_{sides[0]} IS NOT NULL)"""
+
+
+H0 = f"""birth1 AS (SELECT sample_id, v, 1 - max(p) AS bp, 1 - max(is_true::INT)::DOUBLE AS bt FROM (SELECT sample_id, src AS v, p, is_true FROM cand UNION ALL SELECT sample_id, dst, p, is_true FROM cand) GROUP BY ALL),
+  births AS (SELECT sample_id, count(*) AS n, list(bp ORDER BY v) AS b_p, list(bt ORDER BY v) AS b_t, list(least(bp, bt) ORDER BY v) AS b_m FROM birth1 GROUP BY sample_id),
+  val AS (SELECT c.sample_id, src, dst, greatest(1 - p, b_p[src + 1], b_p[dst + 1]) AS vp, greatest(1 - is_true::INT::DOUBLE, b_t[src + 1], b_t[dst + 1]) AS vt FROM cand c JOIN births USING (sample_id)),
+  {", ".join(f"e_{k} AS (SELECT sample_id, src, dst, {v} AS value, row_number() OVER (PARTITION BY sample_id ORDER BY {v}, src, dst) AS i FROM val)" for k, v in (("p", "vp"), ("t", "vt"), ("m", "least(vp, vt)")))},
+  {_elders_sql("wp", "e_p", ("p",))}, {_elders_sql("wt", "e_t", ("t",))}, {_elders_sql("wm", "e_m", ("m", "p", "t"))},
+  pairs AS (
+    SELECT sample_id, 'prediction' AS side, ended_p AS v, b_p[ended_p + 1] AS birth, value AS death, src, dst FROM wp WHERE value - b_p[ended_p + 1] > 1e-12
+    UNION ALL SELECT sample_id, 'target', ended_t, b_t[ended_t + 1], value, src, dst FROM wt WHERE value - b_t[ended_t + 1] > 1e-12),
+  met AS (
+    SELECT wm.sample_id, ended_p AS x, ended_t AS y FROM wm WHERE value - b_m[ended_m + 1] > 1e-12
+      AND (wm.sample_id, ended_p) IN (SELECT (sample_id, v) FROM pairs WHERE side = 'prediction') AND (wm.sample_id, ended_t) IN (SELECT (sample_id, v) FROM pairs WHERE side = 'target')),
+  marked AS (SELECT p.*, CASE WHEN side = 'prediction' THEN a.y ELSE b.x END AS partner FROM pairs p LEFT JOIN met a ON a.sample_id = p.sample_id AND a.x = p.v AND side = 'prediction' LEFT JOIN met b ON b.sample_id = p.sample_id AND b.y = p.v AND side = 'target')"""
+H0_LOSS = """h0 AS (
+    SELECT p.sample_id, sum((p.partner IS NOT NULL AND p.side = 'prediction')::INT) AS matched, sum((p.partner IS NULL AND p.side = 'prediction')::INT) AS false, sum((p.partner IS NULL AND p.side = 'target')::INT) AS missed,
+      sum(CASE WHEN p.partner IS NULL THEN 0.5::DOUBLE * pow(p.death - p.birth, 2) WHEN p.side = 'prediction' THEN pow(p.birth - t.birth, 2) + pow(p.death - t.death, 2) ELSE 0 END) AS total
+    FROM marked p LEFT JOIN marked t ON p.side = 'prediction' AND t.side = 'target' AND t.sample_id = p.sample_id AND t.v = p.partner GROUP BY p.sample_id)"""
+H1 = f"""{_forest_sql("fl", "live")}, {_forest_sql("ft", "live_true")},
+  cls AS (SELECT l.sample_id, l.src, l.dst, 1 - l.p AS birth, coalesce(NOT t.in_forest, false) AS matched FROM fl l LEFT JOIN ft t USING (sample_id, src, dst) WHERE NOT l.in_forest)"""
+H1_RANKS = """rk AS (
+    SELECT p.sample_id, coalesce(sh.beta1, 0) AS shared, p.beta1 - coalesce(sh.beta1, 0) AS false, t.beta1 - coalesce(sh.beta1, 0) AS missed FROM p JOIN sh USING (sample_id) JOIN t USING (sample_id) WHERE p.n_nodes > 1),
+  h1 AS (SELECT sample_id, (coalesce(found, 0) + missed * 0.5::DOUBLE) / greatest(shared + "false" + missed, 1) AS loss FROM rk
+    LEFT JOIN (SELECT sample_id, sum(CASE WHEN matched THEN pow(birth, 2) ELSE 0.5::DOUBLE * pow(1 - birth, 2) END) AS found FROM cls GROUP BY 1) USING (sample_id))"""
 
 
 def _vertices(n: DataFrame) -> DataFrame:
     return n.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n_vertices"))
 
 
-@_query("t06_h0_pairs")
+@_query("t06_h0_pairs", c.NODES, c.CANDIDATES, H0, sql=f"SELECT sample_id, v AS birth_vertex, {s6('birth', 'death')}, src AS death_src, dst AS death_dst FROM pairs WHERE side = 'prediction'")
 def t06(s, d):
     n = c.nodes(s, d)
     return topo.h0_pairs(_vertices(n), c.candidates(n)).select("sample_id", "birth_vertex", *r6("birth", "death"), "death_src", "death_dst")
 
 
-@_query("t07_h0_matching")
+@_query("t07_h0_matching", c.NODES, c.CANDIDATES, H0, sql=f"SELECT sample_id, side, v AS birth_vertex, {s6('birth', 'death')}, src AS death_src, dst AS death_dst, partner, partner IS NOT NULL AS matched FROM marked")
 def t07(s, d):
     n = c.nodes(s, d)
-    return topo.h0_matching(_vertices(n), c.candidates(n)).select("sample_id", "side", "birth_vertex", *r6("birth", "death"), "matched")
+    return topo.h0_matching(_vertices(n), c.candidates(n)).select("sample_id", "side", "birth_vertex", *r6("birth", "death"), "death_src", "death_dst", "partner", "matched")
 
 
-@_query("t08_h0_loss")
+@_query("t08_h0_loss", c.NODES, c.CANDIDATES, H0, H0_LOSS, sql='SELECT sample_id, matched, "false", missed, round(total / greatest(matched + "false" + missed, 1), 6) AS loss FROM h0')
 def t08(s, d):
     n = c.nodes(s, d)
     return topo.h0_loss(topo.h0_matching(_vertices(n), c.candidates(n))).select("sample_id", "matched", "false", "missed", *r6("loss"))
 
 
-@_query("t09_h1_classes", c.NODES, c.CANDIDATES, LIVE, _betti("b", "live"), sql="SELECT sample_id, beta1 AS classes FROM b WHERE beta1 > 0")
+@_query("t09_h1_classes", c.NODES, c.CANDIDATES, LIVE, _forest_sql("fl", "live"), sql="SELECT sample_id, src, dst, round(1 - p, 6) AS birth FROM fl WHERE NOT in_forest")
 def t09(s, d):
-    return topo.h1_classes(c.candidates(c.nodes(s, d))).groupBy("sample_id").agg(F.count(F.lit(1)).alias("classes"))
+    return topo.h1_classes(c.candidates(c.nodes(s, d))).select("sample_id", "src", "dst", *r6("birth"))
 
 
 @_query("t10_h1_matching", c.NODES, c.CANDIDATES, LIVE, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), _betti("u", "live_or_true"), sql="""
@@ -580,12 +652,19 @@ def t10(s, d):
     return topo.h1_matching(c.candidates(c.nodes(s, d)))[0]
 
 
-@_query("t11_h1_loss")
+@_query("t10_h1_matched_classes", c.NODES, c.CANDIDATES, LIVE, H1, sql="SELECT sample_id, src, dst, round(birth, 6) AS birth, matched FROM cls")
+def t10c(s, d):
+    return topo.h1_matching(c.candidates(c.nodes(s, d)))[1].select("sample_id", "src", "dst", *r6("birth"), "matched")
+
+
+@_query("t11_h1_loss", c.NODES, c.CANDIDATES, LIVE, H1, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), H1_RANKS, sql="SELECT sample_id, round(loss, 6) AS loss FROM h1")
 def t11(s, d):
     return topo.h1_loss(*topo.h1_matching(c.candidates(c.nodes(s, d)))).select("sample_id", *r6("loss"))
 
 
-@_query("t12_topology_report")
+@_query("t12_topology_report", c.NODES, c.CANDIDATES, LIVE, H0, H0_LOSS, H1, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), H1_RANKS, sql="""
+  SELECT round(avg(CASE WHEN n >= 2 THEN coalesce(total / greatest(matched + "false" + missed, 1), 0) END), 6) AS h0_loss, round(avg(CASE WHEN n >= 3 THEN coalesce(h1.loss, 0) END), 6) AS h1_loss,
+    sum((n >= 2)::INT)::BIGINT AS h0_samples, sum((n >= 3)::INT)::BIGINT AS h1_samples FROM (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN h0 USING (sample_id) LEFT JOIN h1 USING (sample_id)""")
 def t12(s, d):
     n = c.nodes(s, d)
     cand, v = c.candidates(n), _vertices(n)
@@ -647,7 +726,7 @@ def l01(s, d):
 @_query("l02_assign")
 def l02(s, d):
     q, t, _ = _l(s, d)
-    return loss.assign(loss.match_cost(q, t)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+    return loss.assign(loss.match_cost(q, t)).select("sample_id", "query_id", "target_id", *r6("cost"))
 
 
 @_query("l03_node_labels", c.QUERIES, LAB, sql="SELECT sample_id, query_id, label FROM lab")
@@ -819,7 +898,7 @@ def m02(s, d):
     return summ.fold_id(c.samples(s, d).select("sample_id"))
 
 
-COUNTS = ("node_count_error", "edge_count_error", "beta0_absolute_error", "beta1_absolute_error", "target_beta0", "predicted_beta0")
+COUNTS = ("node_count_absolute_error", "edge_count_absolute_error", "beta0_absolute_error", "beta1_absolute_error", "target_beta0", "predicted_beta0")
 
 
 def _counts(s, d) -> DataFrame:
@@ -828,7 +907,7 @@ def _counts(s, d) -> DataFrame:
 
 
 COUNT_SQL = f"""{_betti("t", "edges")}, {_betti("p", "pred_edges")},
-  cm AS (SELECT o_orderkey AS sample_id, 0 AS node_count_error, abs(coalesce(t.n_edges, 0) - coalesce(p.n_edges, 0)) AS edge_count_error, abs(coalesce(t.beta0, 0) - coalesce(p.beta0, 0)) AS beta0_absolute_error,
+  cm AS (SELECT o_orderkey AS sample_id, 0 AS node_count_absolute_error, abs(coalesce(t.n_edges, 0) - coalesce(p.n_edges, 0)) AS edge_count_absolute_error, abs(coalesce(t.beta0, 0) - coalesce(p.beta0, 0)) AS beta0_absolute_error,
     abs(coalesce(t.beta1, 0) - coalesce(p.beta1, 0)) AS beta1_absolute_error, coalesce(t.beta0, 0) AS target_beta0, coalesce(p.beta0, 0) AS predicted_beta0 FROM orders LEFT JOIN t ON t.sample_id = o_orderkey LEFT JOIN p ON p.sample_id = o_orderkey),
   lg AS (UNPIVOT cm ON {", ".join(COUNTS)} INTO NAME name VALUE value)"""
 
@@ -915,6 +994,91 @@ def r02(s, d):
     return last.select("run_id", "epoch", "name", *r6("value"))
 
 
+VTP = ("<VTKFile><PolyData><Piece><Points><DataArray type='Float32' format='ascii'>", "</DataArray></Points><Lines><DataArray Name='connectivity' format='ascii'>0 1</DataArray><DataArray Name='offsets' format='ascii'>2</DataArray></Lines></Piece></PolyData></VTKFile>")
+SPLIT = """emb AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+grid AS (SELECT *, list_transform(e[1:6], lambda x: CAST(floor(x * 100) AS INTEGER)) AS xyz FROM emb)"""
+VTP_SQL = "'" + VTP[0].replace("'", "''") + "' || array_to_string(xyz, ' ') || '" + VTP[1].replace("'", "''") + "'"
+
+
+def _split_files(s: SparkSession, d: str) -> str:
+    """Folder with train and val splits: per embedding a volume, its mask and a graph of one edge, in files of their own."""
+    v = c.volumes(s, d).withColumn("split", F.when(F.col("sample_id") % 5 == 0, "val").otherwise("train"))
+    name = lambda folder, end: F.concat("split", F.lit(f"/{folder}/"), F.col("sample_id").cast("string"), F.lit(end)).alias("path")
+    xyz = F.array_join(F.transform(F.slice("data", 1, 6), lambda x: F.floor(x * 100).cast("string")), " ")
+    mask = v.withColumn("data", F.transform("data", lambda x: (x > 0).cast("double")))
+    out = new_path(s, "split")
+    for rows in (files.encode_nifti(v.select(name("raw", "_data.nii"), "shape", "data")), files.encode_nifti(mask.select(name("seg", "_seg.nii"), "shape", "data")), v.select(name("vtp", "_graph.vtp"), F.concat(F.lit(VTP[0]), xyz, F.lit(VTP[1])).cast("binary").alias("content"))):
+        files.write_files(rows, out)
+    return out
+
+
+@_query("s01_discover_triplets", SPLIT, sql="SELECT sample_id, 'mri' AS dataset, split, sample_id || '_data.nii' AS image, sample_id || '_seg.nii' AS seg, sample_id || '_graph.vtp' AS graph FROM emb WHERE split = 'train'")
+def s01(s, d):
+    found = files.discover_triplets(s, _split_files(s, d), "train", "mri")
+    file = lambda c: F.regexp_extract(c + "_path", "[^/]*$", 0).alias(c)
+    return found.select("sample_id", "dataset", "split", file("image"), file("seg"), file("graph"))
+
+
+@_query("s02_resolve_split", SPLIT, sql="SELECT DISTINCT split AS leaf FROM emb")
+def s02(s, d):
+    listed = files.listing(s, _split_files(s, d))
+    both = files.resolve_split(listed, "train").unionByName(files.resolve_split(listed, "val"))
+    return both.select(F.regexp_extract("leaf", "[^/]*$", 0).alias("leaf"))
+
+
+@_query("s03_load_volumes", SPLIT, sql="""SELECT sample_id, kind, CAST(i - 1 AS INTEGER) AS i, round(CASE kind WHEN 'seg' THEN (e[i] > 0)::INT ELSE e[i] END, 6) AS value
+  FROM emb, range(1, 65) AS r(i), (VALUES ('image'), ('seg')) AS k(kind) WHERE split = 'train'""")
+def s03(s, d):
+    found = files.discover_triplets(s, _split_files(s, d), "train", "mri")
+    v = files.load_volumes(s, found).unionByName(files.load_volumes(s, found, "seg_path", "seg"))
+    return v.select("sample_id", "kind", F.posexplode("data").alias("i", "value")).select("sample_id", "kind", "i", *r6("value"))
+
+
+@_query("s04_load_graphs", SPLIT, sql="""SELECT sample_id, CAST(k AS INTEGER) AS node_id, xyz[3 * k + 1]::DOUBLE AS d, xyz[3 * k + 2]::DOUBLE AS h, xyz[3 * k + 3]::DOUBLE AS w, CASE WHEN k = 0 THEN 1 END AS next
+  FROM grid, range(2) AS r(k) WHERE split = 'train'""")
+def s04(s, d):
+    nodes, edges = files.load_graphs(s, files.discover_triplets(s, _split_files(s, d), "train", "mri"))
+    return nodes.join(edges.select("sample_id", F.col("src").alias("node_id"), F.col("dst").alias("next")), ["sample_id", "node_id"], "left")
+
+
+@_query("s06_write_predictions", *BASE, sql="""SELECT e.sample_id, e.src, e.dst, round(CAST((e.sample_id * 31 + e.src * 17 + e.dst * 7) % 100 AS DOUBLE) / 100, 6) AS score, k.n AS n_nodes
+  FROM pred_edges e JOIN (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1) k USING (sample_id)""")
+def s06(s, d):
+    n, path = c.nodes(s, d), new_path(s, "predictions")
+    counts = n.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    files.write_predictions(n.select("sample_id", "node_id", *AXES), c.predicted_edges(n), counts, path)
+    back = s.read.schema("sample_id long, nodes array<struct<node_id:int>>, edges array<struct<src:int,dst:int,score:double>>, metrics struct<n_nodes:long>").json(path)
+    return back.select("sample_id", F.size("nodes").cast("long").alias("n_nodes"), F.inline("edges")).select("sample_id", "src", "dst", *r6("score"), "n_nodes")
+
+
+@_query("s07_write_per_sample_metrics", c.NODES, sql="SELECT sample_id, round(avg(d), 6) AS depth, count(*) AS nodes FROM nodes GROUP BY sample_id")
+def s07(s, d):
+    path = new_path(s, "metrics")
+    files.write_per_sample_metrics(c.nodes(s, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"), F.avg("d").alias("depth")), path)
+    return s.read.schema("sample_id long, depth double, nodes long").option("header", "true").csv(path).select("sample_id", *r6("depth"), "nodes")
+
+
+@_query("s08_write_summary", c.NODES, sql="SELECT round(avg(d), 6) AS depth, count(*) AS nodes FROM nodes")
+def s08(s, d):
+    path = new_path(s, "summary")
+    files.write_summary(c.nodes(s, d).agg(F.count(F.lit(1)).alias("nodes"), F.avg("d").alias("depth")), path)
+    return s.read.schema("depth double, nodes long").json(path).select(*r6("depth"), "nodes")
+
+
+@_query("s09_metric_history", c.RUN_LOG, sql="SELECT run_id, epoch, name, round(value, 6) AS value FROM run_log")
+def s09(s, d):
+    log, path = c.run_log(s, d), new_path(s, "history")
+    files.append_metric_history(log.where("epoch % 2 = 0"), path)
+    files.append_metric_history(log.where("epoch % 2 <> 0"), path)
+    return files.read_metric_history(s, path).select("run_id", "epoch", "name", *r6("value"))
+
+
+@_query("s10_checksum_manifest", SPLIT, sql=f"SELECT sample_id || '_graph.vtp' AS file, sha256({VTP_SQL}) AS sha256 FROM grid")
+def s10(s, d):
+    listed = files.checksum_manifest(s, _split_files(s, d)).where("path like '%.vtp'")
+    return listed.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "sha256")
+
+
 @_query("s05_decode_line_cells", c.NODES, sql="SELECT sample_id, vd AS src, vh AS dst FROM nodes")
 def s05(s, d):
     cell = F.array(F.lit(2), F.col("vd"), F.col("vh"))

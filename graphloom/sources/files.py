@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,43 @@ def _nifti(content: bytes) -> np.ndarray:
     return data * slope + inter if slope else data
 
 
+def encode_nifti(volumes: DataFrame) -> DataFrame:
+    """(path, content) of NIfTI-1 files of doubles from (path, shape, data)."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = []
+            for shape, data in zip(frame["shape"], frame["data"]):
+                sides = [int(shape[a]) for a in "dhw"]
+                head = bytearray(352)
+                struct.pack_into("<i", head, 0, 348)
+                struct.pack_into("<8h", head, 40, 3, *sides, 1, 1, 1, 1)
+                struct.pack_into("<2h", head, 70, 64, 64)
+                struct.pack_into("<3f", head, 108, 352, 1, 0)
+                head[344:348] = b"n+1\0"
+                contents.append(bytes(head) + np.asarray(data, "<f8").reshape(sides).tobytes(order="F"))
+            yield pd.DataFrame({"path": frame["path"], "content": contents})
+
+    return volumes.select("path", "shape", "data").mapInPandas(encode, "path string, content binary")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write (path, content) as files of their own below root, a path or URL that Arrow's file systems reach; returns their number.
+
+    A task that is run again writes the same files again."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def _png(content: bytes) -> np.ndarray:
     """Grey 8- or 16-bit PNG without interlacing as (h, w, 1)."""
     at, packed, head = 8, b"", None
@@ -78,28 +116,58 @@ def _png(content: bytes) -> np.ndarray:
         raise ValueError("only grey PNG files of 8 or 16 bits are read")
     unit = depth // 8
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, width * unit + 1)
-    out = np.zeros((height + 1, width * unit + unit), np.int64)
-    for y, line in enumerate(lines, 1):
-        for x in range(unit, width * unit + unit):
-            a, b, c = int(out[y, x - unit]), int(out[y - 1, x]), int(out[y - 1, x - unit])
-            p = a + b - c
-            near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
-            out[y, x] = (int(line[x - unit + 1]) + (0, a, b, (a + b) // 2, near)[line[0]]) % 256
-    grey = out[1:, unit:].reshape(height, width, unit)
-    return (grey[:, :, 0] if unit == 1 else grey[:, :, 0] * 256 + grey[:, :, 1])[:, :, None].astype(float)
+    out, above = np.zeros((height, width * unit), np.uint8), np.zeros(width * unit, np.uint8)
+    for y, line in enumerate(lines):
+        above = out[y] = _unfiltered(int(line[0]), line[1:], above, unit)
+    grey = out.reshape(height, width, unit).astype(float)
+    return (grey[:, :, 0] if unit == 1 else grey[:, :, 0] * 256 + grey[:, :, 1])[:, :, None]
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, unit: int) -> np.ndarray:
+    """A line of a PNG without its filter: whole lines at a time, but for averages and the Paeth rule, which depend on the byte before."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.add.accumulate(line.reshape(-1, unit), axis=0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return line + above
+    out, up = line.tolist(), above.tolist()
+    for x, b in enumerate(up):
+        a, c = (out[x - unit], up[x - unit]) if x >= unit else (0, 0)
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
+        out[x] = (out[x] + guess) & 255
+    return np.array(out, np.uint8)
+
+
+#: Listings of up to so many files are broadcast to the reading tasks.
+SMALL_LISTING = 100_000
+
+
+def _contents(spark: SparkSession, samples: DataFrame, column: str) -> DataFrame:
+    """(sample_id, path, content) of a column of paths.
+
+    A counted short listing is broadcast, so contents stay where they are read; a long one is dealt out by
+    path, each task then meets its own files only."""
+    wanted = samples.select("sample_id", F.col(column).alias("path"))
+    folders = [r[0] for r in wanted.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().collect()]
+    files = spark.read.format("binaryFile").load(folders).select("path", "content")
+    few = wanted.limit(SMALL_LISTING + 1).count() <= SMALL_LISTING
+    return files.join(F.broadcast(wanted) if few else wanted, "path")
 
 
 def load_volumes(spark: SparkSession, samples: DataFrame, column: str = "image_path", kind: str = "image") -> DataFrame:
     """Packed volumes of a column of paths; a file at a time in mapInPandas."""
-    root = samples.select(F.regexp_extract(column, r"^(.*)/[^/]*$", 1).alias("d")).distinct()
-    folders = [r[0] for r in root.collect()]
-    files = spark.read.format("binaryFile").load(folders).select("path", "content").join(samples.select("sample_id", F.col(column).alias("path")), "path")
+    files = _contents(spark, samples, column)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for sample, path, content in zip(frame["sample_id"], frame["path"], frame["content"]):
                 x = _png(content) if path.endswith(".png") else _nifti(content)
-                yield pd.DataFrame({"sample_id": [sample], "kind": [kind], "shape": [dict(zip("dhw", map(int, x.shape)))], "data": [x.ravel().tolist()]})
+                yield pd.DataFrame({"sample_id": [sample], "kind": [kind], "shape": [dict(zip("dhw", map(int, x.shape)))], "data": [x.ravel()]})
 
     return files.mapInPandas(decode, VOLUME)
 
@@ -128,8 +196,7 @@ def _vtp(content: bytes) -> tuple[list[float], list[int]]:
 
 def load_graphs(spark: SparkSession, samples: DataFrame, column: str = "graph_path") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a column of VTP paths."""
-    folders = [r[0] for r in samples.select(F.regexp_extract(column, r"^(.*)/[^/]*$", 1)).distinct().collect()]
-    files = spark.read.format("binaryFile").load(folders).select("path", "content").join(samples.select("sample_id", F.col(column).alias("path")), "path")
+    files = _contents(spark, samples, column)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -165,10 +232,12 @@ def select_evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     placed = with_position(df, order)
     if k == 1:
         return placed.where("position = 0").drop("position", "total")
-    at = F.rint(F.col("i") * (F.col("total") - 1) / (k - 1)).cast("long")
-    spots = placed.select("total").limit(1).join(F.broadcast(df.sparkSession.range(k).withColumnRenamed("id", "i"))).select(at.alias("spot")).distinct()
-    chosen = placed.join(F.broadcast(spots), placed["position"] == spots["spot"], "left_semi").drop("position", "total")
-    return chosen if df.limit(k + 1).count() > k else df
+    # Row p is chosen when some i below k rounds to it: only the two i around p (k - 1) / (n - 1) can.
+    steps = F.greatest(F.col("total") - 1, F.lit(1))
+    near = F.floor(F.col("position") * (k - 1) / steps)
+    hits = [(F.rint(i * (F.col("total") - 1) / (k - 1)) == F.col("position")) & i.between(0, k - 1) for i in (near - 1, near, near + 1, near + 2)]
+    chosen = hits[0] | hits[1] | hits[2] | hits[3] | (F.col("total") <= k)
+    return placed.where(chosen).drop("position", "total")
 
 
 def cap_samples(samples: DataFrame, n: int | None) -> DataFrame:
