@@ -672,6 +672,15 @@ def t12(s, d):
     return report.select(*r6("h0_loss", "h1_loss"), "h0_samples", "h1_samples")
 
 
+@_query("t13_h1_matching_large")
+def t13(s, d):
+    """The documented size: 120 embeddings make a graph, all of its 7,140 pairs are candidates."""
+    e = c.table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 120).alias("sample_id"), (F.col("vec_id") % 120).cast("int").alias("node_id"))
+    pairs = e.withColumnRenamed("node_id", "src").join(e.withColumnRenamed("node_id", "dst"), "sample_id").where("src < dst")
+    p = F.pmod(F.xxhash64("sample_id", "src", "dst"), F.lit(1000)) / 1000
+    return topo.h1_matching(pairs.select("sample_id", "src", "dst", p.alias("p"), (F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(40)) == 0).alias("is_true")))[0]
+
+
 # --- transport ----------------------------------------------------------------------------------
 
 

@@ -395,3 +395,10 @@ def test_history_and_streams(spark, tmp_path):
     # After a restart the record still holds.
     before = spark.read.parquet(got).count()
     assert follow() == (0.5, before)
+
+
+def test_nodes_outside_before_the_motion_are_not_valid(spark):
+    inside = {"d": 0.5, "h": 0.5, "w": 0.5}
+    n = spark.createDataFrame([(1, 0, *inside.values()), (1, 1, 1.2, 0.5, 0.5)], "sample_id int, node_id int, d double, h double, w double")
+    p = spark.createDataFrame([(1, (0, 0, 0), (False, False, False), 0.6)], "sample_id int, turns struct<dh:int,dw:int,hw:int>, flip struct<d:boolean,h:boolean,w:boolean>, zoom double")
+    assert {r["node_id"]: r["valid"] for r in comp.augment_nodes(n, p, (10, 10, 10)).collect()} == {0: True, 1: False}

@@ -7,15 +7,18 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import box, corners, giou, iou, volume
 from graphloom.operators import detection as det
+from graphloom.operators import inference as inf
+from graphloom.operators import kernels
 from graphloom.operators import summary as summ
 from graphloom.operators import topology as topo
 from graphloom.operators import transport
-from graphloom.operators.ordering import with_position
+from graphloom.operators.ordering import with_position, with_running
 from graphloom.plans import registry
 from graphloom.plans.evaluate import METRICS, evaluate_graphs
 
@@ -260,7 +263,7 @@ def test_evaluation_of_a_perfect_graph(spark):
     b = box({a: F.col(a) for a in AXES}, {a: F.lit(0.2) for a in AXES})
     pred = nodes.withColumn("box", b).withColumn("corners", corners(F.col("box"))).withColumn("score", 0.9 - F.col("node_id") * 0.1)
     r = one(evaluate_graphs(nodes.select("sample_id").distinct(), nodes, edges, pred, edges.withColumn("score", F.lit(0.7))))
-    assert all(r[m] == pytest.approx(1) for m in ("node_ap", "node_ar", "edge_ap", "edge_ar", "target_beta0", "predicted_beta0"))
+    assert all(r[m] == pytest.approx(1) for m in ("node_mAP", "node_mAR", "edge_mAP", "edge_mAR", "target_beta0", "predicted_beta0"))
     assert all(abs(r[m]) < 1e-6 for m in METRICS if m.endswith("error") or m in ("smd", "target_beta1"))
 
 
@@ -289,13 +292,76 @@ def test_comparison_of_outputs(spark):
     assert (r["max_abs"], r["left_only"], r["all_close"]) == (0.5, 1, False)
 
 
-@pytest.mark.parametrize("small", [10, 10_000])
-def test_positions_do_not_depend_on_the_way(spark, small):
-    df = spark.range(500).select((F.col("id") * 7919 % 104729).alias("k"), (F.col("id") % 3).alias("g"))
-    got = with_position(df, "k", ["g"], buckets=8, small=small).collect()
+@pytest.mark.parametrize("rows", [40, 10_000])
+def test_positions_and_running_sums_do_not_depend_on_the_ranges(spark, rows):
+    df = spark.range(500).select((F.col("id") * 7919 % 104729).alias("k"), (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("v"))
+    placed = with_position(df, "k", ["g"], range_rows=rows).collect()
+    summed = with_running(df, ["g"], [F.col("k").desc()], ["v"], range_rows=rows).collect()
     for g in range(3):
-        mine = sorted((r["k"], r["position"], r["total"]) for r in got if r["g"] == g)
+        mine = sorted((r["k"], r["position"], r["total"]) for r in placed if r["g"] == g)
         assert [p for _, p, _ in mine] == list(range(len(mine))) and all(t == len(mine) for _, _, t in mine)
+        down = sorted((r for r in summed if r["g"] == g), key=lambda r: -r["k"])
+        assert [r["v_sum"] for r in down] == list(itertools.accumulate(r["v"] for r in down)) and [r["position"] for r in down] == list(range(len(down)))
+
+
+def slow_forest(n, edges):
+    of, kept = list(range(n)), []
+    for a, b in edges:
+        kept.append(of[a] != of[b])
+        low, high = min(of[a], of[b]), max(of[a], of[b])
+        of = [low if x == high else x for x in of]
+    return kept, of
+
+
+def test_forests_of_the_documented_size():
+    r, a, b, base = np.random.default_rng(1), [], [], 0
+    want, want_label = [], []
+    for n in (120, 1, 7, 60, 120):
+        pairs = np.array(list(itertools.combinations(range(n), 2))).reshape(-1, 2)
+        pairs = pairs[r.permutation(len(pairs))[: len(pairs) if n > 7 else 3]]
+        kept, label = slow_forest(n, pairs.tolist())
+        want, want_label = want + kept, want_label + [x + base for x in label]
+        a, b, base = np.append(a, pairs[:, 0] + base), np.append(b, pairs[:, 1] + base), base + n
+    kept, label = kernels.forest(a.astype(int), b.astype(int), base)
+    assert kept.tolist() == want and label.tolist() == want_label
+
+
+def test_samples_reach_kernels_whole(spark):
+    rows = [(f"s{k}", i) for k, n in enumerate([1, 500, 3, 40, 2000, 7]) for i in range(n)] + [(None, 1), (None, 2)]
+    seen = kernels.per_sample(
+        spark.createDataFrame(rows, "sample_id string, i int").repartition(5),
+        lambda t, code: pa.table({"sample_id": t["sample_id"].take(pa.array(np.unique(code, return_index=True)[1])), "n": np.bincount(code)}), "sample_id string, n long", ["i"], limit=100,
+    ).collect()
+    assert sorted(map(tuple, seen), key=str) == sorted([("s0", 1), ("s1", 500), ("s2", 3), ("s3", 40), ("s4", 2000), ("s5", 7), (None, 2)], key=str)
+
+
+def test_h1_refuses_candidates_that_stand_twice(spark):
+    c = spark.createDataFrame([(1, 0, 1, 0.5, True), (1, 1, 2, 0.5, True), (1, 0, 1, 0.7, False)], "sample_id int, src int, dst int, p double, is_true boolean")
+    with pytest.raises(Exception, match="duplicate candidate edge"):
+        topo.h1_matching(c)
+
+
+def test_report_leaves_out_losses_that_are_not_finite(spark):
+    v = spark.createDataFrame([(k, n) for k, n in enumerate([1, 2, 3, 5, 4])], "sample_id int, n_vertices int")
+    l0 = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, 4.0), (0, 9.0)], "sample_id int, loss double")
+    l1 = spark.createDataFrame([(2, 1.0), (3, float("inf"))], "sample_id int, loss double")
+    assert tuple(one(topo.topology_report(v, l0, l1))) == (pytest.approx(2.0), pytest.approx(0.5), 3, 2)
+
+
+def test_topology_candidates_average_probabilities(spark):
+    ordered = spark.createDataFrame([(1, 4, 9, 0.0, 2.0), (1, 9, 4, 1.0, 0.0), (1, 4, 7, 0.0, 0.0), (1, 7, 4, 0.0, 0.0), (1, 7, 9, 3.0, 0.0), (1, 9, 7, 0.0, 3.0), (1, 4, 5, 0.0, 9.0)], "sample_id int, left int, right int, l0 double, l1 double")
+    matched = spark.createDataFrame([(1, 9, 0), (1, 4, 2), (1, 7, 1)], "sample_id int, query_id int, target_id int")
+    edges = spark.createDataFrame([(1, 0, 2)], "sample_id int, src int, dst int")
+    samples, c = topo.matched_candidates(inf.symmetric_probability(ordered), matched, edges)
+    assert tuple(one(samples)) == (1, 3)
+    soft = lambda a, b: 1 / (1 + math.exp(a - b))
+    got = {(r["src"], r["dst"]): (r["p"], r["is_true"]) for r in c.collect()}
+    assert got == {(0, 2): (pytest.approx((soft(0, 2) + soft(1, 0)) / 2), True), (0, 1): (pytest.approx(0.5), False), (1, 2): (pytest.approx((soft(3, 0) + soft(0, 3)) / 2), False)}
+
+
+def test_an_empty_evaluation_raises(spark):
+    with pytest.raises(ValueError, match="at least one sample"):
+        summ.summarize(spark.createDataFrame([], "sample_id int, x double"), ["x"])
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
