@@ -13,9 +13,12 @@ In tables:
 2. equal sets form a class; only one row per class goes on, however many copies it has;
 3. paths with one class are dropped.  Paths with up to `leaf_size` classes are leaves.  Larger ones are
    split on further sampled tokens, which the embedding holds (coordinate i is the set's smallest token
-   under hash i, so two sets share it with a probability of their similarity).  A child that keeps most
-   of its parent's classes does not fall apart: its members are similar, and it is a leaf of any size;
+   under hash i, so two sets share it with a probability of their similarity).  A path whose classes
+   mostly agree in one coordinate, of which two bits are counted beforehand, would not fall apart: it is
+   a leaf of any size;
 4. inside leaves the embeddings of all pairs are compared, and only classes with a likely partner stay.
+   A leaf of one block falls into the components of its likely pairs, which are named by their members, so
+   that a component that several leaves hold goes on once.
    A pair at the threshold is lost here with a probability of at most a hundredth of what
    `target_recall` leaves, whatever the threshold and the number of coordinates;
 5. leaves that lie inside another are dropped, the others compared by brute force on the token sets, as the
@@ -57,7 +60,7 @@ class Settings:
     block_tokens: int = 400_000
     coordinates: int = 64
     children: float = 1.75
-    #: A child with more than this share of its parent's classes is not split on.
+    #: A path whose classes agree to this degree does not fall apart and is not split on.
     tight: float = 0.7
 
     @property
@@ -146,8 +149,15 @@ def embedding(token: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.nda
     return out
 
 
+def _probe(sketch: np.ndarray, row: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Two bits of one coordinate of each row's sketch, in lanes of 32 bits; the path chooses the coordinate."""
+    value = sketch[row, (mix(path ^ _K1) % np.uint64(sketch.shape[1])).astype(np.int64)]
+    h = mix(value.astype(np.uint64) + path * _K1)
+    return ((h & np.uint64(1)) | ((h & np.uint64(2)) << np.uint64(31))).view(np.int64)
+
+
 def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_paths: bool, with_tokens: bool) -> DataFrame:
-    """(doc_id, key, n [, paths, sketch] [, tokens]): one row per document with words."""
+    """(doc_id, key, n [, paths, probes, sketch] [, tokens]): one row per document with words."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
@@ -173,19 +183,20 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_pa
                     owner, child = np.concatenate(owner), np.concatenate(child)
                     order = np.argsort(owner, kind="stable")
                     ends = np.searchsorted(owner[order], have, "right")
-                    columns["paths"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(child[order].view(np.int64)))
-                    columns["sketch"] = pa.array([x.tobytes() for x in embedding(token, bounds[have], s.coordinates)], pa.binary())
+                    sketch, child = embedding(token, bounds[have], s.coordinates), child[order]
+                    probes = _probe(sketch, np.searchsorted(have, owner[order]), child)
+                    for name, values in (("paths", child.view(np.int64)), ("probes", probes)):
+                        columns[name] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
+                    columns["sketch"] = pa.array([x.tobytes() for x in sketch], pa.binary())
                 if with_tokens:
                     columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>, sketch binary" * with_paths + ", tokens array<bigint>" * with_tokens)
+    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>, probes array<bigint>, sketch binary" * with_paths + ", tokens array<bigint>" * with_tokens)
 
 
 def _split(rows: DataFrame, s: Settings) -> DataFrame:
-    """(key, path, outer) of the children of (key, path, members, sketch): coordinates sampled alike for all rows of a path.
-
-    outer: members of the parent."""
+    """(key, path, probe) of the children of (key, path, sketch): coordinates sampled alike for all rows of a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, s.coordinates + 1, dtype=np.uint64) * _K2)
@@ -197,22 +208,21 @@ def _split(rows: DataFrame, s: Settings) -> DataFrame:
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
             row, i = np.nonzero(mix(mix(path + _K1)[:, None] ^ place) < limit)
             child = mix(mix(path[row] * _K1 + place[i]) + sketch[row, i].astype(np.uint64))
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(row), pa.array(child.view(np.int64)), b.column("members").take(row)], ["key", "path", "outer"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(child.view(np.int64)), pa.array(_probe(sketch, row, child))], ["key", "path", "probe"])
 
-    return rows.select("key", "path", "members", "sketch").mapInArrow(run, "key binary, path bigint, outer bigint")
+    return rows.select("key", "path", "sketch").mapInArrow(run, "key binary, path bigint, probe bigint")
 
 
 def _placed(leaf: DataFrame, s: Settings, tokens: str | None = None) -> DataFrame:
-    """(leaf, left, right, part, key) for every pair of blocks of a leaf, from (path, members, key).
+    """(leaf, left, right, part, parts, key) for every pair of blocks of a leaf, from (path, members, key).
 
     Blocks have about s.block rows and, where a column tells the tokens of the leaf, at most about s.block_tokens tokens."""
     parts = F.ceil(F.col("members") / s.block).cast("int")
     if tokens:
         parts = F.least(F.col("members"), F.greatest(parts, F.ceil(F.col(tokens) / s.block_tokens))).cast("int")
     placed = leaf.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("key"), parts).cast("int")})
-    placed = placed.select("path", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "key")
+    placed = placed.select("path", "key", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "parts", "key")
 
 
 def _together(blocks: DataFrame) -> DataFrame:
@@ -222,26 +232,26 @@ def _together(blocks: DataFrame) -> DataFrame:
 def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
     """(path, key, n) of the rows that have a likely partner in their block, by size and embedding.
 
-    blocks: leaf, left, right, part, key, n, sketch; rows of a block lie together."""
+    The path is that of a component of likely pairs, or the leaf's own where it has several blocks.
+    blocks: leaf, left, right, part, parts, key, n, sketch; rows of a block lie together."""
     (top, bottom), least = s.ratio, s.likely
     count = np.uint8 if s.coordinates < 256 else np.uint16
 
-    def likely(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, one: bool) -> np.ndarray:
-        if one:
-            a = b = np.arange(len(n))
-        else:
-            a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
-            if not len(a) or not len(b):
-                return np.zeros(0, np.int64)
+    def likely(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
-        equal = np.zeros((len(a), len(b)), count)
-        for i in range(sketch.shape[1]):
-            equal += sketch[a, i][:, None] == sketch[b, i]
-        pair = (equal >= least) & (small * bottom >= large * top)
-        if one:
-            np.fill_diagonal(pair, False)
-            return np.flatnonzero(pair.any(1))
-        return np.concatenate((a[pair.any(1)], b[pair.any(0)]))
+        if len(a) * len(b) <= 4096:
+            equal = (sketch[a][:, None, :] == sketch[b]).sum(2)
+        else:
+            equal = np.zeros((len(a), len(b)), count)
+            for i in range(sketch.shape[1]):
+                equal += sketch[a, i][:, None] == sketch[b, i]
+        return (equal >= least) & (small * bottom >= large * top)
+
+    def named(keys: list[bytes], n: np.ndarray, members: np.ndarray) -> list[tuple]:
+        """Rows of a component, under a path that follows from its keys."""
+        total = sum(int.from_bytes(keys[i][:8], "little") for i in members) * int(_K1) % (1 << 64)
+        path = total - (1 << 64) * (total >> 63)
+        return [(path, keys[i], int(n[i])) for i in members]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # parts of the block that the last batch ended in
@@ -250,10 +260,21 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
             head, rest = pieces[0][0], [x[1:] for x in pieces]
             part, n, sketch = (np.concatenate([x[i] for x in rest]) for i in range(3))
             keys = [k for x in rest for k in x[3]]
-            if len(keys) == 2 and head[1] == head[2]:
+            (leaf, left, right, parts), everyone = head, np.arange(len(n))
+            if len(n) == 2 and parts == 1:
                 good = (sketch[0] == sketch[1]).sum() >= least and min(n) * bottom >= max(n) * top
-                return [(head[0], k, m) for k, m in zip(keys, n.tolist())] if good else []
-            return [(head[0], keys[i], int(n[i])) for i in likely(part, n, sketch, head[1] == head[2])]
+                return named(keys, n, everyone) if good else []
+            if left != right:
+                a, b = np.flatnonzero(part == left), np.flatnonzero(part != left)
+                if not len(a) or not len(b):
+                    return []
+                pair = likely(n, sketch, a, b)
+                return [(leaf, keys[i], int(n[i])) for i in np.concatenate((a[pair.any(1)], b[pair.any(0)]))]
+            pair = likely(n, sketch, everyone, everyone)
+            np.fill_diagonal(pair, False)
+            if parts > 1:
+                return [(leaf, keys[i], int(n[i])) for i in np.flatnonzero(pair.any(1))]
+            return [row for members in _components(pair) for row in named(keys, n, members)]
 
         def emit(found: list[tuple]) -> pa.RecordBatch:
             at, key, n = zip(*found) if found else ((), (), ())
@@ -262,13 +283,13 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            leaf, left, right, part = (b.column(x).to_numpy(zero_copy_only=False) for x in ("leaf", "left", "right", "part"))
+            leaf, left, right, part, parts = (b.column(x).to_numpy(zero_copy_only=False) for x in ("leaf", "left", "right", "part", "parts"))
             n, keys = b.column("n").to_numpy().astype(np.int64), b.column("key").to_pylist()
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(b), s.coordinates)
             new = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
             out: list[tuple] = []
             for i, j in zip(new, [*new[1:], len(b)]):
-                head = (int(leaf[i]), int(left[i]), int(right[i]))
+                head = (int(leaf[i]), int(left[i]), int(right[i]), int(parts[i]))
                 if held and held[0][0] != head:
                     out += solve(held)
                     held = []
@@ -277,7 +298,7 @@ def _with_likely_partner(blocks: DataFrame, s: Settings) -> DataFrame:
         if held:
             yield emit(solve(held))
 
-    return blocks.select("leaf", "left", "right", "part", "key", "n", "sketch").mapInArrow(run, "path bigint, key binary, n bigint")
+    return blocks.select("leaf", "left", "right", "part", "parts", "key", "n", "sketch").mapInArrow(run, "path bigint, key binary, n bigint")
 
 
 def _compare(sizes: np.ndarray, sets: list[np.ndarray], marks: list[np.ndarray], left: int, here: int, s: Settings) -> np.ndarray:
@@ -317,6 +338,21 @@ def _compare(sizes: np.ndarray, sets: list[np.ndarray], marks: list[np.ndarray],
     return linked
 
 
+def _components(linked: np.ndarray) -> list[np.ndarray]:
+    """Components of two members or more of a symmetric boolean matrix."""
+    left, out = linked.any(1), []
+    while left.any():
+        front = np.zeros(len(left), bool)
+        front[np.argmax(left)] = True
+        mine = front.copy()
+        while front.any():
+            front = linked[front].any(0) & ~mine
+            mine |= front
+        left &= ~mine
+        out.append(np.flatnonzero(mine))
+    return out
+
+
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     seen, out = np.zeros(len(linked), bool), []
@@ -421,22 +457,25 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     s = settings or Settings()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     member = written(signatures(source, s, "doc_id", "text", True, False), "jaccard-members")
-    per_id = member.groupBy("key", "doc_id").agg(F.count("*").alias("rows"), *[F.first(x).alias(x) for x in ("n", "paths", "sketch")])
-    classes = per_id.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("copies"), F.max("rows").alias("most_rows"), *[F.first(x).alias(x) for x in ("n", "paths", "sketch")])
+    per_id = member.groupBy("key", "doc_id").agg(F.count("*").alias("rows"), *[F.first(x).alias(x) for x in ("n", "paths", "probes", "sketch")])
+    classes = per_id.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("copies"), F.max("rows").alias("most_rows"), *[F.first(x).alias(x) for x in ("n", "paths", "probes", "sketch")])
     classes = written(classes, "jaccard-classes")
     about = classes.select("key", "n", "sketch")
 
     def grouped(rows: DataFrame) -> DataFrame:
-        """rows (path, key, ...) and `members` of paths with two classes or more."""
-        counted = written(rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-counted")
-        return written(rows.join(counted, "path"), "jaccard-level")
-
-    rows = classes.select("key", F.explode("paths").alias("path"), F.lit(None).cast("long").alias("outer"))
+        """rows (path, key) with `members` and `tight` of paths with two classes or more."""
+        counted = rows.groupBy("path").agg(F.count("*").alias("members"), F.sum("probe").alias("bits")).where("members > 1")
+        agree = lambda ones: F.abs(ones * 2 - F.col("members")) > F.col("members") * s.tight
+        tight = agree(F.col("bits").bitwiseAND(F.lit((1 << 32) - 1))) & agree(F.shiftright("bits", 32))
+        counted = written(counted.select("path", "members", tight.alias("tight")), "jaccard-counted")
+        return written(rows.drop("probe").join(counted, "path"), "jaccard-level")
+
+    rows = classes.select("key", F.inline(F.arrays_zip(F.col("paths").alias("path"), F.col("probes").alias("probe"))))
     level, leaves = grouped(rows), []
     for depth in range(1, s.max_depth + 1):
-        end = F.lit(depth == s.max_depth) | (F.col("members") <= s.leaf_size) | F.coalesce(F.col("members") > F.col("outer") * s.tight, F.lit(False))
+        end = F.lit(depth == s.max_depth) | (F.col("members") <= s.leaf_size) | F.col("tight")
         leaves.append(level.where(end).select("path", "members", "key"))
-        large = level.where(~end).select("path", "members", "key")
+        large = level.where(~end).select("path", "key")
         if not large.limit(1).count():
             break
         level = grouped(written(_split(large.join(about, "key"), s), "jaccard-split"))

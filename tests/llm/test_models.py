@@ -269,6 +269,19 @@ def test_encode_decode_round_trip(spark):
     assert encode(docs.limit(0), v).count() == 0
 
 
+def test_segmentations_are_about_as_short_as_the_librarys(spark):
+    import sentencepiece
+
+    r, words = random.Random(5), "the of people government house water international between under information would school program around number state".split()
+    texts = [" ".join(r.choice(words) + r.choice(["", "s", ",", ".", "ing"]) for _ in range(300)) for _ in range(20)]
+    rows = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Vocabulary(DEFAULT_MODEL)).collect()
+    own, other = sum(len(x["ids"]) for x in rows), sum(map(len, sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL).encode(texts)))
+    assert abs(own - other) < 0.03 * other
+    v = Vocabulary(DEFAULT_MODEL)
+    assert v.scores[v.ids["▁and"]] > v.scores[v.ids["▁a"]] + v.scores[v.ids["nd"]]
+    assert Vocabulary(DEFAULT_MODEL, by_rank=False).scores[v.ids["▁t"]] == -2
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     docs, labels = corpus
     base = [(r["doc_id"], r["text"]) for r in docs.collect()]
