@@ -184,7 +184,10 @@ def viterbi(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
 
 
 def nbest_chunk(chunk: str, n: int, v: Vocabulary) -> list[tuple[float, list[int]]]:
-    """The n best segmentations (score, edges) of a chunk, best first; ties by the edges."""
+    """The n best segmentations (score, edges) of a chunk, best first.
+
+    Scores that agree to nine decimals are ties; among them the path that has come farthest goes on, so a
+    chunk with very many equal segmentations takes no longer than another."""
     length = len(chunk)
     into: list[list[tuple[int, int, float]]] = [[] for _ in range(length + 1)]
     alpha = [0.0] + [-np.inf] * length
@@ -196,15 +199,22 @@ def nbest_chunk(chunk: str, n: int, v: Vocabulary) -> list[tuple[float, list[int
             edge, score = (piece, float(v.scores[piece])) if piece is not None else (-1 - ord(chunk[s]), v.fallback)
             into[e].append((s, edge, score))
             alpha[e] = max(alpha[e], alpha[s] + score)
-    queue: list[tuple[float, tuple[int, ...], int, float]] = [(-alpha[length], (), length, 0.0)]
+    # An entry: (negative score of the best completion, place, number, score of the suffix, (edge, rest)).
+    queue: list[tuple] = [(-round(alpha[length], 9), length, 0, 0.0, None)]
     out: list[tuple[float, list[int]]] = []
+    pushed = 0
     while queue and len(out) < n:
-        _, path, at, suffix = heapq.heappop(queue)
+        _, at, _, suffix, node = heapq.heappop(queue)
         if at == 0:
-            out.append((suffix, list(path)))
+            path = []
+            while node:
+                edge, node = node
+                path.append(edge)
+            out.append((suffix, path))
             continue
         for s, edge, score in into[at]:
-            heapq.heappush(queue, (-(alpha[s] + score + suffix), (edge, *path), s, score + suffix))
+            pushed += 1
+            heapq.heappush(queue, (-round(alpha[s] + score + suffix, 9), s, pushed, score + suffix, (edge, node)))
     return out
 
 
