@@ -123,8 +123,9 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(wh
 # --- 3: SentencePiece ---------------------------------------------------------------------------
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    coded = encode(_table(spark, sf_dir, "documents"), Vocabulary(model_file))
-    return coded.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", "round_trip")
+    coded = encode(_table(spark, sf_dir, "documents"), Vocabulary(model_file), alternatives=True)
+    ranked = F.transform("nbest_ids", lambda ids: F.xxhash64(ids))
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest_scores", ranked.alias("nbest_hashes"), "round_trip")
 
 
 # --- 4: quality rules ---------------------------------------------------------------------------

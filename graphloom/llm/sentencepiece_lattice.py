@@ -342,12 +342,18 @@ class Encoded:
             out.append((float(self.totals[row] - loss), [(int(a + p), o[c][1]) for p, o, c in zip(near, options, choice) if c]))
         return out
 
-    def ids_of(self, row: int, changes: list[tuple[int, list[int]]]) -> list[int]:
+    def ids_of(self, row: int, changes: list[tuple[int, list[int]]]) -> np.ndarray:
         out, at = [], int(self.id_bounds[row])
         for place, edges in changes:
-            out += self.ids[at : self.chunk_ends[place]].tolist() + self.v.chunk_ids(edges)
+            out += [self.ids[at : self.chunk_ends[place]], np.array(self.v.chunk_ids(edges), np.int32)]
             at = int(self.chunk_ends[place + 1])
-        return out + self.ids[at : self.id_bounds[row + 1]].tolist()
+        return np.concatenate([*out, self.ids[at : self.id_bounds[row + 1]]])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """One list per array."""
+    bounds = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)])))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, alternatives: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,7 +383,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4, alternative
                 columns = [b.column("doc_id").slice(first, end - first), ids, pa.array(e.totals), pa.array([[s for s, _ in x] for x in best], pa.list_(pa.float64())), pa.array(same)]
                 names = ["doc_id", "ids", "score", "nbest_scores", "round_trip"]
                 if alternatives:
-                    columns.append(pa.array([[e.ids_of(i, c) for _, c in x] for i, x in enumerate(best)], pa.list_(pa.list_(pa.int32()))))
+                    ranked = _lists([e.ids_of(i, c) for i, x in enumerate(best) for _, c in x])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, best)]), pa.int32()), ranked))
                     names.append("nbest_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -265,6 +265,8 @@ def test_encode_decode_round_trip(spark):
     for k, t in enumerate(texts):
         assert rows[k]["round_trip"] == (BLANK not in (t or ""))
         assert back[k] == (t or "").replace(BLANK, " ")
+        assert len(rows[k]["nbest_ids"]) == len(rows[k]["nbest_scores"])
+        assert len({tuple(x) for x in rows[k]["nbest_ids"]}) == len(rows[k]["nbest_ids"])
         assert list(rows[k]["nbest_ids"][0]) == list(rows[k]["ids"]) and rows[k]["nbest_scores"] == sorted(rows[k]["nbest_scores"], reverse=True)
     assert encode(docs.limit(0), v).count() == 0
 
