@@ -126,7 +126,7 @@ def read_archives(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
             yield pd.DataFrame(rows, columns=names)
 
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD_SCHEMA)
-    return written(raw.withColumns({x: F.col(x).cast("long") for x in ("page_id", "refers_to")}), "warc-parsed")
+    return written(raw.withColumns({x: F.col(x).cast("long") for x in ("page_id", "refers_to")}), "warc-parsed", "zstd")
 
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +147,7 @@ def reconstruct(records: DataFrame) -> DataFrame:
     named = written(visits.groupBy("payload_digest").agg(F.count("*").alias("n")), "warc-named")
     stored = keep_matching(payloads, named.select("payload_digest"), ["payload_digest"]).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
     columns = ["page_id", "record_type", "refers_to", "headers", "http_headers", "payload", "payload_digest", "copies"]
-    again = visits.join(written(stored, "warc-stored"), "payload_digest", "left")
+    again = visits.join(written(stored, "warc-stored", "zstd"), "payload_digest", "left")
     whole = records.where("record_type = 'response'").select(columns).unionByName(again.select(columns))
     digest = F.sha2("payload", 256)
     broken = F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("payload_digest")))
