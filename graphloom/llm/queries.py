@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_tools import format_messages, link_tool_calls
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .merkle import half_of_ids, merkle_manifest
 from .mixing import mix_sources
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
@@ -269,6 +270,64 @@ FROM t WHERE coalesce(role <> 'assistant' AND NOT (role = 'user' AND turn > 0),
 """
 
 
+# --- 12: Merkle manifest ------------------------------------------------------------------------
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = F.replace("text", F.lit("\n"), F.lit(""))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), {"text": F.when(half_of_ids(F.col("doc_id")), stripped).otherwise(F.col("text"))})
+
+
+#: crc32 of a text in DuckDB: the table of the 256 bytes, then one step a byte.
+CRC_SQL = """crc AS (SELECT list(t ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) AS r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII characters."""
+    return f"(SELECT xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) FROM crc)"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+d AS (
+  SELECT *, CASE WHEN {crc_sql("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents),
+f AS (
+  SELECT doc_id, source, leaf, found FROM (
+    SELECT doc_id, source, h || coalesce(strlen(text) || ':' || text, '-') AS leaf, h || coalesce(strlen(found) || ':' || found, '-') AS found FROM (
+      SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+        || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS h FROM d))),
+l AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256(leaf) AS leaf, sha256(found) AS found, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(leaf)) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM f),
+tree AS (
+  SELECT source, 0 AS level, pos, leaf AS hash, n FROM l
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, pos // 3),
+subroots AS (SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, hash, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3),
+sides AS (
+  SELECT source, false AS upper, level, pos, n, coalesce(string_agg(hash, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(hash, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM tree WINDOW w AS (PARTITION BY source, level, pos // 3 ORDER BY pos)
+  UNION ALL
+  SELECT NULL, true, level, pos, n, coalesce(string_agg(hash, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+    coalesce(string_agg(hash, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') FROM top WINDOW w AS (PARTITION BY level, pos // 3 ORDER BY pos)),
+climb AS (
+  SELECT r, source, false AS upper, 0 AS level, pos, found AS folded, '' AS siblings FROM l
+  UNION ALL
+  SELECT c.r, c.source, s.n = 1 AND NOT s.upper OR s.upper, CASE WHEN s.n = 1 AND NOT s.upper THEN 0 ELSE c.level + 1 END,
+    CASE WHEN s.n = 1 AND NOT s.upper THEN (SELECT u.pos FROM subroots u WHERE u.source IS NOT DISTINCT FROM c.source) ELSE c.pos // 3 END,
+    CASE WHEN s.n = 1 THEN folded ELSE sha256(s.before || folded || s.after) END, siblings || s.before || s.after
+  FROM climb c JOIN sides s ON s.upper = c.upper AND s.level = c.level AND s.pos = c.pos AND (s.upper OR s.source IS NOT DISTINCT FROM c.source)
+  WHERE NOT (s.upper AND s.n = 1)),
+root AS (SELECT hash, level FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, u.hash AS subroot, root.hash AS root, sha256(c.siblings) AS proof_sha256, c.folded AS folded_root, c.folded = root.hash AS verified
+FROM l JOIN subroots u ON u.source IS NOT DISTINCT FROM l.source JOIN climb c USING (r) JOIN root ON c.upper AND c.level = root.level
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -281,6 +340,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_toxicity": op10_toxicity,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -292,4 +352,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op7_warc": OP7_SQL,
         "op9_chat_formatting": OP9_SQL,
+        "op12_merkle_manifest": OP12_SQL,
     }
