@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_tools import format_messages, link_tool_calls
+from .common import words_of
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .merkle import half_of_ids, merkle_manifest
 from .mixing import mix_sources
+from .periodic_runs import longest_run, periodic_runs
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from .sentencepiece_lattice import DEFAULT_MODEL, Vocabulary, encode
@@ -270,6 +272,32 @@ FROM t WHERE coalesce(role <> 'assistant' AND NOT (role = 'user' AND turn > 0),
 """
 
 
+# --- 11: periodic runs --------------------------------------------------------------------------
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where 10 divides h = crc32 of the id, the words from g % n on repeat a period, g = h // 10."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = words_of(F.col("text"))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    cycle = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    cycles = F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(cycles, F.lit(1), (n - a).cast("int"))), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(_table(spark, sf_dir, "documents"))).withColumn("best", longest_run())
+    start, length, period = (F.col(f"best.{c}") for c in ("start", "length", "period"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 # --- 12: Merkle manifest ------------------------------------------------------------------------
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +315,28 @@ def crc_sql(text: str) -> str:
     return f"(SELECT xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) FROM crc)"
 
 
+OP11_SQL = rf"""
+WITH {CRC_SQL},
+o AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {crc_sql("coalesce(doc_id::VARCHAR, '')")} AS h FROM documents),
+n AS (SELECT *, len(words) AS n, h // 10 AS g, (h // 10) % nullif(len(words), 0) AS a FROM o),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM n),
+d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE words END AS words FROM p),
+w AS (SELECT r, n, unnest(range(n)) AS i, unnest(words) AS word FROM d),
+pairs AS (SELECT x.r, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS q FROM stretches GROUP BY r, start, length),
+best AS (SELECT r, count(*) AS n_runs, first(struct_pack(start := start, length := length, q := q) ORDER BY length DESC, start, q) AS b,
+  string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start AS start, b.length AS length, b.q AS period, b.length * 1000 // b.q AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP12_SQL = rf"""
 WITH RECURSIVE {CRC_SQL},
 d AS (
@@ -340,6 +390,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_toxicity": op10_toxicity,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
 
@@ -352,5 +403,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op7_warc": OP7_SQL,
         "op9_chat_formatting": OP9_SQL,
+        "op11_periodic_runs": OP11_SQL,
         "op12_merkle_manifest": OP12_SQL,
     }
