@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_tools import format_messages, link_tool_calls
 from .common import words_of
 from .exact_dedup import exact_dedup
+from .hidden_markov import score_texts
 from .jaccard_join import jaccard_join
 from .merkle import half_of_ids, merkle_manifest
 from .mixing import mix_sources
@@ -378,6 +379,12 @@ FROM l JOIN subroots u ON u.source IS NOT DISTINCT FROM l.source JOIN climb c US
 """
 
 
+# --- 13: language model -------------------------------------------------------------------------
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -392,6 +399,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_hidden_markov": op13_hidden_markov,
     }
 
 
