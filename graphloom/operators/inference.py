@@ -5,14 +5,13 @@ queries: (sample_id, query_id, logits ARRAY<DOUBLE>, box STRUCT<d,h,w,sd,sh,sw>,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import softmax2
+from .kernels import per_sample
 
 
 def object_probability(logits: str = "logits") -> Column:
@@ -38,7 +37,13 @@ def candidate_pairs(nodes: DataFrame, *columns: str) -> DataFrame:
     return a.join(b, (a["sample_id"] == b["sample_id"]) & (a["src"] < b["dst"])).drop(b["sample_id"])
 
 
-def relation_head(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+Layers = list[tuple[np.ndarray, np.ndarray]]
+
+#: Nodes of samples that a scoring task holds at a time, pairs that it scores at a time.
+SCORED_NODES, SCORED_PAIRS = 2048, 4096
+
+
+def relation_head(layers: Layers, x: np.ndarray) -> np.ndarray:
     """A ReLU network; the last layer is linear."""
     for i, (w, b) in enumerate(layers):
         x = x @ w + b
@@ -47,24 +52,54 @@ def relation_head(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) ->
     return x
 
 
-def score_relations(pairs: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], relation: str | None = None) -> DataFrame:
-    """Add l0, l1 (mean of the logits of both orders) and score to pairs with src_token and dst_token.
-
-    relation: a column with the sample's relation token, if the head uses one.  Scored per Arrow batch."""
-    columns = ["sample_id", "src", "dst", "src_token", "dst_token"] + [relation] * bool(relation)
-    id_type = pairs.schema["sample_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            m = lambda c: np.stack([np.asarray(x, np.float64) for x in b.column(c).to_pylist()])  # noqa: B023, E731
-            left, right = m("src_token"), m("dst_token")
-            rest = [m(relation)] if relation else []
-            logits = (relation_head(layers, np.hstack([left, right, *rest])) + relation_head(layers, np.hstack([right, left, *rest]))) / 2
-            yield pa.RecordBatch.from_arrays([b.column("sample_id"), b.column("src"), b.column("dst"), pa.array(logits[:, 0]), pa.array(logits[:, 1])], ["sample_id", "src", "dst", "l0", "l1"])
-
-    scored = pairs.select(columns).mapInArrow(run, f"sample_id {id_type}, src int, dst int, l0 double, l1 double")
+def pair_logits(layers: Layers, tokens: np.ndarray, src: np.ndarray, dst: np.ndarray, relation: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the pairs src, dst of one sample's nodes in both orders.
+
+    The first layer reads [left; right; relation], so its products are made once for each node and for the
+    relation tokens; a pair adds up three of them, whichever way round."""
+    (w, b), rest = layers[0], layers[1:]
+    width = tokens.shape[1]
+    left, right = tokens @ w[:width], tokens @ w[width : 2 * width]
+    left = left + (b if relation is None else b + relation @ w[2 * width :])
+
+    def logits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = left[i] + right[j]
+        return relation_head(rest, np.maximum(x, 0, out=x)) if rest else x
+
+    parts = [slice(at, at + SCORED_PAIRS) for at in range(0, max(len(src), 1), SCORED_PAIRS)]
+    return np.vstack([logits(src[p], dst[p]) for p in parts]), np.vstack([logits(dst[p], src[p]) for p in parts])
+
+
+def score_relations(nodes: DataFrame, layers: Layers, relations: DataFrame | None = None) -> DataFrame:
+    """All pairs src < dst of each sample's nodes with l0, l1 (mean of both orders' logits), score (their softmax) and p (mean of both orders' probabilities).
+
+    nodes: (sample_id, node_id, token); a token travels once, pairs are made where they are scored.
+    relations: (sample_id, token), the relation tokens of a sample one after another, if the head reads them;
+    samples without a row there are left out."""
+    rows = nodes.select("sample_id", "node_id", "token")
+    if relations is not None:
+        rows = rows.join(relations.select("sample_id", F.col("token").alias("relation")), "sample_id")
+    id_type, with_relations = rows.schema["sample_id"].dataType.simpleString(), relations is not None
+
+    def run(table: pa.Table, code: np.ndarray) -> pa.Table:
+        node = table["node_id"].to_numpy()
+        matrix = lambda name, a, b: table[name].slice(a, b - a).combine_chunks().flatten().to_numpy().reshape(b - a, -1).astype(np.float64)
+        cuts = np.searchsorted(code, np.arange(code[-1] + 2))
+        first, pairs, logits = [], [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            src, dst = np.triu_indices(b - a, 1)
+            relation = matrix("relation", a, a + 1)[0] if with_relations else None
+            both = pair_logits(layers, matrix("token", a, b), src, dst, relation)
+            first.append(np.full(len(src), a))
+            pairs.append(np.stack([node[a:b][src], node[a:b][dst]]))
+            logits.append(np.hstack([*both]))
+        x, (src, dst) = np.vstack(logits), np.hstack(pairs)
+        one = lambda low, high: 1 / (1 + np.exp(np.clip(low - high, -700, 700)))
+        mean = (x[:, :2] + x[:, 2:]) / 2
+        p = (one(x[:, 0], x[:, 1]) + one(x[:, 2], x[:, 3])) / 2
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.concatenate(first))), "src": src.astype(np.int32), "dst": dst.astype(np.int32), "l0": mean[:, 0], "l1": mean[:, 1], "p": p})
+
+    scored = per_sample(rows, run, f"sample_id {id_type}, src int, dst int, l0 double, l1 double, p double", ["node_id"], SCORED_NODES)
     return scored.withColumn("score", softmax2(F.col("l0"), F.col("l1")))
 
 
@@ -89,8 +124,8 @@ def retain_edges(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     return pairs.where(kept).select("sample_id", "src", "dst", "score")
 
 
-def infer_graphs(queries: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], node_threshold: float | None = None, edge_threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pred_nodes, pred_edges); no suppression of overlapping nodes."""
+def infer_graphs(queries: DataFrame, layers: Layers, node_threshold: float | None = None, edge_threshold: float | None = None, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pred_nodes, pred_edges); no suppression of overlapping nodes.  relations: as in score_relations."""
     nodes = retain_nodes(queries, node_threshold)
-    edges = retain_edges(score_relations(candidate_pairs(nodes, "token"), layers), edge_threshold)
+    edges = retain_edges(score_relations(nodes, layers, relations), edge_threshold)
     return nodes.drop("token"), edges

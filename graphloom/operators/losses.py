@@ -204,17 +204,22 @@ def edge_loss(matched: DataFrame, hard: DataFrame, hard_weight: float) -> DataFr
 
 
 def candidate_weight(epoch: Column, weight: float, warm_up: int, ramp: int) -> Column:
-    """0 up to the end of the warm-up, then linear to `weight` over the ramp."""
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (epoch - warm_up) / F.lit(float(max(ramp, 1)))))
+    """0 up to the end of the warm-up, then linear to `weight` over the ramp, or at once without one.
+
+    Epochs count from 1, a smaller one is the first; negative weights and durations are 0."""
+    weight, warm_up, ramp = max(0.0, float(weight)), max(0, warm_up), max(0, ramp)
+    epoch = F.greatest(epoch, F.lit(1))
+    share = F.least(F.lit(1.0), (epoch - warm_up) / float(ramp)) if ramp else F.lit(1.0)
     return F.when(epoch <= warm_up, F.lit(0.0)).otherwise(weight * share)
 
 
 def linear_progress(percent: Column, start: float, target: float, first: float, last: float) -> Column:
-    """start up to `first` percent, target from `last` on, linear between; equal bounds make a step."""
-    if first == last:
-        return F.when(percent >= last, F.lit(float(target))).otherwise(F.lit(float(start)))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (percent - first) / (last - first)))
-    return start + (target - start) * share
+    """start up to `first` percent and there, target from `last` on, linear between; with equal bounds a step after them."""
+    if not 0 <= first <= last <= 100:
+        raise ValueError("bounds must satisfy 0 <= first <= last <= 100")
+    start, target = float(start), float(target)
+    between = start + (percent - first) / float(last - first or 1) * (target - start)
+    return F.when(percent <= first, F.lit(start)).when(percent >= last, F.lit(target)).otherwise(between)
 
 
 def total_loss(components: DataFrame, weights: dict[str, float], by: list[str] | None = None) -> DataFrame:

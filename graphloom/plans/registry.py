@@ -370,15 +370,68 @@ def q03(s, d):
     return inf.candidate_pairs(inf.retain_nodes(c.queries(s, d))).select("sample_id", "src", "dst")
 
 
-def _head(width: int = 56, hidden: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
-    r = np.random.default_rng(1)
-    sizes = (2 * width, hidden, hidden, 2)
-    return [(r.normal(0, i**-0.5, (i, o)), np.zeros(o)) for i, o in zip(sizes, sizes[1:])]
+HIDDEN = 16
 
 
-@_query("q04_score_relations")
+def _weight(layer: int, inputs: int, outputs: int) -> np.ndarray:
+    """Weights by a rule that SQL can repeat."""
+    i, j = np.arange(inputs)[:, None], np.arange(outputs)[None, :]
+    return ((i * 31 + j * 17 + i * j + layer * 7) % 41 - 20) / (10.0 * np.sqrt(inputs))
+
+
+def _head(inputs: int = 112, hidden: int = HIDDEN) -> inf.Layers:
+    """Relation head of three layers."""
+    sizes = (inputs, hidden, hidden, 2)
+    return [(_weight(k, i, o), np.arange(o) / 50) for k, (i, o) in enumerate(zip(sizes, sizes[1:]))]
+
+
+def _layer_sql(layer: int, x: str, inputs: int, outputs: int) -> str:
+    w = f"CAST((i * 31 + j * 17 + i * j + {layer * 7}) % 41 - 20 AS DOUBLE) / (10.0 * sqrt({inputs}::DOUBLE))"
+    return f"list_transform(range({outputs}), lambda j: list_dot_product({x}, list_transform(range({inputs}), lambda i: {w})) + j::DOUBLE / 50)"
+
+
+def _relation_sql(name: str, nodes: str, relation: str = "[]", tokens: int = 0) -> tuple[str, ...]:
+    """CTEs from nodes (sample_id, node_id, token) to <name> (sample_id, src, dst, l0, l1, score, p)."""
+    inputs = 56 * (2 + tokens)
+    relu = lambda x: f"list_transform({x}, lambda v: greatest(v, 0.0::DOUBLE))"
+    return (
+        f"{name}_x AS (SELECT a.sample_id, a.node_id AS l, b.node_id AS r, list_concat(list_concat(a.token, b.token), {relation}) AS x FROM {nodes} a JOIN {nodes} b ON a.sample_id = b.sample_id AND a.node_id <> b.node_id)",
+        f"{name}_1 AS (SELECT sample_id, l, r, {relu(_layer_sql(0, 'x', inputs, HIDDEN))} AS x FROM {name}_x)",
+        f"{name}_2 AS (SELECT sample_id, l, r, {relu(_layer_sql(1, 'x', HIDDEN, HIDDEN))} AS x FROM {name}_1)",
+        f"{name}_3 AS (SELECT sample_id, least(l, r) AS src, greatest(l, r) AS dst, {_layer_sql(2, 'x', HIDDEN, 2)} AS g FROM {name}_2)",
+        f"{name} AS (SELECT *, 1 / (1 + exp(l0 - l1)) AS score FROM (SELECT sample_id, src, dst, avg(g[1]) AS l0, avg(g[2]) AS l1, avg(1 / (1 + exp(g[1] - g[2]))) AS p FROM {name}_3 GROUP BY ALL))",
+    )
+
+
+TOKENS = "tok AS (SELECT CAST(vec_id // 20 AS BIGINT) AS sample_id, CAST(vec_id % 20 AS INTEGER) AS query_id, list_transform(embedding[9:64], lambda x: x::DOUBLE) AS token FROM embeddings)"
+KEPT_TOKENS = "kept_tok AS (SELECT sample_id, node_id, token FROM kept JOIN tok USING (sample_id, query_id))"
+RELATION = "list_concat((SELECT t.token FROM tok t WHERE t.sample_id = a.sample_id AND t.query_id = 18), (SELECT t.token FROM tok t WHERE t.sample_id = a.sample_id AND t.query_id = 19))"
+
+
+def _relation_tokens(q: DataFrame) -> DataFrame:
+    """Two relation tokens a sample: those of its last two queries."""
+    token = lambda k: F.max(F.when(F.col("query_id") == k, F.col("token")))
+    return q.groupBy("sample_id").agg(F.concat(token(18), token(19)).alias("token")).where("token is not null")
+
+
+@_query("q04_score_relations", c.QUERIES, KEPT, TOKENS, KEPT_TOKENS, *_relation_sql("scored", "kept_tok"), sql=f"SELECT sample_id, src, dst, {s6('score')} FROM scored")
 def q04(s, d):
-    return inf.score_relations(inf.candidate_pairs(inf.retain_nodes(c.queries(s, d)), "token"), _head()).select("sample_id", "src", "dst", *r6("score"))
+    return inf.score_relations(inf.retain_nodes(c.queries(s, d)), _head()).select("sample_id", "src", "dst", *r6("score"))
+
+
+@_query("q07_relation_tokens", c.QUERIES, KEPT, TOKENS, KEPT_TOKENS, *_relation_sql("scored", "kept_tok", RELATION, 2), sql=f"SELECT sample_id, src, dst, {s6('l0', 'l1', 'score', 'p')} FROM scored WHERE sample_id IN (SELECT sample_id FROM q WHERE query_id = 19)")
+def q07(s, d):
+    q = c.queries(s, d)
+    return inf.score_relations(inf.retain_nodes(q), _head(56 * 4), _relation_tokens(q)).select("sample_id", "src", "dst", *r6("l0", "l1", "score", "p"))
+
+
+@_query("q08_score_relations_large")
+def q08(s, d):
+    """The documented size: 120 queries a sample, tokens of 552 numbers, two relation tokens."""
+    wide = F.slice(F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double")), 9)), 1, 552)
+    e = c.table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 120).alias("sample_id"), (F.col("vec_id") % 120).cast("int").alias("node_id"), wide.alias("token"))
+    relations = e.where("node_id < 2").groupBy("sample_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("node_id", "token")))["token"]).alias("token"))
+    return inf.score_relations(e, _head(552 * 4, 552), relations).select("sample_id", "src", "dst", *r6("score"))
 
 
 ORDERED = """rel AS (SELECT a.sample_id, a.node_id AS src, b.node_id AS dst, (a.l0 - b.l1 + b.l0 - a.l1) / 2 AS l0, (a.l1 - b.l0 + b.l1 - a.l0) / 2 AS l1
@@ -394,7 +447,8 @@ def q05(s, d):
     return inf.retain_edges(inf.symmetric_logits(logits), 0.6).select("sample_id", "src", "dst", *r6("score"))
 
 
-@_query("q06_infer_graphs")
+@_query("q06_infer_graphs", c.QUERIES, KEPT, TOKENS, KEPT_TOKENS, *_relation_sql("scored", "kept_tok"), sql="""SELECT sample_id, node_id AS src, node_id AS dst, NULL::DOUBLE AS score FROM kept
+  UNION ALL SELECT sample_id, src, dst, round(score, 6) FROM scored WHERE l1 > l0""")
 def q06(s, d):
     nodes, edges = inf.infer_graphs(c.queries(s, d), _head())
     vertices = nodes.select("sample_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(None).cast("double").alias("score"))
@@ -662,16 +716,40 @@ def t11(s, d):
     return topo.h1_loss(*topo.h1_matching(c.candidates(c.nodes(s, d)))).select("sample_id", *r6("loss"))
 
 
-@_query("t12_topology_report", c.NODES, c.CANDIDATES, LIVE, H0, H0_LOSS, H1, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), H1_RANKS, sql="""
+TOPOLOGY = (LIVE, H0, H0_LOSS, H1, _betti("p", "live"), _betti("sh", "live_true"), _betti("t", "truth"), H1_RANKS)
+REPORT = """
   SELECT round(avg(CASE WHEN n >= 2 THEN coalesce(total / greatest(matched + "false" + missed, 1), 0) END), 6) AS h0_loss, round(avg(CASE WHEN n >= 3 THEN coalesce(h1.loss, 0) END), 6) AS h1_loss,
-    sum((n >= 2)::INT)::BIGINT AS h0_samples, sum((n >= 3)::INT)::BIGINT AS h1_samples FROM (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN h0 USING (sample_id) LEFT JOIN h1 USING (sample_id)""")
+    sum((n >= 2)::INT)::BIGINT AS h0_samples, sum((n >= 3)::INT)::BIGINT AS h1_samples FROM (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN h0 USING (sample_id) LEFT JOIN h1 USING (sample_id)"""
+
+
+@_query("t12_topology_report", c.NODES, c.CANDIDATES, *TOPOLOGY, sql=REPORT)
 def t12(s, d):
     n = c.nodes(s, d)
-    cand, v = c.candidates(n), _vertices(n)
+    return _report(_vertices(n), c.candidates(n))
+
+
+def _report(v: DataFrame, cand: DataFrame) -> DataFrame:
     report = topo.topology_report(v, topo.h0_loss(topo.h0_matching(v, cand)), topo.h1_loss(*topo.h1_matching(cand)))
     return report.select(*r6("h0_loss", "h1_loss"), "h0_samples", "h1_samples")
 
 
+MATCHED = (
+    c.QUERIES, TOKENS, "nodes AS (SELECT sample_id, query_id // 3 AS node_id, token FROM tok WHERE query_id % 3 = 0)", *_relation_sql("scored", "nodes"),
+    "cand AS (SELECT sample_id, src, dst, p, (src + dst) % 3 = 0 AS is_true FROM scored)",
+)
+
+
+@_query("t14_topology_of_matched_queries", *MATCHED, *TOPOLOGY, sql=REPORT)
+def t14(s, d):
+    """From the tokens of matched queries to the report: both orders' probabilities, candidates of matched targets, losses."""
+    q = c.queries(s, d)
+    targets, matched = c.query_targets(q)
+    tokens = q.join(matched, ["sample_id", "query_id"]).select("sample_id", F.col("query_id").alias("node_id"), "token")
+    t = targets.select("sample_id", F.col("target_id").alias("src"))
+    edges = t.join(t.withColumnRenamed("src", "dst"), "sample_id").where("src < dst and (src + dst) % 3 = 0")
+    return _report(*topo.matched_candidates(inf.score_relations(tokens, _head()).select("sample_id", "src", "dst", "p"), matched, edges))
+
+
 @_query("t13_h1_matching_large")
 def t13(s, d):
     """The documented size: 120 embeddings make a graph, all of its 7,140 pairs are candidates."""
@@ -684,20 +762,30 @@ def t13(s, d):
 # --- transport ----------------------------------------------------------------------------------
 
 
-@_query("p01_graph_point_cloud", *BASE, sql="""
+def _cloud_sql(points: int) -> str:
+    return f"""
   , l AS (SELECT e.sample_id, e.src, e.dst, a.d AS ad, a.h AS ah, a.w AS aw, b.d AS bd, b.h AS bh, b.w AS bw, sqrt(pow(b.d - a.d, 2) + pow(b.h - a.h, 2) + pow(b.w - a.w, 2)) AS len
     FROM edges e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst),
   k AS (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS n, count(*) OVER (PARTITION BY sample_id) AS m FROM l WHERE len > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY src, dst ROWS UNBOUNDED PRECEDING)),
   j AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY sample_id ORDER BY src, dst), 0) AS prev, max(cum) OVER (PARTITION BY sample_id) AS total FROM k),
-  b AS (SELECT *, CAST(CASE WHEN n = 1 THEN 0 ELSE floor(prev * 9 / total) + 1 END AS BIGINT) AS lo, CAST(CASE WHEN n = m THEN 9 ELSE floor(cum * 9 / total) END AS BIGINT) AS hi FROM j),
+  b AS (SELECT *, CAST(CASE WHEN n = 1 THEN 0 ELSE floor(prev * {points - 1} / total) + 1 END AS BIGINT) AS lo, CAST(CASE WHEN n = m THEN {points - 1} ELSE floor(cum * {points - 1} / total) END AS BIGINT) AS hi FROM j),
   x AS (SELECT *, unnest(range(lo, hi + 1)) AS i FROM b WHERE lo <= hi),
-  y AS (SELECT *, (total * i / 9 - prev) / len AS f FROM x)
-  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM y""")
+  y AS (SELECT *, (total * i / {points - 1} - prev) / len AS f FROM x)
+  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM y"""
+
+
+@_query("p01_graph_point_cloud", *BASE, sql=_cloud_sql(10))
 def p01(s, d):
     n = c.nodes(s, d)
     return transport.graph_point_cloud(n, c.target_edges(n), 10).select("sample_id", "i", *r6(*AXES))
 
 
+@_query("p04_point_cloud_of_protocol", *BASE, sql=_cloud_sql(100))
+def p04(s, d):
+    n = c.nodes(s, d)
+    return transport.graph_point_cloud(n, c.target_edges(n)).select("sample_id", "i", *r6(*AXES))
+
+
 @_query("p02_sinkhorn_distance")
 def p02(s, d):
     n = c.nodes(s, d)
@@ -883,6 +971,21 @@ def l17(s, d):
     return c.run_log(s, d).select("run_id", "epoch", "name", F.round(w, 6).alias("target")).groupBy("run_id", "epoch", "name", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("l19_schedule_bounds", c.RUN_LOG, sql="""
+  SELECT run_id, epoch, name, CASE WHEN e <= 10 THEN 20.0::DOUBLE ELSE 2.0 END AS step, CASE WHEN e <= 0 THEN 5.0::DOUBLE WHEN e >= 20 THEN 1 ELSE round(5 - 4 * e::DOUBLE / 20, 6) END AS target,
+    CASE WHEN e <= 10 THEN 0.0::DOUBLE ELSE 0.3 END AS at_once, round(0.3::DOUBLE * least(1, greatest(e, 1)::DOUBLE / 20), 6) AS no_warm_up, 0.0::DOUBLE AS negative, count(*) AS n
+  FROM (SELECT *, epoch % 50 AS e FROM run_log) GROUP BY ALL""")
+def l19(s, d):
+    """Schedules at their bounds: equal percentages, percentage 0, no ramp, no warm-up and epoch 0, a negative weight."""
+    e = F.col("epoch") % 50
+    columns = {
+        "step": loss.linear_progress(e, 20, 2, 10, 10), "target": F.round(loss.linear_progress(e, 5, 1, 0, 20), 6), "at_once": loss.candidate_weight(e, 0.3, 10, 0),
+        "no_warm_up": F.round(loss.candidate_weight(e, 0.3, 0, 20), 6), "negative": loss.candidate_weight(e, -0.5, 0, 0),
+    }
+    rows = c.run_log(s, d).select("run_id", "epoch", "name", *[v.alias(k) for k, v in columns.items()])
+    return rows.groupBy("run_id", "epoch", "name", *columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("l18_total_loss", c.RUN_LOG, sql="SELECT run_id, epoch, round(sum(CASE name WHEN 'click' THEN 2.0::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0 END * value), 4) AS total FROM run_log GROUP BY ALL")
 def l18(s, d):
     return loss.total_loss(c.run_log(s, d), {"click": 2.0, "view": 0.5}, ["run_id", "epoch"]).select("run_id", "epoch", F.round("total", 4).alias("total"))
@@ -1023,18 +1126,56 @@ def _split_files(s: SparkSession, d: str) -> str:
 
 @_query("s01_discover_triplets", SPLIT, sql="SELECT sample_id, 'mri' AS dataset, split, sample_id || '_data.nii' AS image, sample_id || '_seg.nii' AS seg, sample_id || '_graph.vtp' AS graph FROM emb WHERE split = 'train'")
 def s01(s, d):
-    found = files.discover_triplets(s, _split_files(s, d), "train", "mri")
+    found = files.discover_triplets(s, _split_files(s, d), "train", "mri", allow_direct=False)
+    return _file_names(found)
+
+
+def _file_names(found: DataFrame) -> DataFrame:
     file = lambda c: F.regexp_extract(c + "_path", "[^/]*$", 0).alias(c)
     return found.select("sample_id", "dataset", "split", file("image"), file("seg"), file("graph"))
 
 
+@_query("s13_discover_direct", SPLIT, sql="""SELECT sample_id, 'mri' AS dataset, k.split, sample_id || '_data.nii' AS image, sample_id || '_seg.nii' AS seg, sample_id || '_graph.vtp' AS graph
+  FROM emb, (VALUES ('val', 'val'), ('train', 'test')) AS k(own, split) WHERE emb.split = k.own""")
+def s13(s, d):
+    """A split below the root and a root that is the split itself; neither takes in the other's files."""
+    root = _split_files(s, d)
+    return _file_names(files.discover_triplets(s, root, "val", "mri").unionByName(files.discover_triplets(s, f"{root}/train", "test", "mri")))
+
+
 @_query("s02_resolve_split", SPLIT, sql="SELECT DISTINCT split AS leaf FROM emb")
 def s02(s, d):
-    listed = files.listing(s, _split_files(s, d))
-    both = files.resolve_split(listed, "train").unionByName(files.resolve_split(listed, "val"))
+    root = _split_files(s, d)
+    listed = files.listing(s, root)
+    both = listed.where(F.col("leaf").isin(files.resolve_split(listed, root, "train"), files.resolve_split(listed, root, "val"))).select("leaf").distinct()
     return both.select(F.regexp_extract("leaf", "[^/]*$", 0).alias("leaf"))
 
 
+#: Pixels of embeddings as grey images of 8 x 8, masks of their upper half.
+PLANTS = "pix AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, list_transform(embedding, lambda x: CAST(abs(floor(x::DOUBLE * 100)) AS BIGINT) % 256) AS g FROM embeddings)"
+
+
+def _plants_files(s: SparkSession, d: str) -> str:
+    """Folder of one split in the plants layout: a grey image, its mask and a graph per embedding."""
+    v = c.volumes(s, d).withColumn("data", F.transform("data", lambda x: F.abs(F.floor(x * 100)) % 256)).withColumn("shape", F.struct(F.lit(8).alias("d"), F.lit(8).alias("h"), F.lit(1).alias("w")))
+    name = lambda folder, end: F.concat(F.lit(f"test/{folder}/"), F.col("sample_id").cast("string"), F.lit(end)).alias("path")
+    mask = v.withColumn("data", F.transform("data", lambda x: F.when(x >= 128, 255).otherwise(0).cast("long")))
+    out = new_path(s, "plants")
+    graph = F.concat(F.lit(VTP[0]), F.lit("0 0 0 1 1 1"), F.lit(VTP[1])).cast("binary").alias("content")
+    for rows in (files.encode_png(v.select(name("raw", "_data.png"), "shape", "data")), files.encode_png(mask.select(name("seg", "_seg.png"), "shape", "data")), v.select(name("vtp", "_graph.vtp"), graph)):
+        files.write_files(rows, out)
+    return out
+
+
+@_query("s14_plants_volumes", PLANTS, sql="""SELECT sample_id, kind, CAST((i - 1) // 8 AS INTEGER) AS d, CAST((i - 1) % 8 AS INTEGER) AS h, CASE kind WHEN 'seg' THEN CASE WHEN g[i] >= 128 THEN 255 ELSE 0 END ELSE g[i] END::DOUBLE AS value
+  FROM pix, range(1, 65) AS r(i), (VALUES ('image'), ('seg')) AS k(kind)""")
+def s14(s, d):
+    """PNG files of the plants layout, from discovery to voxels."""
+    found = files.discover_triplets(s, _plants_files(s, d), "test", "plants", layout="plants")
+    v = files.load_volumes(s, found).unionByName(files.load_volumes(s, found, "seg_path", "seg"))
+    return vox.explode_volume(v).select("sample_id", "kind", "d", "h", "value")
+
+
 @_query("s03_load_volumes", SPLIT, sql="""SELECT sample_id, kind, CAST(i - 1 AS INTEGER) AS i, round(CASE kind WHEN 'seg' THEN (e[i] > 0)::INT ELSE e[i] END, 6) AS value
   FROM emb, range(1, 65) AS r(i), (VALUES ('image'), ('seg')) AS k(kind) WHERE split = 'train'""")
 def s03(s, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import os
 import struct
 import xml.etree.ElementTree as ET
 import zlib
@@ -28,27 +29,50 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"^(.*)/[^/]*/[^/]*$", 1).alias("leaf"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
 
 
-def resolve_split(files: DataFrame, split: str, allow_direct: bool = False) -> DataFrame:
-    """Folders that hold raw, seg and vtp and are named by the split (or any, with allow_direct)."""
-    full = files.where(F.col("folder").isin(*FOLDERS)).groupBy("leaf").agg(F.size(F.collect_set("folder")).alias("n")).where(F.col("n") == len(FOLDERS))
-    return full.select("leaf") if allow_direct else full.where(F.col("leaf").endswith("/" + split)).select("leaf")
+#: Ends of image and mask files by layout; a mask has the end of its image.
+LAYOUTS = {"mri": (".nii", ".nii.gz"), "plants": (".png",)}
+SPLITS = ("train", "val", "test")
 
 
-def discover_triplets(spark: SparkSession, path: str, split: str, dataset: str, allow_direct: bool = False) -> DataFrame:
-    """(sample_id, dataset, split, image_path, seg_path, graph_path), ordered by id.
+def resolve_split(files: DataFrame, root: str, split: str, allow_direct: bool = True) -> str:
+    """The folder <root>/<split> if it holds raw, seg and vtp, else with allow_direct the root itself if that does."""
+    split = split.strip().lower()
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split}")
+    root = _qualified(files.sparkSession, root)
+    wanted = [f"{root}/{split}", root][: 1 + allow_direct]
+    full = files.where(F.col("leaf").isin(wanted) & F.col("folder").isin(*FOLDERS)).groupBy("leaf").agg(F.count_distinct("folder").alias("n"))
+    found = {r["leaf"] for r in full.where(F.col("n") == len(FOLDERS)).collect()}  # two folders at most
+    for leaf in wanted:
+        if leaf in found:
+            return leaf
+    raise ValueError(f"no folder with {', '.join(FOLDERS)} for {split} below {root}")
 
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as listings give it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def discover_triplets(spark: SparkSession, path: str, split: str, dataset: str, allow_direct: bool = True, layout: str = "mri") -> DataFrame:
+    """(sample_id, dataset, split, image_path, seg_path, graph_path) of one split, ordered by id.
+
+    Every image is a sample, so one stored with both ends of its layout is two; its mask must have the same end.
     An image without both partners raises with its name, and so does a folder without images."""
     files = listing(spark, path)
-    files = files.join(resolve_split(files, split, allow_direct), "leaf", "left_semi")
-    kinds = {"image": ("raw", r"^(.+)_data\.(?:nii|nii\.gz|png)$"), "seg": ("seg", r"^(.+)_seg\.(?:nii|nii\.gz|png)$"), "graph": ("vtp", r"^(.+)_graph\.vtp$")}
-    side = {k: files.where((F.col("folder") == d) & F.col("file").rlike(p)).select(F.regexp_extract("file", p, 1).alias("sample_id"), F.col("path").alias(f"{k}_path")) for k, (d, p) in kinds.items()}
-    found = side["image"].join(side["seg"], "sample_id", "left").join(side["graph"], "sample_id", "left")
+    leaf = resolve_split(files, path, split, allow_direct)
+    end = "|".join(e.replace(".", r"\.") for e in LAYOUTS[layout])
+    files = files.where(F.col("leaf") == leaf)
+    side = lambda kind, folder, name: files.where((F.col("folder") == folder) & F.col("file").rlike(name)).select(F.regexp_extract("file", name, 1).alias("sample_id"), F.regexp_extract("file", name, 2).alias("end"), F.col("path").alias(f"{kind}_path"))
+    image, seg, graph = side("image", "raw", f"^(.+)_data({end})$"), side("seg", "seg", f"^(.+)_seg({end})$"), side("graph", "vtp", r"^(.+)_graph(\.vtp)$").drop("end")
+    found = image.join(seg, ["sample_id", "end"], "left").join(graph, "sample_id", "left")
     lost = [r[0] for r in found.where("seg_path is null or graph_path is null").select("sample_id").orderBy("sample_id").limit(20).collect()]
     if lost:
         raise ValueError(f"Incomplete sample: {', '.join(lost)}")
     if not found.limit(1).count():
-        raise ValueError(f"no samples below {path}")
-    return found.select("sample_id", F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "image_path", "seg_path", "graph_path").orderBy("sample_id")
+        raise ValueError(f"no {layout} images in {leaf}/raw")
+    return found.select("sample_id", F.lit(dataset).alias("dataset"), F.lit(split.strip().lower()).alias("split"), "image_path", "seg_path", "graph_path").orderBy("sample_id", "image_path")
 
 
 # NIfTI-1 data types.
@@ -102,8 +126,12 @@ def write_files(rows: DataFrame, root: str) -> int:
     return rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+#: Channels by PNG colour type: grey, RGB, grey and alpha, RGB and alpha.
+_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
 def _png(content: bytes) -> np.ndarray:
-    """Grey 8- or 16-bit PNG without interlacing as (h, w, 1)."""
+    """PNG without interlacing as grey (h, w, 1): 8 bits of any channels, or 16 bits of grey."""
     at, packed, head = 8, b"", None
     while at < len(content):
         size, name = struct.unpack_from(">I4s", content, at)
@@ -112,39 +140,65 @@ def _png(content: bytes) -> np.ndarray:
         packed += body if name == b"IDAT" else b""
         at += 12 + size
     width, height, depth, colour, _, _, interlace = head
-    if colour != 0 or depth not in (8, 16) or interlace:
-        raise ValueError("only grey PNG files of 8 or 16 bits are read")
-    unit = depth // 8
+    if colour not in _CHANNELS or depth not in (8, 16) or depth == 16 and colour or interlace:
+        raise ValueError("a PNG file must have 8 bits a channel or 16 bits of grey, and no interlacing")
+    unit = _CHANNELS[colour] * depth // 8
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, width * unit + 1)
-    out, above = np.zeros((height, width * unit), np.uint8), np.zeros(width * unit, np.uint8)
-    for y, line in enumerate(lines):
-        above = out[y] = _unfiltered(int(line[0]), line[1:], above, unit)
-    grey = out.reshape(height, width, unit).astype(float)
-    return (grey[:, :, 0] if unit == 1 else grey[:, :, 0] * 256 + grey[:, :, 1])[:, :, None]
-
-
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, unit: int) -> np.ndarray:
-    """A line of a PNG without its filter: whole lines at a time, but for averages and the Paeth rule, which depend on the byte before."""
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.add.accumulate(line.reshape(-1, unit), axis=0, dtype=np.uint8).ravel()
-    if kind == 2:
-        return line + above
-    out, up = line.tolist(), above.tolist()
-    for x, b in enumerate(up):
-        a, c = (out[x - unit], up[x - unit]) if x >= unit else (0, 0)
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
-        out[x] = (out[x] + guess) & 255
-    return np.array(out, np.uint8)
+    x = _unfiltered(lines[:, 0], lines[:, 1:].reshape(height, width, unit))
+    if depth == 16:
+        grey = x[:, :, 0] * 256 + x[:, :, 1]
+    elif unit <= 2:
+        grey = x[:, :, 0]
+    else:  # luma in 16-bit fixed point
+        grey = (x[:, :, 0] * 19595 + x[:, :, 1] * 38470 + x[:, :, 2] * 7471 + 32768) >> 16
+    return grey.astype(float)[:, :, None]
+
+
+def _unfiltered(kinds: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """Pixels (h, w, bytes) without the filters of their lines, as integers.
+
+    A pixel depends on those to its left and above, so diagonals are computed one after another, each at once."""
+    height, width, unit = pixels.shape
+    out = np.zeros((height + 1, width + 1, unit), np.int64)  # a border of zeros
+    if not kinds.any():
+        out[1:, 1:] = pixels
+        return out[1:, 1:]
+    kinds = kinds[:, None]
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x, kind = diagonal - y, kinds[y]
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        nearest = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+        guess = np.choose(kind, [np.zeros_like(a), a, b, (a + b) // 2, nearest])
+        out[y + 1, x + 1] = (pixels[y, x] + guess) & 255
+    return out[1:, 1:]
+
+
+def encode_png(images: DataFrame) -> DataFrame:
+    """(path, content) of 8-bit grey PNG files from (path, shape, data) with one slice and whole values."""
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = []
+            for shape, data in zip(frame["shape"], frame["data"]):
+                grey = np.asarray(data).astype(np.uint8).reshape(int(shape["d"]), int(shape["h"]))
+                lines = np.zeros((grey.shape[0], grey.shape[1] + 1), np.uint8)
+                lines[:, 0], lines[:, 1:] = 2, np.diff(grey, axis=0, prepend=np.zeros((1, grey.shape[1]), np.uint8))
+                head = struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, 0, 0, 0, 0)
+                contents.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
+            yield pd.DataFrame({"path": frame["path"], "content": contents})
+
+    return images.select("path", "shape", "data").mapInPandas(encode, "path string, content binary")
 
 
 #: Listings of up to so many files are broadcast to the reading tasks.
 SMALL_LISTING = 100_000
+#: Folders that are listed by name; of more, all below their common one are listed.
+MOST_FOLDERS = 1_000
 
 
 def _contents(spark: SparkSession, samples: DataFrame, column: str) -> DataFrame:
@@ -153,8 +207,12 @@ def _contents(spark: SparkSession, samples: DataFrame, column: str) -> DataFrame
     A counted short listing is broadcast, so contents stay where they are read; a long one is dealt out by
     path, each task then meets its own files only."""
     wanted = samples.select("sample_id", F.col(column).alias("path"))
-    folders = [r[0] for r in wanted.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().collect()]
-    files = spark.read.format("binaryFile").load(folders).select("path", "content")
+    folder = wanted.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    folders = [r[0] for r in folder.limit(MOST_FOLDERS + 1).collect()]
+    if len(folders) > MOST_FOLDERS:  # a folder a sample, say: all lie below what the first and the last have in common
+        folders = [os.path.commonprefix(list(folder.agg(F.min("folder"), F.max("folder")).first())).rpartition("/")[0]]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(len(folders) == 1).lower())
+    files = reader.load(folders).select("path", "content") if folders else wanted.select("path", F.lit(None).cast("binary").alias("content"))
     few = wanted.limit(SMALL_LISTING + 1).count() <= SMALL_LISTING
     return files.join(F.broadcast(wanted) if few else wanted, "path")
 

@@ -216,6 +216,52 @@ def test_queries_to_graphs(spark):
     assert n.count() == 1 and e.count() == 0
 
 
+@pytest.mark.parametrize("layers", [1, 2, 3])
+@pytest.mark.parametrize("relation", [0, 3])
+def test_relations_in_both_orders_as_a_plain_network(spark, layers, relation, monkeypatch):
+    monkeypatch.setattr(inf, "SCORED_PAIRS", 5)
+    r = np.random.default_rng(layers)
+    sizes = [8 + relation, *[6] * (layers - 1), 2]
+    head = [(r.normal(size=(i, o)), r.normal(size=o)) for i, o in zip(sizes, sizes[1:])]
+    tokens = {(s, k): r.normal(size=4) for s, n in (("a", 7), ("b", 1), ("c", 2), ("d", 4)) for k in range(n)}
+    shared = {s: r.normal(size=relation) for s in "abc"}
+    nodes = spark.createDataFrame([(s, k, x.tolist()) for (s, k), x in tokens.items()], "sample_id string, node_id int, token array<double>").repartition(3)
+    rel = spark.createDataFrame([(s, x.tolist()) for s, x in shared.items()], "sample_id string, token array<double>") if relation else None
+    got = {(x["sample_id"], x["src"], x["dst"]): (x["l0"], x["l1"], x["score"], x["p"]) for x in inf.score_relations(nodes, head, rel).collect()}
+    soft = lambda x: 1 / (1 + np.exp(x[0] - x[1]))
+    want = {}
+    for (s, i), x in tokens.items():
+        for j in range(i + 1, 9):
+            if (s, j) in tokens and (not relation or s in shared):
+                y, z = tokens[s, j], shared[s] if relation else []
+                both = [inf.relation_head(head, np.concatenate(parts)) for parts in ((x, y, z), (y, x, z))]
+                mean = (both[0] + both[1]) / 2
+                want[s, i, j] = (*mean, soft(mean), (soft(both[0]) + soft(both[1])) / 2)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+
+
+def test_relations_of_no_nodes(spark):
+    nodes = spark.createDataFrame([], "sample_id string, node_id int, token array<double>")
+    assert inf.score_relations(nodes, [(np.zeros((4, 2)), np.zeros(2))]).count() == 0
+
+
+def test_schedules_at_their_bounds(spark):
+    e = spark.createDataFrame([(k,) for k in (0, 1, 9, 10, 11, 20, 30)], "e int")
+    values = lambda x: [r[0] for r in e.select(x).collect()]
+    assert values(loss.linear_progress(F.col("e"), 20, 2, 10, 10)) == [20, 20, 20, 20, 2, 2, 2]
+    assert values(loss.linear_progress(F.col("e"), 4, 2, 10, 20)) == pytest.approx([4, 4, 4, 4, 3.8, 2, 2])
+    assert values(loss.linear_progress(F.col("e"), 4, 2, 0, 0)) == [4, 2, 2, 2, 2, 2, 2]
+    assert values(loss.candidate_weight(F.col("e"), 0.5, 10, 0)) == [0, 0, 0, 0, 0.5, 0.5, 0.5]
+    assert values(loss.candidate_weight(F.col("e"), 0.5, 0, 10)) == pytest.approx([0.05, 0.05, 0.45, 0.5, 0.5, 0.5, 0.5])
+    assert values(loss.candidate_weight(F.col("e"), -0.5, 0, 0)) == [0] * 7
+    assert values(loss.candidate_weight(F.col("e"), 0.5, -3, -4)) == [0.5] * 7
+    for bounds in ((20, 10), (-1, 10), (10, 101)):
+        with pytest.raises(ValueError):
+            loss.linear_progress(F.col("e"), 0, 1, *bounds)
+
+
 def loss_rows(spark, logits, labels):
     return spark.createDataFrame([(float(a), float(b), y) for (a, b), y in zip(logits, labels)], "l0 double, l1 double, label int")
 
@@ -344,6 +390,77 @@ def test_png(spark, tmp_path):
     assert np.array(r["data"]).reshape(5, 7).tolist() == x.tolist()
 
 
+def filtered(x, kinds):
+    """PNG bytes of pixels (h, w, channels), each line with a filter of its own."""
+    h, w, c = x.shape
+    flat, raw = x.reshape(h, w * c).astype(int), b""
+    for y in range(h):
+        line = bytearray([kinds[y % len(kinds)]])
+        for i in range(w * c):
+            a = flat[y, i - c] if i >= c else 0
+            b = flat[y - 1, i] if y else 0
+            d = flat[y - 1, i - c] if y and i >= c else 0
+            paeth = min((abs(b - d), 0, a), (abs(a - d), 1, b), (abs(a + b - 2 * d), 2, d))[2]
+            line.append(int(flat[y, i] - (0, a, b, (a + b) // 2, paeth)[line[0]]) % 256)
+        raw += bytes(line)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,), (3,), (4,), (4, 0, 3, 1, 2)])
+def test_png_filters_and_channels(channels, kinds):
+    x = np.random.default_rng(3).integers(0, 256, (9, 6, channels))
+    grey = x[:, :, 0] if channels < 3 else (x[:, :, 0] * 19595 + x[:, :, 1] * 38470 + x[:, :, 2] * 7471 + 32768) >> 16
+    assert (files._png(filtered(x, kinds))[:, :, 0] == grey).all()
+
+
+def test_plants_layout_and_written_png(spark, tmp_path):
+    x = np.random.default_rng(4).integers(0, 256, (6, 5))
+    v = spark.createDataFrame([("test/raw/p_data.png", (6, 5, 1), x.ravel().tolist()), ("test/seg/p_seg.png", (6, 5, 1), x.ravel().tolist())], "path string, shape struct<d:int,h:int,w:int>, data array<long>")
+    assert files.write_files(files.encode_png(v), str(tmp_path)) == 2
+    (tmp_path / "test/vtp").mkdir()
+    (tmp_path / "test/vtp/p_graph.vtp").write_bytes(vtp([(0, 0, 0), (1, 1, 1)], [(0, 1)]))
+    found = files.discover_triplets(spark, str(tmp_path), "test", "plants", layout="plants")
+    for column in ("image_path", "seg_path"):
+        r = files.load_volumes(spark, found, column).first()
+        assert np.array(r["data"]).reshape(6, 5).tolist() == x.tolist()
+    with pytest.raises(ValueError, match="no mri images"):
+        files.discover_triplets(spark, str(tmp_path), "test", "plants")
+
+
+def test_splits_do_not_mix(spark, tmp_path):
+    make_split(tmp_path)
+    (tmp_path / "train").rename(tmp_path / "val")
+    for folder, end in (("raw", "_data.nii"), ("seg", "_seg.nii"), ("vtp", "_graph.vtp")):
+        for path in (tmp_path / "val" / folder).iterdir():
+            path.rename(str(path).replace("sample", "other"))
+    make_split(tmp_path)
+    ids = lambda root, split, **k: [r["sample_id"] for r in files.discover_triplets(spark, str(root), split, "mri", **k).collect()]
+    assert ids(tmp_path, "train") == ids(tmp_path, "train", allow_direct=False) == ["sample_a", "sample_b"]
+    assert ids(tmp_path, " VAL ") == ids(tmp_path / "val", "test") == ["other_a", "other_b"]
+    with pytest.raises(ValueError, match="no folder"):
+        ids(tmp_path / "val", "test", allow_direct=False)
+    with pytest.raises(ValueError, match="no folder"):
+        ids(tmp_path, "test")
+    with pytest.raises(ValueError, match="unknown split"):
+        ids(tmp_path, "training")
+
+
+def test_an_image_with_both_ends_is_two_samples_with_masks_of_their_own(spark, tmp_path):
+    make_split(tmp_path)
+    for kind, name in (("raw", "data"), ("seg", "seg")):
+        packed = (tmp_path / "train" / kind / f"sample_a_{name}.nii.gz").read_bytes()
+        (tmp_path / "train" / kind / f"sample_a_{name}.nii").write_bytes(gzip.decompress(packed))
+    rows = files.discover_triplets(spark, str(tmp_path), "train", "mri").collect()
+    ends = [(r["sample_id"], r["image_path"].rpartition("_data")[2], r["seg_path"].rpartition("_seg")[2]) for r in rows]
+    assert ends == [("sample_a", ".nii", ".nii"), ("sample_a", ".nii.gz", ".nii.gz"), ("sample_b", ".nii", ".nii")]
+    (tmp_path / "train/seg/sample_a_seg.nii").unlink()
+    with pytest.raises(ValueError, match="Incomplete sample: sample_a"):
+        files.discover_triplets(spark, str(tmp_path), "train", "mri")
+
+
 def test_line_cells(spark):
     flat = lambda rows: files.decode_line_cells(spark.createDataFrame([("a", x) for x in rows], "sample_id string, cells array<int>"))
     assert [(r["src"], r["dst"]) for r in flat([[2, 0, 1, 2, 1, 2], []]).collect()] == [(0, 1), (1, 2)]
