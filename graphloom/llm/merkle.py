@@ -3,7 +3,7 @@
 Rows are leaves of a tree per source, the trees' roots are leaves of one more tree.  The levels are built
 once and written as node rows, linked to their parents; then a recursive query climbs them: the leaves
 start with the hash of the row as it is found now, and every step appends the siblings on the way and
-folds the hash one level up.  A row is unchanged if its folded hash is the root.
+folds the hash one level up; both are gathered by leaf family.  A row is unchanged if its folded hash is the root.
 
 Leaves below one lowest node share all further siblings, so they climb as one row with an array of their
 folded hashes.  The upper nodes, at most `UPPER_NODES`, are broadcast to the climb; below them every node
@@ -27,7 +27,9 @@ from .common import join_counted, written
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3
 #: Nodes that are broadcast to the climb; a node row has less than 400 bytes.
-UPPER_NODES = 40_000
+UPPER_NODES = 20_000
+#: A level of at most so many nodes is built in one task.
+SMALL_LEVEL = 10_000
 #: Rows of a range when leaves are numbered.
 RANGE_ROWS = 2_000
 #: Levels of the tree over the sources are numbered from here.
@@ -62,14 +64,15 @@ def leaves_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     listed = {f: F.col(f) for f in FIELDS}
     key = F.coalesce(F.concat(F.lit("+"), F.col(source_col)), F.lit(""))
     now = leaf_digest(listed | (found or {}))
-    return docs.select(F.col(id_col).alias("doc_id"), key.alias("source"), leaf_digest(listed).alias("leaf"), now.alias("found"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("source"), leaf_digest(listed).alias("leaf"), now.alias("found"))
+    return written(rows, "merkle-rows")  # texts are read once
 
 
 def numbered(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaves with first (position in the order of source and id), tree (first of the source), at (position in it) and n (leaves of the source); the sources."""
     order = [F.col("source"), F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("found")]
     placed = with_running(leaves, [], order, range_rows=RANGE_ROWS).withColumnRenamed("position", "first").drop("total")
-    placed = written(placed, "merkle-leaves")
+    placed = written(placed, "merkle-leaves")  # cuts the windows off, which would run for each use
     sources = written(placed.groupBy("source").agg(F.min("first").alias("tree"), F.count("*").alias("n")), "merkle-sources")
     return join_counted(placed, sources, "source", "n").withColumn("at", F.col("first") - F.col("tree")), sources
 
@@ -107,6 +110,8 @@ def levels_of(level: DataFrame, number: int, sizes: DataFrame) -> list[tuple[int
     nodes = [F.sum(F.when(F.lit(h == 0) | (F.col("n") > FANOUT ** max(h - 1, 0)), F.ceil(F.col("n") / FANOUT**h))) for h in heights]
     levels = []
     for height, count in zip(heights, sizes.agg(*nodes).first(), strict=True):
+        if count <= SMALL_LEVEL:
+            level = level.coalesce(1)  # narrow rows of bounded number need no exchange for their families
         level = written(with_family(level, number + height), f"merkle-level-{number + height}")
         levels.append((number + height, count, level))
         level = next_level(level)
@@ -121,7 +126,7 @@ def build(leaves: DataFrame) -> tuple[DataFrame, list[tuple[int, int, DataFrame]
     placed, sources = numbered(leaves)
     if not sources.limit(1).count():
         return placed, [], sources
-    below = levels_of(placed.withColumn("hash", F.col("leaf")), 0, sources)
+    below = levels_of(placed.withColumnRenamed("leaf", "hash"), 0, sources)
     subroots = together([level.where("n = 1").select(F.col("tree").alias("first"), F.col("id").alias("subroot_id"), "hash") for _, _, level in below])
     ranked = written(with_running(subroots, [], [F.col("first")], range_rows=RANGE_ROWS), "merkle-subroots")
     top = ranked.select(F.lit(-1).cast("long").alias("tree"), F.col("position").alias("at"), F.col("total").alias("n"), "first", "hash", "subroot_id")
@@ -140,20 +145,20 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: One step up for every row whose node is listed; the query ends where no node is.
+#: One step up for every row whose node is listed; the query ends where no node is.  Each step appends a row of siblings.
 CLIMB = """
-WITH RECURSIVE climb(family, node, folds, siblings, ended) AS (
-  SELECT family, node, folds, siblings, ended FROM {start}
+WITH RECURSIVE climb(family, step, node, folds, siblings, ended) AS (
+  SELECT family, step, node, folds, unhex('') AS siblings, ended FROM {start}
   UNION ALL
-  SELECT c.family, n.parent, transform(c.folds, x -> struct(x.at, sha2(CAST(concat(n.before, x.hash, n.after) AS BINARY), 256) AS hash)),
-    concat(c.siblings, unhex(concat(n.before, n.after))), n.ended
+  SELECT c.family, c.step + 1, n.parent, transform(c.folds, x -> unhex(sha2(CAST(concat(n.before, lower(hex(x)), n.after) AS BINARY), 256))),
+    unhex(concat(n.before, n.after)), n.ended
   FROM climb c JOIN {nodes} n ON n.id = c.node)
-SELECT family, node, folds, siblings FROM climb WHERE ended
+SELECT family, step, node, CASE WHEN ended THEN folds END AS folds, siblings FROM climb
 """
 
 
 def ascend(start: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """Climb (family, node, folds, siblings, ended) over node rows (id, parent, before, after, ended) to those that end; written."""
+    """Climb (family, step, node, folds, ended) over node rows (id, parent, before, after, ended); all steps, with folds where one ended; written."""
     spark, limit = start.sparkSession, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
@@ -164,7 +169,7 @@ def ascend(start: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
 
 
 def climb(leaf_rows: DataFrame, levels: list[tuple[int, int, DataFrame]], root_id: int, upper_nodes: int = UPPER_NODES) -> DataFrame:
-    """(family, node, folds, siblings) at the root: for every lowest node its leaves' folded hashes and the siblings above, level by level."""
+    """(family, folds, siblings): for every lowest node the hashes of the root as its leaves fold to it, and the siblings above, level by level; bytes."""
     rest, upper, count = list(levels), [], 0
     while rest and (count := count + rest[-1][1]) <= max(upper_nodes, 1 + FANOUT):
         upper.append(rest.pop())
@@ -177,13 +182,20 @@ def climb(leaf_rows: DataFrame, levels: list[tuple[int, int, DataFrame]], root_i
     rows = lambda parts, ended: together([x.where("parent is not null").select("id", "parent", "before", "after", ended(number).alias("ended")) for number, _, x in parts])
     # Leaves of a family start together, each with the hash that its parent would have.
     folded = F.when(F.col("n") > 1, digest(F.col("before"), F.col("found"), F.col("after"))).otherwise(F.col("found"))
-    leaves = leaf_rows.select(F.coalesce("parent", "id").alias("node"), "at", folded.alias("hash"), leaves_lower(0).alias("ended"))
+    leaves = leaf_rows.select(F.coalesce("parent", "id").alias("node"), "at", F.unhex(folded).alias("hash"), leaves_lower(0).alias("ended"))
     start = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "hash"))).alias("folds"), F.first("ended").alias("ended"))
-    start = start.select(F.col("node").alias("family"), "node", "folds", F.unhex(F.lit("")).alias("siblings"), "ended")
+    start = start.select(F.col("node").alias("family"), F.lit(0).alias("step"), "node", F.col("folds.hash").alias("folds"), "ended")
+    steps = []
     if rest:
-        start = ascend(start, rows(rest, leaves_lower), "merkle-lower")
+        lower = ascend(start, rows(rest, leaves_lower), "merkle-lower")
+        start = lower.where("folds is not null").select("family", "step", "node", "folds")
+        steps.append(lower.withColumn("folds", F.lit(None).cast("array<binary>")))
     start = start.withColumn("ended", F.col("node") == root_id)
-    return ascend(start, F.broadcast(rows(upper, lambda _: F.col("parent") == root_id)), "merkle-upper")
+    steps.append(ascend(start, F.broadcast(rows(upper, lambda _: F.col("parent") == root_id)), "merkle-upper"))
+    # Every step of a family once; where the second climb takes over, its first row has no siblings.
+    by_step = F.sort_array(F.collect_list(F.struct("step", "siblings")))["siblings"]
+    gathered = together(steps).groupBy("family").agg(F.max("folds").alias("folds"), by_step.alias("steps"))
+    return gathered.select("family", "folds", F.aggregate("steps", F.unhex(F.lit("")), lambda a, x: F.concat(a, x)).alias("siblings"))
 
 
 def merkle_manifest(docs: DataFrame, found: dict[str, Column] | None = None, upper_nodes: int = UPPER_NODES) -> DataFrame:
@@ -197,8 +209,8 @@ def merkle_manifest(docs: DataFrame, found: dict[str, Column] | None = None, upp
     root_id, root = levels[-1][2].select("id", "hash").first()
     climbed = climb(leaf_rows, levels, root_id, upper_nodes)
 
-    own = leaf_rows.select("doc_id", "leaf", "tree", F.coalesce("parent", "id").alias("family"), (F.col("at") % FANOUT).alias("place"), F.concat("before", "after").alias("beside"))
-    rows = own.join(climbed.select("family", "folds", "siblings"), "family")
-    rows = join_counted(rows, roots, "tree", "n").withColumn("folded_root", F.filter("folds", lambda x: x["at"] % FANOUT == F.col("place"))[0]["hash"])
-    proof = digest(F.col("beside"), F.lower(F.hex("siblings")))
-    return rows.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+    own = leaf_rows.select("doc_id", F.col("hash").alias("leaf"), "tree", F.coalesce("parent", "id").alias("family"), (F.col("at") % FANOUT).cast("int").alias("place"), F.unhex(F.concat("before", "after")).alias("beside"))
+    rows = join_counted(own.join(climbed, "family"), roots, "tree", "n")
+    folded, text = F.lower(F.hex(F.get("folds", F.col("place")))), lambda c: F.lower(F.hex(c))
+    rows = rows.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), digest(text("beside"), text("siblings")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
