@@ -25,15 +25,16 @@ def bounded_labels(labels: DataFrame, label_col: str, max_labelled: int, train_o
 def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ticket, label, text) of at most max_labelled whole documents of at most max_chars code points together.
 
-    Documents are taken in the order of their tickets until the next one would pass max_chars.  An id on
-    several rows counts once, with its smallest text; a null text counts as empty."""
+    Documents are taken in the order of their tickets; one that would pass max_chars is left out and the next
+    ones are tried, so a very long text costs its own place only.  An id on several rows counts once, with its
+    smallest text; a null text counts as empty."""
     few = F.broadcast(bounded_labels(labels, label_col, max_labelled))
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(few, "doc_id")
     found = written(found.groupBy("ticket", "label").agg(F.min("text").alias("text")), "labelled-sample")
-    last, chars = "", 0
+    left_out, chars = [], 0
     for ticket, n in found.select("ticket", F.length("text")).orderBy("ticket").collect():  # max_labelled short rows at most
-        chars += n
-        if chars > max_chars:
-            break
-        last = ticket
-    return found.where(F.col("ticket") <= last)
+        if chars + n > max_chars:
+            left_out.append(ticket)
+        else:
+            chars += n
+    return found.where(~F.col("ticket").isin(left_out)) if left_out else found

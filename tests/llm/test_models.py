@@ -142,6 +142,18 @@ def test_sample_is_bounded_by_rows_and_characters(spark):
     assert took(100, 0) == {} or set(took(100, 0).values()) == {""}
 
 
+@pytest.mark.parametrize("fit,column", [(fit_quality, "quality"), (fit_toxicity, "toxic")])
+def test_a_very_long_text_costs_its_own_place_only(spark, corpus, fit, column):
+    docs, labels = corpus
+    tickets = bounded_sample(docs, labels, column, 100).orderBy("ticket").collect()
+    whole = sum(len(r["text"]) for r in tickets)
+    first = next(r["doc_id"] for r in docs.collect() if r["text"] == tickets[0]["text"])
+    monster = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("word "), whole)).otherwise(F.col("text")))
+    kept = bounded_sample(monster, labels, column, 100, whole).collect()
+    assert {r["ticket"] for r in kept} == {r["ticket"] for r in tickets[1:]}
+    assert fit(monster, labels, 100, max_chars=whole) is not None
+
+
 def slow_quality(text, m):
     """(score, attention) of one text: passages of 64 words one by one, gate and weights by hand."""
     words = [w for w in re.split("[ \t\n\v\f\r]+", text) if w]
