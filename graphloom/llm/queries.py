@@ -246,26 +246,37 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
-c AS (
+k AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN n % 4 < 2 THEN 'search' WHEN n % 4 = 2 THEN 'measure' ELSE 'unknown' END AS tool,
+    CASE WHEN n % 11 = 0 THEN '{"query": ' || to_json(text)::VARCHAR WHEN n % 7 = 0 THEN '{ "query": ' || to_json(text)::VARCHAR || ' }'
+      ELSE '{ "query": ' || to_json(text)::VARCHAR || ', "limit": ' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE CAST(n % 20 AS VARCHAR) END || '}' END AS raw,
     CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN '{"query":' || to_json(text)::VARCHAR || '}'
       ELSE '{"limit":' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE CAST(n % 20 AS VARCHAR) END || ',"query":' || to_json(text)::VARCHAR || '}' END AS arguments,
     n % 4 < 3 AND n % 11 <> 0 AND CASE WHEN n % 7 = 0 THEN n % 4 = 2 ELSE n % 5 <> 0 END AS valid,
     CASE WHEN n % 6 = 0 THEN 'c' || (turn + 2) WHEN n % 3 = 0 THEN NULL ELSE 'c' || (turn - 2) END AS need
   FROM t WHERE role = 'assistant'),
+kr AS (SELECT *, conv_id IS NULL OR call_id IS NULL AS void, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, tool, raw, need NULLS FIRST) AS place FROM k),
+c AS (SELECT * FROM kr WHERE NOT void AND place = 1),
 e AS (SELECT conv_id, call_id, CASE WHEN (conv_id, need) IN (SELECT (conv_id, call_id) FROM c) THEN need END AS need FROM c),
 walk AS (
   SELECT conv_id, call_id, need AS step, 0 AS depth FROM e
   UNION ALL
   SELECT w.conv_id, w.call_id, e.need, w.depth + 1 FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.call_id = w.step WHERE w.depth < 100),
 lv AS (SELECT conv_id, call_id, max(depth) AS level FROM walk WHERE step IS NULL GROUP BY ALL),
-r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM t WHERE role = 'user' AND turn > 0),
+rr AS (
+  SELECT *, conv_id IS NULL OR call_id IS NULL AS void, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text) AS place
+  FROM (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM t WHERE role = 'user' AND turn > 0)),
+r AS (SELECT * FROM rr WHERE NOT void AND place = 1),
 j AS (
   SELECT conv_id, call_id, lv.level, coalesce(c.turn, r.turn) AS turn,
     CASE WHEN c.tool IS NULL THEN 'orphan' WHEN lv.level IS NULL THEN 'cycle' WHEN r.text IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
-    coalesce(c.valid, false) AS valid, c.tool, c.arguments, r.text FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id))
+    coalesce(c.valid, false) AS valid, c.tool, c.arguments, r.text FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+  UNION ALL
+  SELECT conv_id, call_id, NULL, turn, CASE WHEN void THEN 'void' ELSE 'duplicate' END, valid, tool, arguments, NULL FROM kr WHERE void OR place > 1
+  UNION ALL
+  SELECT conv_id, call_id, NULL, turn, CASE WHEN void THEN 'void' ELSE 'duplicate' END, false, NULL, NULL, text FROM rr WHERE void OR place > 1)
 SELECT conv_id, call_id, level, turn, status, valid,
-  '{"arguments":' || to_json(coalesce(arguments, 'null'))::VARCHAR || ',"call_id":"' || call_id || '","result":' || coalesce(to_json(text)::VARCHAR, 'null')
+  '{"arguments":' || to_json(coalesce(arguments, 'null'))::VARCHAR || ',"call_id":' || coalesce('"' || call_id || '"', 'null') || ',"result":' || coalesce(to_json(text)::VARCHAR, 'null')
   || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || ',"valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json FROM j
 UNION ALL
 SELECT conv_id, NULL, NULL, turn, 'message', false, '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'

@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import chat_tools
 from graphloom.llm.chat_tools import canonical_json, format_messages, link_tool_calls, topological_levels, valid_arguments
 from graphloom.llm.common import join_counted, repeated
 from graphloom.llm.queries import derived_calls
@@ -97,7 +99,10 @@ def test_calls_meet_their_results(spark):
     calls = [(1, "a", 1, "search", '{"query": "x", "limit": 2}', None, 0), (1, "b", 1, "search", "{}", ["a"], 0), (1, "b", 2, "late", "{}", [], 0), (1, None, 1, "t", "{}", [], 0), (2, "a", 0, "measure", None, ["a"], 0)]
     results = [(1, "a", 3, "late"), (1, "a", 2, "first"), (1, "z", 2, None), (None, "a", 1, "void")]
     got = link_tool_calls(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>, level int"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), TOOLS)
-    rows = {(r["conv_id"], r["call_id"]): r for r in got.collect()}
+    got = got.collect()
+    apart = Counter((r["conv_id"], r["call_id"], r["turn"], r["tool"], r["status"], r["content"], r["level"]) for r in got if r["status"] in ("duplicate", "void"))
+    assert apart == Counter([(1, "b", 2, "late", "duplicate", None, None), (1, None, 1, "t", "void", None, None), (1, "a", 3, None, "duplicate", "late", None), (None, "a", 1, None, "void", "void", None)])
+    rows = {(r["conv_id"], r["call_id"]): r for r in got if r["status"] not in ("duplicate", "void")}
     assert {k: (r["status"], r["level"], r["valid"], r["turn"], r["content"]) for k, r in rows.items()} == {
         (1, "a"): ("answered", 0, True, 1, "first"), (1, "b"): ("unanswered", 1, False, 1, None), (1, "z"): ("orphan", None, False, 2, None), (2, "a"): ("cycle", None, False, 0, None),
     }
@@ -105,6 +110,57 @@ def test_calls_meet_their_results(spark):
     assert link_tool_calls(spark.createDataFrame(calls[:0], "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>"), spark.createDataFrame(results[:0], "conv_id long, call_id string, turn long, content string"), TOOLS).count() == 0
 
 
+def test_equal_numbers_have_one_form(spark):
+    texts = ['[1, 1.0, 1e0, 10E-1, -0, -0.0]', '{"b": 1e2, "a": "1.0 \\" 1e2 \\\\"}', '[1.50, 15e-1, 0.1, 1e-1]', '[1e22, 12345678901234567890, 1.0e3]', '["\\\\", 2.0, "\\\\\\"3.0"]', '2.0', '"2.0"', '{"1.0": 1.0}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(canonical_json(F.col("t"))).collect()]
+    assert got == ["[1,1,1,1,0,0]", '{"a":"1.0 \\" 1e2 \\\\","b":100}', "[1.5,1.5,0.1,0.1]", "[1.0E22,12345678901234567890,1000]", '["\\\\",2,"\\\\\\"3.0"]', "2", '"2.0"', '{"1.0":1}']
+    long = json.dumps({"text": "a\n\"b\\" * 30000, "n": [1.0] * 5})
+    assert json.loads(spark.createDataFrame([(long,)], "t string").select(canonical_json(F.col("t"))).first()[0]) == json.loads(long)
+
+
+def levels_by_hand(calls, edges):
+    needs = {c: {n for i, n in edges if i == c and n in calls} for c in calls}
+    level, changed = {c: 0 for c in calls if not needs[c]}, True
+    while changed:
+        changed = False
+        for c in calls:
+            if c not in level and all(n in level for n in needs[c]):
+                level[c], changed = 1 + max(level[n] for n in needs[c]), True
+    return level
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_chains_joins_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    calls = [f"c{i}" for i in range(60)]
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, 25)]
+    for i in range(25, 60):
+        edges += [(f"c{i}", f"c{rng.randrange(60 if rng.random() < 0.1 else i)}") for _ in range(rng.choice([0, 1, 1, 2, 3]))]
+    edges.append(("c3", "unknown"))
+    rows = spark.createDataFrame([(k, c) for k in (1, 2) for c in calls], "conv_id long, call_id string")
+    need = spark.createDataFrame([(1, a, b) for a, b in edges], "conv_id long, call_id string, needs string")
+    got = {(r[0], r[1]): r[2] for r in topological_levels(rows, need).collect()}
+    want = levels_by_hand(calls, edges)
+    assert got == {**{(1, c): want.get(c) for c in calls}, **{(2, c): 0 for c in calls}}
+
+
+def test_a_chain_takes_as_many_rounds_as_its_length_has_digits(spark, monkeypatch):
+    made, write = [], chat_tools.written
+    monkeypatch.setattr(chat_tools, "written", lambda df, name, *more: made.append(name) or write(df, name, *more))
+    calls = spark.range(200).select(F.lit(1).alias("conv_id"), F.concat(F.lit("c"), "id").alias("call_id"))
+    edges = spark.range(1, 200).select(F.lit(1).alias("conv_id"), F.concat(F.lit("c"), "id").alias("call_id"), F.concat(F.lit("c"), F.col("id") - 1).alias("needs"))
+    assert {r[1]: r[2] for r in topological_levels(calls, edges).collect()} == {f"c{i}": i for i in range(200)}
+    assert made.count("chat-jumps") <= 10
+
+
+def test_no_conversation_row_is_lost(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "abcd"), (1, 1, "assistant", "abcd"), (1, 1, "assistant", "abce"), (1, 2, "user", "x"), (1, 2, "user", "x"), (1, 2, "user", "y"), (1, None, "assistant", "v"), (None, 3, "assistant", "w"), (None, None, "user", "z"), (1, None, None, None), (None, 4, "user", "u")]
+    calls, results, messages = derived_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = link_tool_calls(calls, results, TOOLS).unionByName(format_messages(messages)).collect()
+    assert Counter(r["status"] for r in got) == {"answered": 1, "duplicate": 4, "void": 3, "message": 3}
+    assert len(got) == len(turns) - 1  # the linked call and result are one row
+
+
 def test_whole_long_texts_and_ordinary_messages(spark):
     long = 'é "quoted" \\ \n\t\u0001 end. ' * 20_000
     schema = "conv_id long, turn int, role string, text string, json string, level int"
