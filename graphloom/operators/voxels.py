@@ -15,12 +15,12 @@ from .geometry import _flags, _turns, axis_sizes, turn
 KEY = ["sample_id", "kind"]
 
 
-def explode_volume(volumes: DataFrame) -> DataFrame:
-    """(sample_id, kind, shape, data) to voxels; data is row-major in (d, h, w)."""
-    long = volumes.select(*KEY, "shape", F.posexplode("data").alias("pos", "value"))
+def explode_volume(volumes: DataFrame, *more: str) -> DataFrame:
+    """(sample_id, kind, shape, data) to voxels, with further columns of the volume; data is row-major in (d, h, w)."""
+    long = volumes.select(*KEY, "shape", *more, F.posexplode("data").alias("pos", "value"))
     h, w = F.col("shape")["h"], F.col("shape")["w"]
     pos = F.col("pos")
-    return long.select(*KEY, F.floor(pos / (h * w)).cast("int").alias("d"), (F.floor(pos / w) % h).cast("int").alias("h"), (pos % w).cast("int").alias("w"), F.col("value").cast("double").alias("value"))
+    return long.select(*KEY, F.floor(pos / (h * w)).cast("int").alias("d"), (F.floor(pos / w) % h).cast("int").alias("h"), (pos % w).cast("int").alias("w"), F.col("value").cast("double").alias("value"), *more)
 
 
 def pack_volume(voxels: DataFrame, shape) -> DataFrame:

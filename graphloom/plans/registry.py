@@ -15,6 +15,7 @@ from ..operators import detection as det
 from ..operators import geometry as geo
 from ..operators import inference as inf
 from ..operators import losses as loss
+from ..operators import packed
 from ..operators import summary as summ
 from ..operators import topology as topo
 from ..operators import transport
@@ -199,15 +200,34 @@ def _resample_sql(size: int, position: str, linear: bool) -> str:
       FROM vox v JOIN ax x ON x.i = v.d JOIN ax y ON y.i = v.h JOIN ax z ON z.i = v.w GROUP BY ALL"""
 
 
+def _unpacked(volumes: DataFrame) -> DataFrame:
+    return _vox(vox.explode_volume(volumes))
+
+
 def _resample_query(name: str, size: int, position: str, linear: bool, f: Query) -> None:
     _queries[name] = f
     _sql[name] = f"WITH {c.VOXELS}, " + _resample_sql(size, position, linear)
 
 
-_resample_query("v04_zoom_trilinear", 4, "(o - 1.5::DOUBLE) / 0.75::DOUBLE + 1.5::DOUBLE", True, lambda s, d: _vox(vox.zoom_voxels(_cubes(s, d), 0.75, CUBE, "trilinear")))
-_resample_query("v04_zoom_nearest", 4, "round_even((o - 1.5::DOUBLE) / 0.6::DOUBLE + 1.5::DOUBLE, 0)", False, lambda s, d: _vox(vox.zoom_voxels(_cubes(s, d), 0.6, CUBE, "nearest")))
-_resample_query("v05_resize_trilinear", 6, "(o + 0.5::DOUBLE) * 4 / 6 - 0.5::DOUBLE", True, lambda s, d: _vox(vox.resize_voxels(_cubes(s, d), CUBE, (6, 6, 6), "trilinear")))
-_resample_query("v05_resize_nearest", 3, "floor(o * 4 / 3)", False, lambda s, d: _vox(vox.resize_voxels(_cubes(s, d), CUBE, (3, 3, 3))))
+_resample_query("v04_zoom_trilinear", 4, "(o - 1.5::DOUBLE) / 0.75::DOUBLE + 1.5::DOUBLE", True, lambda s, d: _unpacked(packed.zoom_volumes(c.volumes(s, d), 0.75, "trilinear")))
+_resample_query("v04_zoom_nearest", 4, "round_even((o - 1.5::DOUBLE) / 0.6::DOUBLE + 1.5::DOUBLE, 0)", False, lambda s, d: _unpacked(packed.zoom_volumes(c.volumes(s, d), 0.6, "nearest")))
+_resample_query("v05_resize_trilinear", 6, "(o + 0.5::DOUBLE) * 4 / 6 - 0.5::DOUBLE", True, lambda s, d: _unpacked(packed.resize_volumes(c.volumes(s, d), (6, 6, 6), "trilinear")))
+_resample_query("v05_resize_nearest", 3, "floor(o * 4 / 3)", False, lambda s, d: _unpacked(packed.resize_volumes(c.volumes(s, d), (3, 3, 3))))
+
+_resample_query("v16_zoom_sparse", 4, "(o - 1.5::DOUBLE) / 0.75::DOUBLE + 1.5::DOUBLE", True, lambda s, d: _vox(vox.zoom_voxels(_cubes(s, d), 0.75, CUBE, "trilinear")))
+
+
+@_query("v15_zoom_64", sql="""WITH p AS (SELECT o, greatest(0, least((o - 31.5::DOUBLE) / 0.75::DOUBLE + 31.5::DOUBLE, 63)) AS p FROM range(64) AS r(o)),
+  z AS (SELECT vec_id AS sample_id, o, embedding[1 + floor(p)::INT]::DOUBLE * (1 - (p - floor(p))) + embedding[1 + least(floor(p) + 1, 63)::INT]::DOUBLE * (p - floor(p)) AS z FROM embeddings, p),
+  t AS (SELECT sample_id, sum(z) AS t FROM z GROUP BY 1)
+  SELECT sample_id, CAST(o AS INTEGER) AS d, round(z * t * t, 4) AS total FROM z JOIN t USING (sample_id)""")
+def v15(s, d):
+    """Volumes of the documented size, 64 x 64 x 64, as products of an embedding with itself; the sums of their slices after the zoom."""
+    line = c.volumes(s, d).withColumn("shape", F.struct(F.lit(64).alias("d"), F.lit(1).alias("h"), F.lit(1).alias("w")))
+    cube = packed.per_volume(line, lambda x: x * x.reshape(1, -1, 1) * x.reshape(1, 1, -1))
+    slices = packed.per_volume(packed.zoom_volumes(cube, 0.75, "trilinear"), lambda x: x.sum((1, 2), keepdims=True))
+    return vox.explode_volume(slices).select("sample_id", "d", F.round("value", 4).alias("total"))
+
 
 CELLS = "cells AS (SELECT o, i FROM range(3) AS r(o), range(4) AS q(i) WHERE floor(o * 4 / 3) <= i AND i < ceil((o + 1) * 4 / 3))"
 CELL_JOIN = "FROM vox v JOIN cells x ON x.i = v.d JOIN cells y ON y.i = v.h JOIN cells z ON z.i = v.w GROUP BY v.sample_id, x.o, y.o, z.o"
@@ -216,12 +236,12 @@ CELL_OUT = "v.sample_id, CAST(x.o AS INTEGER) AS d, CAST(y.o AS INTEGER) AS h, C
 
 @_query("v06_occupancy_downsample", c.VOXELS, CELLS, sql=f"SELECT {CELL_OUT}, round(max(value), 6) AS value {CELL_JOIN}")
 def v06(s, d):
-    return _vox(vox.occupancy_downsample(_cubes(s, d), CUBE, (3, 3, 3)))
+    return _unpacked(packed.occupancy_downsample_volumes(c.volumes(s, d), (3, 3, 3)))
 
 
 @_query("v07_area_resize", c.VOXELS, CELLS, sql=f"SELECT {CELL_OUT}, round(avg(value), 6) AS value {CELL_JOIN}")
 def v07(s, d):
-    return _vox(vox.area_resize(_cubes(s, d), CUBE, (3, 3, 3)))
+    return _unpacked(packed.area_resize_volumes(c.volumes(s, d), (3, 3, 3)))
 
 
 @_query("v08_project_2d_to_3d", c.VOXELS, sql="""SELECT sample_id, CAST(d AS INTEGER) AS d, CAST(h AS INTEGER) AS h, CAST(x AS INTEGER) AS w, round(CASE WHEN x BETWEEN 3 AND 5 THEN value ELSE 0 END - 0.5::DOUBLE, 6) AS value
@@ -297,16 +317,44 @@ def a02(s, d):
     return p.select("sample_id", "turns.dh", "turns.dw", "turns.hw", *[F.col("flip")[a].alias("flip_" + a) for a in AXES], *r6("zoom", "noise_std"), "add_noise")
 
 
-@_query("a03_augment_nodes")
+def _turn_sql(rows: str) -> str:
+    """Positions d, h, w (and sizes s_d, s_h, s_w) after the turns dh, dw, hw, one plane after another."""
+    for name, a, b in geo.PLANES:
+        moved = {a: f"CASE {name} WHEN 1 THEN s_{b} - 1 - {b} WHEN 2 THEN s_{a} - 1 - {a} WHEN 3 THEN {b} ELSE {a} END", b: f"CASE {name} WHEN 1 THEN {a} WHEN 2 THEN s_{b} - 1 - {b} WHEN 3 THEN s_{a} - 1 - {a} ELSE {b} END"}
+        moved |= {f"s_{x}": f"CASE WHEN {name} % 2 = 1 THEN s_{y} ELSE s_{x} END" for x, y in ((a, b), (b, a))}
+        rows = f"(SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in moved.items())}) FROM {rows})"
+    return rows
+
+
+_SIZED = ", ".join(f"{size} AS s_{a}" for a, size in zip(AXES, c.SHAPE))
+_WITHIN = " AND ".join("({0} >= -1e-6 AND {0} <= (s_{0} - 1)::DOUBLE / s_{0} + 1e-6)".format(a) for a in AXES)
+
+
+@_query("a03_augment_nodes", c.NODES, c.ROLES, PARAMS, sql=f"""
+  , n0 AS (SELECT n.sample_id, node_id, n.d, n.h, n.w, {_SIZED}, dh, dw, hw, zoom, flip_d, flip_h, flip_w FROM nodes n JOIN params USING (sample_id)),
+  n1 AS (SELECT * REPLACE ({", ".join(f"{a} * s_{a} AS {a}" for a in AXES)}), {_WITHIN} AS ok FROM n0),
+  n2 AS (SELECT * REPLACE ({", ".join(f"{a} / s_{a} AS {a}" for a in AXES)}) FROM {_turn_sql("n1")}),
+  n3 AS (SELECT * REPLACE ({", ".join(f"(({a} * s_{a} - (s_{a} - 1) / 2::DOUBLE) * zoom + (s_{a} - 1) / 2::DOUBLE) / s_{a} AS {a}" for a in AXES)}) FROM n2),
+  n4 AS (SELECT * REPLACE ({", ".join(f"CASE WHEN flip_{a} THEN (s_{a} - 1 - {a} * s_{a}) / s_{a} ELSE {a} END AS {a}" for a in AXES)}) FROM n3)
+  SELECT sample_id, node_id, {s6(*AXES)}, ok AND {_WITHIN} AS valid FROM n4""")
 def a03(s, d):
     p = comp.sample_params(c.roles(s, d), 11)
     return comp.augment_nodes(c.nodes(s, d).select("sample_id", "node_id", *AXES), p, c.SHAPE).select("sample_id", "node_id", *r6(*AXES), "valid")
 
 
-@_query("a03_augment_voxels")
+_AUGMENTED = f"""rotated AS (SELECT * FROM {_turn_sql("(SELECT v.sample_id, d::INTEGER AS d, h::INTEGER AS h, w::INTEGER AS w, value, dh, dw, hw, 4 AS s_d, 4 AS s_h, 4 AS s_w FROM vox v JOIN params USING (sample_id))")}),
+  spots AS (SELECT sample_id, o, greatest(0, least((o - 1.5::DOUBLE) / zoom + 1.5::DOUBLE, 3)) AS p FROM params, range(4) AS r(o)),
+  ax AS (SELECT sample_id, o, floor(p)::INTEGER AS i, 1 - (p - floor(p)) AS q FROM spots UNION ALL SELECT sample_id, o, least(floor(p) + 1, 3)::INTEGER, p - floor(p) FROM spots),
+  zoomed AS (SELECT v.sample_id, x.o AS d, y.o AS h, z.o AS w, sum(x.q * y.q * z.q * value) AS value FROM rotated v JOIN ax x ON x.sample_id = v.sample_id AND x.i = v.d
+    JOIN ax y ON y.sample_id = v.sample_id AND y.i = v.h JOIN ax z ON z.sample_id = v.sample_id AND z.i = v.w GROUP BY ALL),
+  flips AS (SELECT sample_id, {", ".join(f"CAST(CASE WHEN flip_{a} THEN 3 - {a} ELSE {a} END AS INTEGER) AS {a}" for a in AXES)}, value, noise_std FROM zoomed JOIN params USING (sample_id))"""
+
+
+@_query("a03_augment_voxels", "roles AS (SELECT vec_id AS sample_id, 'mri' AS dataset, 'train' AS split FROM embeddings)", PARAMS, c.VOXELS, _AUGMENTED, sql=f"""
+  SELECT sample_id, d, h, w, round(greatest(-0.5::DOUBLE, least(0.5::DOUBLE, value + CASE WHEN noise_std > 0 THEN sqrt(-2 * ln(greatest({_uniform_sql(11, "noise.u", *_NK)}, pow(2::DOUBLE, -48)))) * cos(2 * pi() * {_uniform_sql(11, "noise.v", *_NK)}) * noise_std ELSE 0 END)), 6) AS value FROM flips""")
 def a03v(s, d):
     p = comp.sample_params(c.table(s, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.lit("mri").alias("dataset"), F.lit("train").alias("split")), 11)
-    return _vox(comp.augment_voxels(_cubes(s, d), p, CUBE, "trilinear", 11))
+    return _vox(packed.augment_volumes(c.volumes(s, d), p, "trilinear", 11))
 
 
 @_query("a04_alignment_report", c.NODES, sql="""SELECT sample_id, round(avg(hit), 6) AS hit_rate FROM (

@@ -16,6 +16,7 @@ from graphloom.operators import compose as comp
 from graphloom.operators import geometry as geo
 from graphloom.operators import inference as inf
 from graphloom.operators import losses as loss
+from graphloom.operators import packed
 from graphloom.operators import voxels as vox
 from graphloom.sources import files
 from graphloom.streaming import runs
@@ -114,6 +115,73 @@ def test_resampling_against_direct_interpolation(spark):
     assert np.allclose(dense(vox.area_resize(voxels(spark, x), x.shape, (2, 3, 3)), (2, 3, 3)), [[[z.mean() for z in y] for y in w] for w in blocks])
 
 
+def volumes(spark, arrays, kind="image"):
+    rows = [(k, kind, x.shape, x.ravel().tolist()) for k, x in enumerate(arrays)]
+    return spark.createDataFrame(rows, "sample_id int, kind string, shape struct<d:int,h:int,w:int>, data array<double>")
+
+
+def unpacked(rows):
+    return {r["sample_id"]: np.array(r["data"]).reshape(tuple(r["shape"])) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("mode", ["nearest", "trilinear"])
+def test_packed_resampling_is_that_of_voxel_tables(spark, mode):
+    r = np.random.default_rng(6)
+    x, shape = r.normal(size=(3, 5, 4)), (3, 5, 4)
+    v, rows = volumes(spark, [x]), voxels(spark, x)
+    for factor in (0.6, 0.75, 1.0, 1.7):
+        assert np.allclose(unpacked(packed.zoom_volumes(v, factor, mode))[0], dense(vox.zoom_voxels(rows, factor, shape, mode), shape))
+    for target in ((2, 3, 4), (6, 5, 9), (1, 1, 1)):
+        assert np.allclose(unpacked(packed.resize_volumes(v, target, mode))[0], dense(vox.resize_voxels(rows, shape, target, mode), target))
+
+
+def test_packed_pooling_is_that_of_voxel_tables(spark):
+    x = np.random.default_rng(7).normal(size=(7, 5, 6))
+    v, rows = volumes(spark, [x]), voxels(spark, x)
+    for target in ((3, 2, 4), (7, 5, 6), (1, 1, 1), (2, 5, 5)):
+        assert np.allclose(unpacked(packed.area_resize_volumes(v, target))[0], dense(vox.area_resize(rows, x.shape, target), target))
+        assert np.allclose(unpacked(packed.occupancy_downsample_volumes(v, target))[0], dense(vox.occupancy_downsample(rows, x.shape, target), target))
+    assert np.allclose(unpacked(packed.occupancy_downsample_volumes(v, (9, 2, 2)))[0], dense(vox.occupancy_downsample(rows, x.shape, (9, 2, 2)), (9, 2, 2)))
+    plane = np.zeros((12, 12, 1))
+    plane[1, 7, 0] = 255
+    assert (unpacked(packed.occupancy_downsample_volumes(volumes(spark, [plane]), (6, 6, 1)))[0] > 0).sum() == 1
+
+
+def test_packed_volumes_of_many_shapes_in_one_pass(spark):
+    r = np.random.default_rng(8)
+    arrays = [r.normal(size=tuple(r.integers(1, 6, 3))) for _ in range(9)]
+    v = volumes(spark, arrays).withColumn("zoom", F.lit(0.5) + F.col("sample_id") / 9).coalesce(1)
+    plan = packed.zoom_volumes(v, "zoom", "trilinear")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = unpacked(plan)
+    for k, x in enumerate(arrays):
+        assert np.allclose(got[k], packed.zoomed(x, 0.5 + k / 9, True)) and got[k].shape == x.shape
+    assert packed.zoom_volumes(v.limit(0), 0.5).count() == 0
+
+
+def test_packed_augmentation_is_that_of_voxel_tables(spark):
+    x = np.random.default_rng(9).normal(size=(4, 4, 4))
+    samples = spark.createDataFrame([(k, "mri", "train" if k else "val") for k in range(6)], "sample_id int, dataset string, split string")
+    p = comp.sample_params(samples, 5)
+    for kind in ("image", "seg"):
+        v = volumes(spark, [x] * 6, kind)
+        cells = lambda rows: {tuple(r)[:5]: r["value"] for r in rows.select("sample_id", "kind", "d", "h", "w", "value").collect()}  # noqa: E731, B023
+        for mode in ("nearest", "trilinear"):
+            fast, slow = cells(packed.augment_volumes(v, p, mode, 5)), cells(comp.augment_voxels(vox.explode_volume(v), p, (4, 4, 4), mode, 5))
+            assert fast.keys() == slow.keys() and len(fast) == 6 * 64
+            assert all(fast[k] == pytest.approx(slow[k]) for k in slow)
+    assert packed.augment_volumes(volumes(spark, [x] * 7), p).count() == 6 * 64
+
+
+def test_turned_volumes_move_as_voxels(spark):
+    x = np.arange(24.0).reshape(2, 3, 4)
+    for turns in itertools.product(range(4), repeat=3):
+        y = packed.turned(x, dict(zip(("dh", "dw", "hw"), turns)))
+        if turns in ((1, 0, 0), (0, 3, 1), (2, 1, 3)):
+            assert np.allclose(y, dense(vox.rotate_voxels(voxels(spark, x), turns, x.shape), y.shape))
+        assert sorted(y.ravel()) == sorted(x.ravel())
+
+
 def test_occupancy_keeps_a_thin_branch(spark):
     plane = np.zeros((12, 12, 1))
     plane[1, 7, 0] = 255
