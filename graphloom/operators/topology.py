@@ -25,19 +25,14 @@ def canonical_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(known.withColumnRenamed("node_id", "dst"), ["sample_id", "dst"], "left_semi").select("sample_id", "src", "dst")
 
 
-def _rows(nodes: DataFrame, edges: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """Samples, nodes and edges as rows (sample_id, kind, src, dst): kind 0, 1 and 2."""
+def _rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes and edges as rows (sample_id, kind, src, dst): kind 1 and 2."""
     kind = lambda k: F.lit(k).alias("kind")
-    rows = nodes.select("sample_id", kind(1), F.col("node_id").alias("src"), F.col("node_id").alias("dst")).unionByName(edges.select("sample_id", kind(2), "src", "dst"))
-    if samples is None:
-        return rows
-    zero = F.lit(0).cast(nodes.schema["node_id"].dataType)
-    return rows.unionByName(samples.select("sample_id", kind(0), zero.alias("src"), zero.alias("dst")))
+    return nodes.select("sample_id", kind(1), F.col("node_id").alias("src"), F.col("node_id").alias("dst")).unionByName(edges.select("sample_id", kind(2), "src", "dst"))
 
 
-def _graphs(table: pa.Table, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _graphs(kind: np.ndarray, src: np.ndarray, dst: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sample, node, component number) per known node, (sample of each canonical edge), known-node places, of _rows."""
-    kind, src, dst = numbers(table, "kind", "src", "dst")
     (a, b), sample, node = dense(code, src, dst)
     known = np.zeros(len(node), bool)
     known[a[kind == 1]] = True
@@ -52,7 +47,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, node_id, component): the component is named by its smallest node id."""
 
     def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
-        sample, node, label, _, known = _graphs(table, code)
+        sample, node, label, _, known = _graphs(*numbers(table, "kind", "src", "dst"), code)
         first = np.searchsorted(code, sample[known])
         return pa.table({"sample_id": table["sample_id"].take(pa.array(first)), "node_id": node[known], "component": node[label[known]]})
 
@@ -60,21 +55,35 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per_sample(_rows(nodes, edges), kernel, f"sample_id {types['sample_id']}, node_id {types['node_id']}, component {types['node_id']}")
 
 
+COUNTS = ("n_nodes", "n_edges", "beta0", "beta1")
+
+
 def betti_numbers(samples: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, n_nodes, n_edges, beta0, beta1) for every sample; an empty graph has zeros."""
+    return betti_of_graphs(samples, {"": (nodes, edges)})
+
+
+def betti_of_graphs(samples: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """betti_numbers of several graphs a sample, from one kernel; graphs: prefix of the columns -> (nodes, edges)."""
+    zero = F.lit(0).cast(next(iter(graphs.values()))[0].schema["node_id"].dataType)
+    rows = samples.select("sample_id", F.lit(0).alias("graph"), F.lit(0).alias("kind"), zero.alias("src"), zero.alias("dst"))
+    for k, (nodes, edges) in enumerate(graphs.values()):
+        rows = rows.unionByName(_rows(nodes, edges).withColumn("graph", F.lit(k)))
+    count = len(graphs)
 
     def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
-        sample, _, label, edge_sample, known = _graphs(table, code)
-        n = int(code[-1]) + 1
-        count = lambda of: np.bincount(of, minlength=n).astype(np.int32)
-        asked = np.unique(code[table["kind"].to_numpy() == 0])
-        n_nodes, n_edges = count(sample[known]), count(edge_sample)
-        beta0 = count(sample[known & (label == np.arange(len(label)))])
-        found = {"n_nodes": n_nodes, "n_edges": n_edges, "beta0": beta0, "beta1": n_edges - n_nodes + beta0}
-        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, asked))), **{k: v[asked] for k, v in found.items()}})
-
-    schema = f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, n_nodes int, n_edges int, beta0 int, beta1 int"
-    return per_sample(_rows(nodes, edges, samples), kernel, schema)
+        kind, src, dst, graph = numbers(table, "kind", "src", "dst", "graph")
+        sample, _, label, edge_sample, known = _graphs(kind, src, dst, code.astype(np.int64) * count + graph)
+        n = (int(code[-1]) + 1) * count
+        total = lambda of: np.bincount(of, minlength=n).astype(np.int32).reshape(-1, count)
+        asked = np.unique(code[kind == 0])
+        n_nodes, n_edges, beta0 = total(sample[known]), total(edge_sample), total(sample[known & (label == np.arange(len(label)))])
+        found = dict(zip(COUNTS, (n_nodes, n_edges, beta0, n_edges - n_nodes + beta0)))
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, asked))), **{p + c: v[asked, k] for k, p in enumerate(prefixes) for c, v in found.items()}})
+
+    prefixes = list(graphs)
+    columns = ", ".join(f"{p}{c} int" for p in prefixes for c in COUNTS)
+    return per_sample(rows, kernel, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, {columns}")
 
 
 def graph_filtration(nodes: DataFrame, candidates: DataFrame, terminal: float = 1.0) -> DataFrame:

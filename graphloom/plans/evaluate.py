@@ -18,11 +18,8 @@ METRICS = (
 def graph_counts(samples: DataFrame, target_nodes: DataFrame, target_edges: DataFrame, pred_nodes: DataFrame, pred_edges: DataFrame) -> DataFrame:
     """Betti numbers, counts and their absolute errors for every sample."""
 
-    def side(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        b = topo.betti_numbers(samples, nodes, edges)
-        return b.select("sample_id", F.col("n_nodes").alias(f"{name}_nodes"), F.col("n_edges").alias(f"{name}_edges"), F.col("beta0").alias(f"{name}_beta0"), F.col("beta1").alias(f"{name}_beta1"))
-
-    both = side("target", target_nodes, target_edges).join(side("predicted", pred_nodes, pred_edges), "sample_id")
+    both = topo.betti_of_graphs(samples, {"target_": (target_nodes, target_edges), "predicted_": (pred_nodes, pred_edges)})
+    both = both.withColumnsRenamed({f"{side}_n_{x}": f"{side}_{x}" for side in ("target", "predicted") for x in ("nodes", "edges")})
     gap = lambda x: F.abs(F.col(f"target_{x}") - F.col(f"predicted_{x}"))
     return both.withColumns({"beta0_absolute_error": gap("beta0"), "beta1_absolute_error": gap("beta1"), "node_count_absolute_error": gap("nodes"), "edge_count_absolute_error": gap("edges")})
 

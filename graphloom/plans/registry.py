@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, corners, volume
-from ..functions.storage import new_path
+from ..functions.storage import new_path, written
 from ..operators import compose as comp
 from ..operators import detection as det
 from ..operators import geometry as geo
@@ -1062,7 +1062,7 @@ COUNTS = ("node_count_absolute_error", "edge_count_absolute_error", "beta0_absol
 
 
 def _counts(s, d) -> DataFrame:
-    n = c.nodes(s, d)
+    n = written(c.nodes(s, d).select("sample_id", "node_id", *AXES, "flag", "status"), "nodes")  # numbered once for both graphs
     return graph_counts(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n))
 
 
