@@ -60,23 +60,45 @@ def epoch_means(run_log: DataFrame) -> DataFrame:
     return run_log.groupBy("run_id", "epoch", "name").agg(F.avg("value").alias("value"))
 
 
-def best_so_far(history: DataFrame, mode: str = "max") -> DataFrame:
+def known_records(records: DataFrame, mode: str) -> DataFrame:
+    """(run_id, name, record) of stored bests (run_id, metric, mode, value) of one mode; values that are not finite are none."""
+    pick = F.max if mode == "max" else F.min
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    usable = records.where((F.col("mode") == mode) & finite)
+    return usable.groupBy("run_id", F.col("metric").alias("name")).agg(pick("value").alias("record"))
+
+
+def best_so_far(history: DataFrame, mode: str = "max", records: DataFrame | None = None) -> DataFrame:
     """(run_id, name, epoch, value) rows with `best` (running) and `improved` (strictly better than before).
 
-    Undefined values never improve."""
+    Undefined values never improve.  records: stored bests (run_id, metric, mode, value) that a resumed run starts from."""
     finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     order = Window.partitionBy("run_id", "name").orderBy("epoch")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    pick = F.max if mode == "max" else F.min
-    h = history.withColumn("_v", finite).withColumn("_before", pick("_v").over(before))
+    pick, better_of = (F.max, F.greatest) if mode == "max" else (F.min, F.least)
+    h = history.withColumn("_record", F.lit(None).cast("double")) if records is None else history.join(known_records(records, mode).withColumnRenamed("record", "_record"), ["run_id", "name"], "left")
+    h = h.withColumn("_v", finite).withColumn("_before", better_of(pick("_v").over(before), F.col("_record")))
     better = F.col("_v") > F.col("_before") if mode == "max" else F.col("_v") < F.col("_before")
-    best = (F.greatest if mode == "max" else F.least)("_before", "_v")
-    return h.withColumns({"best": best, "improved": F.col("_v").isNotNull() & (F.col("_before").isNull() | better)}).drop("_v", "_before")
+    improved = F.col("_v").isNotNull() & (F.col("_before").isNull() | better)
+    return h.withColumns({"best": better_of("_before", "_v"), "improved": improved}).select(*history.columns, "best", "improved")
+
+
+def best_records(history: DataFrame, mode: str = "max", records: DataFrame | None = None) -> DataFrame:
+    """(run_id, metric, mode, epoch, value): the best of every run and metric to store, with the epoch that set it.
+
+    A record that no epoch beats stays; its epoch is null where it is not known."""
+    h = best_so_far(history, mode, records).where("improved")
+    last = h.groupBy("run_id", "name").agg(F.max_by(F.struct("epoch", "value"), "epoch").alias("set"))
+    new = last.select("run_id", F.col("name").alias("metric"), F.lit(mode).alias("mode"), "set.epoch", "set.value")
+    if records is None:
+        return new
+    old = known_records(records, mode).join(last.select("run_id", "name"), ["run_id", "name"], "left_anti")
+    return new.unionByName(old.select("run_id", F.col("name").alias("metric"), F.lit(mode).alias("mode"), F.lit(None).cast("int").alias("epoch"), F.col("record").alias("value")))
 
 
-def select_checkpoint(history: DataFrame, policy: str, interval: int = 1, mode: str = "max") -> DataFrame:
+def select_checkpoint(history: DataFrame, policy: str, interval: int = 1, mode: str = "max", records: DataFrame | None = None) -> DataFrame:
     """Epochs to keep: none, best_only, interval or interval_and_best; an interval always keeps the last."""
-    h = best_so_far(history, mode).withColumn("_last", F.max("epoch").over(Window.partitionBy("run_id", "name")))
+    h = best_so_far(history, mode, records).withColumn("_last", F.max("epoch").over(Window.partitionBy("run_id", "name")))
     on_interval = (F.col("epoch") % interval == 0) | (F.col("epoch") == F.col("_last"))
     rules = {"none": F.lit(False), "best_only": F.col("improved"), "interval": on_interval, "interval_and_best": F.col("improved") | on_interval}
     if policy not in rules:

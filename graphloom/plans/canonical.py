@@ -163,9 +163,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_log_of(table(spark, sf_dir, "events"))
 
 
-def run_log_of(events: DataFrame) -> DataFrame:
+def run_log_of(events: DataFrame, *more: str) -> DataFrame:
     epoch = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
-    return events.select(F.col("user_id").cast("string").alias("run_id"), epoch.alias("epoch"), F.col("event_type").alias("name"), "value")
+    return events.select(F.col("user_id").cast("string").alias("run_id"), epoch.alias("epoch"), F.col("event_type").alias("name"), "value", *more)
 
 
 RUN_LOG = """run_log AS (SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, event_type AS name, value FROM events)"""

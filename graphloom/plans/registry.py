@@ -1130,30 +1130,97 @@ def m09(s, d):
 # --- streams and sources ------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over the events files to its end and return what it wrote."""
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events files as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
-    frame = build(c.run_log_of(events))
-    sink = lambda batch, _: batch.write.mode("append").parquet(out)
-    frame.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.schema(frame.schema).parquet(out)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
+def _streamed(frame: DataFrame, mode: str) -> DataFrame:
+    """Run a stream to its end and return what it wrote."""
+    spark = frame.sparkSession
+    out = new_path(spark, "stream")
+    runs.write_once(frame, out, new_path(spark, "stream-state"), mode).awaitTermination()
+    return runs.read_written(frame, out)
 
 
 @_query("r01_stream_best", c.RUN_LOG, sql="SELECT run_id, name, round(max(value), 6) AS best FROM run_log GROUP BY ALL")
 def r01(s, d):
-    rows = _streamed(s, d, runs.stream_best, "append")
+    rows = _streamed(runs.stream_best(c.run_log_of(_events(s, d))), "append")
     return rows.groupBy("run_id", "name").agg(F.round(F.max("value"), 6).alias("best"))
 
 
 @_query("r02_stream_epoch_means", c.RUN_LOG, MEANS, sql=f"SELECT run_id, epoch, name, {s6('value')} FROM em")
 def r02(s, d):
-    rows = _streamed(s, d, runs.stream_epoch_means, "update")
+    rows = _streamed(runs.stream_epoch_means(c.run_log_of(_events(s, d))), "update")
     last = rows.groupBy("run_id", "epoch", "name").agg(F.max_by("value", "n").alias("value"))
     return last.select("run_id", "epoch", "name", *r6("value"))
 
 
+#: Stored bests of every third run: the mean of a metric over all runs; some of the other mode, which do not count.
+RECORDS = """records AS (SELECT run_id, k.name AS metric, CASE WHEN run_id::BIGINT % 2 = 0 THEN 'max' ELSE 'min' END AS mode, k.value FROM (SELECT DISTINCT run_id FROM run_log WHERE run_id::BIGINT % 3 = 0),
+  (SELECT name, avg(value) AS value FROM run_log GROUP BY 1) k)"""
+
+
+def _records(log: DataFrame) -> DataFrame:
+    run = F.col("run_id").cast("long")
+    some = log.select("run_id").distinct().where(run % 3 == 0)
+    means = log.groupBy(F.col("name").alias("metric")).agg(F.avg("value").alias("value"))
+    return some.join(F.broadcast(means)).select("run_id", "metric", F.when(run % 2 == 0, "max").otherwise("min").alias("mode"), "value")
+
+
+EMITTED = """in_order AS (SELECT run_id, name, epoch, value, max(value) OVER (PARTITION BY run_id, name ORDER BY epoch, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM run_log)"""
+
+
+@_query("r03_stream_improvements", c.RUN_LOG, EMITTED, sql="SELECT run_id, name, epoch, round(value, 6) AS value FROM in_order WHERE before IS NULL OR value > before")
+def r03(s, d):
+    """Every row that the stream emits."""
+    return _streamed(runs.stream_best(c.run_log_of(_events(s, d))), "append").select("run_id", "name", "epoch", *r6("value"))
+
+
+@_query("r04_stream_from_records", c.RUN_LOG, EMITTED, RECORDS, sql="""SELECT run_id, name, epoch, round(o.value, 6) AS value FROM in_order o LEFT JOIN (SELECT run_id, metric AS name, value FROM records WHERE mode = 'max') r USING (run_id, name)
+  WHERE (before IS NULL OR o.value > before) AND (r.value IS NULL OR o.value > r.value + 1e-12)""")
+def r04(s, d):
+    """The stream resumed from stored records: epochs that do not beat them are ignored."""
+    records = _records(c.run_log(s, d)).withColumn("value", F.col("value") + 1e-12)
+    return _streamed(runs.stream_best(c.run_log_of(_events(s, d)), records=records), "append").select("run_id", "name", "epoch", *r6("value"))
+
+
+@_query("r05_stream_windows", c.RUN_LOG, MEANS, sql=f"""SELECT run_id, epoch, name, {s6("value")} FROM em
+  WHERE DATE '1970-01-02' + epoch <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def r05(s, d):
+    """Append mode with a watermark: a day's means leave the state once, when the watermark has passed its end."""
+    events = _events(s, d)
+    log = c.run_log_of(events, "ts")
+    return _streamed(runs.stream_epoch_means(log, "ts"), "append").select("run_id", "epoch", "name", *r6("value"))
+
+
+def _history_files(s: SparkSession, d: str) -> str:
+    """The run log as a folder of JSON files to which epochs were added in two parts."""
+    path, log = new_path(s, "history"), c.run_log(s, d)
+    for part in (0, 1):
+        files.append_metric_history(log.where(F.col("epoch") % 2 == part).repartition(4, "run_id"), path)
+    return path
+
+
+@_query("r06_stream_history", c.RUN_LOG, sql="SELECT run_id, name, round(max(value), 6) AS best FROM run_log GROUP BY ALL")
+def r06(s, d):
+    """A growing folder of JSON metric files as the source, file by file, and a sink that is written once."""
+    history = files.read_metric_history(s, _history_files(s, d), stream=True, files_per_batch=3)
+    rows = _streamed(runs.stream_best(history.select("run_id", "name", "epoch", "value")), "append")
+    return rows.groupBy("run_id", "name").agg(F.round(F.max("value"), 6).alias("best"))
+
+
+@_query("m10_resume_best", c.RUN_LOG, MEANS, RECORDS, sql="""SELECT run_id, name, epoch, round(best, 6) AS best, improved FROM (
+  SELECT e.run_id, e.name, epoch, greatest(max(e.value) OVER w, r.value) AS best, (max(e.value) OVER p IS NULL OR e.value > max(e.value) OVER p) AND (r.value IS NULL OR e.value > r.value) AS improved
+  FROM em e LEFT JOIN (SELECT run_id, metric AS name, value + 1e-9 AS value FROM records WHERE mode = 'max') r ON r.run_id = e.run_id AND r.name = e.name
+  WINDOW w AS (PARTITION BY e.run_id, e.name ORDER BY epoch ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY e.run_id, e.name ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+def m10(s, d):
+    log = c.run_log(s, d)
+    h = summ.best_so_far(summ.epoch_means(log), records=_records(log).withColumn("value", F.col("value") + 1e-9))
+    return h.select("run_id", "name", "epoch", *r6("best"), "improved")
+
+
 VTP = ("<VTKFile><PolyData><Piece><Points><DataArray type='Float32' format='ascii'>", "</DataArray></Points><Lines><DataArray Name='connectivity' format='ascii'>0 1</DataArray><DataArray Name='offsets' format='ascii'>2</DataArray></Lines></Piece></PolyData></VTKFile>")
 SPLIT = """emb AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 grid AS (SELECT *, list_transform(e[1:6], lambda x: CAST(floor(x * 100) AS INTEGER)) AS xyz FROM emb)"""

@@ -335,8 +335,12 @@ def append_metric_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def read_metric_history(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    return (spark.readStream if stream else spark.read).schema(METRICS).json(path)
+def read_metric_history(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """The rows of a growing folder; as a stream, at most files_per_batch new files a batch."""
+    if not stream:
+        return spark.read.schema(METRICS).json(path)
+    reader = spark.readStream.schema(METRICS)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
 def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:

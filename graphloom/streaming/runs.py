@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.summary import known_records
 
 OUTPUT = "run_id string, name string, epoch int, value double"
 
@@ -22,16 +25,24 @@ def stream_epoch_means(run_log: DataFrame, time_column: str | None = None, delay
     return run_log.groupBy("run_id", "epoch", "name").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def stream_best(history: DataFrame, mode: str = "max") -> DataFrame:
+def stream_best(history: DataFrame, mode: str = "max", records: DataFrame | None = None) -> DataFrame:
     """A row whenever a run's metric strictly improves; the state is one number per (run, name).
 
     history: run_id string, name string, epoch int, value double.  Values are compared, not epochs, so late
-    rows cannot undo a record; within a batch rows count in epoch order."""
+    rows cannot undo a record; within a batch rows count in epoch order.  records: (run_id, metric, mode,
+    value), a table of earlier bests (summary.best_records), which a run without state starts from; those of
+    another mode do not count."""
+    if records is None:
+        joined = history.withColumn("record", F.lit(None).cast("double"))
+    else:
+        joined = history.join(known_records(records, mode), ["run_id", "name"], "left")
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
+        given = pd.concat(list(frames)).sort_values(["epoch", "value"])
+        record = given["record"].dropna()
+        best = state.get[0] if state.exists else float(record.iloc[0]) if len(record) else None
         rows = []
-        for row in pd.concat(list(frames)).sort_values(["epoch", "value"]).itertuples(index=False):
+        for row in given.itertuples(index=False):
             if row.value is None or not math.isfinite(row.value):
                 continue
             if best is None or (row.value > best if mode == "max" else row.value < best):
@@ -41,4 +52,22 @@ def stream_best(history: DataFrame, mode: str = "max") -> DataFrame:
             state.update((best,))
         yield pd.DataFrame(rows, columns=["run_id", "name", "epoch", "value"])
 
-    return history.groupBy("run_id", "name").applyInPandasWithState(update, OUTPUT, "best double", "append", "NoTimeout")
+    joined = joined.select("run_id", "name", "epoch", "value", "record")
+    return joined.groupBy("run_id", "name").applyInPandasWithState(update, OUTPUT, "best double", "append", "NoTimeout")
+
+
+def write_once(stream: DataFrame, path: str, state: str, mode: str = "append") -> StreamingQuery:
+    """Start a stream that ends with the data at hand and writes every batch to a folder of its own, <path>/batch=<id>.
+
+    A batch that is run again after a failure replaces its folder, so each row stands there once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
+
+
+def read_written(stream: DataFrame, path: str) -> DataFrame:
+    """What write_once has written of a stream."""
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")

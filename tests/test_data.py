@@ -17,6 +17,7 @@ from graphloom.operators import geometry as geo
 from graphloom.operators import inference as inf
 from graphloom.operators import losses as loss
 from graphloom.operators import packed
+from graphloom.operators import summary as summ
 from graphloom.operators import voxels as vox
 from graphloom.sources import files
 from graphloom.streaming import runs
@@ -582,6 +583,83 @@ def test_history_and_streams(spark, tmp_path):
     assert follow() == (0.5, before)
 
 
+def test_a_resumed_run_ignores_epochs_that_do_not_beat_its_record(spark):
+    history = spark.createDataFrame([("r", "m", 1, 0.4), ("r", "m", 2, 0.6), ("r", "m", 3, float("nan")), ("s", "m", 1, 0.1), ("t", "m", 1, None)], "run_id string, name string, epoch int, value double")
+    records = spark.createDataFrame([("r", "m", "max", 0.5), ("r", "m", "min", 9.0), ("s", "m", "min", 0.05), ("s", "m", "max", float("nan")), ("t", "m", "max", 0.3), ("u", "m", "max", 0.7)], "run_id string, metric string, mode string, value double")
+    got = {(r["run_id"], r["epoch"]): (r["best"], r["improved"]) for r in summ.best_so_far(history, "max", records).collect()}
+    assert got == {("r", 1): (0.5, False), ("r", 2): (0.6, True), ("r", 3): (0.6, False), ("s", 1): (0.1, True), ("t", 1): (0.3, False)}
+    kept = summ.select_checkpoint(history, "best_only", records=records).collect()
+    assert sorted((r["run_id"], r["epoch"]) for r in kept) == [("r", 2), ("s", 1)]
+    stored = {r["run_id"]: (r["epoch"], r["value"]) for r in summ.best_records(history, "max", records).collect()}
+    assert stored == {"r": (2, 0.6), "s": (1, 0.1), "t": (None, 0.3), "u": (None, 0.7)}
+    low = {(r["run_id"], r["epoch"]): r["improved"] for r in summ.best_so_far(history, "min", records).collect()}
+    assert low == {("r", 1): True, ("r", 2): False, ("r", 3): False, ("s", 1): False, ("t", 1): False}
+
+
+def test_a_resumed_stream_starts_from_its_record(spark, tmp_path):
+    path, out, state = (str(tmp_path / x) for x in ("history", "out", "state"))
+    records = spark.createDataFrame([("r", "m", "max", 0.5)], "run_id string, metric string, mode string, value double")
+    add = lambda *rows: files.append_metric_history(spark.createDataFrame([("r", e, "m", v) for e, v in rows], files.METRICS), path)
+
+    def follow():
+        stream = runs.stream_best(files.read_metric_history(spark, path, stream=True).select("run_id", "name", "epoch", "value"), records=records)
+        runs.write_once(stream, out, state).awaitTermination()
+        return sorted((r["epoch"], r["value"]) for r in runs.read_written(stream, out).collect())
+
+    add((1, 0.3), (2, 0.5))
+    assert follow() == []
+    add((3, 0.6), (4, 0.55))
+    assert follow() == [(3, 0.6)]
+    add((5, 0.6))
+    assert follow() == [(3, 0.6)]
+
+
+def test_a_batch_that_failed_after_writing_stands_there_once(spark, tmp_path, monkeypatch):
+    path, out, state = (str(tmp_path / x) for x in ("history", "out", "state"))
+    for e in range(4):
+        files.append_metric_history(spark.createDataFrame([("r", e, "m", float(e))], files.METRICS).coalesce(1), path)
+    stream = runs.stream_best(files.read_metric_history(spark, path, stream=True, files_per_batch=1).select("run_id", "name", "epoch", "value"))
+    writer, failed = type(spark.range(1).write), []
+    parquet = writer.parquet
+
+    def dies(self, to, *args, **more):
+        parquet(self, to, *args, **more)
+        if to.endswith("batch=1") and not failed:
+            failed.append(to)
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(writer, "parquet", dies)
+    with pytest.raises(Exception, match="killed"):
+        runs.write_once(stream, out, state).awaitTermination()
+    assert failed and len(runs.read_written(stream, out).collect()) == 2
+    runs.write_once(stream, out, state).awaitTermination()
+    rows = [(r["epoch"], r["value"]) for r in runs.read_written(stream, out).collect()]
+    assert len(rows) == len(set(rows)) and max(rows) == (3, 3.0)
+
+
+def test_a_watermark_drops_late_rows_and_bounds_the_state(spark, tmp_path):
+    path, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    schema = "run_id string, epoch int, name string, value double, at timestamp"
+
+    def add(*rows):
+        spark.createDataFrame([("r", d, "m", v) for d, v in rows], "run_id string, epoch int, name string, value double").selectExpr("*", "timestamp('2024-01-01 12:00:00') + make_interval(0, 0, 0, epoch) AS at").coalesce(1).write.mode("append").json(path)
+
+    def follow():
+        means = runs.stream_epoch_means(spark.readStream.schema(schema).json(path), "at")
+        query = runs.write_once(means, out, state)
+        query.awaitTermination()
+        operators = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        rows = sorted((r["epoch"], r["value"], r["n"]) for r in runs.read_written(means, out).collect())
+        return rows, operators[-1]["numRowsTotal"], sum(o["numRowsDroppedByWatermark"] for o in operators)
+
+    add((0, 1.0), (0, 3.0), (2, 5.0))
+    assert follow() == ([(0, 2.0, 2)], 1, 0)
+    add((0, 100.0), (2, 7.0))  # the first day has left the state
+    assert follow() == ([(0, 2.0, 2)], 1, 1)
+    add((5, 1.0))
+    assert follow() == ([(0, 2.0, 2), (2, 6.0, 2)], 1, 0)
+
+
 def test_nodes_outside_before_the_motion_are_not_valid(spark):
     inside = {"d": 0.5, "h": 0.5, "w": 0.5}
     n = spark.createDataFrame([(1, 0, *inside.values()), (1, 1, 1.2, 0.5, 0.5)], "sample_id int, node_id int, d double, h double, w double")

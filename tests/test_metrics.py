@@ -304,6 +304,22 @@ def test_positions_and_running_sums_do_not_depend_on_the_ranges(spark, rows):
         assert [r["v_sum"] for r in down] == list(itertools.accumulate(r["v"] for r in down)) and [r["position"] for r in down] == list(range(len(down)))
 
 
+def test_running_sums_across_batches_and_null_groups(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") / 2).alias("v"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = with_running(df.where("g is not null"), ["g"], [F.col("k")], ["v"], range_rows=100).orderBy("g", "k").collect()
+        whole = with_running(df, [], [F.col("k")], ["v"], range_rows=50).orderBy("k").collect()
+    finally:
+        spark.conf.set(size, before)
+    for g in (1, 2, 3):
+        mine = [r for r in got if r["g"] == g]
+        assert [r["v_sum"] for r in mine] == list(itertools.accumulate(r["v"] or 0 for r in mine)) and [r["position"] for r in mine] == list(range(75)) and mine[0]["total"] == 75
+    assert [r["v_sum"] for r in whole] == list(itertools.accumulate(r["v"] or 0 for r in whole)) and [r["position"] for r in whole] == list(range(300))
+
+
 def slow_forest(n, edges):
     of, kept = list(range(n)), []
     for a, b in edges:
