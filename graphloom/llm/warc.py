@@ -25,11 +25,15 @@ from .common import join_counted, keep_matching, new_path, repeated, written
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
+#: About the headers of a record.
+HEADER_BYTES = 700
 RECORD_SCHEMA = "page_id string, record_type string, headers string, http_headers string, payload binary, payload_digest string, refers_to string, copies long"
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.coalesce(page_id.cast("string"), F.lit("")).cast("binary"))
+def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
+    """Names a record by its page, URL and payload; null differs from every value."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    h = F.md5(F.concat_ws("\n", part(page_id), part(url), part(digest)).cast("binary"))
     dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -65,11 +69,11 @@ def build_records(pages: DataFrame, min_payload: int = 100, date: str = "2024-01
     header = F.concat(
         F.lit(VERSION + "\r\n"),
         line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("digest"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", F.nullif(url, F.lit(""))), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"))), F.coalesce(line("X-Refers-To-Page", F.col("first_id").cast("string")), F.lit("")))).otherwise(""),
+        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("first_url"), F.col("digest"))), F.coalesce(line("X-Refers-To-Page", F.col("first_id").cast("string")), F.lit("")))).otherwise(""),
         F.coalesce(line("X-Page", F.col("page_id").cast("string")), F.lit("")),
         F.when(F.col("copies") > 1, line("X-Copies", F.col("copies").cast("string"))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -78,10 +82,13 @@ def build_records(pages: DataFrame, min_payload: int = 100, date: str = "2024-01
     return p.withColumn("block", block).select("page_id", F.concat(header, F.lit("\r\n"), F.col("block")).alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, file_bytes: int = 32 << 20) -> str:
-    """Write records to gzip-compressed archives of about file_bytes each (before compression)."""
-    total = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
+def write_archives(records: DataFrame, path: str, file_bytes: int = 32 << 20, total_bytes: int | None = None) -> str:
+    """Write records to gzip-compressed archives of about file_bytes each (before compression).
+
+    total_bytes: about the size of all records, where it is known; else they are built once more to learn it."""
+    if total_bytes is None:
+        total_bytes = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
+    files = max(1, -(-int(total_bytes) // file_bytes))
     records.repartition(files, F.xxhash64("record")).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
@@ -159,5 +166,8 @@ def reconstruct(records: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str | None = None, **names) -> DataFrame:
     """Write pages to archives and read them back: the reconstructed records, one per input row."""
     spark = pages.sparkSession
-    path = write_archives(build_records(pages, **names), path or new_path(spark, "warc"))
+    # Records are built once: payloads and HEADER_BYTES a page bound their size from above.
+    html = names.get("html_col", "html")
+    total = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(html), F.lit(""))) + HEADER_BYTES)).first()[0] or 0
+    path = write_archives(build_records(pages, **names), path or new_path(spark, "warc"), total_bytes=total)
     return reconstruct(read_archives(spark, path))

@@ -215,6 +215,17 @@ def test_repeated_pages_share_one_payload(spark, tmp_path):
     assert Counter(bytes(r["payload"]).decode() for r in parsed if r["payload"] is not None) == {big: 1, "tiny": 2, "z" * 150: 1}
 
 
+def test_records_of_one_page_have_ids_of_their_own_and_revisits_name_the_response(spark, tmp_path):
+    big = "<p>" + "y" * 300
+    rows = [(3, "u", big), (3, "v", big), (3, None, big), (3, "u", "other " * 50), (5, "u", big), (None, "u", big)]
+    path = write_archives(build_records(pages(spark, rows)), str(tmp_path / "warc"))
+    field = lambda name: F.regexp_extract("headers", rf"(?m)^{name}: (\S+)", 1).alias(name)
+    got = read_archives(spark, path).select("page_id", "record_type", field("WARC-Record-ID"), field("WARC-Refers-To"), field("WARC-Target-URI")).collect()
+    assert len({r["WARC-Record-ID"] for r in got}) == len(rows)
+    response = next(r["WARC-Record-ID"] for r in got if r["record_type"] == "response" and r["WARC-Target-URI"] == "u" and r["page_id"] == 3 and any(x["WARC-Refers-To"] == r["WARC-Record-ID"] for x in got))
+    assert {r["WARC-Refers-To"] for r in got if r["record_type"] == "revisit"} == {response}
+
+
 def test_hot_keys_are_broadcast_and_the_rest_is_dealt_out(spark):
     df = spark.createDataFrame([("hot", k) for k in range(5000)] + [(f"k{k % 40}", k) for k in range(200)] + [(None, 1)], "key string, v int")
     keys = df.where("key < 'k30'").groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("most"))
