@@ -109,28 +109,29 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
 # --- H0 -----------------------------------------------------------------------------------------
 
 
-class _Elders:
-    """Components of one filtered graph: of two that meet, the one whose eldest vertex is younger ends."""
-
-    def __init__(self, births: np.ndarray):
-        self.births, self.root = births.tolist(), list(range(len(births)))
-
-    def eldest(self, v: int) -> int:
-        root = self.root
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    def meet(self, u: int, v: int) -> int | None:
-        """Vertex whose component ends, or None inside one component."""
-        u, v = self.eldest(u), self.eldest(v)
-        if u == v:
-            return None
-        if (self.births[u], u) > (self.births[v], v):
-            u, v = v, u
-        self.root[v] = u
-        return v
+def elder_walk(edges: np.ndarray, a: np.ndarray, b: np.ndarray, sample: np.ndarray, births: list[np.ndarray]) -> list[np.ndarray]:
+    """For each birth order, the vertex whose component ends at each of the forest `edges`, given in order of entry.
+
+    Of two components that meet, the one whose eldest vertex is younger (later in birth, then number) ends.
+    The walk is in lockstep: at step i the i-th edges of all samples enter at once."""
+    owner = sample[a[edges]]
+    by_sample = np.argsort(owner, kind="stable")
+    sizes = np.bincount(owner, minlength=1)
+    rank = np.empty(len(edges), np.int64)
+    rank[by_sample] = np.arange(len(edges)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    turn = np.argsort(rank, kind="stable")
+    steps = np.split(turn, np.cumsum(np.bincount(rank))[:-1]) if len(edges) else []
+    n, ended = len(sample), [np.empty(len(edges), np.int64) for _ in births]
+    for birth, ends in zip(births, ended, strict=True):
+        eldest = np.arange(n)
+        for step in steps:
+            x, y = eldest[a[edges[step]]], eldest[b[edges[step]]]
+            first = (birth[x] < birth[y]) | ((birth[x] == birth[y]) & (x < y))
+            ends[step] = np.where(first, y, x)
+            after = np.arange(n)
+            after[ends[step]] = np.where(first, x, y)
+            eldest = after[eldest]
+    return ended
 
 
 def _filtration(a: np.ndarray, b: np.ndarray, p: np.ndarray, n: int, terminal: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +147,7 @@ def h0_matching(samples: DataFrame, candidates: DataFrame, terminal: float = 1.0
     """H0 pairs of both sides: (sample_id, side, birth_vertex, birth, death, death_src, death_dst, matched, partner).
 
     samples: (sample_id, n_vertices); candidates: (sample_id, src, dst, p, is_true), each pair once.
-    Components only meet at forest edges, so the sequential walks see at most one edge a vertex."""
+    Components only meet at forest edges, so a walk has fewer steps than the largest sample has vertices."""
     marks = samples.select("sample_id", F.lit(True).alias("known"))
     id_type = samples.schema["sample_id"].dataType.simpleString()
 
@@ -161,29 +162,28 @@ def h0_matching(samples: DataFrame, candidates: DataFrame, terminal: float = 1.0
         sides = {"prediction": _filtration(a, b, p, n, terminal), "target": _filtration(a, b, truth, n, terminal)}
         lower = tuple(np.minimum(x, y) for x, y in zip(*sides.values()))
 
-        def walk(values: np.ndarray) -> list[tuple[int, int, int]]:
-            """Forest edges in order of entry: (edge, ends)."""
+        def entered(values: np.ndarray) -> np.ndarray:
+            """Edges of the spanning forest in order of entry."""
             order = np.lexsort((b, a, values))
-            order = order[forest(a[order], b[order], n)[0]]
-            return list(zip(order.tolist(), a[order].tolist(), b[order].tolist()))
+            return order[forest(a[order], b[order], n)[0]]
 
-        ended: dict[str, dict[int, int]] = {}
+        death, partner = {}, {side: np.full(n, -1) for side in sides}
         for side, (births, values) in sides.items():
-            elders, ended[side] = _Elders(births), {}
-            for e, u, v in walk(values):
-                victim = elders.meet(u, v)
-                if values[e] - births[victim] > TOLERANCE:
-                    ended[side][victim] = e
-        both, joint, partner = _Elders(lower[0]), {side: _Elders(sides[side][0]) for side in sides}, {side: {} for side in sides}
-        for e, u, v in walk(lower[1]):
-            victim = both.meet(u, v)
-            x, y = joint["prediction"].meet(u, v), joint["target"].meet(u, v)
-            if lower[1][e] - lower[0][victim] > TOLERANCE and x in ended["prediction"] and y in ended["target"]:
-                partner["prediction"][x], partner["target"][y] = y, x
-        rows = [(side, v, e, partner[side].get(v, -1)) for side in sides for v, e in ended[side].items()]
-        names = [r[0] for r in rows]
-        vertex, edge, mate = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        predicted = np.array([x == "prediction" for x in names], bool)
+            edges = entered(values)
+            (ends,) = elder_walk(edges, a, b, sample, [births])
+            lasting = values[edges] - births[ends] > TOLERANCE
+            death[side] = np.full(n, -1)
+            death[side][ends[lasting]] = edges[lasting]
+        # Both sides' components as the joint filtration merges them: ends at one edge are partners.
+        edges = entered(lower[1])
+        joint, x, y = elder_walk(edges, a, b, sample, [lower[0], sides["prediction"][0], sides["target"][0]])
+        met = (lower[1][edges] - lower[0][joint] > TOLERANCE) & (death["prediction"][x] >= 0) & (death["target"][y] >= 0)
+        partner["prediction"][x[met]], partner["target"][y[met]] = y[met], x[met]
+        found = {side: np.flatnonzero(death[side] >= 0) for side in sides}
+        names = np.repeat(list(sides), [len(v) for v in found.values()])
+        vertex = np.concatenate(list(found.values()))
+        edge, mate = (np.concatenate([x[side][found[side]] for side in sides]) for x in (death, partner))
+        predicted = names == "prediction"
         pick = lambda i, at: np.where(predicted, sides["prediction"][i][at], sides["target"][i][at])
         return pa.table({
             "sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, sample[vertex]))), "side": pa.array(names, pa.string()), "birth_vertex": node[vertex].astype(np.int32),
