@@ -868,7 +868,20 @@ def l01(s, d):
     return loss.match_cost(q, t).select("sample_id", "query_id", "target_id", *r6("cost"))
 
 
-@_query("l02_assign")
+#: The cheapest assignment by sets: after each query, the least cost of every set of targets that are taken, and the way there.
+ASSIGNED = """cost AS (SELECT q.sample_id, q.query_id, tgt.target_id, 5 * (abs(q.d - tgt.d) + abs(q.h - tgt.h) + abs(q.w - tgt.w)) - 2 * q.p AS cost FROM q JOIN tgt USING (sample_id)),
+  choice AS (SELECT sample_id, query_id, 1 << target_id AS bit, [{'query_id': query_id, 'target_id': target_id, 'cost': cost}] AS pair, cost FROM cost
+    UNION ALL SELECT DISTINCT sample_id, query_id, 0, [], 0 FROM cost),
+  size AS (SELECT sample_id, max(query_id) AS last, (1 << count(*)) - 1 AS everything FROM (SELECT sample_id, max(query_id) AS query_id FROM cost GROUP BY sample_id, target_id) GROUP BY sample_id),
+  set_walk AS (
+    SELECT DISTINCT sample_id, -1 AS step, 0 AS taken, 0.0::DOUBLE AS total, [{'query_id': 0, 'target_id': 0, 'cost': 0.0::DOUBLE}][2:] AS way FROM cost
+    UNION ALL
+    SELECT w.sample_id, w.step + 1, taken | bit, min(total + cost), arg_min(list_concat(way, pair), total + cost) FROM set_walk w JOIN choice c ON c.sample_id = w.sample_id AND c.query_id = w.step + 1 AND w.taken & c.bit = 0
+    GROUP BY w.sample_id, w.step, taken | bit),
+  cheapest AS (SELECT w.sample_id, unnest(way) AS p FROM set_walk w JOIN size s ON s.sample_id = w.sample_id AND w.step = s.last AND w.taken = s.everything)"""
+
+
+@_query("l02_assign", *LQ, ASSIGNED, sql="SELECT sample_id, p.query_id AS query_id, p.target_id AS target_id, round(p.cost, 6) AS cost FROM cheapest")
 def l02(s, d):
     q, t, _ = _l(s, d)
     return loss.assign(loss.match_cost(q, t)).select("sample_id", "query_id", "target_id", *r6("cost"))
@@ -1049,6 +1062,35 @@ def m01(s, d):
     return m.select("sample_id", *r6(*METRICS))
 
 
+def _edge_boxes_sql(name: str, key: str, edges: str, nodes: str) -> str:
+    side = lambda x, i: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {('least', 'greatest')[i]}(a.{x}, b.{x}) {'-+'[i]} 0.1::DOUBLE)) AS {x}{i}"
+    return f"""{name} AS (SELECT e.sample_id, e.src * 1000 + e.dst AS {key}, {", ".join(side(x, i) for x in AXES for i in (0, 1))}
+    FROM {edges} e JOIN {nodes} a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN {nodes} b ON b.sample_id = e.sample_id AND b.node_id = e.dst)"""
+
+
+_IOU = c.DETECTIONS[c.DETECTIONS.index("iou AS (") :]
+_KEPT = COUNTED.replace("FROM gm", "FROM gm WHERE rank <= 40")  # detections of a sample and kind that count
+_BY_SAMPLE = "SELECT grp AS sample_id, CASE WHEN targets > 0 THEN ap END AS ap, CASE WHEN targets > 0 THEN ar END AS ar FROM pooled JOIN tot USING (grp)"
+NODE_AP = f"node_ap AS (WITH RECURSIVE {c.DETECTIONS}, {GREEDY}, {_KEPT}, {_pooled_sql('sample_id', 'hits')} {_BY_SAMPLE})"
+EDGE_AP = f"""edge_ap AS (WITH RECURSIVE moved AS (SELECT * REPLACE (d + (node_id % 5) * 0.02::DOUBLE AS d) FROM nodes), {_edge_boxes_sql("pbox", "pred_id, e.score", "pred_edges", "moved")}, {_edge_boxes_sql("tbox", "target_id", "edges", "nodes")},
+  pred AS (SELECT * FROM pbox), {_IOU}, {GREEDY}, {_KEPT.replace("FROM nodes WHERE nodes.sample_id", "FROM edges WHERE edges.sample_id")}, {_pooled_sql("sample_id", "hits")} {_BY_SAMPLE})"""
+
+
+def _gap_sql(x: str) -> str:
+    return f"abs(coalesce(t.{x}, 0) - coalesce(p.{x}, 0))"
+
+
+@_query("m11_evaluate_without_transport", *BASE, _betti("t", "edges"), _betti("p", "pred_edges"), NODE_AP, EDGE_AP, sql=f"""
+  SELECT o_orderkey AS sample_id, round(n.ap, 6) AS "node_mAP", round(n.ar, 6) AS "node_mAR", round(e.ap, 6) AS "edge_mAP", round(e.ar, 6) AS "edge_mAR",
+    {", ".join(f"{_gap_sql(x)} AS {y}_absolute_error" for x, y in (("beta0", "beta0"), ("beta1", "beta1"), ("n_nodes", "node_count"), ("n_edges", "edge_count")))},
+    {", ".join(f"coalesce({k}.{x}, 0) AS {side}_{x.removeprefix('n_')}" for x in ("beta0", "beta1", "n_nodes", "n_edges") for k, side in (("t", "target"), ("p", "predicted")))}
+  FROM orders LEFT JOIN t ON t.sample_id = o_orderkey LEFT JOIN p ON p.sample_id = o_orderkey LEFT JOIN node_ap n ON n.sample_id = o_orderkey LEFT JOIN edge_ap e ON e.sample_id = o_orderkey""")
+def m11(s, d):
+    n = written(c.nodes(s, d), "nodes")
+    m = evaluate_graphs(c.samples(s, d), n, c.target_edges(n), c.predicted_nodes(n), c.predicted_edges(n), with_smd=False)
+    return m.select("sample_id", *r6("node_mAP", "node_mAR", "edge_mAP", "edge_mAR"), *METRICS[5:])
+
+
 FOLDS = """folds AS (SELECT sample_id, CAST(CASE WHEN i < m * (z + 1) THEN i // (z + 1) ELSE m + (i - m * (z + 1)) // z END AS INTEGER) AS fold FROM (
   SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) OVER () // 5 AS z, count(*) OVER () % 5 AS m FROM (SELECT o_orderkey AS sample_id FROM orders)))"""
 
