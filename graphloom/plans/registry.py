@@ -810,16 +810,17 @@ def t13(s, d):
 # --- transport ----------------------------------------------------------------------------------
 
 
-def _cloud_sql(points: int) -> str:
+def _cloud_sql(points: int, edges: str = "edges", digits: int = 6) -> str:
+    at = lambda a: f"round(a{a} + f * (b{a} - a{a}), {digits}) AS {a}" if digits else f"a{a} + f * (b{a} - a{a}) AS {a}"
     return f"""
   , l AS (SELECT e.sample_id, e.src, e.dst, a.d AS ad, a.h AS ah, a.w AS aw, b.d AS bd, b.h AS bh, b.w AS bw, sqrt(pow(b.d - a.d, 2) + pow(b.h - a.h, 2) + pow(b.w - a.w, 2)) AS len
-    FROM edges e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst),
+    FROM {edges} e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.src JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.dst),
   k AS (SELECT *, sum(len) OVER w AS cum, row_number() OVER w AS n, count(*) OVER (PARTITION BY sample_id) AS m FROM l WHERE len > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY src, dst ROWS UNBOUNDED PRECEDING)),
   j AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY sample_id ORDER BY src, dst), 0) AS prev, max(cum) OVER (PARTITION BY sample_id) AS total FROM k),
   b AS (SELECT *, CAST(CASE WHEN n = 1 THEN 0 ELSE floor(prev * {points - 1} / total) + 1 END AS BIGINT) AS lo, CAST(CASE WHEN n = m THEN {points - 1} ELSE floor(cum * {points - 1} / total) END AS BIGINT) AS hi FROM j),
   x AS (SELECT *, unnest(range(lo, hi + 1)) AS i FROM b WHERE lo <= hi),
   y AS (SELECT *, (total * i / {points - 1} - prev) / len AS f FROM x)
-  SELECT sample_id, CAST(i AS INTEGER) AS i, round(ad + f * (bd - ad), 6) AS d, round(ah + f * (bh - ah), 6) AS h, round(aw + f * (bw - aw), 6) AS w FROM y"""
+  SELECT sample_id, CAST(i AS INTEGER) AS i, {", ".join(at(a) for a in AXES)} FROM y"""
 
 
 @_query("p01_graph_point_cloud", *BASE, sql=_cloud_sql(10))
@@ -841,6 +842,31 @@ def p02(s, d):
     return transport.sinkhorn_distance(left, right).select("sample_id", *r6("distance"))
 
 
+def _sinkhorn_sql(k: int, left: str, right: str) -> str:
+    """Transport of clouds of k points by a recursive query with both potentials as lists, in the log domain."""
+    log_sum = lambda xs: f"list_transform([{xs}], lambda z: list_max(z) + ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z))))))[1]"
+    cell = lambda u: f"({u}[i + 1] + v[j + 1] - c[i + 1][j + 1]) / 1e-7::DOUBLE"
+    row = log_sum(f"list_transform(range({k}), lambda j: {cell('u')})")
+    column = log_sum(f"list_transform(range({k}), lambda i: {cell('u1')})")
+    mass = f"ln(1 / {k}::DOUBLE + 1e-8::DOUBLE)"
+    return f"""pl AS (WITH none AS (SELECT 1) {left}), pr AS (WITH none AS (SELECT 1) {right}),
+  cells AS (SELECT a.sample_id, a.i, list(pow(a.d - b.d, 2) + pow(a.h - b.h, 2) + pow(a.w - b.w, 2) ORDER BY b.i) AS r FROM pl a JOIN pr b USING (sample_id) GROUP BY a.sample_id, a.i),
+  potential_walk AS (
+    SELECT sample_id, list(r ORDER BY i) AS c, 0 AS turn, list_transform(range({k}), lambda z: 0.0::DOUBLE) AS u, list_transform(range({k}), lambda z: 0.0::DOUBLE) AS v, false AS still FROM cells GROUP BY sample_id
+    UNION ALL
+    SELECT sample_id, c, turn + 1, u1, list_transform(range({k}), lambda j: v[j + 1] + 1e-7::DOUBLE * ({mass} - {column})), list_sum(list_transform(range({k}), lambda i: abs(u1[i + 1] - u[i + 1]))) < 0.1
+    FROM (SELECT *, list_transform(range({k}), lambda i: u[i + 1] + 1e-7::DOUBLE * ({mass} - {row})) AS u1 FROM potential_walk WHERE NOT still AND turn < 100)),
+  moved AS (SELECT sample_id, list_sum(list_transform(range({k}), lambda i: list_sum(list_transform(range({k}), lambda j: exp(least({cell("u")}, 700)) * c[i + 1][j + 1])))) AS distance FROM potential_walk WHERE still OR turn = 100)"""
+
+
+@_query("p05_sinkhorn_small", *BASE, _sinkhorn_sql(4, _cloud_sql(4, digits=0), _cloud_sql(4, "pred_edges", 0)), sql="SELECT sample_id, round(distance, 6) AS distance FROM moved")
+def p05(s, d):
+    """Clouds of four points, which SQL can transport too."""
+    n = written(c.nodes(s, d), "nodes")
+    left, right = transport.graph_point_cloud(n, c.target_edges(n), 4), transport.graph_point_cloud(n, c.predicted_edges(n), 4)
+    return transport.sinkhorn_distance(left, right).select("sample_id", *r6("distance"))
+
+
 @_query("p03_street_mover_distance")
 def p03(s, d):
     n = c.nodes(s, d)

@@ -320,6 +320,63 @@ def test_running_sums_across_batches_and_null_groups(spark):
     assert [r["v_sum"] for r in whole] == list(itertools.accumulate(r["v"] or 0 for r in whole)) and [r["position"] for r in whole] == list(range(300))
 
 
+def slow_sinkhorn(left, right, epsilon=1e-7, iterations=100, stop=0.1):
+    """One sample, one potential after another."""
+    cost = [[sum((a - b) ** 2 for a, b in zip(p, q)) for q in right] for p in left]
+    soft = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    u, v = [0.0] * len(left), [0.0] * len(right)
+    mu, nu = math.log(1 / len(left) + 1e-8), math.log(1 / len(right) + 1e-8)
+    for _ in range(iterations):
+        new = [x + epsilon * (mu - soft([(x + y - c) / epsilon for y, c in zip(v, row)])) for x, row in zip(u, cost)]
+        v = [y + epsilon * (nu - soft([(x + y - row[j]) / epsilon for x, row in zip(new, cost)])) for j, y in enumerate(v)]
+        moved, u = sum(abs(a - b) for a, b in zip(new, u)), new
+        if moved < stop:
+            break
+    return sum(math.exp(min((x + y - c) / epsilon, 700)) * c for x, row in zip(u, cost) for y, c in zip(v, row))
+
+
+def test_transport_of_many_samples_at_once(spark, monkeypatch):
+    monkeypatch.setattr(transport, "CELLS", 40)
+    r = np.random.default_rng(4)
+    clouds = {k: (r.random((n, 3)) * size, r.random((m, 3)) * size) for k, (n, m, size) in enumerate([(3, 3, 1), (3, 3, 0.01), (5, 2, 1), (3, 3, 2), (1, 1, 1), (3, 3, 0.3)])}
+    frame = lambda side: spark.createDataFrame([(k, i, *map(float, p)) for k, c in clouds.items() for i, p in enumerate(c[side])], "sample_id int, i int, d double, h double, w double")
+    for epsilon in (1e-7, 0.05):
+        got = {r["sample_id"]: r["distance"] for r in transport.sinkhorn_distance(frame(0), frame(1), epsilon).collect()}
+        assert got == {k: pytest.approx(slow_sinkhorn(*c, epsilon), rel=1e-6) for k, c in clouds.items()}
+    # Samples stop on their own: with a stop that some reach at once and others later.
+    left, right = (np.stack([c[side] for k, c in clouds.items() if k in (0, 1, 3, 5)]) for side in (0, 1))
+    together = transport.sinkhorn(left, right, 0.05, stop=0.02)
+    assert together == pytest.approx([slow_sinkhorn(a, b, 0.05, stop=0.02) for a, b in zip(left, right)], rel=1e-6)
+
+
+def slow_elders(edges, births):
+    eldest, ended = list(range(len(births))), []
+    for a, b in edges:
+        x, y = sorted((eldest[a], eldest[b]), key=lambda k: (births[k], k))
+        ended.append(y)
+        eldest = [x if k == y else k for k in eldest]
+    return ended
+
+
+def test_walks_in_lockstep():
+    r, sample, births, edges = random.Random(6), [], [], []
+    for s, n in enumerate((1, 5, 2, 40, 3)):
+        first = len(sample)
+        sample += [s] * n
+        births += [r.randrange(4) / 4 for _ in range(n)]
+        edges += [(first + r.randrange(k), first + k) for k in range(1, n)]
+    a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+    order = np.array(r.sample(range(len(edges)), len(edges)))
+    slow = {}
+    for s in set(sample):
+        mine = [e for e in order if sample[a[e]] == s]
+        for e, v in zip(mine, slow_elders([(a[e], b[e]) for e in mine], births)):
+            slow[int(e)] = v
+    (got,) = topo.elder_walk(order, a, b, np.array(sample), [np.array(births)])
+    assert {int(e): int(v) for e, v in zip(order, got)} == slow
+    assert topo.elder_walk(order[:0], a, b, np.array(sample), [np.array(births)])[0].tolist() == []
+
+
 def slow_forest(n, edges):
     of, kept = list(range(n)), []
     for a, b in edges:
