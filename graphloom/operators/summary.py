@@ -47,8 +47,11 @@ def summarize(metrics: DataFrame, names: list[str], folds: int = 5) -> DataFrame
 def summarize_detection(hits: DataFrame, counts: DataFrame, folds: int = 5) -> DataFrame:
     """One row (ap, ap_std, ar, ar_std): hits pooled per fold, then mean and std over defined folds.
 
-    hits as in pooled_ap_ar; with `hits` per threshold the folds join before the thresholds multiply rows."""
+    hits as in pooled_ap_ar; with `hits` per threshold the folds join before the thresholds multiply rows.
+    No sample at all raises."""
     counts = written(counts.select("sample_id", "target_count"), "target-counts")
+    if not counts.limit(1).count():
+        raise ValueError("an evaluation needs at least one sample")
     f = fold_id(counts.select("sample_id"), folds)
     per = pooled_ap_ar(hits.join(f, "sample_id"), counts.join(f, "sample_id"), "fold")
     std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))

@@ -1384,6 +1384,17 @@ def s06(s, d):
     return back.select("sample_id", F.size("nodes").cast("long").alias("n_nodes"), F.inline("edges")).select("sample_id", "src", "dst", *r6("score"), "n_nodes")
 
 
+@_query("s15_written_predictions", c.NODES, sql=f"""SELECT sample_id, node_id, {s6(*AXES)}, round(d + (node_id % 5) * 0.02::DOUBLE, 6) AS box_d, 0.2::DOUBLE AS box_sw, round(CAST((sample_id * 13 + node_id * 29) % 100 AS DOUBLE) / 100, 6) AS score FROM nodes""")
+def s15(s, d):
+    """Nodes of written predictions with their boxes and scores, read back from JSON."""
+    n, path = c.nodes(s, d), new_path(s, "predictions")
+    p = c.predicted_nodes(n).select("sample_id", "node_id", "box", "score").join(n.select("sample_id", "node_id", *AXES), ["sample_id", "node_id"])
+    files.write_predictions(p, c.predicted_edges(n), n.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_nodes")), path)
+    node = "struct<node_id:int,d:double,h:double,w:double,box:struct<d:double,sw:double>,score:double>"
+    rows = s.read.schema(f"sample_id long, nodes array<{node}>").json(path).select("sample_id", F.inline("nodes"))
+    return rows.select("sample_id", "node_id", *r6(*AXES), F.round("box.d", 6).alias("box_d"), F.round("box.sw", 6).alias("box_sw"), *r6("score"))
+
+
 @_query("s07_write_per_sample_metrics", c.NODES, sql="SELECT sample_id, round(avg(d), 6) AS depth, count(*) AS nodes FROM nodes GROUP BY sample_id")
 def s07(s, d):
     path = new_path(s, "metrics")

@@ -435,6 +435,8 @@ def test_topology_candidates_average_probabilities(spark):
 def test_an_empty_evaluation_raises(spark):
     with pytest.raises(ValueError, match="at least one sample"):
         summ.summarize(spark.createDataFrame([], "sample_id int, x double"), ["x"])
+    with pytest.raises(ValueError, match="at least one sample"):
+        summ.summarize_detection(spark.createDataFrame([], "sample_id int, rank int, score double, hits array<boolean>"), spark.createDataFrame([], "sample_id int, target_count int"))
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
