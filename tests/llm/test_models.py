@@ -363,3 +363,22 @@ def test_pipeline_stages_take_clashing_columns_empty_tables_and_long_texts(spark
     out = stage(spark, docs, "")
     assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {(7, 8, 9, 10, "x")}
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_first_and_last_stage_take_clashing_columns_empty_tables_and_long_texts(spark, corpus, tmp_path):
+    docs, labels = corpus
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    clash = {"row": F.lit(7), "predicted": F.lit(8), "once": F.lit(9), "score": F.lit("s"), "label": F.lit("x"), "ids": F.lit(3), "codes": F.lit("c")}
+    long = " ".join(f"word{k}" for k in range(30_000))
+    more = spark.createDataFrame([(7001, None, None, None, None), (7002, "", "xx", "s", 0), (7003, long, "xx", "s", 1), (None, "a clean text", "xx", "s", 1)], SCHEMA)
+    rows = docs.unionByName(more).withColumns(clash)
+    kept = corpus_pipeline.quality_classifier(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns and {tuple(r)[5:] for r in kept.collect()} == {(7, 8, 9, "s", "x", 3, "c")}
+    assert corpus_pipeline.quality_classifier(spark, rows.limit(0), str(tmp_path)).count() == 0
+    # Without any label there is no model, and nothing is known against a text.
+    assert corpus_pipeline.quality_classifier(spark, rows, str(tmp_path / "none")).count() == rows.count()
+    few = more.drop("lang").withColumn("row", F.lit(7))
+    coded = corpus_pipeline.sentencepiece(spark, few, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in coded) == [0, 7001, 7002, 7003] and all(r["round_trip"] for r in coded)
+    assert corpus_pipeline.sentencepiece(spark, few.limit(0), "").count() == 0
