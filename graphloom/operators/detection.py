@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, box, corner_struct, corners, giou, iou
+from ..functions.storage import written
 from .kernels import numbers, per_sample
 from .ordering import with_running
+from .topology import with_ends
 
 # The evaluation protocol's IoU thresholds.
 IOU_THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 RECALL_POINTS = 101
 MAX_DETECTIONS = 40
+#: Totals of so many groups are broadcast.
+FEW_GROUPS = 10_000
 CORNERS = ("d0", "h0", "d1", "h1", "w0", "w1")
 
 
@@ -29,8 +33,7 @@ def node_boxes(nodes: DataFrame, size: float = 0.2) -> DataFrame:
 
 def edge_boxes(nodes: DataFrame, edges: DataFrame, half_width: float = 0.1) -> DataFrame:
     """Edges with the corners of the box around both ends, widened by half_width and clipped."""
-    end = lambda p: nodes.select("sample_id", F.col("node_id").alias(p), *[F.col(a).alias(f"{p}_{a}") for a in AXES])
-    both = edges.join(end("src"), ["sample_id", "src"]).join(end("dst"), ["sample_id", "dst"])
+    both = with_ends(nodes, edges)
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     low = {a: clip(F.least(f"src_{a}", f"dst_{a}") - half_width) for a in AXES}
     high = {a: clip(F.greatest(f"src_{a}", f"dst_{a}") + half_width) for a in AXES}
@@ -41,7 +44,7 @@ def pair_iou(predictions: DataFrame, targets: DataFrame, minimum: float = 0.0, k
     """(keys, pred_id, target_id, iou) of pairs within a sample that reach the minimum."""
     p = predictions.select(*keys, "pred_id", F.col("corners").alias("p"))
     t = targets.select(*keys, "target_id", F.col("corners").alias("t"))
-    pairs = p.join(t, list(keys)).select(*keys, "pred_id", "target_id", iou(F.col("p"), F.col("t")).alias("iou"))
+    pairs = p.join(t.hint("merge"), list(keys)).select(*keys, "pred_id", "target_id", iou(F.col("p"), F.col("t")).alias("iou"))
     return pairs.where((F.col("iou") >= minimum) & (F.col("iou") > 0)) if minimum > 0 else pairs
 
 
@@ -49,7 +52,7 @@ def pair_giou(predictions: DataFrame, targets: DataFrame) -> DataFrame:
     """(sample_id, pred_id, target_id, giou) of all pairs within a sample, from unclipped boxes."""
     p = predictions.select("sample_id", "pred_id", corners(F.col("box"), clip=False).alias("p"))
     t = targets.select("sample_id", "target_id", corners(F.col("box"), clip=False).alias("t"))
-    return p.join(t, "sample_id").select("sample_id", "pred_id", "target_id", giou(F.col("p"), F.col("t")).alias("giou"))
+    return p.join(t.hint("merge"), "sample_id").select("sample_id", "pred_id", "target_id", giou(F.col("p"), F.col("t")).alias("giou"))
 
 
 def top_detections(predictions: DataFrame, k: int = MAX_DETECTIONS) -> DataFrame:
@@ -121,7 +124,7 @@ def greedy_match(predictions: DataFrame, targets: DataFrame, thresholds: tuple[f
 def target_counts(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """(sample_id, target_count) for every sample."""
     counts = targets.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    return samples.select("sample_id").join(counts, "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("target_count"))
+    return samples.select("sample_id").join(counts.hint("merge"), "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("target_count"))
 
 
 def _reach(recall: Column) -> Column:
@@ -140,6 +143,8 @@ def pooled_ap_ar(hits: DataFrame, counts: DataFrame, by: str = "sample_id", thre
     hits can be that rank.  A group without targets has null metrics, one without predictions 0.
     """
     total = counts.groupBy(by).agg(F.sum("target_count").alias("targets"))
+    if by != "sample_id":
+        total = written(total, "targets")
     wide = "hits" in hits.columns
     groups = [by] if wide else [by, "iou_t"]
     tp = [f"tp{i}" for i in range(len(thresholds) if wide else 1)]
@@ -154,7 +159,9 @@ def pooled_ap_ar(hits: DataFrame, counts: DataFrame, by: str = "sample_id", thre
         ranked = with_running(rows, groups, order, tp)
     at = lambda i: F.lit(float(thresholds[i])) if wide else F.col("iou_t")
     found = [F.when(F.col(x) == 1, F.struct(at(i).alias("iou_t"), F.col(f"{x}_sum").alias("tps"))) for i, x in enumerate(tp)]
-    ranked = ranked.select(by, (F.col("position") + 1).alias("seen"), F.inline(F.array_compact(F.array(*found)))).join(total, by)
+    ranked = ranked.select(by, (F.col("position") + 1).alias("seen"), F.inline(F.array_compact(F.array(*found))))
+    # Few groups are broadcast, so that a large one does not become one task.
+    ranked = ranked.join(F.broadcast(total) if by != "sample_id" and total.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else total.hint("merge"), by)
     ranked = ranked.select(by, "iou_t", (F.col("tps") / F.col("targets")).alias("recall"), (F.col("tps") / F.col("seen")).alias("precision"))
     ranked = ranked.withColumn("reach", _reach(F.col("recall")))
     if by != "sample_id":
@@ -167,7 +174,7 @@ def pooled_ap_ar(hits: DataFrame, counts: DataFrame, by: str = "sample_id", thre
     mean = F.aggregate("steps", start, step, lambda s: (s["total"] + s["top"] * s["reach"]) / RECALL_POINTS)
     both = per.groupBy(by).agg((F.sum(mean) / len(thresholds)).alias("ap"), (F.sum("recall") / len(thresholds)).alias("ar"))
     zero = lambda c: F.when(F.col("targets") > 0, F.coalesce(c, F.lit(0.0)))
-    return total.join(both, by, "left").select(by, zero("ap").alias("ap"), zero("ar").alias("ar"))
+    return total.join(both.hint("merge"), by, "left").select(by, zero("ap").alias("ap"), zero("ar").alias("ar"))
 
 
 def sample_ap_ar(predictions: DataFrame, targets: DataFrame, samples: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Rows that a kernel gets at a time, if no single sample has more.
 BATCH_ROWS = 1 << 17
@@ -22,14 +23,17 @@ def sample_codes(table: pa.Table) -> np.ndarray:
 def per_sample(rows: DataFrame, kernel: Kernel, schema: str, order: list[str | Column] | None = None, limit: int = BATCH_ROWS) -> DataFrame:
     """Apply `kernel` to batches of complete samples: it gets their rows, by sample and `order`, and sample_codes of them.
 
-    One shuffle by sample_id; a task holds `limit` rows or its largest sample."""
-    dealt = rows.repartition("sample_id").sortWithinPartitions("sample_id", *(order or []))
+    Rows are numbered within samples, which sorts them by sample and shuffles them only if they are not dealt
+    out by sample_id yet; a task holds `limit` rows or its largest sample."""
+    names = rows.columns
+    dealt = rows.withColumn("_place", F.row_number().over(Window.partitionBy("sample_id").orderBy(*(order or ["sample_id"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, wait = [], 0, limit
         for b in batches:
             if not len(b):
                 continue
+            b = b.select(names)
             held.append(b)
             size += len(b)
             if size < wait:

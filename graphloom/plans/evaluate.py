@@ -40,8 +40,8 @@ def evaluate_graphs(samples: DataFrame, target_nodes: DataFrame, target_edges: D
     out = graph_counts(samples, target_nodes, target_edges, pred_nodes, pred_edges)
     for kind, (p, t) in detection_tables(target_nodes, target_edges, pred_nodes, pred_edges).items():
         m = det.sample_ap_ar(p, t, samples)
-        out = out.join(m.select("sample_id", F.col("ap").alias(f"{kind}_mAP"), F.col("ar").alias(f"{kind}_mAR")), "sample_id")
+        out = out.join(m.select("sample_id", F.col("ap").alias(f"{kind}_mAP"), F.col("ar").alias(f"{kind}_mAR")).hint("merge"), "sample_id")
     if not with_smd:
         return out.select("sample_id", *METRICS[1:])
     smd = transport.street_mover_distance(samples, target_nodes, target_edges, pred_nodes, pred_edges, points)
-    return out.join(smd, "sample_id").select("sample_id", *METRICS)
+    return out.join(smd.hint("merge"), "sample_id").select("sample_id", *METRICS)
