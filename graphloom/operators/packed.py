@@ -19,12 +19,17 @@ from .geometry import PLANES
 
 #: Parameter rows up to this number are broadcast to the volumes; each has less than 200 bytes.
 FEW_PARAMS = 200_000
+#: Values of the volumes that leave a task together, if no single volume has more.
+BATCH_VALUES = 1 << 20
 
 Change = Callable[..., np.ndarray]
 
 
 def per_volume(volumes: DataFrame, change: Change, *columns: str) -> DataFrame:
-    """`change` applied to each volume as an array, with the values of further columns of its row."""
+    """`change` applied to each volume as an array, with the values of further columns of its row.
+
+    Results leave the task in batches of BATCH_VALUES.  A chain of changes that grow a volume belongs into one
+    `change`, since Spark hands the rows between two of them over in batches of their number."""
     rows = volumes.select("sample_id", "kind", "shape", "data", *columns)
     id_type = rows.schema["sample_id"].dataType.simpleString()
 
@@ -33,12 +38,20 @@ def per_volume(volumes: DataFrame, change: Change, *columns: str) -> DataFrame:
             shapes, data = b.column(2).to_pylist(), b.column(3)
             values, ends = data.values.to_numpy(), data.offsets.to_numpy()
             more = [b.column(4 + k).to_pylist() for k in range(len(columns))]
-            made = [np.asarray(change(values[ends[i] : ends[i + 1]].reshape([s[a] for a in AXES]), *[m[i] for m in more]), np.float64) for i, s in enumerate(shapes)]
-            sizes = np.array([x.shape for x in made], np.int32).reshape(-1, 3)
-            shape = pa.StructArray.from_arrays([pa.array(sizes[:, k]) for k in range(3)], list(AXES))
-            offsets = np.concatenate(([0], np.cumsum(sizes.prod(1, dtype=np.int64)))).astype(np.int32)
-            flat = np.concatenate([x.ravel() for x in made]) if made else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), shape, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["sample_id", "kind", "shape", "data"])
+            first, made, held = 0, [], 0
+            for i, s in enumerate(shapes):
+                made.append(np.asarray(change(values[ends[i] : ends[i + 1]].reshape([s[a] for a in AXES]), *[m[i] for m in more]), np.float64))
+                held += made[-1].size
+                if held >= BATCH_VALUES or i + 1 == len(shapes):
+                    yield packed(b.slice(first, len(made)), made)
+                    first, made, held = i + 1, [], 0
+
+    def packed(b: pa.RecordBatch, made: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([x.shape for x in made], np.int32).reshape(-1, 3)
+        shape = pa.StructArray.from_arrays([pa.array(sizes[:, k]) for k in range(3)], list(AXES))
+        offsets = np.concatenate(([0], np.cumsum(sizes.prod(1, dtype=np.int64)))).astype(np.int32)
+        flat = np.concatenate([x.ravel() for x in made])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), shape, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["sample_id", "kind", "shape", "data"])
 
     return rows.mapInArrow(run, f"sample_id {id_type}, kind string, shape struct<d:int,h:int,w:int>, data array<double>")
 

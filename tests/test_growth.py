@@ -2,9 +2,13 @@
 
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
 from graphloom.functions.storage import dealt
+from graphloom.operators import packed
 from graphloom.operators import topology as topo
 from graphloom.operators import transport
 from graphloom.plans import canonical as c
@@ -36,3 +40,18 @@ def test_samples_are_dealt_out_once(spark, make):
 @pytest.mark.parametrize("name", ["p05_sinkhorn_small", "m11_evaluate_without_transport", "p02_sinkhorn_distance", "p03_street_mover_distance", "m01_evaluate_graphs"])
 def test_rows_of_samples_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_large_volumes_leave_a_task_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(packed, "BATCH_VALUES", 100)
+
+    class Rows:
+        schema = StructType().add("sample_id", "long")
+        select = lambda self, *names: self
+        mapInArrow = lambda self, f, schema: f
+
+    shape = [{"d": 2, "h": 1, "w": 1}] * 40
+    batch = pa.RecordBatch.from_pydict({"sample_id": list(range(40)), "kind": ["image"] * 40, "shape": shape, "data": [[float(i), 1.0] for i in range(40)]})
+    out = list(packed.per_volume(Rows(), lambda x: np.repeat(x, 20, 1))(iter([batch])))
+    assert max(len(b.column("data").values) for b in out) <= 140 and len(out) == 14
+    assert [r[0] for b in out for r in b.column("data").to_pylist()] == list(range(40))
