@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.summary import known_records
 
 OUTPUT = "run_id string, name string, epoch int, value double"
+#: Pairs of run and name share a call of the update and its state by a hash; a stream keeps this number for its life.
+BUCKETS = 1024
+KNOWN = pa.schema([("run_id", pa.string()), ("name", pa.string()), ("best", pa.float64())])
 
 
 def stream_epoch_means(run_log: DataFrame, time_column: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -26,7 +30,8 @@ def stream_epoch_means(run_log: DataFrame, time_column: str | None = None, delay
 
 
 def stream_best(history: DataFrame, mode: str = "max", records: DataFrame | None = None) -> DataFrame:
-    """A row whenever a run's metric strictly improves; the state is one number per (run, name).
+    """A row whenever a run's metric strictly improves; the state is one number per (run, name),
+    kept as a table a bucket.
 
     history: run_id string, name string, epoch int, value double.  Values are compared, not epochs, so late
     rows cannot undo a record; within a batch rows count in epoch order.  records: (run_id, metric, mode,
@@ -37,23 +42,44 @@ def stream_best(history: DataFrame, mode: str = "max", records: DataFrame | None
     else:
         joined = history.join(known_records(records, mode), ["run_id", "name"], "left")
 
+    sign = 1.0 if mode == "max" else -1.0
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(frames)).sort_values(["epoch", "value"])
-        record = given["record"].dropna()
-        best = state.get[0] if state.exists else float(record.iloc[0]) if len(record) else None
-        rows = []
-        for row in given.itertuples(index=False):
-            if row.value is None or not math.isfinite(row.value):
-                continue
-            if best is None or (row.value > best if mode == "max" else row.value < best):
-                best = float(row.value)
-                rows.append((key[0], key[1], int(row.epoch), best))
-        if best is not None:
-            state.update((best,))
-        yield pd.DataFrame(rows, columns=["run_id", "name", "epoch", "value"])
-
-    joined = joined.select("run_id", "name", "epoch", "value", "record")
-    return joined.groupBy("run_id", "name").applyInPandasWithState(update, OUTPUT, "best double", "append", "NoTimeout")
+        given = pd.concat(list(frames), ignore_index=True)
+        known = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame({"run_id": [], "name": [], "best": []})
+        pairs = pd.concat([known[["run_id", "name"]], given[["run_id", "name"]]], ignore_index=True).astype(object)
+        code = pairs.groupby(["run_id", "name"], sort=False, dropna=False).ngroup().to_numpy()
+        _, first = np.unique(code, return_index=True)
+        old, at = code[: len(known)], code[len(known) :]
+        # Bests times sign, so that the largest counts: what the state knows, else the record.
+        best = np.full(len(first), -np.inf)
+        record = given["record"].to_numpy(np.float64, na_value=np.nan)
+        stored = ~np.isnan(record)
+        best[at[stored]] = sign * record[stored]
+        best[old] = sign * known["best"].to_numpy(np.float64)
+        value, epoch = given["value"].to_numpy(np.float64, na_value=np.nan), given["epoch"].to_numpy(np.float64, na_value=np.nan)
+        order = np.lexsort((value, epoch, at))
+        order = order[np.isfinite(value[order])]
+        pair, now = at[order], sign * value[order]
+        running = pd.Series(now).groupby(pair).cummax().to_numpy()
+        before = best[pair]
+        same = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+        before[same] = np.maximum(before[same], running[same - 1])
+        better = order[now > before]
+        np.maximum.at(best, pair, now)
+        out = given.loc[better, ["run_id", "name", "epoch", "value"]]
+        has = np.isfinite(best)
+        if len(better) or has.sum() > len(known):
+            kept = pairs.iloc[first[has]].assign(best=sign * best[has])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, KNOWN) as file:
+                file.write_table(pa.Table.from_pandas(kept, KNOWN, preserve_index=False))
+            state.update((sink.getvalue().to_pybytes(),))
+        yield out.astype({"epoch": "Int32"})
+
+    bucket = F.pmod(F.xxhash64("run_id", "name"), F.lit(BUCKETS)).alias("bucket")
+    joined = joined.select("run_id", "name", "epoch", "value", "record", bucket)
+    return joined.groupBy("bucket").applyInPandasWithState(update, OUTPUT, "known binary", "append", "NoTimeout")
 
 
 def write_once(stream: DataFrame, path: str, state: str, mode: str = "append") -> StreamingQuery:

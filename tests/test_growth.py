@@ -16,6 +16,7 @@ from graphloom.operators import transport
 from graphloom.plans import canonical as c
 from graphloom.plans import registry
 from graphloom.sources import files
+from graphloom.streaming import runs
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
@@ -83,3 +84,25 @@ def test_totals_of_few_groups_do_not_make_one_task_of_a_group(spark):
         assert sorted(map(tuple, pooled.collect())) == [(0, 1.0, 1.0), (1, 1.0, 1.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("mode", ["max", "min"])
+def test_a_stream_is_called_once_a_bucket_of_pairs(spark, tmp_path, monkeypatch, mode):
+    monkeypatch.setattr(runs, "BUCKETS", 8, raising=False)
+    path, out, state = (str(tmp_path / x) for x in ("history", "out", "state"))
+    value = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(50)) / 10)
+    log = spark.range(2000).select(F.when(F.col("id") % 100 > 0, (F.col("id") % 100).cast("string")).alias("run_id"), F.concat(F.lit("m"), F.col("id") % 3).alias("name"), F.floor(F.col("id") / 300).cast("int").alias("epoch"), value.alias("value"))
+    records = spark.createDataFrame([(str(k), "m1", mode, 3.0) for k in range(1, 60)], "run_id string, metric string, mode string, value double")
+    for part in ("epoch < 3", "epoch >= 3"):
+        files.append_metric_history(log.where(part), path)
+        stream = runs.stream_best(files.read_metric_history(spark, path, stream=True).select("run_id", "name", "epoch", "value"), mode, records)
+        query = runs.write_once(stream, out, state, "append")
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    best, want = {(str(k), "m1"): 3.0 for k in range(1, 60)}, []
+    for r in sorted(log.collect(), key=lambda r: (r["epoch"], r["value"] is None, r["value"] or 0)):
+        pair, v = (r["run_id"], r["name"]), r["value"]
+        if v is not None and v == v and (pair not in best or (v > best[pair] if mode == "max" else v < best[pair])):
+            best[pair] = v
+            want.append((*pair, r["epoch"], v))
+    assert sorted(map(str, map(tuple, runs.read_written(stream, out).collect()))) == sorted(map(str, want))
