@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, uniform
 from . import geometry as g
 from . import voxels as v
+from .kernels import numbers, per_sample
 from .ordering import with_position
 
 # Training policies (zoom range, flips, noise, clamp); other splits change nothing.
@@ -16,6 +19,9 @@ POLICIES = {
     "plants": {"zoom": (0.6, 1.0), "flip": 0.5, "noise_p": 0.0, "noise_std": (0.0, 0.0), "clamp": None},
 }
 
+#: Kinds of rows of alignment_report: foreground voxels, nodes, and nodes without a position.
+GROUND, NODE, NOWHERE = 0, 1, 2
+
 
 def policy_for(samples: DataFrame) -> DataFrame:
     """Add `policy`: 'identity' for val and test, the data set's name for train; anything else raises."""
@@ -82,13 +88,35 @@ def augment_voxels(voxels: DataFrame, params: DataFrame, shape, mode: str = "nea
 
 def alignment_report(nodes: DataFrame, voxels: DataFrame, shape, radius: int = 0) -> DataFrame:
     """Per sample of `nodes`: share of nodes with foreground within a Chebyshev radius of their voxel."""
-    at = g.to_voxel_index(nodes, shape).select("sample_id", "node_id", *["v" + a for a in AXES])
-    near = at
-    for a in AXES:
-        near = near.withColumn("v" + a, F.explode(F.sequence(F.col("v" + a) - radius, F.col("v" + a) + radius)))
-    ground = voxels.where("value > 0").select("sample_id", *[F.col(a).alias("v" + a) for a in AXES])
-    hits = near.join(ground, ["sample_id", "vd", "vh", "vw"], "left_semi").select("sample_id", "node_id").distinct().withColumn("hit", F.lit(1.0))
-    return at.select("sample_id", "node_id").join(hits, ["sample_id", "node_id"], "left").groupBy("sample_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("hit_rate"))
+    # Both kinds of rows meet by sample, so that what is dealt out by sample stays there and no node is multiplied.
+    rows = lambda df, kind, *at: df.select("sample_id", kind.alias("kind"), *[F.col(x).cast("long").alias(a) for x, a in zip(at, AXES)])
+    at = g.to_voxel_index(nodes, shape)
+    nowhere = F.col("vd").isNull() | F.col("vh").isNull() | F.col("vw").isNull()
+    at = rows(at, F.when(nowhere, NOWHERE).otherwise(NODE), "vd", "vh", "vw").na.fill(0, list(AXES))
+    ground = rows(voxels.where("value > 0 and sample_id is not null and d is not null and h is not null and w is not null"), F.lit(GROUND), *AXES)
+
+    def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        voxel = np.stack(numbers(table, *AXES), 1)
+        n, found = np.bincount(code[kind != GROUND], minlength=int(code[-1]) + 1), np.zeros(len(code), bool)
+        placed = kind == NODE
+        if placed.any():
+            # Voxels as numbers of a box around all nodes, which has `radius` voxels to spare on each side.
+            low, high = voxel[placed].min(0) - radius, voxel[placed].max(0) + radius
+            number = lambda at, v: ((at * (high - low + 1)[0] + v[:, 0] - low[0]) * (high - low + 1)[1] + v[:, 1] - low[1]) * (high - low + 1)[2] + v[:, 2] - low[2]
+            near = (kind == GROUND) & ((voxel >= low) & (voxel <= high)).all(1)
+            solid = np.sort(number(code[near].astype(np.int64), voxel[near]))
+            sample, v, hit = code[placed].astype(np.int64), voxel[placed], np.zeros(int(placed.sum()), bool)
+            for d in range(-radius, radius + 1):
+                for h in range(-radius, radius + 1):
+                    middle = number(sample, v + (d, h, 0))
+                    hit |= np.searchsorted(solid, middle + radius, "right") > np.searchsorted(solid, middle - radius, "left")
+            found[placed] = hit
+        asked = np.flatnonzero(n)
+        hits = np.bincount(code[found], minlength=len(n))
+        return pa.table({"sample_id": table["sample_id"].take(pa.array(np.searchsorted(code, asked))), "hit_rate": hits[asked] / n[asked]})
+
+    return per_sample(at.unionByName(ground), kernel, f"sample_id {at.schema['sample_id'].dataType.simpleString()}, hit_rate double")
 
 
 def compose(source: DataFrame, target: DataFrame) -> DataFrame:

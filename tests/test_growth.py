@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.functions.storage import dealt
+from graphloom.operators import compose as comp
 from graphloom.operators import detection as det
 from graphloom.operators import packed
 from graphloom.operators import topology as topo
@@ -106,3 +107,16 @@ def test_a_stream_is_called_once_a_bucket_of_pairs(spark, tmp_path, monkeypatch,
             best[pair] = v
             want.append((*pair, r["epoch"], v))
     assert sorted(map(str, map(tuple, runs.read_written(stream, out).collect()))) == sorted(map(str, want))
+
+
+def test_nodes_of_an_alignment_report_are_not_multiplied(spark):
+    shape, n = (51, 11, 9), c.nodes(spark, SF) if Path(SF).exists() else None
+    if n is not None:
+        text = plan(comp.alignment_report(n, c.foreground(n).where("(d + h) % 2 = 0"), shape, 1))
+        assert "Generate" not in text and "ENSURE_REQUIREMENTS" not in text
+    rows = [("a", 0, 0.0, 0.0, 0.0), ("a", 1, 50 / 51, 10 / 11, 8 / 9), ("a", 2, 25 / 51, 0.0, 0.0), ("a", 3, None, 0.0, 0.0), ("b", 0, 0.0, 0.0, 0.0), ("c", 0, None, None, None), (None, 0, 0.0, 0.0, 0.0)]
+    nodes = spark.createDataFrame(rows, "sample_id string, node_id int, d double, h double, w double").repartition(3)
+    ground = [("a", 1, 1, 1, 1.0), ("a", 49, 9, 10, 1.0), ("a", 24, 0, -2, 1.0), ("a", 25, 0, 2, 1.0), ("a", 26, 1, 0, 0.0), ("z", 0, 0, 0, 1.0), (None, 0, 0, 0, 1.0), ("a", None, 0, 0, 1.0), ("a", 10**9, 10**9, 10**9, 1.0)]
+    found = spark.createDataFrame(ground, "sample_id string, d int, h int, w int, value double")
+    got = {radius: {r["sample_id"]: r["hit_rate"] for r in comp.alignment_report(nodes, found, shape, radius).collect()} for radius in (0, 1, 2)}
+    assert got == {0: {"a": 0.0, "b": 0.0, "c": 0.0, None: 0.0}, 1: {"a": 0.25, "b": 0.0, "c": 0.0, None: 0.0}, 2: {"a": 0.75, "b": 0.0, "c": 0.0, None: 0.0}}
