@@ -398,12 +398,12 @@ def _defined(c: str) -> Column:
     return F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c))
 
 
-def write_predictions(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, path: str) -> None:
-    """One JSON object per sample: nodes, edges and metrics."""
+def write_predictions(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON object per sample: nodes, edges and metrics; compression: a codec of Spark's JSON files."""
     n = nodes.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("node_id", *[c for c in nodes.columns if c not in ("sample_id", "node_id")]))).alias("nodes"))
     e = edges.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "score"))).alias("edges"))
     m = metrics.select("sample_id", F.struct(*[_defined(c).alias(c) for c in sorted(metrics.columns) if c != "sample_id"]).alias("metrics"))
-    m.join(n, "sample_id", "left").join(e, "sample_id", "left").write.option("ignoreNullFields", "false").json(path)
+    m.join(n, "sample_id", "left").join(e, "sample_id", "left").write.option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
 def write_per_sample_metrics(metrics: DataFrame, path: str, ids: tuple[str, ...] = ("sample_id",)) -> None:
