@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from graphloom.functions import storage
 from graphloom.functions.storage import dealt
 from graphloom.operators import compose as comp
 from graphloom.operators import detection as det
@@ -120,3 +121,19 @@ def test_nodes_of_an_alignment_report_are_not_multiplied(spark):
     found = spark.createDataFrame(ground, "sample_id string, d int, h int, w int, value double")
     got = {radius: {r["sample_id"]: r["hit_rate"] for r in comp.alignment_report(nodes, found, shape, radius).collect()} for radius in (0, 1, 2)}
     assert got == {0: {"a": 0.0, "b": 0.0, "c": 0.0, None: 0.0}, 1: {"a": 0.25, "b": 0.0, "c": 0.0, None: 0.0}, 2: {"a": 0.75, "b": 0.0, "c": 0.0, None: 0.0}}
+
+
+def test_many_tasks_are_dealt_out_through_few(spark, monkeypatch):
+    monkeypatch.setattr(storage, "DIRECT_TASKS", 4, raising=False)
+    for n, exchanges in ((400, 1), (4000, 2)):
+        got = dealt(spark.range(n), "id", rows=100, least=1000)
+        assert plan(got).count("REPARTITION_BY_NUM") == exchanges
+        assert got.rdd.getNumPartitions() == n // 100 and sorted(r[0] for r in got.collect()) == list(range(n))
+
+
+@tables
+def test_written_predictions_are_compressed_and_points_rounded_without_decimals(spark):
+    assert all(x.endswith(".json.gz") for x in registry.queries()["s15_written_predictions"](spark, SF).inputFiles())
+    assert ", 6) AS" not in plan(registry.queries()["p04_point_cloud_of_protocol"](spark, SF))
+    values = spark.range(20000).select((F.col("id") / 51 % 1).alias("x"))
+    assert values.select(*registry.n6("x")).exceptAll(values.select(*registry.r6("x"))).count() == 0
