@@ -45,43 +45,54 @@ def stream_best(history: DataFrame, mode: str = "max", records: DataFrame | None
     sign = 1.0 if mode == "max" else -1.0
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(frames), ignore_index=True)
-        known = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame({"run_id": [], "name": [], "best": []})
-        pairs = pd.concat([known[["run_id", "name"]], given[["run_id", "name"]]], ignore_index=True).astype(object)
-        code = pairs.groupby(["run_id", "name"], sort=False, dropna=False).ngroup().to_numpy()
-        _, first = np.unique(code, return_index=True)
-        old, at = code[: len(known)], code[len(known) :]
-        # Bests times sign, so that the largest counts: what the state knows, else the record.
-        best = np.full(len(first), -np.inf)
-        record = given["record"].to_numpy(np.float64, na_value=np.nan)
-        stored = ~np.isnan(record)
-        best[at[stored]] = sign * record[stored]
-        best[old] = sign * known["best"].to_numpy(np.float64)
-        value, epoch = given["value"].to_numpy(np.float64, na_value=np.nan), given["epoch"].to_numpy(np.float64, na_value=np.nan)
-        order = np.lexsort((value, epoch, at))
-        order = order[np.isfinite(value[order])]
-        pair, now = at[order], sign * value[order]
-        running = pd.Series(now).groupby(pair).cummax().to_numpy()
-        before = best[pair]
-        same = np.flatnonzero(pair[1:] == pair[:-1]) + 1
-        before[same] = np.maximum(before[same], running[same - 1])
-        better = order[now > before]
-        np.maximum.at(best, pair, now)
-        out = given.loc[better, ["run_id", "name", "epoch", "value"]]
+        given = list(frames)
+        column = lambda name: np.concatenate([f[name].to_numpy(object) for f in given])
+        number = lambda name: np.concatenate([f[name].to_numpy(np.float64, na_value=np.nan) for f in given])
+        run, name, best = (x.to_numpy(zero_copy_only=False) for x in pa.ipc.open_stream(state.get[0]).read_all()) if state.exists else ((),) * 3
+        old, epoch, value = len(run), number("epoch"), number("value")
+        run, name = np.concatenate((run, column("run_id"))), np.concatenate((name, column("name")))
+        first, best, better = _improvements(run, name, sign * np.asarray(best, np.float64), epoch, sign * value, sign * number("record"), sign)
         has = np.isfinite(best)
-        if len(better) or has.sum() > len(known):
-            kept = pairs.iloc[first[has]].assign(best=sign * best[has])
+        if len(better) or has.sum() > old:
+            kept = first[has]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, KNOWN) as file:
-                file.write_table(pa.Table.from_pandas(kept, KNOWN, preserve_index=False))
+                file.write_batch(pa.RecordBatch.from_arrays([pa.array(run[kept], pa.string()), pa.array(name[kept], pa.string()), pa.array(sign * best[has])], schema=KNOWN))
             state.update((sink.getvalue().to_pybytes(),))
-        yield out.astype({"epoch": "Int32"})
+        at = epoch[better]
+        yield pd.DataFrame({"run_id": run[old + better], "name": name[old + better], "epoch": pd.array(at, "Float64").astype("Int32") if np.isnan(at).any() else at.astype(np.int32), "value": value[better]})
 
     bucket = F.pmod(F.xxhash64("run_id", "name"), F.lit(BUCKETS)).alias("bucket")
     joined = joined.select("run_id", "name", "epoch", "value", "record", bucket)
     return joined.groupBy("bucket").applyInPandasWithState(update, OUTPUT, "known binary", "append", "NoTimeout")
 
 
+def _improvements(run: np.ndarray, name: np.ndarray, known: np.ndarray, epoch: np.ndarray, value: np.ndarray, record: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row of each pair of run and name, its best from now on, rows that improve it); larger values are better.
+
+    run, name: first the pairs with a known best, each once, then those of the rows; record: a best from elsewhere, which
+    holds for a pair without a known one.  Values come times sign; rows of an epoch count in the order of those without."""
+    codes = [pd.factorize(x)[0].astype(np.int64) + 1 for x in (run, name)]
+    _, first, code = np.unique(codes[0] * (codes[1].max(initial=0) + 1) + codes[1], return_index=True, return_inverse=True)
+    old, at = code[: len(known)], code[len(known) :]
+    best = np.full(len(first), -np.inf)
+    stored = ~np.isnan(record)
+    best[at[stored]] = record[stored]
+    best[old] = known
+    order = np.lexsort((sign * value, epoch, at))
+    order = order[np.isfinite(value[order])]
+    pair, now = at[order], value[order]
+    # Ranks instead of values, above those of all pairs before: one running maximum serves all pairs.
+    values, rank = np.unique(now, return_inverse=True)
+    above = pair * len(values)
+    running = values[np.maximum.accumulate(above + rank) - above]
+    before = best[pair]
+    same = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+    before[same] = np.maximum(before[same], running[same - 1])
+    np.maximum.at(best, pair, now)
+    return first, best, order[now > before]
+
+
 def write_once(stream: DataFrame, path: str, state: str, mode: str = "append") -> StreamingQuery:
     """Start a stream that ends with the data at hand and writes every batch to a folder of its own, <path>/batch=<id>.
 

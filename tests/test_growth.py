@@ -110,6 +110,29 @@ def test_a_stream_is_called_once_a_bucket_of_pairs(spark, tmp_path, monkeypatch,
     assert sorted(map(str, map(tuple, runs.read_written(stream, out).collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_improvements_of_a_bucket_agree_with_one_row_after_the_other(sign):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 300):
+        pairs = [(r, m) for r in ("a", "b", None, "d") for m in ("m", "n", None)]
+        known = pairs[:5] if n else []
+        rows = [pairs[i] for i in rng.integers(0, len(pairs), n)]
+        run, name = (np.array([p[k] for p in known + rows], object) for k in (0, 1))
+        epoch = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 9, n))
+        value = rng.choice([-np.inf, np.nan, -1.0, -0.0, 0.0, 0.5, 1.0, 2.0], n)
+        record = np.array([1.0 if p[1] == "n" else np.nan for p in rows])
+        first, best, better = runs._improvements(run, name, np.arange(len(known)) / 4, epoch, value, record, sign)
+        have = {p: 1.0 for p in rows if p[1] == "n"} | {p: i / 4 for i, p in enumerate(known)}
+        want = []
+        for i in sorted(range(n), key=lambda i: (np.isnan(epoch[i]), epoch[i], np.isnan(value[i]), sign * value[i])):
+            if np.isfinite(value[i]) and value[i] > have.get(rows[i], -np.inf):
+                have[rows[i]] = value[i]
+                want.append(i)
+        assert {p: b for p, b in zip(zip(run[first], name[first]), best) if np.isfinite(b)} == have
+        at = lambda i: (rows[i], str(epoch[i]), value[i])
+        assert sorted(map(str, map(at, better))) == sorted(map(str, map(at, want)))
+
+
 def test_nodes_of_an_alignment_report_are_not_multiplied(spark):
     shape, n = (51, 11, 9), c.nodes(spark, SF) if Path(SF).exists() else None
     if n is not None:
