@@ -156,8 +156,8 @@ def _probe(sketch: np.ndarray, row: np.ndarray, path: np.ndarray) -> np.ndarray:
     return ((h & np.uint64(1)) | ((h & np.uint64(2)) << np.uint64(31))).view(np.int64)
 
 
-def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_paths: bool, with_tokens: bool) -> DataFrame:
-    """(doc_id, key, n [, paths, probes, sketch] [, tokens]): one row per document with words."""
+def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_paths: bool, with_text: bool) -> DataFrame:
+    """(doc_id, key, n [, paths, probes, sketch] [, text]): one row per document with words."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
@@ -188,11 +188,11 @@ def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str, with_pa
                     for name, values in (("paths", child.view(np.int64)), ("probes", probes)):
                         columns[name] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
                     columns["sketch"] = pa.array([x.tobytes() for x in sketch], pa.binary())
-                if with_tokens:
-                    columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(token.view(np.int64)))
+                if with_text:
+                    columns["text"] = b.column("text").slice(first, end - first).take(pa.array(have))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>, probes array<bigint>, sketch binary" * with_paths + ", tokens array<bigint>" * with_tokens)
+    return d.mapInArrow(run, f"doc_id {id_type}, key binary, n int" + ", paths array<bigint>, probes array<bigint>, sketch binary" * with_paths + ", text string" * with_text)
 
 
 def _split(rows: DataFrame, s: Settings) -> DataFrame:
@@ -213,16 +213,16 @@ def _split(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("key", "path", "sketch").mapInArrow(run, "key binary, path bigint, probe bigint")
 
 
-def _placed(leaf: DataFrame, s: Settings, tokens: str | None = None) -> DataFrame:
-    """(leaf, left, right, part, parts, key) for every pair of blocks of a leaf, from (path, members, key).
+def _placed(leaf: DataFrame, s: Settings, tokens: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(leaf, left, right, part, parts, key, *more) for every pair of blocks of a leaf, from (path, members, key, *more).
 
     Blocks have about s.block rows and, where a column tells the tokens of the leaf, at most about s.block_tokens tokens."""
     parts = F.ceil(F.col("members") / s.block).cast("int")
     if tokens:
         parts = F.least(F.col("members"), F.greatest(parts, F.ceil(F.col(tokens) / s.block_tokens))).cast("int")
     placed = leaf.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("key"), parts).cast("int")})
-    placed = placed.select("path", "key", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "parts", "key")
+    placed = placed.select("path", "key", "part", "parts", *more, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return placed.select(F.col("path").alias("leaf"), F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "parts", "key", *more)
 
 
 def _together(blocks: DataFrame) -> DataFrame:
@@ -373,8 +373,9 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def _brute_force(blocks: DataFrame, s: Settings) -> DataFrame:
     """(key, parent, n_links, n_link_docs) from rows of blocks that lie together.
 
-    blocks: leaf, left, right (block numbers), part, key, copies, n, tokens, leaves; sorted by block."""
-    names = ["leaf", "left", "right", "part", "key", "copies", "n", "tokens", "leaves"]
+    blocks: leaf, left, right (block numbers), part, key, copies, n, text, leaves; sorted by block.
+    Texts take less room than their tokens until they are here."""
+    names = ["leaf", "left", "right", "part", "key", "copies", "n", "text", "leaves"]
 
     def solve(rows: list[tuple]) -> list[tuple]:
         leaf, left, right = rows[0][:3]
@@ -407,14 +408,17 @@ def _brute_force(blocks: DataFrame, s: Settings) -> DataFrame:
             c = {x: b.column(x) for x in names}
             plain = {x: c[x].to_numpy(zero_copy_only=False) for x in ("leaf", "left", "right", "part", "copies", "n")}
             keys = c["key"].to_pylist()
-            t_at, t_all = c["tokens"].offsets.to_numpy(), c["tokens"].values.to_numpy().view(np.uint64)
             l_at, l_all = c["leaves"].offsets.to_numpy(), c["leaves"].values.to_numpy()
-            for i in range(len(b)):
-                head = (int(plain["leaf"][i]), int(plain["left"][i]), int(plain["right"][i]))
-                if held and held[0][:3] != head:
-                    out += solve(held)
-                    held = []
-                held.append((*head, int(plain["part"][i]), keys[i], int(plain["copies"][i]), int(plain["n"][i]), t_all[t_at[i] : t_at[i + 1]].copy(), l_all[l_at[i] : l_at[i + 1]].copy()))
+            for first, end, data, offsets in text_slices(c["text"]):
+                token, row = shingle_sets(data, offsets, s.words)
+                t_at = np.searchsorted(row, np.arange(end - first + 1))
+                for i in range(first, end):
+                    head = (int(plain["leaf"][i]), int(plain["left"][i]), int(plain["right"][i]))
+                    if held and held[0][:3] != head:
+                        out += solve(held)
+                        held = []
+                    tokens = token[t_at[i - first] : t_at[i - first + 1]].copy()
+                    held.append((*head, int(plain["part"][i]), keys[i], int(plain["copies"][i]), int(plain["n"][i]), tokens, l_all[l_at[i] : l_at[i + 1]].copy()))
             if len(out) > 20_000:
                 yield emit()
         if held:
@@ -457,8 +461,10 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     s = settings or Settings()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     member = written(signatures(source, s, "doc_id", "text", True, False), "jaccard-members")
-    per_id = member.groupBy("key", "doc_id").agg(F.count("*").alias("rows"), *[F.first(x).alias(x) for x in ("n", "paths", "probes", "sketch")])
-    classes = per_id.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("copies"), F.max("rows").alias("most_rows"), *[F.first(x).alias(x) for x in ("n", "paths", "probes", "sketch")])
+    # Ids are counted apart, so that paths and embeddings are shuffled once.
+    per_id = member.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
+    counts = per_id.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("copies"), F.max("rows").alias("most_rows"))
+    classes = counts.join(member.groupBy("key").agg(*[F.first(x).alias(x) for x in ("n", "paths", "probes", "sketch")]), "key")
     classes = written(classes, "jaccard-classes")
     about = classes.select("key", "n", "sketch")
 
@@ -493,20 +499,20 @@ def jaccard_join(docs: DataFrame, settings: Settings | None = None, id_col: str
     largest = leaf.groupBy("key").agg(F.max(F.struct("members", "path")).alias("big")).select("key", F.col("big.path").alias("big"))
     inner = leaf.join(largest, "key").groupBy("path").agg(F.min("big").alias("low"), F.max("big").alias("high")).where("low = high and low <> path")
     leaf = written(leaf.join(written(inner.select("path"), "jaccard-inner"), "path", "left_anti"), "jaccard-outer-leaves")
-    mine = leaf.groupBy("key").agg(F.collect_list("path").alias("leaves"))
+    mine = leaf.groupBy("key").agg(F.collect_list(F.struct("path", "members", "leaf_tokens")).alias("leaves"))
     live = classes.select("key", "class_id", "copies", "most_rows").join(mine, "key")
     live = written(live, "jaccard-live")
     again = keep_matching(source, live.select(F.col("class_id").alias("doc_id")), ["doc_id"])
     if live.where("class_id is null").limit(1).count():
         again = again.unionByName(source.where("doc_id is null"))
-    sets = signatures(again, s, "doc_id", "text", False, True)
+    texts = signatures(again, s, "doc_id", "text", False, True)
     # One row of each class: that of its smallest id, of which there can be several.
-    info = sets.join(live.select("key", "class_id", "copies", "leaves"), "key").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    info = info.select("key", "n", "tokens", "copies", "leaves")
+    info = texts.join(live.select("key", "class_id", "copies", "leaves"), "key").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     if live.where("most_rows > 1").limit(1).count():
         info = info.dropDuplicates(["key"])
-    info = written(info, "jaccard-sets")
-    blocks = _together(_placed(leaf, s, "leaf_tokens").join(info, "key"))
+    # Texts go to their blocks from here; a table of them in between would be one more copy and one more shuffle.
+    info = info.select("key", "n", "text", "copies", F.col("leaves.path").alias("leaves"), F.inline("leaves"))
+    blocks = _together(_placed(info, s, "leaf_tokens", ("copies", "n", "text", "leaves")))
     found = written(_brute_force(blocks, s), "jaccard-found")
     links = found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_link_docs").alias("n_link_docs"))
     roots = connected(found.where("parent is not null"))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import graphloom.llm.jaccard_join as jj
 from graphloom.llm.jaccard_join import Settings, jaccard_join
 
 SCHEMA = "doc_id long, text string, key string, n int, copies int, leaf long, tokens string"
@@ -126,3 +127,23 @@ def test_likely_pairs_follow_threshold_and_coordinates():
             s = Settings(threshold=threshold, coordinates=n)
             lost = sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(s.likely))
             assert lost <= s.sketch_loss < 1 - s.target_recall
+
+
+def test_wide_columns_are_shuffled_once_and_texts_go_to_blocks(spark, monkeypatch):
+    inputs, keep = {}, jj.written
+
+    def spy(df, name, *more):
+        text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        inputs[name] = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", text)
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(jj, "written", spy)
+    words = [f"w{i}" for i in range(40)]
+    # Two rows of id 1 with one set, one of another; id 3 with white space of its own.
+    texts = [(1, " ".join(words)), (1, "  ".join(words)), (1, "other words of one and the same id"), (2, " ".join([*words, "end"])), (3, "\n".join(words)), (None, " ".join(["start", *words]))]
+    got = jj.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"))
+    rows = sorted((r["doc_id"] or 9, r["class_id"] or 9, r["group_id"], r["n_copies"], r["n_links"], r["n_link_docs"]) for r in got.collect())
+    assert rows == [(1, 1, 1, 1, 0, 0), (1, 1, 1, 3, 2, 2), (1, 1, 1, 3, 2, 2), (2, 2, 1, 1, 2, 4), (3, 1, 1, 3, 2, 2), (9, 9, 1, 1, 2, 4)]
+    assert sum("first#" in x for x in inputs["jaccard-classes"]) == 1
+    assert "jaccard-sets" not in inputs
+    assert any("text#" in x for x in inputs["jaccard-found"]) and not any("tokens#" in x and "leaf_tokens#" not in x for x in inputs["jaccard-found"])
