@@ -61,11 +61,70 @@ def top_detections(predictions: DataFrame, k: int = MAX_DETECTIONS) -> DataFrame
     return predictions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def walk(code: np.ndarray, rank: np.ndarray, p_corner: np.ndarray, t_code: np.ndarray, t_corner: np.ndarray, limits: np.ndarray, k: int) -> np.ndarray:
+    """hits [predictions, limits] of greedy_hits: predictions by sample and rank (from 0, below k), targets by sample and id.
+
+    Corners are [CORNERS, boxes].  The ranks of all samples are walked at once."""
+    start = np.searchsorted(t_code, np.arange(max(code.max(initial=-1), t_code.max(initial=-1)) + 2))
+    count = np.diff(start)[code]
+    left = np.repeat(np.arange(len(code)), count)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[code], count)
+    one, two = (dict(zip(CORNERS, x)) for x in (p_corner[:, left], t_corner[:, right]))
+    volume = lambda c: np.maximum(c["d1"] - c["d0"], 0) * np.maximum(c["h1"] - c["h0"], 0) * np.maximum(c["w1"] - c["w0"], 0)
+    side = lambda x: np.maximum(np.minimum(one[x + "1"], two[x + "1"]) - np.maximum(one[x + "0"], two[x + "0"]), 0)
+    inter = side("d") * side("h") * side("w")
+    union = volume(one) + volume(two) - inter
+    iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+    near = np.flatnonzero((iou >= limits.min()) & (iou > 0))
+    left, right, iou = left[near], right[near], iou[near]
+    order = np.lexsort((right, -iou, left, rank[left]))
+    left, right, iou = left[order], right[order], iou[order]
+    turn = np.searchsorted(rank[left], np.arange(k + 1))
+    used, hits = np.zeros((len(limits), len(t_code)), bool), np.zeros((len(code), len(limits)), bool)
+    for i, j in zip(turn[:-1], turn[1:]):
+        if i == j:
+            continue
+        of, at = left[i:j], right[i:j]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        free = (iou[i:j] >= limits[:, None]) & ~used[:, at]
+        best = np.minimum.reduceat(np.where(free, np.arange(j - i), j - i), first, axis=1)
+        which, segment = np.nonzero(best < j - i)
+        used[which, at[best[which, segment]]] = True
+        hits[of[first[segment]], which] = True
+    return hits
+
+
+def average_precision(code: np.ndarray, rank: np.ndarray, hits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ap, ar) of pooled_ap_ar with every sample as its own group, NaN without targets; hits: by sample and rank, targets: their number by sample."""
+    start = np.searchsorted(code, np.arange(len(targets)))
+    running = np.concatenate((np.zeros((1, hits.shape[1]), np.int64), np.cumsum(hits, 0)))
+    tps = running[1:] - running[start[code]]
+    of = np.maximum(targets[code], 1)[:, None]
+    recall, precision = tps / of, np.where(hits, tps / (rank + 1)[:, None], 0.0)
+
+    def reach(recall: np.ndarray) -> np.ndarray:
+        """_reach, 0 without a hit."""
+        k = np.floor(recall * 100) + 1
+        last = np.where(recall >= k * 0.01, k, np.where(recall >= (k - 1) * 0.01, k - 1, k - 2))
+        return np.where(recall >= 1, RECALL_POINTS, np.where(recall > 0, np.minimum(last, RECALL_POINTS - 2) + 1, 0))
+
+    gain = np.where(hits, reach(recall) - reach((tps - 1) / of), 0)
+    top, total, most = (np.zeros((len(targets), hits.shape[1])) for _ in range(3))
+    np.maximum.at(most, code, recall)
+    # From the last rank down: the best precision so far holds for the points that a hit adds.
+    for r in range(int(rank.max(initial=-1)), -1, -1):
+        at = np.flatnonzero(rank == r)
+        top[code[at]] = np.maximum(top[code[at]], precision[at])
+        total[code[at]] += gain[at] * top[code[at]]
+    known = np.where(targets > 0, 1.0, np.nan)
+    return (total / RECALL_POINTS).sum(1) / hits.shape[1] * known, most.sum(1) / hits.shape[1] * known
+
+
 def greedy_hits(predictions: DataFrame, targets: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, k: int = MAX_DETECTIONS) -> DataFrame:
     """(sample_id, rank, score, hits): in order of score each of the k best predictions takes the free target of
     highest IoU of at least the threshold (ties: smallest target id); hits: whether it found one, per threshold.
 
-    Boxes of all samples go through one shuffle; a kernel walks the ranks of a batch of samples at once."""
+    Boxes of all samples go through one shuffle; a kernel walks the ranks of a batch of samples at once (walk)."""
     ids = {x: df.schema[x].dataType.simpleString() for df, x in ((predictions, "pred_id"), (targets, "target_id"))}
     none = lambda x: F.lit(None).cast(ids[x]).alias(x)
     sides = [F.col("corners")[x].cast("double").alias(x) for x in CORNERS]
@@ -75,37 +134,11 @@ def greedy_hits(predictions: DataFrame, targets: DataFrame, thresholds: tuple[fl
 
     def kernel(table: pa.Table, code: np.ndarray) -> pa.Table:
         kind, score = numbers(table, "kind", "score")
-        corner = dict(zip(CORNERS, numbers(table, *CORNERS)))
-        n = int(code[-1]) + 1
+        corner = np.stack(numbers(table, *CORNERS))
         is_p = kind == 0
-        rank = np.arange(len(code)) - np.searchsorted(code, np.arange(n))[code]
+        rank = np.arange(len(code)) - np.searchsorted(code, np.arange(int(code[-1]) + 1))[code]
         pred, target = np.flatnonzero(is_p & (rank < k)), np.flatnonzero(~is_p)
-        start = np.searchsorted(code[target], np.arange(n + 1))
-        count = np.diff(start)[code[pred]]
-        left = np.repeat(np.arange(len(pred)), count)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[code[pred]], count)
-        one, two = ({x: v[at] for x, v in corner.items()} for at in (pred[left], target[right]))
-        volume = lambda c: np.maximum(c["d1"] - c["d0"], 0) * np.maximum(c["h1"] - c["h0"], 0) * np.maximum(c["w1"] - c["w0"], 0)
-        side = lambda x: np.maximum(np.minimum(one[x + "1"], two[x + "1"]) - np.maximum(one[x + "0"], two[x + "0"]), 0)
-        inter = side("d") * side("h") * side("w")
-        union = volume(one) + volume(two) - inter
-        iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-        near = np.flatnonzero((iou >= limits.min()) & (iou > 0))
-        left, right, iou = left[near], right[near], iou[near]
-        order = np.lexsort((right, -iou, left, rank[pred[left]]))
-        left, right, iou = left[order], right[order], iou[order]
-        turn = np.searchsorted(rank[pred[left]], np.arange(k + 1))
-        used, hits = np.zeros((len(limits), len(target)), bool), np.zeros((len(pred), len(limits)), bool)
-        for i, j in zip(turn[:-1], turn[1:]):
-            if i == j:
-                continue
-            of, at = left[i:j], right[i:j]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            free = (iou[i:j] >= limits[:, None]) & ~used[:, at]
-            best = np.minimum.reduceat(np.where(free, np.arange(j - i), j - i), first, axis=1)
-            which, segment = np.nonzero(best < j - i)
-            used[which, at[best[which, segment]]] = True
-            hits[of[first[segment]], which] = True
+        hits = walk(code[pred], rank[pred], corner[:, pred], code[target], corner[:, target], limits, k)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pred) + 1) * len(limits), pa.int32()), pa.array(hits.ravel()))
         return pa.table({"sample_id": table["sample_id"].take(pa.array(pred)), "rank": (rank[pred] + 1).astype(np.int32), "score": score[pred], "hits": lists})
 
